@@ -10,12 +10,10 @@ from trailmark.functions import text as X
 from trailmark.functions.times import HOUR_MS
 from trailmark.operators.slices import with_previous
 
-SAMPLE_STEPS = 1_000_000
-
-
 def sampled(session_id: Column, rate: Column) -> Column:
-    """One decision per session: its hash falls below the rate or not. 0 keeps none, 1 keeps all."""
-    return F.pmod(F.xxhash64(session_id), F.lit(SAMPLE_STEPS)) < rate * SAMPLE_STEPS
+    """One decision per session, the same everywhere and always: the session's digest falls below the rate or not."""
+    draw = F.conv(F.substring(F.md5(session_id), 1, 8), 16, 10).cast("bigint")
+    return draw < rate * 2**32
 
 
 def sample_sessions(events: DataFrame, sites: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from trailmark import schemas as S
 from trailmark.functions import json as J
 from trailmark.functions import text as X
 from trailmark.functions import web as W
+from trailmark.operators.once import with_once
+from trailmark.operators.slices import attach_per_key
 
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
 
@@ -18,7 +20,9 @@ def decode_envelope(df: DataFrame, kind: str, value: str = "value") -> DataFrame
     """
     schema = {"telemetry": S.TELEMETRY_ENVELOPE, "replay": S.REPLAY_ENVELOPE}[kind]
     text = F.col(value).cast("string")
-    decoded = df.withColumn("envelope", F.from_json(text, schema, PERMISSIVE))
+    decoded = with_once(
+        df, {"envelope": F.from_json(text, schema, PERMISSIVE), "_single": J.is_single_object(text)}
+    )
     e = F.col("envelope")
     received = F.try_to_timestamp(e["receivedAt"])
     ids = ["tenantId", "siteId", "sessionId"] + (["event.clientEventId"] if kind == "telemetry" else [])
@@ -27,8 +31,9 @@ def decode_envelope(df: DataFrame, kind: str, value: str = "value") -> DataFrame
         field = F.col(f"envelope.{name}")
         bad_id = bad_id | (field.isNotNull() & ~W.is_uuid(field))
     bad_instant = e["receivedAt"].isNotNull() & received.isNull()
-    shaped = J.is_single_object(text) & e[S.CORRUPT].isNull() & ~bad_id & ~bad_instant
-    return decoded.withColumn("received_at", received).withColumn("well_formed", F.coalesce(shaped, F.lit(False)))
+    shaped = F.col("_single") & e[S.CORRUPT].isNull() & ~bad_id & ~bad_instant
+    added = {"received_at": received, "well_formed": F.coalesce(shaped, F.lit(False))}
+    return with_once(decoded, added).drop("_single")
 
 
 def _common_reasons(e: Column) -> list[tuple[Column, str]]:
@@ -62,12 +67,12 @@ def classify_telemetry(decoded: DataFrame) -> DataFrame:
         (event["ts"].isNull() | F.col("received_at").isNull(), "missing_ts"),
         (J.is_object(event["props"]) & ~J.is_storable_object(event["props"]), "store_rejected"),
     ]
-    return decoded.withColumn("reason", _first_reason(tests))
+    return with_once(decoded, {"reason": _first_reason(tests)})
 
 
 def classify_replay(decoded: DataFrame) -> DataFrame:
     """The same for replay chunks; also adds the decoded `chunk_events`."""
-    decoded = decoded.withColumn("chunk_events", J.replay_events(F.col("envelope.events")))
+    decoded = with_once(decoded, {"chunk_events": J.replay_events(F.col("envelope.events"))})
     e = F.col("envelope")
     valid = J.all_have_timestamps(F.col("chunk_events"))
     seq = F.coalesce(e["chunkSeq"], F.lit(0))
@@ -78,7 +83,7 @@ def classify_replay(decoded: DataFrame) -> DataFrame:
         (e["events"].isNull() & e["payload"].isNotNull(), "unsupported_payload"),
         ((seq < 0) | e["payload"].isNotNull() | ~valid, "invalid_chunk"),
     ]
-    return decoded.withColumn("reason", _first_reason(tests))
+    return with_once(decoded, {"reason": _first_reason(tests)})
 
 
 def split_poison(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,9 +125,11 @@ def to_event_rows(envelopes: DataFrame) -> DataFrame:
 def parse_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Adds `batch`, the decoded events body, and `well_formed`."""
     text = F.col(body).cast("string")
-    parsed = bodies.withColumn("batch", F.from_json(text, S.EVENT_BATCH, PERMISSIVE))
-    shaped = J.is_single_object(text) & F.col(f"batch.{S.CORRUPT}").isNull()
-    return parsed.withColumn("well_formed", F.coalesce(shaped, F.lit(False)))
+    parsed = with_once(
+        bodies, {"batch": F.from_json(text, S.EVENT_BATCH, PERMISSIVE), "_single": J.is_single_object(text)}
+    )
+    shaped = F.col("_single") & F.col(f"batch.{S.CORRUPT}").isNull()
+    return parsed.withColumn("well_formed", F.coalesce(shaped, F.lit(False))).drop("_single")
 
 
 def _known(event: Column) -> Column:
@@ -158,15 +165,14 @@ def validate_batches(parsed: DataFrame, max_events: int = S.MAX_EVENTS_PER_BATCH
         .when(F.size(events) > max_events, F.lit("too_large"))
         .when(F.exists(events, broken), F.lit("invalid"))
     )
-    return parsed.withColumn("rejection", rejection)
+    return with_once(parsed, {"rejection": rejection})
 
 
 def drop_unknown_types(batches: DataFrame) -> DataFrame:
     """Removes events of unknown type from each batch and counts them in `dropped_unknown_type`."""
     kept = F.filter("batch.events", _known)
-    return batches.withColumn("dropped_unknown_type", F.size("batch.events") - F.size(kept)).withColumn(
-        "batch", F.col("batch").withField("events", kept)
-    )
+    narrowed = F.col("batch").withField("events", kept)
+    return with_once(batches, {"dropped_unknown_type": F.size("batch.events") - F.size(kept), "batch": narrowed})
 
 
 def in_window(
@@ -181,9 +187,8 @@ def within_time_window(
 ) -> DataFrame:
     """Keeps events whose client time lies in the accepted window around `received_at`; counts the rest."""
     kept = F.filter("batch.events", lambda e: in_window(e["ts"], F.col("received_at"), max_age_ms, max_skew_ms))
-    return batches.withColumn("dropped_out_of_window", F.size("batch.events") - F.size(kept)).withColumn(
-        "batch", F.col("batch").withField("events", kept)
-    )
+    narrowed = F.col("batch").withField("events", kept)
+    return with_once(batches, {"dropped_out_of_window": F.size("batch.events") - F.size(kept), "batch": narrowed})
 
 
 def truncate_fields(df: DataFrame, limits: dict[str, int]) -> DataFrame:
@@ -207,7 +212,7 @@ def sanitize_event(event: Column, limits: dict[str, int] = S.FIELD_LIMITS) -> Co
 
 def sanitize_events(df: DataFrame) -> DataFrame:
     """Cleans the `event` struct of exploded batches."""
-    return df.withColumn("event", sanitize_event(F.col("event")))
+    return with_once(df, {"event": sanitize_event(F.col("event"))})
 
 
 def explode_batches(batches: DataFrame) -> DataFrame:
@@ -237,11 +242,12 @@ def accept_batches(bodies: DataFrame) -> DataFrame:
 def replay_envelopes(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Replay bodies as chunks, with `rejection` = `invalid` for those without a raw event array."""
     text = F.col(body).cast("string")
-    b = F.from_json(text, S.REPLAY_BATCH, PERMISSIVE)
-    parsed = bodies.withColumn("batch", b)
+    parsed = with_once(
+        bodies, {"batch": F.from_json(text, S.REPLAY_BATCH, PERMISSIVE), "_single": J.is_single_object(text)}
+    )
     batch = F.col("batch")
     valid = (
-        J.is_single_object(text)
+        F.col("_single")
         & batch[S.CORRUPT].isNull()
         & batch["sessionId"].isNotNull()
         & W.is_uuid(batch["sessionId"])
@@ -311,8 +317,6 @@ def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | No
         owners = first_seen.join(held, "session_id", "left").select(
             "session_id", F.coalesce("_held", "_first_owner").alias("_owner")
         )
-    from trailmark.operators.slices import attach_per_key
-
     joined = attach_per_key(df.join(known, ["tenant_id", "site_id"], "left"), owners, ["session_id"])
     nul = F.lit(False)
     for column in ("anonymous_id", "url"):

@@ -10,6 +10,7 @@ from trailmark import schemas as S
 from trailmark.functions import json as J
 from trailmark.functions import web as W
 from trailmark.functions.times import HOUR_MS
+from trailmark.operators.once import with_once
 from trailmark.operators.slices import with_previous, with_running_total
 
 
@@ -30,7 +31,7 @@ def chunk_manifest(chunks: DataFrame) -> DataFrame:
     """One manifest row per chunk, computed inside the row: counts, time range, full snapshot, size and key."""
     events = F.col("_events")
     times = F.transform(events, lambda e: e["timestamp"].cast("bigint"))
-    return chunks.withColumn("_events", J.replay_events(F.col("events"))).select(
+    return with_once(chunks, {"_events": J.replay_events(F.col("events"))}).select(
         "tenant_id",
         "site_id",
         "session_id",
@@ -96,7 +97,7 @@ def explode_replay(chunks: DataFrame) -> DataFrame:
     raw = F.posexplode(F.from_json("events", "array<string>"))
     rows = chunks.select("tenant_id", "session_id", "chunk_seq", raw.alias("pos", "event"))
     head = F.from_json("event", "struct<type:int,timestamp:double>")
-    return rows.withColumn("_head", head).select(
+    return with_once(rows, {"_head": head}).select(
         "tenant_id",
         "session_id",
         "chunk_seq",

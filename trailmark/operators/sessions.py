@@ -230,21 +230,46 @@ def navigation_trail(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
 def session_stats(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     """Counters of every session that has events: first and last time, duration, pages, errors.
 
-    Wants de-duplicated events. Times and errors are plain sums per session; pages come from `page_views`.
+    Wants de-duplicated events. A page is a navigation, `replaceState` aside, whose URL up to `#` differs from the one
+    before. One row per (session, slice) carries the sums, the pages counted inside and the first and last page; the
+    slices of a session are then compared with each other. Two shuffles, no join, and no session is one group.
     """
-    totals = events.groupBy(*SESSION_KEYS).agg(
+    counted = (F.col("event_type") == "NAVIGATION") & (prop(F.col("props"), "trigger") != "replaceState")
+    inside = Window.partitionBy(*SESSION_KEYS, SLICE).orderBy(*ORDER)
+    rows = sliced(
+        events.select(
+            *SESSION_KEYS,
+            *ORDER,
+            F.col("event_type").isin(S.ERROR_TYPES).alias("_error"),
+            F.when(counted, W.cut_fragment(F.col("url"))).alias("_page"),
+        ),
+        "ts",
+        width_ms,
+    ).withColumn("_before", F.last("_page", True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    visit = F.when(F.col("_page").isNotNull(), F.struct(*ORDER, "_page"))
+    slices = rows.groupBy(*SESSION_KEYS, SLICE).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.count_if(F.col("event_type").isin(S.ERROR_TYPES)).alias("error_count"),
+        F.count_if("_error").alias("_errors"),
+        F.count_if(F.col("_page") != F.col("_before")).alias("_inner"),
+        F.min(visit).getField("_page").alias("_head"),
+        F.max(visit).getField("_page").alias("_tail"),
+    )
+    along = Window.partitionBy(*SESSION_KEYS).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.col("_head").isNotNull() & ~F.col("_head").eqNullSafe(F.last("_tail", True).over(along))
+    totals = slices.withColumn("_pages", F.col("_inner") + opens.cast("int")).groupBy(*SESSION_KEYS).agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.sum("_pages").alias("page_count"),
+        F.sum("_errors").alias("error_count"),
     )
-    pages = page_views(events, width_ms).groupBy(*SESSION_KEYS).agg(F.count("*").alias("_pages"))
     length = F.unix_millis("last_ts") - F.unix_millis("first_ts")
-    return totals.join(pages, SESSION_KEYS, "left").select(
+    return totals.select(
         *SESSION_KEYS,
         "first_ts",
         "last_ts",
         F.greatest(F.lit(0), length).cast("bigint").alias("duration_ms"),
-        F.coalesce("_pages", F.lit(0)).cast("bigint").alias("page_count"),
+        "page_count",
         "error_count",
     )
 

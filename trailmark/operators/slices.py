@@ -23,18 +23,27 @@ def sliced(df: DataFrame, ts: str = "ts", width_ms: int = HOUR_MS) -> DataFrame:
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], width_ms: int = HOUR_MS
 ) -> DataFrame:
-    """Adds `prev_<value>`: the value of the preceding row of the same key, null on the first row."""
+    """Adds `prev_<value>`: the value of the preceding row of the same key, null on the first row.
+
+    Inside a slice that is a plain lag. The first row of a slice follows the last row of the slice before, so first
+    and last rows alone, at most two per slice, are compared along the key. Both parts read the same shuffle.
+    """
     keys = list(keys)
-    rows = sliced(df, order[0], width_ms)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    tails = rows.groupBy(*keys, SLICE).agg(F.max(F.struct(*dict.fromkeys([*order, *values]))).alias("_tail"))
-    carried = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SLICE)))
-    rows = rows.withColumn("_local", F.lag(F.struct(*values)).over(inside))
-    joined = rows.join(carried.select(*keys, SLICE, "_carry"), [*keys, SLICE], "left")
-    for value in values:
-        previous = F.when(F.col("_local").isNotNull(), F.col("_local")[value]).otherwise(F.col("_carry")[value])
-        joined = joined.withColumn(f"prev_{value}", previous)
-    return joined.drop(SLICE, "_local", "_carry")
+    along = Window.partitionBy(*keys).orderBy(*order)
+    packed = F.struct(*values)
+    rows = (
+        sliced(df, order[0], width_ms)
+        .withColumn("_prev", F.lag(packed).over(inside))
+        .withColumn("_is_last", F.lead(F.lit(1)).over(inside).isNull())
+        .withColumn("_is_first", F.col("_prev").isNull())
+    )
+    inner = rows.filter(~F.col("_is_first"))
+    border = rows.filter(F.col("_is_first") | F.col("_is_last")).withColumn("_prev", F.lag(packed).over(along))
+    whole = inner.unionByName(border.filter("_is_first"))
+    return whole.withColumns({f"prev_{value}": F.col("_prev")[value] for value in values}).drop(
+        SLICE, "_prev", "_is_first", "_is_last"
+    )
 
 
 def with_running_total(

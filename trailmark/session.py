@@ -1,8 +1,9 @@
 """Session settings and the shared working folder."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Suited to any deployment; sizes and master come from the cluster.
 SETTINGS = {
@@ -28,9 +29,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``. Only where that is unset (tests,
     a single machine) a temporary folder stands in for it.
     """
-    import uuid
-
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = tempfile.mkdtemp(prefix="trailmark-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a table in the working folder.
+
+    Cuts the lineage between the passes of a job: what follows reads a finished table, on whatever executors are left.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
