@@ -71,6 +71,25 @@ def stuck_pages(events: DataFrame, min_stay_ms: int, min_repeats: int) -> DataFr
     return stays.filter(F.col("stay_ms") >= min_stay_ms).join(repeats, [*SESSION_KEYS, "path"])
 
 
+SIGNALS = ["rage_click", "dead_click", "error_click", "error_burst"]
+
+
+def tally_signals(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Counts per session of the given signals (`tenant_id, session_id, signal`) and of errors, zero where none are.
+
+    Every event is one line of the same tally, so sessions without signals appear too and nothing is joined.
+    """
+    lines = found.unionByName(
+        events.select(
+            *SESSION_KEYS,
+            F.when(F.col("event_type").isin(S.ERROR_TYPES), F.lit("error")).otherwise(F.lit("")).alias("signal"),
+        )
+    )
+    return lines.groupBy(*SESSION_KEYS).agg(
+        *[F.count_if(F.col("signal") == name).alias(f"{name}_count") for name in [*SIGNALS, "error"]]
+    )
+
+
 def signal_counts(
     events: DataFrame,
     rage_n: int = 3,
@@ -80,23 +99,17 @@ def signal_counts(
     width_ms: int = HOUR_MS,
 ) -> DataFrame:
     """Signals per session: rage, dead and error clicks, bursts and errors, zero where there are none."""
-
-    def tally(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*SESSION_KEYS, F.lit(name).alias("signal"))
-
-    errors = events.filter(F.col("event_type").isin(S.ERROR_TYPES))
-    found = (
-        tally(rage_clicks(events, rage_n, within_ms, width_ms), "rage_click")
-        .unionByName(tally(dead_clicks(events, within_ms, width_ms), "dead_click"))
-        .unionByName(tally(error_clicks(events, within_ms, width_ms), "error_click"))
-        .unionByName(tally(error_bursts(events, burst_n, burst_ms, width_ms), "error_burst"))
-        .unionByName(tally(errors, "error"))
-        .unionByName(tally(events, "event"))
-    )
-    names = ["rage_click", "dead_click", "error_click", "error_burst", "error"]
-    return found.groupBy(*SESSION_KEYS).agg(
-        *[F.count_if(F.col("signal") == name).alias(f"{name}_count") for name in names]
-    )
+    parts = [
+        rage_clicks(events, rage_n, within_ms, width_ms),
+        dead_clicks(events, within_ms, width_ms),
+        error_clicks(events, within_ms, width_ms),
+        error_bursts(events, burst_n, burst_ms, width_ms),
+    ]
+    found = None
+    for name, part in zip(SIGNALS, parts):
+        lines = part.select(*SESSION_KEYS, F.lit(name).alias("signal"))
+        found = lines if found is None else found.unionByName(lines)
+    return tally_signals(events, found)
 
 
 # Our weights of the friction score; the sum of weight * count is cut at 100.

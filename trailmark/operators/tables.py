@@ -80,13 +80,13 @@ def expire_by_tenant(df: DataFrame, tenant: DataFrame, ts: str, days: str, now:
     return df.join(horizon, "tenant_id").filter(F.unix_millis(F.col(ts)) >= F.col("_oldest_ms")).drop("_oldest_ms")
 
 
-def offset_runs(records: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """Runs of consecutive offsets per topic and partition, each with the timestamp of its first record.
+def offset_runs(records: DataFrame, by: Sequence[str] = (), width: int = 1_000_000) -> DataFrame:
+    """Runs of consecutive offsets per topic and partition (and `by`), each with the timestamp of its first record.
 
     A gap between two runs is a hole in the log. Offsets are cut into blocks of `width` and runs are found per block.
     Only runs that touch a block border, at most two per block, are then compared along the whole partition.
     """
-    partition = ["topic", "partition"]
+    partition = [*by, "topic", "partition"]
     inside = Window.partitionBy(*partition, "_block").orderBy("offset")
     unique = records.groupBy(*partition, "offset").agg(F.min("timestamp").alias("first_timestamp"))
     runs = (
@@ -117,26 +117,20 @@ def offset_runs(records: DataFrame, width: int = 1_000_000) -> DataFrame:
     return runs.filter(~at_border).select(*columns).unionByName(stitched.select(*columns))
 
 
-def batch_token(records: DataFrame) -> DataFrame:
-    """One token per topic for the records of one write; the same records give the same token in any order.
+def batch_token(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One token per topic (and `by`) for the records of one write; the same records give the same in any order.
 
-    Meant for one micro-batch: the list of runs is as short as the batch has partitions and gaps. To compare whole
-    logs, compare their `offset_runs`.
+    Meant for micro-batches: the list of runs is as short as a batch has partitions and gaps. To compare whole logs,
+    compare their `offset_runs`.
     """
     run = F.format_string(
-        "%d:%d-%d@%d;",
-        F.col("partition"),
-        F.col("first_offset"),
-        F.col("last_offset"),
-        F.unix_millis("first_timestamp"),
+        "%d:%d-%d@%d;", F.col("partition"), F.col("first_offset"), F.col("last_offset"), F.unix_millis("first_timestamp")
     )
     ordered = F.array_sort(F.collect_list(F.struct("partition", "first_offset", run.alias("text"))))
     text = F.array_join(F.transform(ordered, lambda r: r["text"]), "")
-    return (
-        offset_runs(records)
-        .groupBy("topic")
-        .agg(F.concat(F.col("topic"), F.lit(":"), F.substring(F.sha2(text, 256), 1, 32)).alias("token"))
-    )
+    digest = F.substring(F.sha2(text, 256), 1, 32)
+    listed = offset_runs(records, by).groupBy(*by, "topic").agg(digest.alias("_digest"))
+    return listed.select(*by, "topic", F.concat_ws(":", "topic", "_digest").alias("token"))
 
 
 def lag_report(events: DataFrame, ts: str = "ts", written: str = "ingested_at", accuracy: int = 1_000_000) -> DataFrame:

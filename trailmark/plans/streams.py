@@ -1 +1,187 @@
+"""Streaming queries: the given tables as streams, run until they are read, results read back."""
 
+from pyspark.sql import functions as F
+
+from trailmark.functions.times import DAY_MS
+from trailmark.operators.sessions import fold_updates
+from trailmark.plans import fixtures as fx
+from trailmark.plans import replay as replay_plans
+from trailmark.plans.catalog import query
+from trailmark.plans.ingest import DAY_ONE, REASON_SQL, number_of, telemetry_records, uuid
+from trailmark.plans.sessions import known, ms
+from trailmark.session import work_folder
+from trailmark.sources.readers import REPLAY_TOPIC, read_replay, read_telemetry
+from trailmark.streaming.events import run_events_stream, run_replay_stream, stream_dedup
+from trailmark.streaming.sessions import read_updates, run_closer, run_session_stream, session_lifecycle_stream
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def log_of(df, name: str) -> str:
+    """Writes records as files a stream can follow."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+@query(
+    f"""SELECT reason, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, {REASON_SQL} AS reason FROM events) GROUP BY ALL"""
+)
+def events_stream(spark, folder):
+    """Raw records through the events job; stored rows and dead letters counted by reason."""
+    log = log_of(telemetry_records(spark, folder), "telemetry")
+    events, dead, state = (work_folder(spark, name) for name in ("events", "dead", "state"))
+    run_events_stream(read_telemetry(spark, log, streaming=True), events, dead, state).awaitTermination()
+    stored = spark.read.parquet(events).select(F.lit("ok").alias("reason"), number_of(F.col("event_id")).alias("id"))
+    refused = spark.read.parquet(dead).select("reason", F.col("offset").alias("id"))
+    return stored.unionByName(refused).groupBy("reason").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def chunk_records(spark, folder):
+    """Chunks as raw records with four kinds of defects."""
+    kind = (F.col("conv_id") + F.col("turn")) % 9
+
+    def unless(number, value):
+        return F.when(kind != number, value)
+
+    envelope = F.struct(
+        F.lit(1).alias("schemaVersion"),
+        uuid(1, F.col("conv_id") % 4).alias("tenantId"),
+        uuid(2, F.col("conv_id") % 8).alias("siteId"),
+        unless(1, uuid(4, F.col("conv_id"))).alias("sessionId"),
+        F.when(kind == 2, F.lit(-1)).otherwise(F.col("chunk_seq")).alias("chunkSeq"),
+        unless(3, F.concat(F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).alias("receivedAt"),
+        F.when(kind == 4, F.lit("AAAA")).alias("payload"),
+        unless(4, F.parse_json("events")).alias("events"),
+    )
+    return replay_plans.chunks(spark, folder).select(
+        F.lit(REPLAY_TOPIC).alias("topic"),
+        (F.col("conv_id") % 6).cast("int").alias("partition"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("offset"),
+        F.col("ingested_at").alias("timestamp"),
+        uuid(4, F.col("conv_id")).alias("key"),
+        F.to_json(envelope).alias("value"),
+    )
+
+
+@query(
+    """SELECT CASE (conv_id + turn) % 9 WHEN 1 THEN 'missing_session' WHEN 2 THEN 'invalid_chunk' WHEN 3 THEN 'missing_ts'
+    WHEN 4 THEN 'unsupported_payload' ELSE 'ok' END AS reason, count(*) AS n,
+  CAST(sum(CASE WHEN (conv_id + turn) % 9 IN (1, 2, 3, 4) THEN 0 ELSE 1 + turn % 3 + CASE WHEN turn = 0 THEN 2 ELSE 0 END END) AS BIGINT) AS events
+  FROM conversations GROUP BY ALL"""
+)
+def replay_stream(spark, folder):
+    """Raw chunks through the replay job; manifest rows that have their payload, and dead letters by reason."""
+    log = log_of(chunk_records(spark, folder), "replay")
+    payloads, manifest, dead, state = (work_folder(spark, name) for name in ("payloads", "manifest", "dead", "state"))
+    run_replay_stream(read_replay(spark, log, streaming=True), payloads, manifest, dead, state).awaitTermination()
+    stored = spark.read.parquet(manifest).join(spark.read.parquet(payloads).select("object_key"), "object_key", "left_semi")
+    good = stored.select(F.lit("ok").alias("reason"), F.col("event_count").cast("bigint").alias("events"))
+    refused = spark.read.parquet(dead).select("reason", F.lit(0).cast("bigint").alias("events"))
+    return good.unionByName(refused).groupBy("reason").agg(F.count("*").alias("n"), F.sum("events").alias("events"))
+
+
+WIRE_SQL = fx.on_base(
+    f""", wire AS (SELECT *, CAST(user_id * 100 + ts_ms // {DAY_MS} - {DAY_ONE} AS BIGINT) AS visit FROM base
+  WHERE event_no % 13 = 0 AND event_no % 2 = 0)"""
+)
+
+
+def tracked(spark, folder):
+    """Raw records through the tracker job; returns the folder of its updates and the sites it knows."""
+    log = log_of(telemetry_records(spark, folder), "telemetry")
+    updates, dead, state = (work_folder(spark, name) for name in ("updates", "dead", "state"))
+    rows = fx.base_events(spark, folder)
+    sites = rows.select(
+        uuid(2, F.col("site_id").cast("bigint")).alias("id"), uuid(1, F.col("tenant_id").cast("bigint")).alias("tenant_id")
+    ).distinct()
+    run_session_stream(read_telemetry(spark, log, streaming=True), sites, updates, dead, state).awaitTermination()
+    return log, updates
+
+
+@query(
+    WIRE_SQL
+    + """ SELECT visit AS id, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, max(ingested_ms) AS last_received_ms,
+  coalesce(first(url ORDER BY ts_ms, event_id) FILTER (event_type = 'NAVIGATION'), '') AS entry_url FROM wire GROUP BY visit"""
+)
+def session_stream(spark, folder):
+    """Raw records through the tracker job; its updates folded to one row per session."""
+    _, updates = tracked(spark, folder)
+    folded = fold_updates(read_updates(spark, updates).drop("batch_id"))
+    return folded.select(
+        number_of(F.col("id")).alias("id"),
+        ms("first_ts", "first_ms"),
+        ms("last_ts", "last_ms"),
+        ms("last_received", "last_received_ms"),
+        known("entry_url"),
+    )
+
+
+@query(
+    WIRE_SQL
+    + f""" SELECT visit AS id, 'CLOSED' AS type, max(ts_ms) - min(ts_ms) AS duration_ms,
+  count(*) FILTER (event_type = 'EXCEPTION') AS error_count FROM wire GROUP BY visit HAVING max(ingested_ms) < {fx.NOW_MS - fx.GAP_MS}"""
+)
+def closer_job(spark, folder):
+    """Tracker, events job and closing job one after the other, each through its stored tables."""
+    log, updates = tracked(spark, folder)
+    events, dead, state = (work_folder(spark, name) for name in ("events", "dead", "state"))
+    run_events_stream(read_telemetry(spark, log, streaming=True), events, dead, state).awaitTermination()
+    sessions, lifecycle = work_folder(spark, "sessions"), work_folder(spark, "lifecycle")
+    run_closer(spark, sessions, updates, lifecycle, spark.read.parquet(events), fx.now(), fx.GAP_MS)
+    return spark.read.parquet(lifecycle).select(
+        number_of(F.col("sessionId")).alias("id"),
+        "type",
+        F.col("durationMs").alias("duration_ms"),
+        F.col("errorCount").alias("error_count"),
+    )
+
+
+@query(
+    fx.on_events(
+        fx.stats_sql("ev")
+        + " SELECT tenant_id, session_id, first_ms AS started_ms, last_ms AS ended_ms, duration_ms, page_count, error_count FROM stats"
+    )
+)
+def lifecycle_stream(spark, folder):
+    """Stored events through the stateful lifecycle; the last record of every session."""
+    columns = ["tenant_id", "session_id", "event_id", "ts", "ingested_at", "event_type", "url", "props"]
+    rows = fx.events(spark, folder).select(*columns)
+    log, out, state = log_of(rows, "events"), work_folder(spark, "lifecycle"), work_folder(spark, "state")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        stream = session_lifecycle_stream(spark.readStream.schema(rows.schema).parquet(log), fx.GAP_MS)
+
+        def keep(batch, batch_id):
+            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("batch_id").parquet(out)
+
+        writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    last = spark.read.parquet(out).filter("type <> 'CLOSED'")
+    keys = ["tenant_id", "session_id"]
+    latest = last.groupBy(*keys).agg(F.max(F.struct("batch_id", *[c for c in last.columns if c not in {*keys, "batch_id"}])).alias("r"))
+    return latest.select(
+        *keys,
+        ms("r.started_at", "started_ms"),
+        ms("r.ended_at", "ended_ms"),
+        *[F.col(f"r.{name}").alias(name) for name in ("duration_ms", "page_count", "error_count")],
+    )
+
+
+@query(fx.on_base(" SELECT event_id, tenant_id FROM base"))
+def dedup_stream(spark, folder):
+    """Redelivered events through the streaming de-duplication."""
+    rows = fx.redelivered(fx.base_events(spark, folder)).select(
+        "tenant_id", F.col("anonymous_id").alias("session_id"), "event_id", "ingested_at"
+    )
+    log, out, state = log_of(rows, "events"), work_folder(spark, "unique"), work_folder(spark, "state")
+    unique = stream_dedup(spark.readStream.schema(rows.schema).parquet(log), "2 hours")
+    writer = unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select("event_id", "tenant_id")

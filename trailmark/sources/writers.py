@@ -82,11 +82,13 @@ def lifecycle_messages(records: DataFrame) -> DataFrame:
     return records.select(F.col("sessionId").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
-def compact_events(spark: SparkSession, path: str, target: str, dates: list[str]) -> None:
-    """Rewrites the given days of an event table, de-duplicated and sorted, into `target`.
+def compact_events(spark: SparkSession, path: str, target: str, dates: list[str] | None = None) -> None:
+    """Rewrites days of an event table (all by default), de-duplicated and sorted, into `target`.
 
     The source is left alone; readers move to the new folder when it is complete. Days that `target` already holds
     are replaced, so a repeated run gives the same.
     """
-    days = spark.read.parquet(path).filter(F.col("event_date").cast("string").isin(dates)).drop("batch_id", "event_date")
-    write_events(dedup_latest(days), target, 0)
+    days = spark.read.parquet(path)
+    if dates is not None:
+        days = days.filter(F.col("event_date").isin([F.to_date(F.lit(date)) for date in dates]))
+    write_events(dedup_latest(days.drop("batch_id", "event_date")), target, 0)
