@@ -12,7 +12,13 @@ from trailmark.plans.sessions import known, ms
 from trailmark.session import work_folder
 from trailmark.sources.readers import REPLAY_TOPIC, read_replay, read_telemetry
 from trailmark.streaming.events import run_events_stream, run_replay_stream, stream_dedup
-from trailmark.streaming.sessions import read_updates, run_closer, run_session_stream, session_lifecycle_stream
+from trailmark.streaming.sessions import (
+    read_updates,
+    run_closer,
+    run_session_stream,
+    run_until_read,
+    session_lifecycle_stream,
+)
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -160,7 +166,7 @@ def lifecycle_stream(spark, folder):
             ).partitionBy("batch_id").parquet(out)
 
         writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state)
-        writer.trigger(availableNow=True).start().awaitTermination()
+        run_until_read(writer)
     finally:
         spark.conf.set(STATE_STORE, before)
     last = spark.read.parquet(out).filter("type <> 'CLOSED'")

@@ -1,5 +1,6 @@
 """Streaming session tracker, the closing job, and the fully stateful session lifecycle."""
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -128,7 +129,7 @@ class SessionLifecycle(StatefulProcessor):
         self.state = handle.getValueState("session", _STATE_DDL)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else None
+        known = self.state.get()
         first, last, received, pages, errors, page, closed = known or (None, None, None, 0, 0, None, False)
         for piece in rows:
             piece = piece.sort_values(["ts_ms", "event_id"])
@@ -142,7 +143,7 @@ class SessionLifecycle(StatefulProcessor):
                 pages += url != page
                 page = url
         self.state.update((first, last, received, pages, errors, page, False))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         kind = "UPDATED" if closed else "OPEN"
@@ -200,3 +201,24 @@ def session_lifecycle_stream(events: DataFrame, idle_ms: int = S.SESSION_IDLE_MS
         outputMode="Update",
         timeMode="ProcessingTime",
     )
+
+
+def run_until_read(writer, tick: str = "1 second", patience_s: float = 600.0) -> None:
+    """Runs a query with processing-time timers until its source is read, then stops it.
+
+    Such a query has always another batch to run, for its timers, and never ends by itself under `availableNow`. The
+    first batch without rows after one with rows says that the source is read.
+    """
+    query = writer.trigger(processingTime=tick).start()
+    deadline = time.monotonic() + patience_s
+    try:
+        while query.isActive and time.monotonic() < deadline:
+            if query.exception() is not None:
+                break
+            rows = [progress["numInputRows"] for progress in query.recentProgress]
+            if any(rows) and rows[-1] == 0:
+                return
+            query.awaitTermination(0.5)
+    finally:
+        query.stop()
+    raise TimeoutError("the stream was not read in time") if query.exception() is None else query.exception()
