@@ -8,7 +8,7 @@ from trailmark.functions import json as J
 from trailmark.functions import text as X
 from trailmark.functions import web as W
 from trailmark.operators.once import with_once
-from trailmark.operators.slices import attach_per_key
+from trailmark.operators.slices import attach_per_key, with_key_value
 
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
 
@@ -300,6 +300,13 @@ def authorize(requests: DataFrame, site_key: DataFrame, site: DataFrame, tenant:
     )
 
 
+def with_known_owner(events: DataFrame, held: DataFrame) -> DataFrame:
+    """Adds `_held`, the tenant that owns the session already. Sessions nobody holds are kept with null."""
+    ids = events.select("session_id").distinct()
+    owners = ids.join(held, "session_id", "left")
+    return attach_per_key(events, owners, ["session_id"])
+
+
 def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Adds `reason` = `store_rejected` to events the session store would refuse.
 
@@ -307,22 +314,18 @@ def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | No
     received first); text with a NUL character.
     """
     known = site.select("tenant_id", F.col("id").alias("site_id"), F.lit(True).alias("_known")).distinct()
-    first_seen = df.groupBy("session_id").agg(
-        F.min(F.struct("ingested_at", "tenant_id")).getField("tenant_id").alias("_first_owner")
-    )
-    if sessions is None:
-        owners = first_seen.withColumnRenamed("_first_owner", "_owner")
-    else:
+    arrival = F.min(F.struct("ingested_at", "tenant_id"))
+    joined = with_key_value(df.join(known, ["tenant_id", "site_id"], "left"), ["session_id"], "_first", arrival, F.min)
+    owner = F.col("_first.tenant_id")
+    if sessions is not None:
         held = sessions.select(F.col("id").alias("session_id"), F.col("tenant_id").alias("_held"))
-        owners = first_seen.join(held, "session_id", "left").select(
-            "session_id", F.coalesce("_held", "_first_owner").alias("_owner")
-        )
-    joined = attach_per_key(df.join(known, ["tenant_id", "site_id"], "left"), owners, ["session_id"])
+        joined = with_known_owner(joined, held)
+        owner = F.coalesce("_held", owner)
     nul = F.lit(False)
     for column in ("anonymous_id", "url"):
         nul = nul | F.coalesce(F.col(column).contains("\x00"), F.lit(False))
-    refused = F.col("_known").isNull() | (F.col("_owner") != F.col("tenant_id")) | nul
-    return joined.withColumn("reason", F.when(refused, F.lit("store_rejected"))).drop("_known", "_owner")
+    refused = F.col("_known").isNull() | (owner != F.col("tenant_id")) | nul
+    return joined.withColumn("reason", F.when(refused, F.lit("store_rejected"))).drop("_known", "_first", "_held")
 
 
 def ingest_report(validated: DataFrame) -> DataFrame:

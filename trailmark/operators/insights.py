@@ -9,7 +9,7 @@ from trailmark import schemas as S
 from trailmark.functions import text as X
 from trailmark.functions.times import DAY_MS, HOUR_MS
 from trailmark.functions.vectors import cosine_distance_to
-from trailmark.operators.slices import attach_per_key
+from trailmark.operators.slices import attach_per_key, with_key_value
 from trailmark.operators.tables import for_tenant
 
 SESSION_KEYS = ["tenant_id", "session_id"]
@@ -30,16 +30,16 @@ def nearest_insights(
 def timeline(events: DataFrame, markers: DataFrame | None = None, width_ms: int = HOUR_MS) -> DataFrame:
     """Pages, clicks and errors of each session with their offset from its start.
 
-    `markers` adds rows of the same columns, such as rage or dead clicks with their own `event_type`.
+    `markers` adds rows at times of existing events, such as rage or dead clicks with their own `event_type`.
     """
     kinds = ["NAVIGATION", "CLICK", *S.ERROR_TYPES, "RAGE_CLICK", "DEAD_CLICK", "ERROR_CLICK"]
     columns = [*SESSION_KEYS, "ts", "event_id", "event_type"]
-    starts = events.groupBy(*SESSION_KEYS).agg(F.min("ts").alias("_start"))
-    rows = events.filter(F.col("event_type").isin(kinds)).select(*columns)
+    rows = events.select(*columns)
     if markers is not None:
         rows = rows.unionByName(markers.select(*columns))
+    begun = with_key_value(rows, SESSION_KEYS, "_start", F.min("ts"), F.min, width_ms=width_ms)
     offset = F.unix_millis("ts") - F.unix_millis("_start")
-    return attach_per_key(rows, starts, SESSION_KEYS, width_ms=width_ms).select(
+    return begun.filter(F.col("event_type").isin(kinds)).select(
         *SESSION_KEYS, "event_id", "event_type", offset.alias("offset_ms")
     )
 
@@ -57,8 +57,7 @@ def session_summaries(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
         F.max("ts").alias("_last"),
         F.min(F.struct("ts", "event_id", detail.alias("text"))).getField("text").alias("_text"),
     )
-    starts = lines.groupBy(*SESSION_KEYS).agg(F.min("_first").alias("_start"))
-    joined = attach_per_key(lines, starts, SESSION_KEYS, ts="_first", width_ms=width_ms)
+    joined = with_key_value(lines, SESSION_KEYS, "_start", F.min("_first"), F.min, "_first", width_ms)
     start = F.unix_millis("_start")
     return joined.select(
         *SESSION_KEYS,

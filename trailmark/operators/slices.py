@@ -6,7 +6,7 @@ border through a summary of one row per (key, slice). The summary of a key has a
 no group grows with the number of events. `order[0]` is always the timestamp that defines the slices.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +74,27 @@ def attach_per_key(
     return rows.join(spread, [*keys, SLICE]).drop(SLICE)
 
 
+def with_key_value(
+    df: DataFrame,
+    keys: Sequence[str],
+    name: str,
+    partial: Column,
+    merge: Callable[[str], Column],
+    ts: str = "ts",
+    width_ms: int = HOUR_MS,
+) -> DataFrame:
+    """Adds an aggregate over all rows of each key, such as its first time.
+
+    `partial` is taken per slice and `merge` combines the slices of a key, as in `F.min("ts")` and `F.min`. The rows
+    are joined per slice, so a hot key is worked on by as many tasks as it has slices.
+    """
+    keys = list(keys)
+    rows = sliced(df, ts, width_ms)
+    summary = rows.groupBy(*keys, SLICE).agg(partial.alias("_partial"))
+    whole = summary.select(*keys, SLICE, merge("_partial").over(Window.partitionBy(*keys)).alias(name))
+    return rows.join(whole, [*keys, SLICE]).drop(SLICE)
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

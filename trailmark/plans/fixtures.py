@@ -20,8 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def epoch_ms(column: str) -> Column:
-    """Milliseconds of a timestamp without time zone, read as UTC."""
-    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+    """Milliseconds of a timestamp without time zone, read as UTC whatever the session's zone is."""
+    return F.expr(
+        f"unix_date(CAST({column} AS DATE)) * {DAY_MS}L + hour({column}) * 3600000L + minute({column}) * 60000L "
+        f"+ CAST(floor(extract(SECOND FROM {column}) * 1000) AS BIGINT)"
+    )
+
+
+def iso_utc(column: str) -> Column:
+    """`2024-01-20T00:00:00.000Z`."""
+    wall_clock = f"timestampadd(MICROSECOND, unix_micros({column}), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    text = F.rpad(F.expr(f"CAST({wall_clock} AS STRING)"), 19, "0")
+    millis = F.lpad(F.pmod(F.unix_millis(F.col(column)), F.lit(1000)).cast("string"), 3, "0")
+    return F.concat(F.substring(F.replace(text, F.lit(" "), F.lit("T")), 1, 19), F.lit("."), millis, F.lit("Z"))
 
 
 # User agents by k % 6, the major version is 100 + k; the last one is blank.

@@ -54,7 +54,6 @@ def telemetry_records(spark, folder, defects: bool = True):
         unless(8, F.unix_millis("ts")),
         unless(6, uuid(3, F.col("event_no"))),
     )
-    received = F.concat(F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     envelope = F.struct(
         F.when(kind == 1, F.lit(2)).otherwise(F.lit(1)).alias("schemaVersion"),
         unless(2, uuid(1, F.col("tenant_id").cast("bigint"))).alias("tenantId"),
@@ -62,7 +61,7 @@ def telemetry_records(spark, folder, defects: bool = True):
         unless(4, uuid(4, VISIT)).alias("sessionId"),
         F.col("anonymous_id").alias("anonymousId"),
         F.lit("0.1.0").alias("sdkVersion"),
-        unless(12, received).alias("receivedAt"),
+        unless(12, fx.iso_utc("ingested_at")).alias("receivedAt"),
         unless(5, event).alias("event"),
         F.col("user_agent").alias("userAgent"),
     )

@@ -57,7 +57,7 @@ def chunk_records(spark, folder):
         uuid(2, F.col("conv_id") % 8).alias("siteId"),
         unless(1, uuid(4, F.col("conv_id"))).alias("sessionId"),
         F.when(kind == 2, F.lit(-1)).otherwise(F.col("chunk_seq")).alias("chunkSeq"),
-        unless(3, F.concat(F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).alias("receivedAt"),
+        unless(3, fx.iso_utc("ingested_at")).alias("receivedAt"),
         F.when(kind == 4, F.lit("AAAA")).alias("payload"),
         unless(4, F.parse_json("events")).alias("events"),
     )
