@@ -80,7 +80,7 @@ def test_tracker_and_closer(spark, paths):
         run_session_stream(stream, sites, paths("updates"), paths("dead2"), paths("state2")).awaitTermination()
 
     def close(ms, idle=600_000):
-        stored = dedup_latest(spark.read.parquet(paths("events")).drop("batch_id", "event_date"))
+        stored = dedup_latest(spark.read.parquet(paths("events")).drop("batch_id"), ["event_date", *S.EVENT_KEYS])
         return run_closer(spark, paths("sessions"), paths("updates"), paths("lifecycle"), stored, moment(ms), idle)
 
     put(spark, paths("log"), [numbered(i) for i in range(3)] + [numbered(7, siteId=ID.format(8), sessionId=ID.format(9)), "{broken"])

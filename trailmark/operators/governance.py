@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark import schemas as S
 from trailmark.functions import text as X
 from trailmark.functions.times import HOUR_MS
+from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import with_previous
 
 def sampled(session_id: Column, rate: Column) -> Column:
@@ -19,7 +20,7 @@ def sampled(session_id: Column, rate: Column) -> Column:
 def sample_sessions(events: DataFrame, sites: DataFrame) -> DataFrame:
     """Events of the sessions that fall into the sampling rate of their site."""
     rates = sites.select(F.col("id").alias("site_id"), "sampling_rate")
-    return events.join(rates, "site_id").filter(sampled(F.col("session_id"), F.col("sampling_rate"))).drop("sampling_rate")
+    return events.join(broadcast_if_small(rates), "site_id").filter(sampled(F.col("session_id"), F.col("sampling_rate"))).drop("sampling_rate")
 
 
 def mask_columns(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
@@ -84,18 +85,19 @@ def erase(
     """Every table without the erased sessions and visitors, and a progress table `table, erased`.
 
     `tables` needs `sessions` (key `id`); `end_users` (key `id`) is optional; all others hold `tenant_id` and a session
-    id. A hot session on the large side is no problem: rows with it are only filtered.
+    id. While the erased ids are few the tables are filtered in place, without a shuffle.
     """
     columns = {"sessions": "id", **(session_column or {})}
-    doomed = erasure_sessions(tables["sessions"], requests)
+    doomed = broadcast_if_small(erasure_sessions(tables["sessions"], requests))
     users = requests.filter((F.col("status") != "COMPLETED") & (F.col("subject_type") == "END_USER")).select(
         "tenant_id", F.col("subject_id").alias("id")
     )
+    users = broadcast_if_small(users.distinct())
     kept, progress = {}, None
     for name, table in tables.items():
         column = columns.get(name, "session_id")
         if name == "end_users":
-            targets, keys = users.distinct(), ["tenant_id", "id"]
+            targets, keys = users, ["tenant_id", "id"]
         else:
             targets, keys = doomed.withColumnRenamed("id", column), ["tenant_id", column]
         kept[name] = table.join(targets, keys, "left_anti")

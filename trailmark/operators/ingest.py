@@ -8,6 +8,7 @@ from trailmark.functions import json as J
 from trailmark.functions import text as X
 from trailmark.functions import web as W
 from trailmark.operators.once import with_once
+from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import attach_per_key, with_key_value
 
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
@@ -270,25 +271,26 @@ def live(df: DataFrame) -> DataFrame:
     return df.filter("is_active AND deleted_at IS NULL")
 
 
+def keys_in_force(site_key: DataFrame, site: DataFrame, tenant: DataFrame) -> DataFrame:
+    """Live, unrevoked keys whose site (of the same tenant) and tenant are live, with the site's settings."""
+    keys = live(site_key).filter("revoked_at IS NULL").select("key_hash", "tenant_id", "site_id")
+    sites = live(site).select(F.col("id").alias("site_id"), "tenant_id", "allowed_origins", "sampling_rate")
+    tenants = live(tenant).select(F.col("id").alias("tenant_id"))
+    return keys.join(sites, ["site_id", "tenant_id"]).join(tenants, "tenant_id")
+
+
 def resolve_sites(requests: DataFrame, site_key: DataFrame, site: DataFrame, tenant: DataFrame) -> DataFrame:
     """Adds `tenant_id`, `site_id`, `allowed_origins` and `sampling_rate` to requests whose key is in force.
 
-    A key counts if it is live and not revoked, and its site (of the same tenant) and tenant are live. Others drop out;
-    `authorize` reports them. The dimensions carry no broadcast hint: Catalyst broadcasts them while they are small.
+    The others drop out; `authorize` reports them.
     """
-    keys = live(site_key).filter("revoked_at IS NULL").select("key_hash", "tenant_id", "site_id")
-    sites = live(site).select(F.col("id").alias("site_id"), "tenant_id", "allowed_origins", "sampling_rate")
-    tenants = live(tenant).select(F.col("id").alias("tenant_id"))
-    resolved = keys.join(sites, ["site_id", "tenant_id"]).join(tenants, "tenant_id")
+    resolved = broadcast_if_small(keys_in_force(site_key, site, tenant))
     return requests.withColumn("key_hash", W.key_hash(F.col("site_key"))).join(resolved, "key_hash")
 
 
 def authorize(requests: DataFrame, site_key: DataFrame, site: DataFrame, tenant: DataFrame) -> DataFrame:
     """Every request with `rejection`: `missing_key`, `unknown_key`, `origin_not_allowed` or null."""
-    keys = live(site_key).filter("revoked_at IS NULL").select("key_hash", "tenant_id", "site_id")
-    sites = live(site).select(F.col("id").alias("site_id"), "tenant_id", "allowed_origins", "sampling_rate")
-    tenants = live(tenant).select(F.col("id").alias("tenant_id"))
-    resolved = keys.join(sites, ["site_id", "tenant_id"]).join(tenants, "tenant_id")
+    resolved = broadcast_if_small(keys_in_force(site_key, site, tenant))
     key = F.col("site_key")
     rejection = (
         F.when(key.isNull() | (F.trim(key) == ""), F.lit("missing_key"))
@@ -314,6 +316,7 @@ def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | No
     received first); text with a NUL character.
     """
     known = site.select("tenant_id", F.col("id").alias("site_id"), F.lit(True).alias("_known")).distinct()
+    known = broadcast_if_small(known)
     arrival = F.min(F.struct("ingested_at", "tenant_id"))
     joined = with_key_value(df.join(known, ["tenant_id", "site_id"], "left"), ["session_id"], "_first", arrival, F.min)
     owner = F.col("_first.tenant_id")

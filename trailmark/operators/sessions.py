@@ -9,6 +9,7 @@ from trailmark import schemas as S
 from trailmark.functions import web as W
 from trailmark.functions.json import prop
 from trailmark.functions.times import HOUR_MS
+from trailmark.operators.sizes import BROADCAST_ROWS
 from trailmark.operators.slices import SLICE, sliced
 from trailmark.operators.tables import changes, lookup, ordered_rows
 
@@ -111,8 +112,11 @@ def attach_end_users(sessions: DataFrame, end_users: DataFrame) -> DataFrame:
     known = end_users.select(
         "site_id", "anonymous_id", end_user_id(F.col("site_id"), F.col("anonymous_id")).alias("_user")
     ).filter(F.trim("anonymous_id") != "")
-    joined = sessions.join(known, ["site_id", "anonymous_id"], "left")
-    return joined.withColumn("end_user_id", F.coalesce("end_user_id", "_user")).select(*sessions.columns)
+    named = F.trim("anonymous_id") != ""
+    joined = sessions.filter(named).join(known, ["site_id", "anonymous_id"], "left")
+    attached = joined.withColumn("end_user_id", F.coalesce("end_user_id", "_user")).select(*sessions.columns)
+    # sessions without an anonymous id share one key and find nobody, so they do not take part in the join
+    return attached.unionByName(sessions.filter(~F.coalesce(named, F.lit(False))))
 
 
 def fold_updates(updates: DataFrame) -> DataFrame:
@@ -346,6 +350,8 @@ def decide_closings(
 ) -> DataFrame:
     """Claims joined with counters of their own events only; events of other sessions are dropped before any work."""
     claims = claim_sessions(sessions, now, idle_ms, limit)
+    if limit is not None and limit <= BROADCAST_ROWS:
+        claims = F.broadcast(claims)
     ids = claims.select("tenant_id", F.col("id").alias("session_id"))
     stats = session_stats(events.join(ids, SESSION_KEYS, "left_semi"), width_ms)
     return join_stats(claims, stats, now, idle_ms)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trailmark import schemas as S
 from trailmark.functions.times import HOUR_MS
+from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import with_neighbours, with_previous
 
 SESSION_KEYS = ["tenant_id", "session_id"]
@@ -124,7 +125,7 @@ def friction_scores(signals: DataFrame, sites: DataFrame | None = None, weights:
     weights = weights or FRICTION_WEIGHTS
     if sites is not None:
         thresholds = sites.select(F.col("id").alias("site_id"), "signal_thresholds")
-        signals = signals.join(thresholds, "site_id", "left")
+        signals = signals.join(broadcast_if_small(thresholds), "site_id", "left")
     total = F.lit(0)
     for name, weight in weights.items():
         count = F.col(f"{name}_count")

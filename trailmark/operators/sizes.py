@@ -1,0 +1,14 @@
+"""Broadcasts behind a check of the size."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000  # narrow rows of ids and settings: some tens of megabytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if it has at most `max_rows` rows, else as it is.
+
+    Counting stops behind the limit. A larger table joins by shuffle, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmark import schemas as S
 from trailmark.functions.times import DAY_MS, HOUR_MS, day_of
 from trailmark.operators.ingest import live
+from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import with_previous, with_running_total
 
 __all__ = ["live"]
@@ -77,7 +78,7 @@ def expire(df: DataFrame, ts: str, days: int, now: Column, day: str | None = Non
 def expire_by_tenant(df: DataFrame, tenant: DataFrame, ts: str, days: str, now: Column) -> DataFrame:
     """The same with the number of days taken from each row's tenant; rows of unknown tenants go."""
     horizon = tenant.select(F.col("id").alias("tenant_id"), (F.unix_millis(now) - F.col(days) * DAY_MS).alias("_oldest_ms"))
-    return df.join(horizon, "tenant_id").filter(F.unix_millis(F.col(ts)) >= F.col("_oldest_ms")).drop("_oldest_ms")
+    return df.join(broadcast_if_small(horizon), "tenant_id").filter(F.unix_millis(F.col(ts)) >= F.col("_oldest_ms")).drop("_oldest_ms")
 
 
 def offset_runs(records: DataFrame, by: Sequence[str] = (), width: int = 1_000_000) -> DataFrame:

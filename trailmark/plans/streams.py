@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from trailmark.functions.times import DAY_MS
+from trailmark import schemas as S
 from trailmark.operators.sessions import fold_updates
+from trailmark.operators.tables import dedup_latest
 from trailmark.plans import fixtures as fx
 from trailmark.plans import replay as replay_plans
 from trailmark.plans.catalog import query
@@ -135,7 +137,8 @@ def closer_job(spark, folder):
     events, dead, state = (work_folder(spark, name) for name in ("events", "dead", "state"))
     run_events_stream(read_telemetry(spark, log, streaming=True), events, dead, state).awaitTermination()
     sessions, lifecycle = work_folder(spark, "sessions"), work_folder(spark, "lifecycle")
-    run_closer(spark, sessions, updates, lifecycle, spark.read.parquet(events), fx.now(), fx.GAP_MS)
+    stored = dedup_latest(spark.read.parquet(events).drop("batch_id"), ["event_date", *S.EVENT_KEYS])
+    run_closer(spark, sessions, updates, lifecycle, stored, fx.now(), fx.GAP_MS)
     return spark.read.parquet(lifecycle).select(
         number_of(F.col("sessionId")).alias("id"),
         "type",

@@ -92,6 +92,11 @@ def run_closer(
     base = table.read(number) if number >= 0 else spark.createDataFrame([], S.USER_SESSION)
     sessions = current_sessions(base, updates).persist()
     try:
+        claims = sessions_ops.claim_sessions(sessions, now, idle_ms, None)
+        oldest = claims.agg(F.min("started_at")).first()[0]
+        if oldest is not None and "event_date" in events.columns:
+            # no claimed session has older events, so older day partitions are not read
+            events = events.filter(F.col("event_date") >= F.date_sub(F.lit(oldest).cast("date"), 1))
         decisions = sessions_ops.decide_closings(sessions, events, now, idle_ms).persist()
         try:
             write_lifecycle(sessions_ops.lifecycle_records(decisions, now), lifecycle_path, number + 1)
