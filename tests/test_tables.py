@@ -99,7 +99,7 @@ def test_gaps(spark):
     assert got == {("a", 2, 3), ("b", 0, 1)}
 
 
-def reference_cut(rows, max_bytes, flush_ms):
+def sequential_cut(rows, max_bytes, flush_ms):
     """Plain sequential cutting of one session."""
     sealed, size, tick, out = True, 0, None, []
     for ts, seq, kind, text in sorted(rows):
@@ -127,7 +127,7 @@ def test_rechunk_equals_sequential_cutting(spark, width):
     for name, items in sessions.items():
         mine = got[got["session_id"] == name].sort_values("chunk_seq")
         assert list(mine["chunk_seq"]) == list(range(len(mine)))
-        assert list(zip(mine["first_seq"], mine["last_seq"], mine["event_count"])) == reference_cut(items, 200, 5_000)
+        assert list(zip(mine["first_seq"], mine["last_seq"], mine["event_count"])) == sequential_cut(items, 200, 5_000)
 
 
 def test_leaks_are_counted_even_when_absent(spark):

@@ -109,9 +109,8 @@ def erase(
 
 def complete_requests(requests: DataFrame, progress: DataFrame) -> DataFrame:
     """Requests after the erasure job: completed, with the tables that were worked through."""
-    done = progress.agg(F.map_from_entries(F.collect_list(F.struct("table", F.lit("DONE")))).alias("_progress"))
-    line = done.first()["_progress"]
-    states = F.create_map(*[F.lit(part) for pair in sorted(line.items()) for part in pair])
+    names = sorted(row["table"] for row in progress.select("table").collect())  # one line per table
+    states = F.create_map(*[F.lit(part) for name in names for part in (name, "DONE")])
     is_open = F.col("status") != "COMPLETED"
     return requests.withColumns(
         {
@@ -121,6 +120,14 @@ def complete_requests(requests: DataFrame, progress: DataFrame) -> DataFrame:
     )
 
 
+def run_erasure(
+    requests: DataFrame, tables: Mapping[str, DataFrame], session_column: Mapping[str, str] | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables after all open requests, and the requests marked as completed with their progress."""
+    kept, progress = erase(tables, requests, session_column)
+    return kept, complete_requests(requests, progress)
+
+
 def illegal_transitions(review_events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     """Status changes that are not allowed, or that do not start where the change before ended.
 

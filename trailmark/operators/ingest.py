@@ -255,7 +255,9 @@ def replay_envelopes(bodies: DataFrame, body: str = "body") -> DataFrame:
         & (batch["chunkSeq"] >= 0)
         & batch["events"].rlike(r"^\s*\[")
     )
+    carried = [name for name in bodies.columns if name not in {"tenant_id", "site_id", "received_at", body}]
     return parsed.select(
+        *carried,
         "tenant_id",
         "site_id",
         batch["sessionId"].alias("session_id"),

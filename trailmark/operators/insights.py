@@ -1,4 +1,4 @@
-"""Product analytics on stored events, and reads on session insights."""
+"""Product analytics on stored events, and reads on analysed sessions."""
 
 from collections.abc import Mapping, Sequence
 

@@ -23,7 +23,10 @@ def number_of(uuid_column: Column) -> Column:
 
 
 DAY_ONE = 19_723  # 2024-01-01
-VISIT = F.expr(f"user_id * 100 + floor(unix_millis(ts) / {DAY_MS}) - {DAY_ONE}")
+
+
+def visit() -> Column:
+    return F.expr(f"user_id * 100 + floor(unix_millis(ts) / {DAY_MS}) - {DAY_ONE}")
 
 
 def wire_event(event_type: Column, ts: Column, event_id: Column) -> Column:
@@ -58,7 +61,7 @@ def telemetry_records(spark, folder, defects: bool = True):
         F.when(kind == 1, F.lit(2)).otherwise(F.lit(1)).alias("schemaVersion"),
         unless(2, uuid(1, F.col("tenant_id").cast("bigint"))).alias("tenantId"),
         unless(3, uuid(2, F.col("site_id").cast("bigint"))).alias("siteId"),
-        unless(4, uuid(4, VISIT)).alias("sessionId"),
+        unless(4, uuid(4, visit())).alias("sessionId"),
         F.col("anonymous_id").alias("anonymousId"),
         F.lit("0.1.0").alias("sdkVersion"),
         unless(12, fx.iso_utc("ingested_at")).alias("receivedAt"),
@@ -78,7 +81,7 @@ def telemetry_records(spark, folder, defects: bool = True):
         (F.col("user_id") % 6).cast("int").alias("partition"),
         F.col("event_no").alias("offset"),
         F.col("ingested_at").alias("timestamp"),
-        uuid(4, VISIT).alias("key"),
+        uuid(4, visit()).alias("key"),
         value.alias("value"),
     )
 

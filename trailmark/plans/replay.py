@@ -9,34 +9,33 @@ from trailmark.plans import fixtures as fx
 from trailmark.plans.catalog import query
 from trailmark.plans.sessions import ms
 
-CONV, TURN = F.col("conv_id"), F.col("turn")
 
 
 def recorded(fewer: Column | None = None):
     """Recorded events of a turn as JSON text: Meta and snapshot first in turn 0, then 1 to 3 increments."""
-    base = CONV * 60_000 + TURN * 1000 + fx.NOW_MS
+    base = F.col("conv_id") * 60_000 + F.col("turn") * 1000 + fx.NOW_MS
 
     def event(kind: int, offset: Column | int, data: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), (base + offset).alias("timestamp"), data.alias("data"))
 
-    snapshot_type = F.when(CONV % 4 == 3, F.lit(3)).otherwise(F.lit(2))
+    snapshot_type = F.when(F.col("conv_id") % 4 == 3, F.lit(3)).otherwise(F.lit(2))
     head = F.array(
         event(4, 0, F.lit("")),
         F.struct(snapshot_type.alias("type"), (base + 1).alias("timestamp"), F.col("text").alias("data")),
     )
-    count = 1 + TURN % 3 - (fewer if fewer is not None else F.lit(0))
+    count = 1 + F.col("turn") % 3 - (fewer if fewer is not None else F.lit(0))
     steps = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: event(3, i * 100, F.col("text")))
     steps = F.when(count > 0, steps).otherwise(F.slice(head, 1, 0))
-    return F.to_json(F.when(TURN == 0, F.concat(head, steps)).otherwise(steps))
+    return F.to_json(F.when(F.col("turn") == 0, F.concat(head, steps)).otherwise(steps))
 
 
 def chunks(spark, folder, fewer: Column | None = None):
     return fx.table(spark, folder, "conversations").select(
-        (CONV % 4).cast("string").alias("tenant_id"),
-        (CONV % 8).cast("string").alias("site_id"),
-        CONV.cast("string").alias("session_id"),
-        TURN.cast("int").alias("chunk_seq"),
-        F.timestamp_millis(CONV * 60_000 + TURN * 1000 + fx.NOW_MS + 5000).alias("ingested_at"),
+        (F.col("conv_id") % 4).cast("string").alias("tenant_id"),
+        (F.col("conv_id") % 8).cast("string").alias("site_id"),
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.col("turn").cast("int").alias("chunk_seq"),
+        F.timestamp_millis(F.col("conv_id") * 60_000 + F.col("turn") * 1000 + fx.NOW_MS + 5000).alias("ingested_at"),
         recorded(fewer).alias("events"),
         "conv_id",
         "turn",
@@ -95,7 +94,7 @@ INTEGRITY_SQL = (
 
 def integrity_sides(spark, folder):
     manifest = ops.chunk_manifest(chunks(spark, folder).filter("(conv_id + turn) % 11 <> 0"))
-    fewer = F.when((CONV + TURN) % 5 == 0, F.lit(1)).otherwise(F.lit(0))
+    fewer = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit(1)).otherwise(F.lit(0))
     stored = chunks(spark, folder, fewer).filter("(conv_id + turn) % 7 <> 0")
     keys = ops.W.object_key(F.col("tenant_id"), F.col("session_id"), F.col("chunk_seq"))
     return manifest, stored.select(keys.alias("object_key"), F.col("events").alias("payload"))
@@ -153,11 +152,11 @@ SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY c
 def rechunk_replay(spark, folder):
     """Turns as recorded events of 700 ms each, every third a Meta event, cut at 600 characters."""
     rows = fx.table(spark, folder, "conversations").select(
-        (CONV % 4).cast("string").alias("tenant_id"),
-        CONV.cast("string").alias("session_id"),
-        F.timestamp_millis(CONV * 1000 + TURN * 700).alias("ts"),
-        TURN.alias("seq"),
-        F.when(TURN % 3 == 0, F.lit(4)).otherwise(F.lit(3)).alias("type"),
+        (F.col("conv_id") % 4).cast("string").alias("tenant_id"),
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.timestamp_millis(F.col("conv_id") * 1000 + F.col("turn") * 700).alias("ts"),
+        F.col("turn").alias("seq"),
+        F.when(F.col("turn") % 3 == 0, F.lit(4)).otherwise(F.lit(3)).alias("type"),
         F.col("text").alias("event"),
     )
     cut = ops.rechunk_replay(rows, MAX_BYTES, FLUSH_MS)

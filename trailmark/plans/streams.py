@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.times import DAY_MS
 from trailmark import schemas as S
+from trailmark.operators import ingest
 from trailmark.operators.sessions import fold_updates
 from trailmark.operators.tables import dedup_latest
 from trailmark.plans import fixtures as fx
@@ -73,6 +74,33 @@ def chunk_records(spark, folder):
     )
 
 
+CHUNK_REASON_SQL = """CASE (conv_id + turn) % 9 WHEN 1 THEN 'missing_session' WHEN 2 THEN 'invalid_chunk' WHEN 3 THEN 'missing_ts'
+    WHEN 4 THEN 'unsupported_payload' ELSE 'ok' END"""
+
+
+@query(f"SELECT conv_id * 100 + turn AS \"offset\", {CHUNK_REASON_SQL} AS reason FROM conversations")
+def classify_replay(spark, folder):
+    classified = ingest.classify_replay(ingest.decode_envelope(chunk_records(spark, folder), "replay"))
+    return classified.select("offset", F.coalesce("reason", F.lit("ok")).alias("reason"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 IN (1, 2, 3) THEN 'invalid' ELSE '' END AS rejection FROM conversations"""
+)
+def replay_envelopes(spark, folder):
+    """Chunks as request bodies: without session, with a negative number, in an old form without events."""
+    kind = (F.col("conv_id") + F.col("turn")) % 7
+    body = F.struct(
+        F.when(kind != 1, uuid(4, F.col("conv_id"))).alias("sessionId"),
+        F.when(kind == 2, F.lit(-1)).otherwise(F.col("chunk_seq")).alias("chunkSeq"),
+        F.when(kind == 3, F.lit("AAAA")).alias("payload"),
+        F.when(kind != 3, F.parse_json("events")).alias("events"),
+    )
+    bodies = replay_plans.chunks(spark, folder).withColumns({"body": F.to_json(body), "received_at": F.col("ingested_at")})
+    judged = ingest.replay_envelopes(bodies.select("conv_id", "turn", "tenant_id", "site_id", "received_at", "body"))
+    return judged.select("conv_id", "turn", F.coalesce("rejection", F.lit("")).alias("rejection"))
+
+
 @query(
     """SELECT CASE (conv_id + turn) % 9 WHEN 1 THEN 'missing_session' WHEN 2 THEN 'invalid_chunk' WHEN 3 THEN 'missing_ts'
     WHEN 4 THEN 'unsupported_payload' ELSE 'ok' END AS reason, count(*) AS n,
