@@ -1,9 +1,11 @@
 """Streaming session tracker, the closing job, and the fully stateful session lifecycle."""
 
+import sys
 import time
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +121,10 @@ LIFECYCLE_DDL = (
 _STATE_DDL = "first_ms bigint, last_ms bigint, last_received_ms bigint, pages bigint, errors bigint, page string, closed boolean"
 
 
+# The processor travels with the query, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class SessionLifecycle(StatefulProcessor):
     """State of one session: times, page changes, errors, and a timer that closes it after the idle timeout.
 
@@ -208,11 +214,12 @@ def session_lifecycle_stream(events: DataFrame, idle_ms: int = S.SESSION_IDLE_MS
     )
 
 
-def run_until_read(writer, tick: str = "1 second", patience_s: float = 600.0) -> None:
+def run_until_read(writer, tick: str = "4 seconds", patience_s: float = 600.0) -> None:
     """Runs a query with processing-time timers until its source is read, then stops it.
 
     Such a query has always another batch to run, for its timers, and never ends by itself under `availableNow`. The
-    first batch without rows after one with rows says that the source is read.
+    first batch without rows after one with rows says that the source is read; the query is then stopped between two
+    batches, so no task is interrupted.
     """
     query = writer.trigger(processingTime=tick).start()
     deadline = time.monotonic() + patience_s
@@ -221,9 +228,9 @@ def run_until_read(writer, tick: str = "1 second", patience_s: float = 600.0) ->
             if query.exception() is not None:
                 break
             rows = [progress["numInputRows"] for progress in query.recentProgress]
-            if any(rows) and rows[-1] == 0:
+            if any(rows) and rows[-1] == 0 and not query.status["isTriggerActive"]:
                 return
-            query.awaitTermination(0.5)
+            query.awaitTermination(0.2)
     finally:
         query.stop()
     raise TimeoutError("the stream was not read in time") if query.exception() is None else query.exception()
