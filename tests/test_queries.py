@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from trailmark.plans import load
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-RUNS, SQL = entry.queries(), entry.oracle_sql()
+RUNS, SQL = load()
 
 
 @pytest.fixture(scope="module")
