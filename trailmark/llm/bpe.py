@@ -24,11 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import once_per_worker, strings
-from trailmark.llm.vocab import Recent, split_words
+from trailmark.llm.vocab import Recent, is_latin, simpler_words, split_words
 
 PAIRS = 2_000_000  # answers about pairs kept at a time
-MARKS = ".,;:!?|"
-LATIN_END = "\u0250"  # letters below are composed and have a lower case of their own
 ENCODED = "struct<ids array<int>, decoded string>"
 DIGESTS = "struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string>"
 
@@ -191,13 +189,11 @@ class Codec:
         """
         import numpy as np
 
-        if len(word) > 1 and word[-1] in MARKS and word[-2].lower().isalnum():
-            return self.recent[word[:-1]] + self.recent[word[-1]]
-        if self.lower and word.isalpha() and max(word) < LATIN_END and "İ" not in word:
-            lower = word.lower()
-            if lower != word and lower.isascii():
-                return self.recent[lower]
-            data = lower.encode()
+        simpler = simpler_words(word) if self.lower else None
+        if simpler:
+            return b"".join(self.recent[part] for part in simpler)
+        if self.lower and is_latin(word):
+            data = word.lower().encode()
             return np.array(self.words.encode(data[:-1].decode("latin-1") + chr(256 + data[-1])), "<u4").tobytes()
         out = []
         for part in self.pattern.split(word) if self.pattern and "<|" in word else [word]:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from trailmark.llm.bpe import digests
 from trailmark.llm.common import table
 from trailmark.llm.compression import judge_documents
+from trailmark.llm.packing import pack
 from trailmark.llm.tokencount import count_tokens
+from trailmark.llm.tokenfile import ids_crc32, read_tokens, write_tokens
+from trailmark.session import work_folder
 
 TOKEN_LIMIT = 4096
 
@@ -28,5 +31,15 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-RUNS = {run.__name__: run for run in (op4_bpe, op5_compression, op7_token_counts)}
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_folder(spark, "tokens")
+    write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
+
+
+RUNS = {run.__name__: run for run in (op4_bpe, op5_compression, op7_token_counts, op8_packing, op10_token_file)}
 SQL: dict[str, str] = {}

@@ -9,6 +9,8 @@ import re
 from collections.abc import Callable
 
 RECENT = 500_000
+MARKS = ".,;:!?|"
+LATIN_END = "\u0250"  # letters below are composed and have a lower case of their own
 LONGEST = 48
 
 # Characters that str.split() takes for white space and the tokenizers do not.
@@ -16,6 +18,9 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 UNICODE_SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 _WORD = re.compile(f"[^{UNICODE_SPACE}]+")
 
+# The published pattern of the byte-level vocabulary.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 # White space beside a space, or white space other than space and line feed, needs the pattern itself.
 _ODD = ("  ", "\n ", " \n")
 _RARE_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
@@ -54,3 +59,101 @@ def split_spaces(text: str) -> list[str] | None:
     if any(pair in text for pair in _ODD) or text.startswith(" ") or text.endswith(" ") or _RARE_SPACE.search(text):
         return None
     return text.split(" ")
+
+
+def simpler_words(word: str) -> tuple[str, ...] | None:
+    """Words to encode instead of this one, for vocabularies of lower-case words cut into letters, digits and marks.
+
+    A mark behind a letter or digit is a piece of its own, and of a Latin word only the lower case counts. None if the
+    word is as simple as it gets.
+    """
+    if len(word) > 1 and word[-1] in MARKS and word[-2].lower().isalnum():
+        return word[:-1], word[-1]
+    if word.isascii() and word.isalpha() and not word.islower():
+        return (word.lower(),)
+    return None
+
+
+def is_latin(word: str) -> bool:
+    return word.isalpha() and max(word) < LATIN_END and "İ" not in word
+
+
+class LowerWords:
+    """Ids of texts in such a vocabulary, by the tokenizers library, as little-endian 32-bit integers."""
+
+    def __init__(self, path: str):
+        import numpy as np
+        from tokenizers import Tokenizer
+
+        from trailmark.llm.bpe import byte_alphabet
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        model = library.model
+        letters = {byte: letter for letter, byte in byte_alphabet().items()}
+
+        def make(word: str) -> bytes:
+            simpler = simpler_words(word)
+            if simpler:
+                return b"".join(self.recent[part] for part in simpler)
+            if is_latin(word):  # normalizing and cutting would change its case only
+                piece = "".join(map(letters.__getitem__, word.lower().encode()))
+                return np.array([token.id for token in model.tokenize(piece)], "<u4").tobytes()
+            return np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+        self.recent = Recent(make)
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.recent.__getitem__, split_words(text)))
+
+
+class SpacedWords:
+    """Ids of texts in the byte-level vocabulary whose pieces begin with their space, as such integers.
+
+    The ranks are those of the tokenizer file, used by the faster of the two libraries that read this vocabulary.
+    Special tokens written in a text are found first, as its own library does.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import numpy as np
+        import tiktoken
+
+        from trailmark.llm.bpe import byte_alphabet
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        alphabet = byte_alphabet()
+        specials = {token["content"]: token["id"] for token in spec["added_tokens"]}
+        ranks = {bytes(map(alphabet.__getitem__, name)): number for name, number in spec["model"]["vocab"].items() if name not in specials}
+        coder = tiktoken.Encoding("words", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.specials = {name: np.array([number], "<u4").tobytes() for name, number in specials.items()}
+        self.pattern = re.compile("(" + "|".join(map(re.escape, specials)) + ")")
+        self.whole = lambda text: np.array(coder.encode_ordinary(text), "<u4").tobytes()
+        self.bare = Recent(lambda word: self.make("", word))
+        self.after_space = Recent(lambda word: self.make(" ", word))
+        self.line = self.whole("\n")
+
+    def make(self, space: str, word: str) -> bytes:
+        own = self.after_space if space else self.bare
+        if "\n" in word:
+            first, *rest = word.split("\n")
+            if first and all(rest):
+                return own[first] + b"".join(self.line + self.bare[part] for part in rest)
+        elif len(word) > 1 and word[-1] in MARKS and word[-2].isalnum():
+            return own[word[:-1]] + self.bare[word[-1]]
+        return self.whole(space + word)
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text:
+            parts = self.pattern.split(text)
+            return b"".join(self.specials[part] if part in self.specials else self.plain(part) for part in parts)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        words = split_spaces(text)
+        if words is None or not text:
+            return self.whole(text)
+        return self.bare[words[0]] + b"".join(map(self.after_space.__getitem__, words[1:]))
