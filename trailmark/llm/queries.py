@@ -8,6 +8,7 @@ from trailmark.llm.bpe import digests
 from trailmark.llm.common import table
 from trailmark.llm.compression import judge_documents
 from trailmark.llm.packing import pack
+from trailmark.llm.simhash import near_duplicates
 from trailmark.llm.tokencount import count_tokens
 from trailmark.llm.tokenfile import ids_crc32, read_tokens, write_tokens
 from trailmark.session import work_folder
@@ -15,6 +16,10 @@ from trailmark.session import work_folder
 TOKEN_LIMIT = 4096
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     coded = digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -41,5 +46,5 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
 
 
-RUNS = {run.__name__: run for run in (op4_bpe, op5_compression, op7_token_counts, op8_packing, op10_token_file)}
+RUNS = {run.__name__: run for run in (op3_simhash, op4_bpe, op5_compression, op7_token_counts, op8_packing, op10_token_file)}
 SQL: dict[str, str] = {}
