@@ -11,9 +11,24 @@ from trailmark.llm.packing import pack
 from trailmark.llm.simhash import near_duplicates
 from trailmark.llm.tokencount import count_tokens
 from trailmark.llm.tokenfile import ids_crc32, read_tokens, write_tokens
+from trailmark.llm.urls import filter_urls
 from trailmark.session import work_folder
 
 TOKEN_LIMIT = 4096
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    # The test tables label documents; a page is taken to carry the label of the document with its number.
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return filter_urls(table(spark, folder, "pages"), labels, URL_RULES)
 
 
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,5 +61,5 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
 
 
-RUNS = {run.__name__: run for run in (op3_simhash, op4_bpe, op5_compression, op7_token_counts, op8_packing, op10_token_file)}
+RUNS = {run.__name__: run for run in (op1_url_filter, op3_simhash, op4_bpe, op5_compression, op7_token_counts, op8_packing, op10_token_file)}
 SQL: dict[str, str] = {}
