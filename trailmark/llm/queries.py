@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.llm import descent
 from trailmark.llm.bpe import digests
 from trailmark.llm.common import table
 from trailmark.llm.compression import judge_documents
@@ -46,6 +47,10 @@ def op5_compression(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "compression.*")
 
 
+def op6_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    return descent.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -61,5 +66,5 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
 
 
-RUNS = {run.__name__: run for run in (op1_url_filter, op3_simhash, op4_bpe, op5_compression, op7_token_counts, op8_packing, op10_token_file)}
+RUNS = {run.__name__: run for run in (op1_url_filter, op3_simhash, op4_bpe, op5_compression, op6_nn_descent, op7_token_counts, op8_packing, op10_token_file)}
 SQL: dict[str, str] = {}
