@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import descent
+from trailmark.llm import descent, evidence
 from trailmark.llm.bpe import digests
 from trailmark.llm.common import table
 from trailmark.llm.compression import judge_documents
@@ -60,11 +60,17 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_site_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    judged = evidence.judge_documents(docs, table(spark, folder, "labels"))
+    return judged.select("doc_id", "source", "lang", "judged.*")
+
+
 def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     path = work_folder(spark, "tokens")
     write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
 
 
-RUNS = {run.__name__: run for run in (op1_url_filter, op3_simhash, op4_bpe, op5_compression, op6_nn_descent, op7_token_counts, op8_packing, op10_token_file)}
+RUNS = {run.__name__: run for run in (op1_url_filter, op3_simhash, op4_bpe, op5_compression, op6_nn_descent, op7_token_counts, op8_packing, op9_site_evidence, op10_token_file)}
 SQL: dict[str, str] = {}
