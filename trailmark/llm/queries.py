@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import descent, evidence
+from trailmark.llm import ctw, descent, evidence
 from trailmark.llm.bpe import digests
 from trailmark.llm.common import table
 from trailmark.llm.compression import judge_documents
@@ -32,6 +32,10 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), labels, URL_RULES)
 
 
+def op2_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(table(spark, folder, "documents"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -72,5 +76,5 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
 
 
-RUNS = {run.__name__: run for run in (op1_url_filter, op3_simhash, op4_bpe, op5_compression, op6_nn_descent, op7_token_counts, op8_packing, op9_site_evidence, op10_token_file)}
+RUNS = {run.__name__: run for run in (op1_url_filter, op2_context_tree, op3_simhash, op4_bpe, op5_compression, op6_nn_descent, op7_token_counts, op8_packing, op9_site_evidence, op10_token_file)}
 SQL: dict[str, str] = {}
