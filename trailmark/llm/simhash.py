@@ -184,3 +184,144 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     named = classes(written(prints, "prints"), radius=radius)
     digits = F.lower(F.lpad(F.hex("node"), 16, "0"))
     return named.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+# Near-copies by a measure of similarity
+#
+# Two texts are near-copies if the Jaccard similarity of their sets of shingles is at least `SIMILAR`. Such texts differ
+# in more bits than bands can bridge, so shards are named by the smallest shingle hash under each of `KEYS` permutations:
+# at similarity s, two texts miss each other with probability (1 - s) ** KEYS, which is 0.0003 at 0.8. Within a shard
+# the BK-tree is asked with radius `NEAR`, and what it finds is compared shingle by shingle unless it is known to belong
+# together already. So a large group costs about one comparison for each of its texts.
+
+COPY_WIDTH = 5
+SIMILAR = 0.8
+KEYS = 5
+NEAR = 20  # bits; near-copies at 0.8 differ in 17 at most where this was measured
+COPY_MOST = 1024
+HANDED = 1_000_000  # row numbers that may be handed to all tasks; more are joined by shuffle
+SIGNATURE = "struct<digest string, node bigint, keys array<bigint>>"
+
+
+def signature(text: Column, width: int) -> Column:
+    """Of each text: a digest of its words, its fingerprint, and its smallest shingle hashes."""
+
+    @F.arrow_udf(SIGNATURE)
+    def of_texts(texts: pa.Array) -> pa.Array:
+        import numpy as np
+        import xxhash
+
+        mix = np.random.default_rng(SEED).integers(1, 2**63, (KEYS, 2), dtype=np.uint64) | np.uint64(1)
+        digests, prints, keys, offsets = [], [], [], [0]
+        for data in utf8(texts):
+            data = data or b""
+            hashes = shingle_hashes(data, width)
+            digests.append(xxhash.xxh128_hexdigest(b" ".join(data.lower().split())))
+            prints.append(fingerprint_of(hashes))
+            for number, (times, more) in enumerate(mix if len(hashes) else []):
+                mixed = hashes * times
+                least = int(((mixed ^ (mixed >> np.uint64(29))) * more).min())
+                keys.append((least >> 4 << 3 | number) - (1 << 62))
+            offsets.append(len(keys))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(digests, pa.string()), pa.array(prints, pa.int64()), lists], ["digest", "node", "keys"])
+
+    return of_texts(text)
+
+
+def shingle_set(text: Column, width: int) -> Column:
+    """The distinct shingles of each text as ascending 32-bit hashes."""
+
+    @F.arrow_udf("binary")
+    def of_texts(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        return pa.array([np.unique(shingle_hashes(data or b"", width).astype("<u4")).tobytes() for data in utf8(texts)], pa.binary())
+
+    return of_texts(text)
+
+
+def similarity(a, b) -> float:
+    """Jaccard similarity of two ascending arrays without repeats."""
+    import numpy as np
+
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def copy_forest(batches, similar: float):
+    """Edges of a spanning forest of the near-copies in every group of (key, low, high)."""
+    import numpy as np
+
+    for group in groups(batches, ["key", "low", "high"]):
+        rows, blocks = group.column("row").to_pylist(), group.column("block").to_pylist()
+        words = [node & 0xFFFFFFFFFFFFFFFF for node in group.column("node").to_pylist()]
+        shingles = [np.frombuffer(data, "<u4") for data in group.column("shingles").to_pylist()]
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        tree, places, sets, pairs = Tree(), [], Sets(len(rows)), []
+
+        def ask(place: int) -> None:
+            own = shingles[place]
+            for found, _ in sorted(tree.search(words[place], NEAR), key=lambda hit: hit[1]):
+                other = places[found]
+                sizes = sorted((len(own), len(shingles[other])))
+                if sizes[0] < similar * sizes[1] or sets.root(other) == sets.root(place):
+                    continue
+                if similarity(own, shingles[other]) >= similar:
+                    sets.join(other, place)
+                    pairs.append((rows[other], rows[place]))
+
+        for place in range(len(rows)):
+            if low == high:
+                ask(place)
+            if low == high or blocks[place] == low:
+                tree.add(words[place])
+                places.append(place)
+        if low != high:
+            for place in range(len(rows)):
+                if blocks[place] == high:
+                    ask(place)
+        if pairs:
+            a, b = zip(*pairs, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def where_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join by `row`; the texts stay where they are if there are few rows."""
+    return docs.join(F.broadcast(rows) if rows.count() <= HANDED else rows, "row", how)
+
+
+def copy_links(docs: DataFrame, nodes: DataFrame, text: str, width: int, similar: float) -> DataFrame:
+    """Edges (a, b) between rows. `nodes` has row, node and keys, one for each different text."""
+    asked = written(nodes.select("row", "node", F.explode("keys").alias("key")), "asked")
+    dealt = spread(asked, "key", "row", COPY_MOST, sizes(asked))
+    dealt = written(dealt.select("key", "low", "high", "block", "row", "node"), "shards")
+    wanted = written(dealt.select("row").distinct(), "wanted")
+    sets = where_row(docs.select("row", F.col(text).alias("text")), wanted, "semi")
+    sets = written(sets.select("row", shingle_set(F.col("text"), width).alias("shingles")), "shingles")
+    dealt = join_anew(dealt, sets, "row").repartition("key", "low", "high")
+    dealt = dealt.sortWithinPartitions("key", "low", "high", "row")
+    return dealt.mapInArrow(lambda batches: copy_forest(batches, similar), "a bigint, b bigint")
+
+
+def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = COPY_WIDTH, similar: float = SIMILAR) -> DataFrame:
+    """The documents without near-copies: of each group of linked ones, the one with the smallest id stays.
+
+    The documents keep their columns, whatever their names. Null ids are last; of equal ids the first row stays. Texts
+    that differ in case of A-Z or in white space are copies; texts without words are copies of each other.
+    """
+    names = [f"c{place}" for place in range(len(docs.columns))]
+    plain = dict(zip(docs.columns, names, strict=True))
+    held = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "documents")
+    prints = held.select("row", F.col(plain[id]).alias("id"), signature(F.col(plain[text]), width).alias("s"))
+    prints = written(prints.select("row", "id", "s.*"), "signatures")
+    firsts = written(prints.groupBy("digest").agg(F.min("row").alias("first")), "texts")
+    rows = written(join_anew(prints.select("row", "id", "digest"), firsts, "digest").select("row", "id", "first"), "rows")
+    nodes = prints.join(firsts.select(F.col("first").alias("row")), "row")
+    roots = components(copy_links(held, nodes.select("row", "node", "keys"), plain[text], width, similar))
+    rows = join_anew(rows, roots.select(F.col("node").alias("first"), "root"), "first", "left")
+    rows = written(rows.select("row", "id", F.coalesce("root", "first").alias("root")), "grouped")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    kept = rows.groupBy("root").agg(F.min(order).getField("row").alias("row"))
+    dropped = written(rows.select("row").join(kept, "row", "anti"), "dropped")
+    return where_row(held, dropped, "anti").select(*[F.col(new).alias(old) for old, new in plain.items()])
