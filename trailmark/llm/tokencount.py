@@ -38,7 +38,10 @@ def model(path: str):
 
 
 def pretokens(text: str) -> list[str]:
-    """The pre-tokens of a text, each without the one space that the model puts in front of any text."""
+    """The pre-tokens of a text, each without the one space that the model puts in front of any text.
+
+    What is left of a single space at the end is an empty string.
+    """
     if not text:
         return []
     parts = text.replace("▁", " ").split(" ")
@@ -85,6 +88,8 @@ def count_pieces(table: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             words = batch.column("pretoken").to_pylist()
             pieces = [len(ids) for ids in model(path).encode(words, num_threads=1)]
+            if "" in words:  # a single space at the end of a text, which cannot be encoded alone
+                pieces[words.index("")] = len(model(path).encode("\n ")) - len(model(path).encode("\n"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], [*batch.schema.names, "pieces"])
 
     return table.mapInArrow(count, "pretoken string, n bigint, pieces bigint")
