@@ -5,8 +5,9 @@ Rules come first: the longest rule that fits a url decides. All other urls are j
 * Per host, paths form a tree of segments. A segment that looks like a number, id or slug is variable at once and
   becomes a wildcard that keeps its file ending (`<n>.html`, `<x>`, `<s>`). A place with more than `NAMES` different
   segments below one parent is variable as a whole (`*`), but for segments that hold far more rows than their share.
-* Branches below the root of a host are merged into one (`*`) if their labels are statistically alike: the chi-square of
-  a branch against all branches of the same form is at most `ALIKE`. A branch with few labels differs from nothing.
+* Branches below the root of a host that go on alike are ordered by purity and merged with their neighbours as long as
+  the labels of the two do not differ: a chi-square of at most `ALIKE`. A branch with few labels differs from nothing. All
+  of them in one are `*`, several groups are `*0`, `*1` and so on.
 * The purity of a template is its share of good labels, smoothed by `STRENGTH` pseudo-labels at the purity of its host,
   which in turn is smoothed by as many at the purity of the whole table. Below `LEAST` the template is rejected.
 
@@ -17,7 +18,7 @@ Null urls and urls without `://` have an empty host and path, and share one temp
 several labels of a page all count. Empty tables give no rows. Repeated pages are judged each, and alike.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import lower_ascii
@@ -105,12 +106,26 @@ def purities(counts: DataFrame) -> DataFrame:
     """Rows (host, template, merged, purity) for rows (host, template, good, labelled): a template after merging."""
     branch = F.regexp_replace("template", r"^/[^/<*][^/]*/", "/*/")
     counts = with_key(counts.withColumn("merged", branch), "host", "merged")
-    pools = counts.groupBy("_key").agg(F.sum("good").alias("pool_good"), F.sum("labelled").alias("pool_labelled"))
+    pools = counts.groupBy("_key").agg(
+        F.sum("good").alias("pool_good"), F.sum("labelled").alias("pool_labelled"), F.count("*").alias("branches")
+    )
     rows = join_anew(counts, pools, "_key")
+    # Neighbours in order of purity belong together unless they differ; a form has at most some dozens of branches.
     share = (F.col("pool_good") + 0.5) / (F.col("pool_labelled") + 1.0)
-    off = F.col("good") - F.col("labelled") * share
-    chi = F.when(F.col("labelled") > 0, off * off / (F.col("labelled") * share * (1 - share))).otherwise(0.0)
-    rows = rows.withColumn("merged", F.when(chi <= ALIKE, F.col("merged")).otherwise(F.col("template")))
+    rows = rows.withColumn("own", (F.col("good") + share) / (F.col("labelled") + 1.0))
+    order = Window.partitionBy("_key").orderBy("own", "template")
+    n, last_n = F.col("labelled"), F.lag("labelled").over(order)
+    both = (F.col("good") + F.lag("good").over(order) + 0.5) / (n + last_n + 1.0)
+    gap = F.col("good") / n - F.lag("good").over(order) / last_n
+    chi = F.when((n > 0) & (last_n > 0), gap * gap / (both * (1 - both) * (1 / n + 1 / last_n)))
+    rows = rows.withColumn("cut", (F.coalesce(chi, F.lit(0.0)) > ALIKE).cast("int"))
+    rows = rows.withColumn("cluster", F.sum("cut").over(order))
+    members = F.count("*").over(Window.partitionBy("_key", "cluster"))
+    name = F.concat(F.lit("/*"), F.col("cluster").cast("string"), F.expr("substring(merged, 3)"))
+    rows = rows.withColumn("members", members).withColumn(
+        "merged",
+        F.when(F.col("members") == F.col("branches"), F.col("merged")).when(F.col("members") == 1, F.col("template")).otherwise(name),
+    )
     rows = written(rows.select("host", "template", "merged", "good", "labelled"), "branches")
     total = rows.agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).first()
     overall = ((total["good"] or 0) + 1.0) / ((total["labelled"] or 0) + 1.0)  # without any label nothing is rejected
