@@ -49,10 +49,10 @@ GOOD = envelope()
         (envelope(type=None), "missing_type"),
         (envelope(ts=None), "missing_ts"),
         (envelope(receivedAt=None), "missing_ts"),
-        (envelope(type="TELEPORT"), "bad_type"),
+        (envelope(type="GAZE"), "bad_type"),
         (envelope(type="click"), "bad_type"),
         (envelope(type=3), "bad_type"),
-        (envelope(type="TELEPORT", schemaVersion=2), "bad_type"),
+        (envelope(type="GAZE", schemaVersion=2), "bad_type"),
         (envelope(tenantId="not-an-id"), "deserialization"),
         (envelope(ts="soon"), "deserialization"),
         (envelope(receivedAt="yesterday"), "deserialization"),
@@ -144,8 +144,8 @@ def body(*events, session=ID.format(3), **more):
     "text, rejection",
     [
         (body(event()), None),
-        (body(event(type="TELEPORT")), None),
-        (body(event(type="TELEPORT", ts=None)), None),
+        (body(event(type="GAZE")), None),
+        (body(event(type="GAZE", ts=None)), None),
         (body(session="nope"), "invalid"),
         (body(event(), session="nope"), "invalid"),
         (body(event(), session=None), "invalid"),
@@ -160,7 +160,7 @@ def body(*events, session=ID.format(3), **more):
         ("{nope", "invalid"),
         (body(*[event()] * 500), None),
         (body(*[event()] * 501), "too_large"),
-        (body(*[event(type="TELEPORT")] * 501), "too_large"),
+        (body(*[event(type="GAZE")] * 501), "too_large"),
     ],
 )
 def test_batches(spark, text, rejection):
@@ -176,7 +176,7 @@ def test_window_and_unknown_types(spark):
         event(T0 - 24 * hour - 1),
         event(T0 + 300_000),
         event(T0 + 300_001),
-        event(type="TELEPORT"),
+        event(type="GAZE"),
     )
     judged = ingest.validate_batches(ingest.parse_batches(bodies(spark, text, "{nope")))
     kept = ingest.within_time_window(ingest.drop_unknown_types(judged))
@@ -255,7 +255,9 @@ def test_references(spark):
         [
             ("a", "1", 0, "CLICK"),
             ("a", "2", 5, "CLICK", {"tenant": "t2"}),
-            ("b", "3", 0, "CLICK", {"url": "https://web.test/a\x00b"}),
+            ("b", "3", 9, "NAVIGATION", {"url": "https://web.test/a\x00b"}),
+            ("b", "6", 4, "CLICK"),
+            ("e", "7", 0, "CLICK", {"url": "https://web.test/not\x00stored"}),
             ("c", "4", 0, "CLICK", {"tenant": "t9"}),
             ("d", "5", 0, "CLICK"),
         ],
@@ -263,8 +265,42 @@ def test_references(spark):
     sites = spark.createDataFrame([("s1", "t1"), ("s1", "t2")], "id string, tenant_id string")
     held = spark.createDataFrame([("d", "t2")], "id string, tenant_id string")
     checked = {r["event_id"]: r["reason"] for r in ingest.reject_unknown_refs(rows, sites, held).collect()}
-    assert checked == {"1": None, **{i: "store_rejected" for i in "2345"}}
+    assert checked == {"1": None, "7": None, **{i: "store_rejected" for i in "23456"}}
 
 
 def test_types_are_twelve():
     assert len(S.EVENT_TYPES) == 12 == len(set(S.EVENT_TYPES))
+
+
+@pytest.mark.parametrize(
+    "text, alone",
+    [
+        ('{"x":1}', True),
+        (' {"x":[{"y":2}]} ', True),
+        ('{"x":1}] junk}', False),
+        ('{"x":1}],{"y":2}', False),
+        ('{"x":1},{"y":2}', False),
+        ('{"x":1}}', False),
+        ('[{"x":1}]', False),
+        ("", False),
+        (None, False),
+    ],
+)
+def test_one_object_and_nothing_behind_it(spark, text, alone):
+    from trailmark.functions.json import is_single_object
+
+    row = spark.createDataFrame([(text,)], "text string").select(is_single_object(F.col("text")).alias("alone")).first()
+    assert row["alone"] is alone
+
+
+@pytest.mark.parametrize("received", ["2025-01-01", "2025-01-01 00:00:00", "2025-01-01T00:00:00", "20250101T000000Z"])
+def test_an_instant_has_a_time_and_a_zone(spark, received):
+    decoded = ingest.decode_envelope(spark.createDataFrame([(envelope(receivedAt=received),)], "value string"), "telemetry")
+    assert [r["well_formed"] for r in decoded.collect()] == [False]
+
+
+def test_unknown_types_cannot_spoil_a_body(spark):
+    strange = {"clientEventId": 5, "type": "GAZE", "ts": "soon", "props": [1]}
+    judged = ingest.validate_batches(ingest.parse_batches(bodies(spark, body(event(), strange), body(strange), body(*[event(clientEventId="x")] * 501))))
+    rows = judged.select("rejection", "unknown_events", F.size("batch.events").alias("known")).collect()
+    assert sorted((r["rejection"] or "", r["unknown_events"], r["known"]) for r in rows) == [("", 1, 0), ("", 1, 1), ("invalid", 0, 501)]

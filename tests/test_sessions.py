@@ -152,6 +152,14 @@ def test_links_only_what_is_not_linked(spark):
     assert {r["version"] for r in ops.link_sessions(linked, who).collect()} == {0, 1}
 
 
+def test_several_identities_of_a_visitor(spark):
+    table = track(spark, empty(spark), [("a", "1", 0, "CLICK"), ("b", "2", 0, "CLICK", {"anonymous": " "})])
+    who = [("s1", "anon", "zoe", 1), ("s1", "anon", "adam", 2), ("s1", " ", "nobody", 3), ("s1", " ", "noone", 4)]
+    who = spark.createDataFrame(who, "site_id string, anonymous_id string, end_user_id string, identified_at int")
+    linked = ops.link_sessions(table, who).collect()
+    assert {(r["id"], r["end_user_id"]) for r in linked} == {("a", "adam"), ("b", None)} and len(linked) == 2
+
+
 def test_blank_visitors_have_no_user(spark):
     rows = [("a", "1", 0, "CLICK", {"anonymous": " "})]
     assert ops.end_user_updates(ops.session_updates(events(spark, rows))).count() == 0
@@ -176,10 +184,11 @@ def test_session_list_pages(spark):
     rows = [(f"s{i}", f"{i}", i // 2, "CLICK") for i in range(6)]
     table = track(spark, empty(spark), rows)
     seen, cursor = [], None
-    while page := ops.list_sessions(table, is_open=True, after=cursor, limit=2).collect():
+    while page := ops.list_sessions(table, "t1", is_open=True, after=cursor, limit=2).collect():
         seen += [r["id"] for r in page]
         cursor = (F.lit(page[-1]["started_at"]), page[-1]["id"])
     assert seen == ["s4", "s5", "s2", "s3", "s0", "s1"]
+    assert ops.list_sessions(table, None).count() == ops.list_sessions(table, "t2").count() == 0
 
 
 def test_events_page(spark):

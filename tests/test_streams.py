@@ -36,7 +36,7 @@ def run_events(spark, paths):
 
 
 def test_restart_reads_only_what_is_new(spark, paths):
-    put(spark, paths("log"), [numbered(i) for i in range(5)] + ["{broken", numbered(9, type="TELEPORT")])
+    put(spark, paths("log"), [numbered(i) for i in range(5)] + ["{broken", numbered(9, type="GAZE")])
     run_events(spark, paths)
     put(spark, paths("log"), [numbered(i) for i in range(3, 8)], first=7)
     query = run_events(spark, paths)

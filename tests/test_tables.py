@@ -1,5 +1,7 @@
 import random
 
+import hashlib
+
 import pytest
 from helpers import T0, at, events, moment
 from pyspark.sql import functions as F
@@ -196,11 +198,15 @@ def test_scores_and_gate(spark):
     counts = signals.signal_counts(events(spark, rows))
     scores = {r["session_id"]: r["friction_score"] for r in signals.friction_scores(counts).collect()}
     assert scores == {"s": 100, "calm": 0}
-    many = spark.createDataFrame([(i, min(100, i)) for i in range(200)], "id int, friction_score int")
-    passed = [r["friction_score"] for r in signals.gate_sessions(many, 10, 0.05).collect()]
-    assert passed == []  # 100 of 200 share the highest score, more than fit
-    passed = [r["id"] for r in signals.gate_sessions(many.filter("id < 100"), 10, 0.05).collect()]
-    assert sorted(passed) == [95, 96, 97, 98, 99]
+
+
+@pytest.mark.parametrize("share, threshold", [(0.05, 10), (0.5, 10), (0.6, 100), (0.3, 101), (1.0, 0)])
+def test_gate_passes_the_highest_scores(spark, share, threshold):
+    rows = [(f"t{i % 3}", f"s{i}", min(100, 2 * i)) for i in range(200)]
+    scores = spark.createDataFrame(rows, "tenant_id string, session_id string, friction_score int")
+    got = {r["session_id"] for r in signals.gate_sessions(scores, threshold, share).collect()}
+    order = sorted(rows, key=lambda r: (-r[2], hashlib.md5(f"{r[0]}/{r[1]}".encode()).hexdigest()))
+    assert got == {r[1] for r in order[: int(200 * share)] if r[2] >= threshold}
 
 
 def test_stuck_page(spark):

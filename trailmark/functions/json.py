@@ -22,8 +22,9 @@ def is_storable_object(text: Column) -> Column:
 
 def is_single_object(text: Column) -> Column:
     """Exactly one JSON object and nothing behind it."""
-    framed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    return F.coalesce(text.rlike(r"^\s*\{") & text.rlike(r"\}\s*$") & (F.size(framed) == 1), F.lit(False))
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    with_more = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
+    return F.coalesce(text.rlike(r"^\s*\{") & text.rlike(r"\}\s*$") & alone & with_more, F.lit(False))
 
 
 def replay_events(text: Column) -> Column:
@@ -31,10 +32,6 @@ def replay_events(text: Column) -> Column:
     return F.when(text.rlike(r"^\s*\["), F.from_json(text, REPLAY_EVENTS))
 
 
-def is_nonempty_array(text: Column) -> Column:
-    return F.coalesce(F.size(replay_events(text)) > 0, F.lit(False))
-
-
 def all_have_timestamps(events: Column) -> Column:
     """Every element is an object with a numeric `timestamp`."""
     return F.coalesce(

@@ -7,10 +7,6 @@ DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
 
-def from_millis(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
-
-
 def to_millis(ts: Column) -> Column:
     return F.unix_millis(ts)
 
@@ -23,16 +19,3 @@ def day_of(ts: Column) -> Column:
 def slice_of(ts: Column, width_ms: int) -> Column:
     """Number of the fixed-width time slice that holds `ts`."""
     return F.floor(F.unix_millis(ts) / width_ms)
-
-
-def merge_min(a: Column, b: Column) -> Column:
-    """The smaller of two values; an unknown one gives way to the other."""
-    return F.least(a, b)
-
-
-def merge_max(a: Column, b: Column) -> Column:
-    return F.greatest(a, b)
-
-
-def first_known(*values: Column) -> Column:
-    return F.coalesce(*values)

@@ -4,12 +4,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from trailmark import schemas as S
 from trailmark.functions import text as X
 from trailmark.functions.times import HOUR_MS
-from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import with_previous
+from trailmark.operators.tables import lookup
+
 
 def sampled(session_id: Column, rate: Column) -> Column:
     """One decision per session, the same everywhere and always: the session's digest falls below the rate or not."""
@@ -20,16 +22,19 @@ def sampled(session_id: Column, rate: Column) -> Column:
 def sample_sessions(events: DataFrame, sites: DataFrame) -> DataFrame:
     """Events of the sessions that fall into the sampling rate of their site."""
     rates = sites.select(F.col("id").alias("site_id"), "sampling_rate")
-    return events.join(broadcast_if_small(rates), "site_id").filter(sampled(F.col("session_id"), F.col("sampling_rate"))).drop("sampling_rate")
+    return events.join(rates, "site_id").filter(sampled(F.col("session_id"), F.col("sampling_rate"))).drop("sampling_rate")
 
 
 def mask_columns(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
     """Applies `mask` (star per character), `mask_text` (all but white space) or `sensitive` to the named columns.
 
-    A column whose name is sensitive is always masked as `sensitive`, whatever its rule says.
+    A column whose name is sensitive is always masked as `sensitive`, whatever its rule says, and also without a rule.
     """
     actions = {"mask": X.mask, "mask_text": X.mask_text, "sensitive": X.mask_sensitive}
-    return df.withColumns({name: actions[action](F.col(name)) for name, action in rules.items() if action != "unmask"})
+    texts = {field.name for field in df.schema if isinstance(field.dataType, StringType)}
+    forced = {name: "sensitive" for name in df.columns if name in {*texts, *rules} and X.names_secret(name)}
+    chosen = {name: action for name, action in {**rules, **forced}.items() if action != "unmask"}
+    return df.withColumns({name: actions[action](F.col(name)) for name, action in chosen.items()})
 
 
 def sensitive_fields(names: DataFrame, name: str = "name") -> DataFrame:
@@ -88,11 +93,11 @@ def erase(
     id. While the erased ids are few the tables are filtered in place, without a shuffle.
     """
     columns = {"sessions": "id", **(session_column or {})}
-    doomed = broadcast_if_small(erasure_sessions(tables["sessions"], requests))
+    doomed = erasure_sessions(tables["sessions"], requests)
     users = requests.filter((F.col("status") != "COMPLETED") & (F.col("subject_type") == "END_USER")).select(
         "tenant_id", F.col("subject_id").alias("id")
     )
-    users = broadcast_if_small(users.distinct())
+    users = users.distinct()
     kept, progress = {}, None
     for name, table in tables.items():
         column = columns.get(name, "session_id")
@@ -143,8 +148,9 @@ def illegal_transitions(review_events: DataFrame, width_ms: int = HOUR_MS) -> Da
     return marked.withColumn("fault", fault).filter("fault IS NOT NULL").drop("prev_to_status")
 
 
-def review_history(review_events: DataFrame, session_id: str) -> DataFrame:
-    return review_events.filter(F.col("session_id") == session_id).orderBy("created_at", "id")
+def review_history(review_events: DataFrame, tenant_id: str | None, session_id: str) -> DataFrame:
+    """The reviews of a tenant's session, oldest first."""
+    return lookup(review_events, tenant_id, session_id=session_id).orderBy("created_at", "id")
 
 
 def redact_traits(end_users: DataFrame, hashed: Sequence[str] = ("email",)) -> DataFrame:

@@ -1,5 +1,7 @@
 """From request bodies and raw records to validated envelopes and event rows."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,9 +10,10 @@ from trailmark.functions import json as J
 from trailmark.functions import text as X
 from trailmark.functions import web as W
 from trailmark.operators.once import with_once
-from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import attach_per_key, with_key_value
 
+# An instant on the wire has a time and a zone.
+INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
 
 
@@ -25,7 +28,7 @@ def decode_envelope(df: DataFrame, kind: str, value: str = "value") -> DataFrame
         df, {"envelope": F.from_json(text, schema, PERMISSIVE), "_single": J.is_single_object(text)}
     )
     e = F.col("envelope")
-    received = F.try_to_timestamp(e["receivedAt"])
+    received = F.when(e["receivedAt"].rlike(INSTANT), F.try_to_timestamp(e["receivedAt"]))
     ids = ["tenantId", "siteId", "sessionId"] + (["event.clientEventId"] if kind == "telemetry" else [])
     bad_id = F.lit(False)
     for name in ids:
@@ -92,8 +95,8 @@ def split_poison(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classified.filter("reason IS NULL"), classified.filter("reason IS NOT NULL")
 
 
-def to_event_rows(envelopes: DataFrame) -> DataFrame:
-    """Good telemetry records as rows of the `events` table."""
+def to_event_rows(envelopes: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Good telemetry records as rows of the `events` table. Columns named in `carried` go along."""
     e = F.col("envelope")
     event = e["event"]
 
@@ -101,6 +104,7 @@ def to_event_rows(envelopes: DataFrame) -> DataFrame:
         return F.coalesce(field, F.lit(""))
 
     return envelopes.select(
+        *carried,
         F.lower(event["clientEventId"]).alias("event_id"),
         F.lower(e["tenantId"]).alias("tenant_id"),
         F.lower(e["siteId"]).alias("site_id"),
@@ -124,56 +128,70 @@ def to_event_rows(envelopes: DataFrame) -> DataFrame:
 
 
 def parse_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Adds `batch`, the decoded events body, and `well_formed`."""
+    """Adds `batch`, the decoded events body, `unknown_events` and `well_formed`.
+
+    Events of unknown type are counted and left out before anything else in them is looked at, so that nothing in them
+    can spoil the body.
+    """
     text = F.col(body).cast("string")
-    parsed = with_once(
-        bodies, {"batch": F.from_json(text, S.EVENT_BATCH, PERMISSIVE), "_single": J.is_single_object(text)}
-    )
-    shaped = F.col("_single") & F.col(f"batch.{S.CORRUPT}").isNull()
-    return parsed.withColumn("well_formed", F.coalesce(shaped, F.lit(False))).drop("_single")
+    whole = {"_whole": F.from_json(text, S.RAW_EVENT_BATCH, PERMISSIVE), "_single": J.is_single_object(text)}
+    parsed = with_once(bodies, whole)
+    raw = F.col("_whole.events")
+    kept = F.filter(F.transform(raw, lambda event: F.coalesce(event, F.lit("null"))), lambda event: ~_unknown(event))
+    events = F.from_json(F.concat(F.lit('{"events":['), F.array_join(kept, ","), F.lit("]}")), S.EVENT_LIST, PERMISSIVE)
+    parsed = with_once(parsed, {"_events": events, "unknown_events": F.size(raw) - F.size(kept)})
+    shaped = F.col("_single") & F.col(f"_whole.{S.CORRUPT}").isNull()
+    shaped = shaped & (raw.isNull() | F.col(f"_events.{S.CORRUPT}").isNull())
+    batch = F.struct(*[F.when(raw.isNotNull(), F.col("_events.events")).alias(n) if n == "events" else F.col(f"_whole.{n}").alias(n) for n in S.EVENT_BATCH_FIELDS])
+    parsed = parsed.withColumns({"batch": batch, "well_formed": F.coalesce(shaped, F.lit(False))})
+    return parsed.drop("_single", "_whole", "_events")
 
 
-def _known(event: Column) -> Column:
-    return event["type"].isin(S.EVENT_TYPES)
+def _unknown(event: Column) -> Column:
+    """If the text of an event names a type, but none of ours. A number is no type, and spoils the body."""
+    kind = F.get_json_object(event, "$.type")
+    return F.coalesce(~kind.isin(S.EVENT_TYPES) & ~kind.rlike(r"^-?[0-9.]+$"), F.lit(False))
 
 
 def validate_batches(parsed: DataFrame, max_events: int = S.MAX_EVENTS_PER_BATCH) -> DataFrame:
-    """Adds `rejection`: `invalid`, `too_large` or null. Events of unknown type count, but are not checked."""
+    """Adds `rejection`: `invalid`, `too_large` or null. Events of unknown type count, but are not checked.
+
+    A body that cannot be bound, such as one with a malformed id, is invalid whatever its size.
+    """
     batch = F.col("batch")
     events = batch["events"]
+    total = F.size(events) + F.col("unknown_events")
+
+    def unbound(event: Column) -> Column:
+        return (event["clientEventId"].isNotNull() & ~W.is_uuid(event["clientEventId"])) | event["type"].rlike(r"^-?[0-9.]+$")
 
-    def broken(event: Column) -> Column:
-        unknown = event["type"].isNotNull() & ~_known(event) & ~event["type"].rlike(r"^-?[0-9.]+$")
-        lacking = (
+    def lacking(event: Column) -> Column:
+        return (
             event.isNull()
             | event["clientEventId"].isNull()
-            | ~W.is_uuid(event["clientEventId"])
             | event["type"].isNull()
             | event["ts"].isNull()
             | (event["props"].isNotNull() & ~J.is_object(event["props"]))
         )
-        numeric_type = event["type"].rlike(r"^-?[0-9.]+$")
-        return ~F.coalesce(unknown, F.lit(False)) & F.coalesce(lacking | numeric_type, F.lit(True))
 
     empty = (
         ~F.col("well_formed")
         | batch["sessionId"].isNull()
         | ~W.is_uuid(batch["sessionId"])
-        | F.coalesce(F.size(events) <= 0, F.lit(True))
+        | F.coalesce(total <= 0, F.lit(True))
     )
     rejection = (
         F.when(F.coalesce(empty, F.lit(True)), F.lit("invalid"))
-        .when(F.size(events) > max_events, F.lit("too_large"))
-        .when(F.exists(events, broken), F.lit("invalid"))
+        .when(F.exists(events, lambda event: F.coalesce(unbound(event), F.lit(False))), F.lit("invalid"))
+        .when(total > max_events, F.lit("too_large"))
+        .when(F.exists(events, lambda event: F.coalesce(lacking(event), F.lit(True))), F.lit("invalid"))
     )
     return with_once(parsed, {"rejection": rejection})
 
 
 def drop_unknown_types(batches: DataFrame) -> DataFrame:
-    """Removes events of unknown type from each batch and counts them in `dropped_unknown_type`."""
-    kept = F.filter("batch.events", _known)
-    narrowed = F.col("batch").withField("events", kept)
-    return with_once(batches, {"dropped_unknown_type": F.size("batch.events") - F.size(kept), "batch": narrowed})
+    """Counts the events of unknown type, which parsing has left out, in `dropped_unknown_type`."""
+    return batches.withColumnRenamed("unknown_events", "dropped_unknown_type")
 
 
 def in_window(
@@ -286,13 +304,13 @@ def resolve_sites(requests: DataFrame, site_key: DataFrame, site: DataFrame, ten
 
     The others drop out; `authorize` reports them.
     """
-    resolved = broadcast_if_small(keys_in_force(site_key, site, tenant))
+    resolved = keys_in_force(site_key, site, tenant)
     return requests.withColumn("key_hash", W.key_hash(F.col("site_key"))).join(resolved, "key_hash")
 
 
 def authorize(requests: DataFrame, site_key: DataFrame, site: DataFrame, tenant: DataFrame) -> DataFrame:
     """Every request with `rejection`: `missing_key`, `unknown_key`, `origin_not_allowed` or null."""
-    resolved = broadcast_if_small(keys_in_force(site_key, site, tenant))
+    resolved = keys_in_force(site_key, site, tenant)
     key = F.col("site_key")
     rejection = (
         F.when(key.isNull() | (F.trim(key) == ""), F.lit("missing_key"))
@@ -312,13 +330,13 @@ def with_known_owner(events: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Adds `reason` = `store_rejected` to events the session store would refuse.
+    """Adds `reason` = `store_rejected` to events of sessions the session store would refuse.
 
-    Refused are: an unknown (tenant, site); a session id that belongs to another tenant (the known owner, else the one
-    received first); text with a NUL character.
+    Refused are, with all their events of this batch: sessions of an unknown (tenant, site); sessions whose id belongs to
+    another tenant (the known owner, else the one received first); sessions whose anonymous id or entry page, the values
+    that are stored, hold a NUL character.
     """
     known = site.select("tenant_id", F.col("id").alias("site_id"), F.lit(True).alias("_known")).distinct()
-    known = broadcast_if_small(known)
     arrival = F.min(F.struct("ingested_at", "tenant_id"))
     joined = with_key_value(df.join(known, ["tenant_id", "site_id"], "left"), ["session_id"], "_first", arrival, F.min)
     owner = F.col("_first.tenant_id")
@@ -326,11 +344,18 @@ def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | No
         held = sessions.select(F.col("id").alias("session_id"), F.col("tenant_id").alias("_held"))
         joined = with_known_owner(joined, held)
         owner = F.coalesce("_held", owner)
-    nul = F.lit(False)
-    for column in ("anonymous_id", "url"):
-        nul = nul | F.coalesce(F.col(column).contains("\x00"), F.lit(False))
-    refused = F.col("_known").isNull() | (owner != F.col("tenant_id")) | nul
-    return joined.withColumn("reason", F.when(refused, F.lit("store_rejected"))).drop("_known", "_first", "_held")
+    # What a session stores: the anonymous id received first, and the url of its earliest navigation.
+    entered = (F.col("event_type") == "NAVIGATION") & (F.col("url") != "")
+    per_session = joined.groupBy("tenant_id", "session_id").agg(
+        F.min(F.struct("ingested_at", "event_id", "anonymous_id")).getField("anonymous_id").alias("_anonymous"),
+        F.min(F.when(entered, F.struct("ts", "event_id", "url"))).getField("url").alias("_entry"),
+        F.max(F.col("_known").isNull()).alias("_lost"),
+    )
+    joined = attach_per_key(joined, per_session, ["tenant_id", "session_id"])
+    stored = F.concat_ws(" ", "_anonymous", "_entry")
+    refused = F.col("_lost") | (owner != F.col("tenant_id")) | stored.contains("\x00")
+    reason = F.when(refused, F.lit("store_rejected"))
+    return joined.withColumn("reason", reason).drop("_known", "_first", "_held", "_anonymous", "_entry", "_lost")
 
 
 def ingest_report(validated: DataFrame) -> DataFrame:

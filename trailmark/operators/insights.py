@@ -184,15 +184,15 @@ def custom_events(events: DataFrame) -> DataFrame:
     return per_session.groupBy("event_name").agg(F.sum("_n").alias("n"), F.count("*").alias("sessions"))
 
 
-def review_queue(sessions: DataFrame, now: Column, flagged_at: str = "flagged_at") -> DataFrame:
-    """Sessions waiting for a reviewer, oldest first, with their age."""
-    waiting = sessions.filter("analysis_status = 'REVIEW_REQUIRED'")
+def review_queue(sessions: DataFrame, tenant_id: str | None, now: Column, flagged_at: str = "flagged_at") -> DataFrame:
+    """A tenant's sessions waiting for a reviewer, oldest first, with their age."""
+    waiting = for_tenant(sessions, tenant_id).filter("analysis_status = 'REVIEW_REQUIRED'")
     age = F.unix_millis(now) - F.unix_millis(flagged_at)
     return waiting.withColumn("age_ms", age).orderBy(flagged_at, "id")
 
 
-def review_throughput(review_events: DataFrame, period_ms: int = DAY_MS) -> DataFrame:
-    """Human decisions per period and outcome."""
-    decided = review_events.filter(F.col("to_status").isin("HUMAN_APPROVED", "HUMAN_REJECTED"))
+def review_throughput(review_events: DataFrame, tenant_id: str | None, period_ms: int = DAY_MS) -> DataFrame:
+    """A tenant's human decisions per period and outcome."""
+    decided = for_tenant(review_events, tenant_id).filter(F.col("to_status").isin("HUMAN_APPROVED", "HUMAN_REJECTED"))
     start = F.floor(F.unix_millis("created_at") / period_ms) * period_ms
     return decided.groupBy(start.alias("period_start_ms"), "to_status").agg(F.count("*").alias("n"))

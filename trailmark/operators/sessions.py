@@ -9,9 +9,8 @@ from trailmark import schemas as S
 from trailmark.functions import web as W
 from trailmark.functions.json import prop
 from trailmark.functions.times import HOUR_MS
-from trailmark.operators.sizes import BROADCAST_ROWS
 from trailmark.operators.slices import SLICE, sliced
-from trailmark.operators.tables import changes, lookup, ordered_rows
+from trailmark.operators.tables import changes, for_tenant, ordered_rows
 
 SESSION_KEYS = ["tenant_id", "session_id"]
 ORDER = ["ts", "event_id"]
@@ -150,16 +149,25 @@ def fold_updates(updates: DataFrame) -> DataFrame:
     )
 
 
+def owned(current: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates of the tenant that owns the session, so at most one for each session id."""
+    firsts = updates.groupBy("id").agg(F.min(F.struct("last_received", "tenant_id")).getField("tenant_id").alias("_first"))
+    held = current.select("id", F.col("tenant_id").alias("_held"))
+    owners = firsts.join(held, "id", "left").select("id", F.coalesce("_held", "_first").alias("tenant_id"))
+    return updates.join(owners, ["id", "tenant_id"])
+
+
 def upsert_sessions(current: DataFrame, updates: DataFrame) -> DataFrame:
     """Session rows after the updates (one per session, see `fold_updates`).
 
     Times only widen, unknown values are filled, an earlier entry page wins. A closed session that changes is extended
     and flagged for recomputation. A row that would not change keeps its version, so applying an update twice is the
-    same as once. An update of another tenant for a known id is ignored; `reject_unknown_refs` reports those.
+    same as once. A session id has one owner: the tenant that holds it, else the one received first. Updates of other
+    tenants are ignored; `reject_unknown_refs` reports those.
     """
-    old, new = current.alias("o"), updates.alias("n")
+    old, new = current.alias("o"), owned(current, updates).alias("n")
     known = F.col("o.id").isNotNull()
-    same = F.col("n.id").isNotNull() & (~known | (F.col("o.tenant_id") == F.col("n.tenant_id")))
+    same = F.col("n.id").isNotNull()
     user = F.when(
         F.trim("n.anonymous_id") != "", end_user_id(F.col("n.site_id"), F.col("n.anonymous_id"))
     )
@@ -217,13 +225,6 @@ def distinct_navigations(events: DataFrame, width_ms: int = HOUR_MS) -> DataFram
     return changes(events.filter("event_type = 'NAVIGATION'"), SESSION_KEYS, ORDER, "url", width_ms)
 
 
-def page_views(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
-    """One row per counted page: navigations, without `replaceState`, whose URL up to `#` differs from the one before."""
-    counted = (F.col("event_type") == "NAVIGATION") & (prop(F.col("props"), "trigger") != "replaceState")
-    narrow = events.filter(counted).select(*SESSION_KEYS, *ORDER, W.cut_fragment(F.col("url")).alias("page"))
-    return changes(narrow, SESSION_KEYS, ORDER, "page", width_ms)
-
-
 def navigation_trail(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     """The ordered pages of each session as rows with a position."""
     counted = (F.col("event_type") == "NAVIGATION") & (prop(F.col("props"), "trigger") != "replaceState")
@@ -291,11 +292,11 @@ def cap_errors(events: DataFrame, n: int = S.MAX_ERRORS_PER_MINUTE, period_ms: i
 
 
 def claim_sessions(
-    sessions: DataFrame, now: Column, idle_ms: int = S.SESSION_IDLE_MS, limit: int | None = S.CLOSE_BATCH
+    sessions: DataFrame, now: Column, idle_ms: int = S.SESSION_IDLE_MS, limit: int | None = None
 ) -> DataFrame:
     """Sessions to work on: open and idle for longer than `idle_ms` (`CLOSE`), or flagged (`RECOMPUTE`).
 
-    With a limit, those idle longest come first; without one, all of them.
+    All of them, unless a limit is asked for; those idle longest then come first.
     """
     idle = F.unix_millis("last_active_at") < F.unix_millis(now) - idle_ms
     due = (F.col("ended_at").isNull() & idle) | F.col("needs_recompute")
@@ -350,8 +351,6 @@ def decide_closings(
 ) -> DataFrame:
     """Claims joined with counters of their own events only; events of other sessions are dropped before any work."""
     claims = claim_sessions(sessions, now, idle_ms, limit)
-    if limit is not None and limit <= BROADCAST_ROWS:
-        claims = F.broadcast(claims)
     ids = claims.select("tenant_id", F.col("id").alias("session_id"))
     stats = session_stats(events.join(ids, SESSION_KEYS, "left_semi"), width_ms)
     return join_stats(claims, stats, now, idle_ms)
@@ -411,9 +410,17 @@ def close_sessions(
 
 
 def link_sessions(sessions: DataFrame, identities: DataFrame) -> DataFrame:
-    """Attaches the sessions of an identified visitor to the user; rows already attached to it keep their version."""
-    who = identities.select("site_id", "anonymous_id", F.col("end_user_id").alias("_user"))
-    joined = sessions.join(who, ["site_id", "anonymous_id"], "left")
+    """Attaches the sessions of an identified visitor to the user; rows already attached to it keep their version.
+
+    Of several identities of a visitor the latest by `identified_at` counts, if there is that column, else the greatest.
+    Sessions without an anonymous id belong to nobody and do not take part in the join.
+    """
+    order = ["identified_at"] if "identified_at" in identities.columns else []
+    who = identities.filter(F.trim("anonymous_id") != "").groupBy("site_id", "anonymous_id")
+    who = who.agg(F.max(F.struct(*order, "end_user_id")).getField("end_user_id").alias("_user"))
+    named = F.coalesce(F.trim("anonymous_id") != "", F.lit(False))
+    joined = sessions.filter(named).join(who, ["site_id", "anonymous_id"], "left")
+    joined = joined.unionByName(sessions.filter(~named), allowMissingColumns=True)
     moves = F.col("_user").isNotNull() & ~F.col("end_user_id").eqNullSafe(F.col("_user"))
     return joined.withColumns(
         {
@@ -423,12 +430,9 @@ def link_sessions(sessions: DataFrame, identities: DataFrame) -> DataFrame:
     ).select(*sessions.columns)
 
 
-def sessions_of(sessions: DataFrame, site_id: str, anonymous_id: str) -> DataFrame:
-    return lookup(sessions, site_id=site_id, anonymous_id=anonymous_id)
-
-
 def list_sessions(
     sessions: DataFrame,
+    tenant_id: str | None,
     *,
     started_from: Column | None = None,
     started_to: Column | None = None,
@@ -440,8 +444,8 @@ def list_sessions(
     after: tuple[Column, str] | None = None,
     limit: int | None = 50,
 ) -> DataFrame:
-    """One page of the session list, newest first; `after` is `(started_at, id)` of the last row of the page before."""
-    tests = []
+    """One page of a tenant's sessions, newest first; `after` is `(started_at, id)` of the last row of the page before."""
+    sessions, tests = for_tenant(sessions, tenant_id), []
     if started_from is not None:
         tests.append(F.col("started_at") >= started_from)
     if started_to is not None:

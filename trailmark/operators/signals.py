@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from trailmark import schemas as S
 from trailmark.functions.times import HOUR_MS
-from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import with_neighbours, with_previous
 
 SESSION_KEYS = ["tenant_id", "session_id"]
@@ -125,7 +124,7 @@ def friction_scores(signals: DataFrame, sites: DataFrame | None = None, weights:
     weights = weights or FRICTION_WEIGHTS
     if sites is not None:
         thresholds = sites.select(F.col("id").alias("site_id"), "signal_thresholds")
-        signals = signals.join(broadcast_if_small(thresholds), "site_id", "left")
+        signals = signals.join(thresholds, "site_id", "left")
     total = F.lit(0)
     for name, weight in weights.items():
         count = F.col(f"{name}_count")
@@ -138,17 +137,24 @@ def friction_scores(signals: DataFrame, sites: DataFrame | None = None, weights:
 
 
 def gate_sessions(scores: DataFrame, threshold: int, max_share: float = 0.05) -> DataFrame:
-    """Sessions to analyse: at or above the threshold, which is raised until at most `max_share` of all pass.
+    """Sessions to analyse: those with the highest scores at or above the threshold, at most `max_share` of all.
 
-    Scores have at most 101 values, so the cut is found in a histogram instead of a global order of sessions.
+    Sessions of equal score go by a digest of tenant and session, so a score that many share passes in part. The cut is
+    found in a histogram of scores (at most 101 values), and in the score it falls into, in a histogram of the first
+    digits of the digest; only the few sessions with the same digits are ranked one by one.
     """
-    histogram = scores.groupBy("friction_score").agg(F.count("*").alias("_n"))
-    downwards = Window.orderBy(F.desc("friction_score"))
-    passing = (
-        histogram.withColumn("_at_or_above", F.sum("_n").over(downwards))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-        .filter((F.col("friction_score") >= threshold) & (F.col("_at_or_above") <= F.col("_all") * F.lit(max_share)))
-        .select("friction_score")
-    )
-    # at most 101 rows, so the hint is safe at any scale
-    return scores.join(F.broadcast(passing), "friction_score", "left_semi").select(*scores.columns)
+    digest = F.md5(F.concat_ws("/", *SESSION_KEYS))
+    rows = scores.withColumn("_digest", digest).withColumn("_digits", F.substring("_digest", 1, 3))
+    cells = rows.groupBy("friction_score", "_digits").agg(F.count("*").alias("_n"))  # 101 * 4096 rows at most
+    by_score = cells.groupBy("friction_score").agg(F.sum("_n").alias("_n"))
+    downwards = Window.orderBy(F.desc("friction_score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(max_share)) - F.sum("_n").over(downwards) + F.col("_n")
+    by_score = by_score.select("friction_score", room.alias("_room")).filter((F.col("_room") > 0) & (F.col("friction_score") >= threshold))
+    within = Window.partitionBy("friction_score").orderBy("_digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.join(by_score, "friction_score")
+    cells = cells.withColumn("_left", F.col("_room") - F.sum("_n").over(within) + F.col("_n")).filter("_left > 0")
+    joined = rows.join(cells.select("friction_score", "_digits", "_n", "_left"), ["friction_score", "_digits"])
+    whole = joined.filter("_n <= _left")
+    rank = F.row_number().over(Window.partitionBy("friction_score", "_digits").orderBy("_digest", *SESSION_KEYS))
+    part = joined.filter("_n > _left").withColumn("_rank", rank).filter("_rank <= _left").drop("_rank")
+    return whole.unionByName(part).select(*scores.columns)

@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 
 from trailmark import schemas as S
 from trailmark.functions.times import DAY_MS, HOUR_MS, day_of
-from trailmark.operators.ingest import live
-from trailmark.operators.sizes import broadcast_if_small
 from trailmark.operators.slices import with_previous, with_running_total
 
-__all__ = ["live"]
-
 
 def dedup_latest(df: DataFrame, keys: Sequence[str] = S.EVENT_KEYS, version: str = "ingested_at") -> DataFrame:
     """One row per key, the one with the highest version.
@@ -45,8 +41,9 @@ def for_tenant(df: DataFrame, tenant_id: str | None) -> DataFrame:
     return df.filter(F.lit(False)) if tenant_id is None else df.filter(F.col("tenant_id") == tenant_id)
 
 
-def lookup(df: DataFrame, **equals) -> DataFrame:
-    """Rows whose columns equal the given values."""
+def lookup(df: DataFrame, tenant_id: str | None, **equals) -> DataFrame:
+    """A tenant's rows whose columns equal the given values."""
+    df = for_tenant(df, tenant_id)
     for name, value in equals.items():
         df = df.filter(F.col(name) == value)
     return df
@@ -54,7 +51,7 @@ def lookup(df: DataFrame, **equals) -> DataFrame:
 
 def session_events(events: DataFrame, tenant_id: str, session_id: str) -> DataFrame:
     """All events of one session in order. The filter is on key columns, so it may run before de-duplication."""
-    own = lookup(for_tenant(events, tenant_id), session_id=session_id)
+    own = lookup(events, tenant_id, session_id=session_id)
     return dedup_latest(own).orderBy("ts", "event_id")
 
 
@@ -78,7 +75,7 @@ def expire(df: DataFrame, ts: str, days: int, now: Column, day: str | None = Non
 def expire_by_tenant(df: DataFrame, tenant: DataFrame, ts: str, days: str, now: Column) -> DataFrame:
     """The same with the number of days taken from each row's tenant; rows of unknown tenants go."""
     horizon = tenant.select(F.col("id").alias("tenant_id"), (F.unix_millis(now) - F.col(days) * DAY_MS).alias("_oldest_ms"))
-    return df.join(broadcast_if_small(horizon), "tenant_id").filter(F.unix_millis(F.col(ts)) >= F.col("_oldest_ms")).drop("_oldest_ms")
+    return df.join(horizon, "tenant_id").filter(F.unix_millis(F.col(ts)) >= F.col("_oldest_ms")).drop("_oldest_ms")
 
 
 def offset_runs(records: DataFrame, by: Sequence[str] = (), width: int = 1_000_000) -> DataFrame:
@@ -134,24 +131,47 @@ def batch_token(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return listed.select(*by, "topic", F.concat_ws(":", "topic", "_digest").alias("token"))
 
 
-def lag_report(events: DataFrame, ts: str = "ts", written: str = "ingested_at", accuracy: int = 1_000_000) -> DataFrame:
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], width: int = 1000) -> DataFrame:
+    """One row with the exact nearest-rank percentiles of an integer, and its count `n` and maximum `most`.
+
+    A histogram with cells of `width` tells which cell each percentile lies in, and the values inside that cell which it
+    is. Values are counted per task first; the cells depend on the range of the values, not on the number of rows.
+    """
+    fine = df.select(value.alias("_value")).filter("_value IS NOT NULL").groupBy("_value").agg(F.count("*").alias("_n"))
+    fine = fine.withColumn("_cell", F.floor(F.col("_value") / width))
+    cells = fine.groupBy("_cell").agg(F.sum("_n").alias("_size"), F.max("_value").alias("_most"))
+    upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy()
+    cells = cells.select(
+        "_cell",
+        (F.sum("_size").over(upto) - F.col("_size")).alias("_before"),
+        "_size",
+        F.sum("_size").over(whole).alias("n"),
+        F.max("_most").over(whole).alias("most"),
+    )
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("n") * share).alias("rank")) for name, share in shares.items()])
+    asked = cells.select("*", F.inline(asked)).filter("rank > _before AND rank <= _before + _size")
+    hits = asked.select("_cell", "name", "n", "most", (F.col("rank") - F.col("_before")).alias("_rest"))
+    along = Window.partitionBy("name").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = fine.join(hits, "_cell").withColumn("_upto", F.sum("_n").over(along)).filter("_upto >= _rest")
+    return inside.agg(
+        F.max("n").alias("n"),
+        F.max("most").alias("most"),
+        *[F.min(F.when(F.col("name") == name, F.col("_value"))).alias(name) for name in shares],
+    )
+
+
+def lag_report(events: DataFrame, ts: str = "ts", written: str = "ingested_at") -> DataFrame:
     """How long events take to become queryable: median, 95th percentile and maximum in ms, and rows per second.
 
-    The rate is taken between the first and the last tenth of the rows by write time. Percentiles come from mergeable
-    summaries of bounded size; with fewer distinct lags than `accuracy` they are exact.
+    The rate is taken between the first and the last tenth of the rows by write time.
     """
     lag = F.unix_millis(F.col(written)) - F.unix_millis(F.col(ts))
-    written_s = F.floor(F.unix_millis(F.col(written)) / 1000)
-    summary = events.agg(
-        F.count("*").alias("n"),
-        F.percentile_approx(lag, 0.5, accuracy).alias("p50_ms"),
-        F.percentile_approx(lag, 0.95, accuracy).alias("p95_ms"),
-        F.max(lag).alias("max_ms"),
-        F.percentile_approx(written_s, 0.1, accuracy).alias("_t10"),
-        F.percentile_approx(written_s, 0.9, accuracy).alias("_t90"),
-    )
+    lags = percentiles(events, lag, {"p50_ms": 0.5, "p95_ms": 0.95})
+    times = percentiles(events, F.floor(F.unix_millis(F.col(written)) / 1000), {"_t10": 0.1, "_t90": 0.9})
+    both = lags.crossJoin(times.select("_t10", "_t90"))  # one row each
     rate = F.when(F.col("_t90") > F.col("_t10"), F.col("n") * 0.8 / (F.col("_t90") - F.col("_t10")))
-    return summary.select("n", "p50_ms", "p95_ms", "max_ms", rate.alias("rows_per_second"))
+    return both.select(F.coalesce("n", F.lit(0)).alias("n"), "p50_ms", "p95_ms", F.col("most").alias("max_ms"), rate.alias("rows_per_second"))
 
 
 def session_profile(events: DataFrame) -> DataFrame:

@@ -114,30 +114,30 @@ def illegal_transitions(spark, folder):
     return ops.illegal_transitions(review_events(spark, folder)).select("id", "from_status", "to_status", "fault")
 
 
-@query(REVIEW_SQL + " SELECT id, f AS from_status, t AS to_status, created_ms FROM h WHERE doc_id = 7 ORDER BY created_ms")
+@query(REVIEW_SQL + " SELECT id, f AS from_status, t AS to_status, created_ms FROM h WHERE doc_id = 7 AND doc_id % 4 = 3 ORDER BY created_ms")
 def review_history(spark, folder):
-    trail = ops.review_history(review_events(spark, folder), "7")
+    trail = ops.review_history(review_events(spark, folder), "3", "7")
     return trail.select("id", "from_status", "to_status", ms("created_at", "created_ms"))
 
 
 @query(
     REVIEW_SQL
-    + f" SELECT CAST(doc_id AS VARCHAR) AS id, {fx.NOW_MS + 400 * DAY_MS} - created_ms AS age_ms FROM h WHERE n = 1 AND t = 'REVIEW_REQUIRED'"
+    + f" SELECT CAST(doc_id AS VARCHAR) AS id, {fx.NOW_MS + 400 * DAY_MS} - created_ms AS age_ms FROM h WHERE doc_id % 4 = 1 AND n = 1 AND t = 'REVIEW_REQUIRED'"
 )
 def review_queue(spark, folder):
     analysed = review_events(spark, folder).filter("id % 10 = 1").select(
-        F.col("session_id").alias("id"), F.col("to_status").alias("analysis_status"), F.col("created_at").alias("flagged_at")
+        "tenant_id", F.col("session_id").alias("id"), F.col("to_status").alias("analysis_status"), F.col("created_at").alias("flagged_at")
     )
-    return insights.review_queue(analysed, fx.now(fx.NOW_MS + 400 * DAY_MS)).select("id", "age_ms")
+    return insights.review_queue(analysed, "1", fx.now(fx.NOW_MS + 400 * DAY_MS)).select("id", "age_ms")
 
 
 @query(
     REVIEW_SQL
     + f""" SELECT created_ms // {DAY_MS} * {DAY_MS} AS period_start_ms, t AS to_status, count(*) AS n FROM h
-  WHERE t IN ('HUMAN_APPROVED', 'HUMAN_REJECTED') GROUP BY ALL"""
+  WHERE doc_id % 4 = 2 AND t IN ('HUMAN_APPROVED', 'HUMAN_REJECTED') GROUP BY ALL"""
 )
 def review_throughput(spark, folder):
-    return insights.review_throughput(review_events(spark, folder))
+    return insights.review_throughput(review_events(spark, folder), "2")
 
 
 @query(

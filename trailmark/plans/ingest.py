@@ -53,7 +53,7 @@ def telemetry_records(spark, folder, defects: bool = True):
         return F.when(kind != number, value)
 
     event = wire_event(
-        F.when(kind == 9, F.lit("TELEPORT")).otherwise(unless(7, F.col("event_type"))),
+        F.when(kind == 9, F.lit("GAZE")).otherwise(unless(7, F.col("event_type"))),
         unless(8, F.unix_millis("ts")),
         unless(6, uuid(3, F.col("event_no"))),
     )
@@ -148,7 +148,7 @@ def event_bodies(spark, folder):
     kind = (F.col("user_id") + F.col("block")) % 11
     unknown = F.col("k") % 10 == 9
     event = wire_event(
-        F.when(unknown, F.lit("TELEPORT")).otherwise(F.col("event_type")),
+        F.when(unknown, F.lit("GAZE")).otherwise(F.col("event_type")),
         F.when((kind != 4) | unknown, F.unix_millis("ts")),
         uuid(3, F.col("event_no")),
     )
@@ -166,6 +166,8 @@ def event_bodies(spark, folder):
             F.when(kind == 3, F.array()).otherwise(F.col("events")).alias("events"),
         )
     )
+    # What is wrong in an event of unknown type does not matter.
+    body = F.regexp_replace(body, '"type":"GAZE","ts":[0-9]+', '"type":"GAZE","ts":"soon"')
     broken = F.regexp_replace(body, r'"props":\{[^}]*\}', '"props":[1]')
     return grouped.select(
         "user_id",
@@ -174,7 +176,7 @@ def event_bodies(spark, folder):
         F.when(kind == 5, broken).when(kind == 6, F.concat(body, F.lit("}"))).otherwise(body).alias("body"),
         (F.col("user_id") % 4).cast("string").alias("tenant_id"),
         (F.col("user_id") % 8).cast("string").alias("site_id"),
-        F.lit("curl/8.7.1").alias("user_agent"),
+        F.lit("probe/1.0").alias("user_agent"),
     )
 
 
@@ -399,9 +401,13 @@ def authorize(spark, folder):
 @query(
     fx.on_base(
         """, e AS (SELECT *, CAST(event_no // 3 AS VARCHAR) AS sid FROM base),
-  owner AS (SELECT sid, arg_min(tenant_id, (ingested_ms, tenant_id)) AS owner FROM e GROUP BY sid)
-  SELECT event_id, CASE WHEN event_no % 50 = 0 OR c.c_custkey IS NULL OR owner <> tenant_id THEN 'store_rejected' ELSE '' END AS reason
-  FROM e JOIN owner USING (sid) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON c.c_custkey = e.user_id"""
+  owner AS (SELECT sid, arg_min(tenant_id, (ingested_ms, tenant_id)) AS owner FROM e GROUP BY sid),
+  per AS (
+    SELECT tenant_id, sid, bool_or(c.c_custkey IS NULL) AS lost,
+      coalesce(arg_min(event_no, (ts_ms, event_id)) FILTER (event_type = 'NAVIGATION') % 50 = 0, false) AS nul
+    FROM e LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON c.c_custkey = e.user_id GROUP BY tenant_id, sid
+  ) SELECT event_id, CASE WHEN lost OR nul OR owner <> tenant_id THEN 'store_rejected' ELSE '' END AS reason
+  FROM e JOIN owner USING (sid) JOIN per USING (tenant_id, sid)"""
     )
 )
 def reject_unknown_refs(spark, folder):
@@ -447,13 +453,13 @@ def rate_exceedance(spark, folder):
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'otpCode' WHEN 1 THEN 'card_cvv' WHEN 2 THEN 'CVC2' WHEN 3 THEN 'footprint'
-    WHEN 4 THEN 'OTPCode' WHEN 5 THEN 'cvvs' WHEN 6 THEN 'email' ELSE 'billing-cvn' END || '_' || source AS name,
+    """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'smsOtp' WHEN 1 THEN 'saved.cvc' WHEN 2 THEN 'CVN3digits' WHEN 3 THEN 'adoption'
+    WHEN 4 THEN 'OTPSent' WHEN 5 THEN 'cvcard' WHEN 6 THEN 'street' ELSE 'visa CVV' END || '_' || source AS name,
   doc_id % 8 IN (0, 1, 2, 4, 7) AS sensitive FROM documents"""
 )
 def sensitive_fields(spark, folder):
     """One field name per document, made from its source."""
-    names = ["otpCode", "card_cvv", "CVC2", "footprint", "OTPCode", "cvvs", "email", "billing-cvn"]
+    names = ["smsOtp", "saved.cvc", "CVN3digits", "adoption", "OTPSent", "cvcard", "street", "visa CVV"]
     chosen = F.element_at(F.array(*[F.lit(name) for name in names]), (F.col("doc_id") % 8 + 1).cast("int"))
     documents = fx.table(spark, folder, "documents")
     fields = documents.select("doc_id", F.concat(chosen, F.lit("_"), F.col("source")).alias("name"))
@@ -462,11 +468,15 @@ def sensitive_fields(spark, folder):
 
 @query(
     r"""SELECT doc_id, repeat('*', length(lang)) AS lang, CASE WHEN source = '' THEN '' ELSE '******' END AS source,
-  regexp_replace(text, '\S', '*', 'g') AS text FROM documents"""
+  regexp_replace(text, '\S', '*', 'g') AS text, n_chars, '******' AS "smsOtp", '******' AS cvv_back, '******' AS cvn FROM documents"""
 )
 def mask_columns(spark, folder):
-    documents = fx.table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
-    return governance.mask_columns(documents, {"lang": "mask", "source": "sensitive", "text": "mask_text"})
+    """Columns with sensitive names are masked as such whatever the rules say, and also without one."""
+    documents = fx.table(spark, folder, "documents").select(
+        "doc_id", "lang", "source", "text", "n_chars", *[F.col("source").alias(name) for name in ("smsOtp", "cvv_back", "cvn")]
+    )
+    rules = {"lang": "mask", "source": "sensitive", "text": "mask_text", "n_chars": "unmask", "smsOtp": "unmask", "cvv_back": "mask"}
+    return governance.mask_columns(documents, rules)
 
 
 SECRETS = {"mail host": "@mail1.example.com", "area code": "+1 (743)", "masked run": "* * *", "absent": "correct horse battery"}

@@ -129,8 +129,7 @@ def upsert_end_users(spark, folder):
     fx.on_events(
         fx.SESSIONS_SQL
         + f""" SELECT id, tenant_id, CASE WHEN closed THEN 'RECOMPUTE' ELSE 'CLOSE' END AS kind, last_received_ms AS last_active_ms
-  FROM sess WHERE (NOT closed AND last_received_ms < {fx.NOW_MS - fx.GAP_MS}) OR flagged
-  ORDER BY last_received_ms, id LIMIT 500"""
+  FROM sess WHERE (NOT closed AND last_received_ms < {fx.NOW_MS - fx.GAP_MS}) OR flagged"""
     )
 )
 def claim_sessions(spark, folder):
@@ -222,12 +221,33 @@ def link_sessions(spark, folder):
     """Every even sign-up identifies its visitor."""
     signups = fx.base_events(spark, folder).filter("event_type = 'IDENTIFY' AND k % 2 = 0")
     member = F.concat(F.lit("member-"), F.col("user_id").cast("string"))
-    identities = signups.select("site_id", "anonymous_id", member.alias("end_user_id")).distinct()
+    identities = signups.select("site_id", "anonymous_id", member.alias("end_user_id"), F.col("ts").alias("identified_at"))
     bare = fx.sessions(spark, folder).withColumn("end_user_id", F.lit(None).cast("string"))
     linked = ops.link_sessions(bare, identities)
     return linked.select("id", known("end_user_id", "member"), "version")
 
 
+@query(
+    fx.on_events(
+        fx.updates_sql("ev", "upd")
+        + """, claims AS (
+    SELECT id, tenant_id, last_received_ms FROM upd
+    UNION ALL SELECT id, 'other', last_received_ms + CASE WHEN CAST(split_part(id, '-', 1) AS BIGINT) % 2 = 0 THEN -1 ELSE 1 END FROM upd
+  ) SELECT id, first(tenant_id ORDER BY last_received_ms, tenant_id) AS tenant_id, CAST(0 AS BIGINT) AS version FROM claims GROUP BY id"""
+    )
+)
+def session_owners(spark, folder):
+    """Every session is claimed by a second tenant as well, sometimes before its own; then again by the one that lost."""
+    updates = ops.session_updates(fx.events(spark, folder))
+    shift = F.when(F.substring_index("id", "-", 1).cast("bigint") % 2 == 0, -1).otherwise(1)
+    later = F.timestamp_millis(F.unix_millis("last_received") + shift)
+    foreign = updates.withColumns({"tenant_id": F.lit("other"), "last_received": later})
+    table = written(ops.upsert_sessions(fx.no_sessions(spark), updates.unionByName(foreign)), "sessions")
+    owners = table.select("id", F.col("tenant_id").alias("owner"))
+    losers = updates.unionByName(foreign).join(owners, "id").filter("tenant_id <> owner").drop("owner")
+    return ops.upsert_sessions(table, losers).select("id", "tenant_id", "version")
+
+
 @query(
     fx.on_events(
         """, nav AS (SELECT *, lag(url) OVER (PARTITION BY tenant_id, session_id ORDER BY ts_ms, event_id) AS prev
@@ -265,23 +285,33 @@ def cap_errors(spark, folder):
     fx.on_events(
         fx.SESSIONS_SQL
         + f""" SELECT id, first_ms AS started_ms FROM sess
-  WHERE first_ms < {fx.NOW_MS} AND contains(coalesce(entry_url, ''), '/p/3') AND closed
+  WHERE tenant_id = '1' AND first_ms < {fx.NOW_MS} AND contains(coalesce(entry_url, ''), '/p/') AND closed
     AND (first_ms < {fx.NOW_MS - 2 * DAY_MS} OR (first_ms = {fx.NOW_MS - 2 * DAY_MS} AND id > '5-1'))
   ORDER BY first_ms DESC, id LIMIT 50"""
     )
 )
 def list_sessions(spark, folder):
-    """Second page of the closed sessions that were entered on one page before the given day."""
+    """Second page of a tenant's closed sessions that were entered on one page before the given day."""
     cursor = (fx.now(fx.NOW_MS - 2 * DAY_MS), "5-1")
     page = ops.list_sessions(
-        fx.sessions(spark, folder), started_to=fx.now(), url_contains="/p/3", is_open=False, after=cursor
+        fx.sessions(spark, folder), "1", started_to=fx.now(), url_contains="/p/", is_open=False, after=cursor
     )
     return page.select("id", ms("started_at", "started_ms"))
 
 
-@query(fx.on_events(" SELECT event_id, ts_ms, event_type FROM ev WHERE tenant_id = '1' AND session_id = '1-1' ORDER BY ts_ms, event_id LIMIT 100"))
+@query(
+    fx.on_events(
+        """, own AS (SELECT * FROM ev WHERE tenant_id = '2' AND session_id = '14-5'),
+  edge AS (SELECT ts_ms AS edge_ms, event_id AS edge_id FROM own ORDER BY ts_ms, event_id LIMIT 1)
+  SELECT event_id, ts_ms, event_type FROM own, edge WHERE ts_ms > edge_ms OR (ts_ms = edge_ms AND event_id > edge_id) ORDER BY ts_ms, event_id LIMIT 100"""
+    )
+)
 def events_page(spark, folder):
-    page = ops.events_page(fx.redelivered(fx.events(spark, folder)), "1", "1-1")
+    """The page behind the first event of a session."""
+    events = fx.redelivered(fx.events(spark, folder))
+    first = ops.events_page(events, "2", "14-5", limit=1).first()
+    cursor = None if first is None else (F.lit(first["ts"]), first["event_id"])
+    page = ops.events_page(events, "2", "14-5", cursor)
     return page.select("event_id", ms("ts", "ts_ms"), "event_type")
 
 

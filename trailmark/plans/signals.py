@@ -87,6 +87,12 @@ COUNTS_SQL = (
 )
 
 
+GATE_SQL = """, cut AS (
+  SELECT *, row_number() OVER (ORDER BY friction_score DESC, md5(tenant_id || '/' || session_id), tenant_id, session_id) AS place,
+    count(*) OVER () AS total FROM scored
+)"""
+
+
 def counts(spark, folder):
     """Counts with the ranges of the single queries above."""
     events = written(fx.events(spark, folder), "events")
@@ -126,9 +132,24 @@ def friction_scores(spark, folder):
 @query(
     fx.on_events(
         COUNTS_SQL
-        + """, cut AS (SELECT *, count(*) OVER (ORDER BY friction_score DESC) AS above, count(*) OVER () AS total FROM scored)
-  SELECT tenant_id, session_id, friction_score FROM cut WHERE friction_score >= 10 AND above <= total * 0.05"""
+        + GATE_SQL
+        + " SELECT tenant_id, session_id, friction_score FROM cut WHERE friction_score >= 10 AND place <= floor(total * 0.05)"
     )
 )
 def gate_sessions(spark, folder):
     return ops.gate_sessions(scores(spark, folder).select("tenant_id", "session_id", "friction_score"), 10)
+
+
+@query(
+    fx.on_events(
+        COUNTS_SQL.replace("), scored AS (", "), plain AS (")
+        + ", scored AS (SELECT * REPLACE (CASE WHEN friction_score >= 4 THEN 100 ELSE 0 END AS friction_score) FROM plain)"
+        + GATE_SQL
+        + " SELECT tenant_id, session_id, friction_score FROM cut WHERE friction_score >= 50 AND place <= floor(total * 0.05)"
+    )
+)
+def gate_ties(spark, folder):
+    """All scores but the lowest become 100, so more sessions share the highest one than may pass."""
+    raised = F.when(F.col("friction_score") >= 4, 100).otherwise(0)
+    rows = scores(spark, folder).withColumn("friction_score", raised)
+    return ops.gate_sessions(rows.select("tenant_id", "session_id", "friction_score"), 50)

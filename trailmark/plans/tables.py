@@ -48,9 +48,9 @@ def session_events(spark, folder):
     return found.select("event_id", ms("ts", "ts_ms"), "event_type")
 
 
-@query(fx.on_events(fx.SESSIONS_SQL + " SELECT id, first_ms AS started_ms FROM sess WHERE site_id = '5' AND anonymous_id = 'u13'"))
+@query(fx.on_events(fx.SESSIONS_SQL + " SELECT id, first_ms AS started_ms FROM sess WHERE tenant_id = '1' AND site_id = '5' AND anonymous_id = 'u13'"))
 def lookup(spark, folder):
-    found = ops.lookup(fx.sessions(spark, folder), site_id="5", anonymous_id="u13")
+    found = ops.lookup(fx.sessions(spark, folder), "1", site_id="5", anonymous_id="u13")
     return found.select("id", ms("started_at", "started_ms"))
 
 
@@ -118,12 +118,14 @@ def batch_token(spark, folder):
 
 @query(
     fx.on_base(
-        """ SELECT count(*) AS n, quantile_disc(ingested_ms - ts_ms, 0.5) AS p50_ms, quantile_disc(ingested_ms - ts_ms, 0.95) AS p95_ms,
-  max(ingested_ms - ts_ms) AS max_ms FROM base"""
+        """, q AS (SELECT count(*) AS n, quantile_disc(ingested_ms - ts_ms, 0.5) AS p50_ms, quantile_disc(ingested_ms - ts_ms, 0.95) AS p95_ms,
+  max(ingested_ms - ts_ms) AS max_ms, quantile_disc(ingested_ms // 1000, 0.1) AS a, quantile_disc(ingested_ms // 1000, 0.9) AS z FROM base)
+  SELECT n, p50_ms, p95_ms, max_ms, round(n * 0.8 / (z - a), 6) AS rows_per_second FROM q"""
     )
 )
 def lag_report(spark, folder):
-    return ops.lag_report(fx.base_events(spark, folder)).select("n", "p50_ms", "p95_ms", "max_ms")
+    report = ops.lag_report(fx.base_events(spark, folder))
+    return report.withColumn("rows_per_second", F.round("rows_per_second", 6))
 
 
 @query(

@@ -43,7 +43,6 @@ RATE_BURST = 100
 RATE_PER_SECOND = 50
 
 SESSION_IDLE_MS = 30 * 60_000
-CLOSE_BATCH = 500
 MAX_ERRORS_PER_MINUTE = 30
 
 REPLAY_META = 4
@@ -51,9 +50,7 @@ REPLAY_FULL_SNAPSHOT = 2
 REPLAY_CHUNK_BYTES = 256 * 1024
 REPLAY_FLUSH_MS = 5_000
 
-EVENT_RETENTION_DAYS = 30
 REPLAY_RETENTION_DAYS = 30
-INSIGHT_RETENTION_DAYS = 395
 
 ANALYSIS_TRANSITIONS = [
     ("PENDING", "PROCESSING"),
@@ -102,11 +99,14 @@ EVENT = _struct(
 # Column that receives the text of a body or envelope that does not fit its schema.
 CORRUPT = "_corrupt"
 
-EVENT_BATCH = (
+EVENT_BATCH_FIELDS = ["siteKey", "sessionId", "anonymousId", "sdkVersion", "events"]
+# A body with its events still as text, and the list of those that are looked into.
+RAW_EVENT_BATCH = (
     _struct("siteKey:string, sessionId:string, anonymousId:string, sdkVersion:string")
-    .add("events", T.ArrayType(EVENT))
+    .add("events", T.ArrayType(T.StringType()))
     .add(CORRUPT, T.StringType())
 )
+EVENT_LIST = T.StructType([T.StructField("events", T.ArrayType(EVENT)), T.StructField(CORRUPT, T.StringType())])
 REPLAY_BATCH = _struct(f"siteKey:string, sessionId:string, chunkSeq:int, events:string, {CORRUPT}:string")
 
 TELEMETRY_ENVELOPE = (
@@ -128,20 +128,8 @@ REPLAY_EVENTS = T.ArrayType(_struct("type:int, timestamp:double"))
 # A record as a log source delivers it.
 RAW_RECORD = _struct("topic:string, partition:int, offset:bigint, timestamp:timestamp, key:string, value:string")
 
-EVENTS = _struct(
-    "event_id:string, tenant_id:string, site_id:string, session_id:string, anonymous_id:string, "
-    "end_user_id:string, ts:timestamp, ingested_at:timestamp, event_type:string, event_name:string, "
-    "url:string, path:string, page_title:string, target_selector:string, target_text:string, "
-    "error_message:string, error_stack:string, http_method:string, http_url:string, http_status:int, "
-    "http_duration_ms:bigint, props:string"
-)
 EVENT_KEYS = ["tenant_id", "session_id", "ts", "event_id"]
 
-REPLAY_CHUNKS = _struct(
-    "tenant_id:string, site_id:string, session_id:string, chunk_seq:int, object_key:string, "
-    "compressed_bytes:bigint, event_count:int, first_ts:timestamp, last_ts:timestamp, "
-    "has_full_snapshot:boolean, ingested_at:timestamp"
-)
 CHUNK_KEYS = ["tenant_id", "session_id", "chunk_seq"]
 
 USER_SESSION = _struct(

@@ -26,11 +26,13 @@ def session(app: str = "trailmark", **extra: str) -> SparkSession:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and written tables.
 
-    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``. Only where that is unset (tests,
-    a single machine) a temporary folder stands in for it.
+    On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``, which must be set there. In local mode a
+    temporary folder stands in for it where it is unset.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="trailmark-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -19,7 +19,9 @@ class Snapshot:
         """Newest committed version, or None before the first commit."""
         try:
             commits = self.spark.read.schema("version bigint").parquet(f"{self.path}/commits")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
         return commits.agg(F.max("version")).first()[0]
 

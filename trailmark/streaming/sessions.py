@@ -25,17 +25,29 @@ UPDATES_DDL = (
 
 
 def run_session_stream(
-    records: DataFrame, sites: DataFrame, updates_path: str, dead_path: str, checkpoint: str, **trigger
+    records: DataFrame,
+    sites: DataFrame,
+    updates_path: str,
+    dead_path: str,
+    checkpoint: str,
+    sessions_path: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Folds each batch into one update per session and appends the updates.
 
     Invalid records are skipped, the events job dead-letters them. Records the session store refuses are dead-lettered
-    here. A batch costs as much as its own sessions: the session table itself is only rewritten by `run_closer`.
+    here as they came. A session id belongs to the tenant that holds it in the session table or in the updates of earlier
+    batches. A batch costs as much as its own sessions and a narrow read of the ids known: the session table itself is
+    only rewritten by `run_closer`.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         good, _ = split_poison(classify_telemetry(decode_envelope(batch, "telemetry")))
-        checked = reject_unknown_refs(to_event_rows(good), sites).persist()
+        carried = [name for name in ("topic", "partition", "offset", "timestamp", "key", "value") if name in batch.columns]
+        record = good.withColumn("_record", F.struct(*carried))
+        held = owners(spark, updates_path, sessions_path, batch_id)
+        checked = reject_unknown_refs(to_event_rows(record, ["_record"]), sites, held).persist()
         try:
             (
                 sessions_ops.session_updates(checked.filter("reason IS NULL"))
@@ -45,9 +57,7 @@ def run_session_stream(
                 .partitionBy("batch_id")
                 .parquet(updates_path)
             )
-            refused = checked.filter("reason IS NOT NULL").select(
-                F.col("session_id").alias("key"), F.to_json(F.struct("event_id", "tenant_id", "site_id")).alias("value"), "reason"
-            )
+            refused = checked.filter("reason IS NOT NULL").select("_record.*", "reason")
             write_dead_letters(refused, dead_path, batch_id, "sessions")
         finally:
             checked.unpersist()
@@ -60,10 +70,23 @@ def read_updates(spark: SparkSession, updates_path: str, after_batch: int = -1)
     """Session updates of the batches behind `after_batch`; the batch is a folder, so older ones are not read."""
     try:
         return spark.read.schema(UPDATES_DDL).parquet(updates_path).filter(F.col("batch_id") > after_batch)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], UPDATES_DDL)
 
 
+def owners(spark: SparkSession, updates_path: str, sessions_path: str | None, before_batch: int) -> DataFrame:
+    """Rows (id, tenant_id): who holds each session id, by the session table, else by the first update."""
+    updates = read_updates(spark, updates_path).filter(F.col("batch_id") < before_batch)
+    rows = updates.select("id", F.struct(F.lit(1).alias("source"), "batch_id", "tenant_id").alias("claim"))
+    if sessions_path is not None:
+        table = Snapshot(spark, sessions_path, S.USER_SESSION).read()
+        stored = F.struct(F.lit(0).alias("source"), F.lit(0).cast("bigint").alias("batch_id"), "tenant_id")
+        rows = rows.unionByName(table.select("id", stored.alias("claim")))
+    return rows.groupBy("id").agg(F.min("claim").getField("tenant_id").alias("tenant_id"))
+
+
 def current_sessions(base: DataFrame, updates: DataFrame) -> DataFrame:
     """The session table as of now: the last written version with all later updates folded in."""
     return sessions_ops.upsert_sessions(base, sessions_ops.fold_updates(updates.drop("batch_id")))
