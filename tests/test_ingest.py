@@ -34,43 +34,45 @@ def envelope(**changes):
 GOOD = envelope()
 
 
-@pytest.mark.parametrize(
-    "value, reason",
-    [
-        (GOOD, None),
-        (envelope(unknownField=5), None),
-        (envelope(schemaVersion=2), "unsupported_schema_version"),
-        (envelope(schemaVersion=None), "unsupported_schema_version"),
-        (envelope(tenantId=None), "missing_tenant"),
-        (envelope(siteId=None), "missing_site"),
-        (envelope(sessionId=None), "missing_session"),
-        (envelope(event=None), "missing_event"),
-        (envelope(clientEventId=None), "missing_event_id"),
-        (envelope(type=None), "missing_type"),
-        (envelope(ts=None), "missing_ts"),
-        (envelope(receivedAt=None), "missing_ts"),
-        (envelope(type="GAZE"), "bad_type"),
-        (envelope(type="click"), "bad_type"),
-        (envelope(type=3), "bad_type"),
-        (envelope(type="GAZE", schemaVersion=2), "bad_type"),
-        (envelope(tenantId="not-an-id"), "deserialization"),
-        (envelope(ts="soon"), "deserialization"),
-        (envelope(receivedAt="yesterday"), "deserialization"),
-        ('{"schemaVersion":1', "deserialization"),
-        ("[]", "deserialization"),
-        ("null", "deserialization"),
-        ("", "deserialization"),
-        (None, "deserialization"),
-        (GOOD + " more", "deserialization"),
-        (GOOD + GOOD, "deserialization"),
-        (GOOD + ",", "deserialization"),
-        (GOOD.replace('"a": 1', '"a": 1, "a": 2'), "store_rejected"),
-    ],
-)
-def test_telemetry_reasons(spark, value, reason):
-    rows = spark.createDataFrame([(value,)], "value string")
-    classified = ingest.classify_telemetry(ingest.decode_envelope(rows, "telemetry"))
-    assert [r["reason"] for r in classified.collect()] == [reason]
+# What can be wrong, in the order in which it is told.
+TELEMETRY_FAULTS = {
+    "deserialization": [{"siteId": "17"}, {"ts": []}, {"receivedAt": "noon"}, {"schemaVersion": "one"}],
+    "bad_type": [{"type": "GAZE"}, {"type": "custom"}, {"type": False}],
+    "unsupported_schema_version": [{"schemaVersion": 0}, {"schemaVersion": None}],
+    "missing_tenant": [{"tenantId": None}],
+    "missing_site": [{"siteId": None}],
+    "missing_session": [{"sessionId": None}],
+    "missing_event_id": [{"clientEventId": None}],
+    "missing_type": [{"type": None}],
+    "missing_ts": [{"ts": None}, {"receivedAt": None}],
+}
+
+
+def reasons(spark, values, kind, classify):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, value string")
+    found = {r["i"]: r["reason"] for r in classify(ingest.decode_envelope(rows, kind)).collect()}
+    return [found[i] for i in range(len(values))]
+
+
+def test_telemetry_reasons(spark):
+    """Each fault alone and with each later one: the first is told."""
+    codes = list(TELEMETRY_FAULTS)
+    wanted, values = [], []
+    for place, code in enumerate(codes):
+        for changes in TELEMETRY_FAULTS[code]:
+            for other in [{}, *[fault for later in codes[place + 1 :] for fault in TELEMETRY_FAULTS[later]]]:
+                if not changes.keys() & other.keys():
+                    values.append(envelope(**changes, **other))
+                    wanted.append(code)
+    assert reasons(spark, values, "telemetry", ingest.classify_telemetry) == wanted
+
+
+def test_telemetry_texts(spark):
+    doubled = GOOD.replace('"a": 1', '"a": 1, "a": 2')
+    broken = ["", None, "17", '"text"', f"[{GOOD}]", GOOD[:-1], GOOD[1:], GOOD + "0", GOOD + "\n" + GOOD]
+    values = [GOOD, f"\t{GOOD}\n", envelope(more={"x": [1]}), doubled, *broken, envelope(event=None), envelope(event=None, siteId=None)]
+    wanted = [None] * 3 + ["store_rejected"] + ["deserialization"] * len(broken) + ["missing_event", "missing_site"]
+    assert reasons(spark, values, "telemetry", ingest.classify_telemetry) == wanted
 
 
 def test_event_rows(spark):
@@ -98,29 +100,15 @@ def chunk(**changes):
     return json.dumps({k: v for k, v in whole.items() if v is not None})
 
 
-@pytest.mark.parametrize(
-    "value, reason",
-    [
-        (chunk(), None),
-        (chunk(events=None, payload="AAAA"), "unsupported_payload"),
-        (chunk(payload="AAAA"), "invalid_chunk"),
-        (chunk(chunkSeq=-1), "invalid_chunk"),
-        (chunk(events=None), "invalid_chunk"),
-        (chunk(events=[]), "invalid_chunk"),
-        (chunk(events={"type": 3}), "invalid_chunk"),
-        (chunk(events=[{"type": 3}]), "invalid_chunk"),
-        (chunk(events=[{"timestamp": "5"}]), "invalid_chunk"),
-        (chunk(events=[{"timestamp": 5}, 7]), "invalid_chunk"),
-        (chunk(tenantId=None), "missing_tenant"),
-        (chunk(receivedAt=None), "missing_ts"),
-        (chunk(schemaVersion=3), "unsupported_schema_version"),
-        ("{", "deserialization"),
-    ],
-)
-def test_replay_reasons(spark, value, reason):
-    rows = spark.createDataFrame([(value,)], "value string")
-    classified = ingest.classify_replay(ingest.decode_envelope(rows, "replay"))
-    assert [r["reason"] for r in classified.collect()] == [reason]
+def test_replay_reasons(spark):
+    lists = [None, [], "text", {}, [1], [None], [{}], [{"timestamp": True}], [{"timestamp": 1}, {"timestamp": None}]]
+    values = [chunk(events=events) for events in lists] + [chunk(chunkSeq=-7), chunk(payload="Zg==")]
+    wanted = ["invalid_chunk"] * len(values)
+    values += [chunk(), chunk(chunkSeq=None), chunk(events=[{"timestamp": 0.5}] * 3), chunk(events=None, payload="Zg=="), chunk()[:-2]]
+    wanted += [None, None, None, "unsupported_payload", "deserialization"]
+    values += [chunk(**{name: None, "events": []}) for name in ("schemaVersion", "tenantId", "siteId", "sessionId", "receivedAt")]
+    wanted += ["unsupported_schema_version", "missing_tenant", "missing_site", "missing_session", "missing_ts"]
+    assert reasons(spark, values, "replay", ingest.classify_replay) == wanted
 
 
 def event(ts=T0, **changes):
@@ -140,32 +128,32 @@ def body(*events, session=ID.format(3), **more):
     return json.dumps({k: v for k, v in whole.items() if v is not None})
 
 
-@pytest.mark.parametrize(
-    "text, rejection",
-    [
-        (body(event()), None),
-        (body(event(type="GAZE")), None),
-        (body(event(type="GAZE", ts=None)), None),
-        (body(session="nope"), "invalid"),
-        (body(event(), session="nope"), "invalid"),
-        (body(event(), session=None), "invalid"),
-        (body(), "invalid"),
-        (body(event(clientEventId="x")), "invalid"),
-        (body(event(clientEventId=None)), "invalid"),
-        (body(event(type=None)), "invalid"),
-        (body(event(type=7)), "invalid"),
-        (body(event(ts=None)), "invalid"),
-        (body(event(props=[1])), "invalid"),
-        (body(event(), event(ts=None)), "invalid"),
-        ("{nope", "invalid"),
-        (body(*[event()] * 500), None),
-        (body(*[event()] * 501), "too_large"),
-        (body(*[event(type="GAZE")] * 501), "too_large"),
-    ],
-)
-def test_batches(spark, text, rejection):
-    judged = ingest.validate_batches(ingest.parse_batches(bodies(spark, text)))
-    assert [r["rejection"] for r in judged.collect()] == [rejection]
+def test_batch_rules(spark):
+    """A fault in any place of a body, alone and in a body that is too large."""
+    unbound = [{"clientEventId": "x"}, {"type": 7}, {"ts": "now"}]
+    lacking = [{"clientEventId": None}, {"type": None}, {"ts": None}, {"props": "text"}]
+    strange = event(type="GAZE", ts=None)
+    texts, wanted = [], []
+
+    def add(rejection, *events, **more):
+        texts.append(body(*events, **more))
+        wanted.append(rejection)
+
+    for changes in unbound + lacking:
+        add("invalid", event(**changes))
+        add("invalid", event(), strange, event(**changes), event())
+        add("invalid" if changes in unbound else "too_large", *[event()] * 500, event(**changes))
+    for count, rejection in ((1, None), (500, None), (501, "too_large")):
+        add(rejection, *[event()] * count)
+        add(rejection, *[strange] * count)
+        add(rejection, *[event(), strange] * (count // 2), *[event()] * (count % 2))
+    for session in (None, "", "123"):
+        add("invalid", event(), session=session)
+        add("invalid", *[event()] * 501, session=session)
+    add("invalid")
+    judged = ingest.validate_batches(ingest.parse_batches(bodies(spark, *texts)))
+    found = {r["i"]: r["rejection"] for r in judged.select("i", "rejection").collect()}
+    assert [found[i] for i in range(len(texts))] == wanted
 
 
 def test_window_and_unknown_types(spark):
@@ -190,32 +178,23 @@ def test_window_and_unknown_types(spark):
     }
 
 
-def test_redacts_before_it_truncates(spark):
-    long = "y" * 1019 + " kim@mail.example"
-    text = body(
-        event(url="https://web.test/p?m=kim%40mail.example", targetText=long, errorStack="z" * 9000, errorMessage="4242 4242 4242 4242"),
-        anonymousId="n" * 200,
-    )
-    row = ingest.accept_batches(bodies(spark, text)).first()
-    assert row["event"]["url"] == "https://web.test/p?m=%5Bemail%5D"
-    assert row["event"]["errorMessage"] == "[card]"
-    assert len(row["event"]["targetText"]) == 1024 and "kim" not in row["event"]["targetText"]
-    assert len(row["event"]["errorStack"]) == 8192
-    assert len(row["anonymous_id"]) == 128
+@pytest.mark.parametrize("name, limit", [("targetText", 1024), ("errorMessage", 2048), ("errorStack", 8192)])
+def test_a_cut_leaves_no_half_address(spark, name, limit):
+    """An address across the limit, at every place of it, is redacted as a whole and then cut."""
+    address = "b.c@de.fgh"
+    texts = [body(event(**{name: "-" * (limit - inside) + " " + address + " tail"})) for inside in range(len(address) + 2)]
+    found = ingest.accept_batches(bodies(spark, *texts)).select(f"event.{name}").collect()
+    assert len(found) == len(texts)
+    assert {row[name] for row in found} == {("-" * (limit - inside) + " [email] tail")[:limit] for inside in range(len(address) + 2)}
 
 
 def test_replay_bodies(spark):
-    sid = ID.format(3)
-    texts = [
-        json.dumps({"sessionId": sid, "chunkSeq": 1, "events": [{"type": 2}]}),
-        json.dumps({"sessionId": sid, "chunkSeq": 1, "payload": "AA", "events": [{"type": 2}]}),
-        json.dumps({"sessionId": sid, "chunkSeq": 0, "payload": "AA"}),
-        json.dumps({"sessionId": sid, "chunkSeq": -1, "events": []}),
-        json.dumps({"sessionId": sid, "chunkSeq": 1, "events": {"type": 2}}),
-        json.dumps({"sessionId": sid, "events": []}),
-    ]
-    rows = ingest.replay_envelopes(bodies(spark, *texts)).collect()
-    assert [r["rejection"] for r in rows] == [None, None, "invalid", "invalid", "invalid", "invalid"]
+    good = {"sessionId": ID.format(3), "chunkSeq": 4, "events": [{"type": 3}, {}]}
+    changes = [{}, {"payload": "x"}, {"chunkSeq": 0}, {"events": None}, {"events": "[]"}, {"events": {}}, {"chunkSeq": None}, {"chunkSeq": -2}, {"sessionId": "3"}]
+    texts = [json.dumps({k: v for k, v in {**good, **change}.items() if v is not None}) for change in changes]
+    found = {r["i"]: r["rejection"] for r in ingest.replay_envelopes(bodies(spark, *texts)).collect()}
+    # A text that begins like an array is one on the wire as well.
+    assert [found[i] is None for i in range(len(texts))] == [True] * 3 + [False, True] + [False] * 4
 
 
 def test_site_keys(spark):

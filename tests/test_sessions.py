@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from helpers import T0, at, events, moment
 from pyspark.sql import functions as F
 
 from trailmark import schemas as S
 from trailmark.operators import sessions as ops
+from trailmark.session import written
 
 MINUTE = 60_000
 CHROME = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/131.0.0.0 Safari/537.36"
@@ -68,14 +71,6 @@ def test_out_of_order(spark):
     assert (row["entry_url"], row["entry_at"], row["version"]) == ("first", at(T0), 1)
 
 
-def test_late_event_extends_and_flags(spark):
-    table = track(spark, empty(spark), [("s", "1", 0, "CLICK")]).withColumn("ended_at", moment(T0))
-    row = only(track(spark, table, [("s", "2", 90_000, "CLICK", {"received": 120_000})]))
-    assert row["needs_recompute"] and row["ended_at"] == at(T0 + 90_000) and row["last_active_at"] == at(T0 + 120_000)
-    same = only(track(spark, table, [("s", "1", 0, "CLICK")]))
-    assert not same["needs_recompute"] and same["version"] == 0
-
-
 def test_folding_updates_equals_one_batch(spark):
     rows = [nav("s", f"{i}", i * 10, f"u{i}", received=500 - i, ua=CHROME if i == 3 else " ") for i in range(6)]
     whole = ops.session_updates(events(spark, rows))
@@ -90,50 +85,62 @@ def test_another_tenant_cannot_touch_a_session(spark):
     assert row["tenant_id"] == "t1" and row["version"] == 0 and row["last_active_at"] == at(T0)
 
 
-STORY = [
-    nav("s", "1", 0, "https://web.test/a"),
-    nav("s", "2", 1000, "https://web.test/a#faq"),
-    nav("s", "3", 2000, "https://web.test/b"),
-    ("s", "4", 3000, "EXCEPTION"),
-    ("s", "5", 4000, "CONSOLE_ERROR"),
-    ("s", "6", 5000, "CLICK"),
-]
-
-
-def test_closes_idle_sessions_once(spark):
-    stored, table = events(spark, STORY), track(spark, empty(spark), STORY)
-    now = moment(T0 + 5000 + 10 * MINUTE)
-    untouched, none = ops.close_sessions(table, stored, now, 60 * MINUTE)
-    assert none.count() == 0 and only(untouched)["ended_at"] is None
-    closed, records = ops.close_sessions(table, stored, now, 5 * MINUTE)
-    row, record = only(closed), only(records)
-    assert (row["ended_at"], row["duration_ms"], row["page_count"], row["error_count"]) == (at(T0 + 5000), 5000, 2, 2)
-    assert (record["type"], record["pageCount"], record["errorCount"], record["durationMs"]) == ("CLOSED", 2, 2, 5000)
-    _, again = ops.close_sessions(closed, stored, now, 5 * MINUTE)
-    assert again.count() == 0
-
-
-def test_late_event_is_recounted_without_waiting(spark):
-    first = [nav("s", "1", 0, "a")]
-    late = [("s", "2", 30_000, "EXCEPTION", {"received": 11 * MINUTE})]
-    table, _ = ops.close_sessions(track(spark, empty(spark), first), events(spark, first), moment(T0 + 10 * MINUTE), 5 * MINUTE)
-    table = track(spark, table, late)
-    assert only(table)["needs_recompute"]
-    table, records = ops.close_sessions(table, events(spark, first + late), moment(T0 + 12 * MINUTE), 60 * MINUTE)
-    row = only(table)
-    assert (row["needs_recompute"], row["error_count"], row["duration_ms"]) == (False, 1, 30_000)
-    assert only(records)["type"] == "UPDATED"
-
-
-@pytest.mark.parametrize("idle_for, closed", [(15, False), (25, True)])
-def test_sessions_without_stored_events_are_deferred(spark, idle_for, closed):
-    table = track(spark, empty(spark), [("s", "1", 0, "CLICK")])
-    none = events(spark, [("other", "9", 0, "CLICK")])
-    after, records = ops.close_sessions(table, none, moment(T0 + idle_for * MINUTE), 10 * MINUTE)
-    row = only(after)
-    assert (row["ended_at"] is not None) == closed and records.count() == int(closed)
-    if closed:
-        assert (row["page_count"], row["error_count"], row["duration_ms"]) == (0, 0, 0)
+class Model:
+    """Sessions in plain Python: what the table and the closing job have to say."""
+
+    def __init__(self):
+        self.stored, self.rows = [], {}
+
+    def receive(self, rows, stored=True):
+        self.stored += rows if stored else []
+        for session, _, ms, kind, more in rows:
+            row = self.rows.setdefault(session, {"start": ms, "active": more["received"], "end": None, "flag": False, "counts": (0, 0)})
+            late = row["end"] is not None and (ms < row["start"] or more["received"] > row["active"])
+            row["start"], row["active"] = min(row["start"], ms), max(row["active"], more["received"])
+            if late:
+                row["end"], row["flag"] = max(row["end"], ms), True
+
+    def close(self, now, idle):
+        out = {}
+        for session, row in self.rows.items():
+            own = sorted((ms, event_id, kind, more) for s, event_id, ms, kind, more in self.stored if s == session)
+            is_open = row["end"] is None
+            if not (row["flag"] or is_open and row["active"] < now - idle):
+                continue
+            if not own and is_open and row["active"] > now - 2 * idle:
+                continue
+            pages = [more["url"] for _, _, kind, more in own if kind == "NAVIGATION"]
+            counts = sum(a != b for a, b in zip([None, *pages], pages)), sum(kind == "EXCEPTION" for _, _, kind, _ in own)
+            row["end"], row["flag"], row["counts"] = (own[-1][0] if own else row["start"]), False, counts
+            out[session] = ("CLOSED" if is_open else "UPDATED", *counts, own[-1][0] - own[0][0] if own else 0)
+        return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passes_of_the_closing_job(spark, seed):
+    """Batches at random, some late and some not stored, with a pass behind each."""
+    draw, model, table, number, clock = random.Random(seed), Model(), empty(spark), 0, 0
+    for batch in range(3):
+        clock += draw.choice([7, 40]) * MINUTE
+        rows, lost = [], []
+        for _ in range(25):
+            number += 1
+            session = f"s{draw.randrange(9)}"
+            ms = clock - draw.randrange(1, 30 * MINUTE) * (1 if draw.random() < 0.8 else 3)
+            more = {"received": clock + number, "url": draw.choice("pqr")}
+            kind = draw.choice(["NAVIGATION", "EXCEPTION", "CLICK"])
+            target = lost if session in ("s7", "s8") and batch < 2 else rows
+            target.append((session, f"{number:04d}", ms, kind, more))
+        model.receive(rows)
+        model.receive(lost, stored=False)
+        table = written(track(spark, table, rows + lost), "model")
+        now, idle = clock + draw.choice([3, 21]) * MINUTE, 20 * MINUTE
+        table, records = ops.close_sessions(table, events(spark, model.stored), moment(T0 + now), idle)
+        found = {r["sessionId"]: (r["type"], r["pageCount"], r["errorCount"], r["durationMs"]) for r in records.collect()}
+        assert found == model.close(now, idle)
+        table = written(table, "model")
+        state = {r["id"]: (r["ended_at"], r["needs_recompute"], (r["page_count"], r["error_count"])) for r in table.collect()}
+        assert state == {k: (None if v["end"] is None else at(T0 + v["end"]), v["flag"], v["counts"]) for k, v in model.rows.items()}
 
 
 def test_claims_take_the_longest_idle_first(spark):

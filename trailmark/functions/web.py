@@ -37,7 +37,7 @@ def origin_allowed(origin: Column, allowed: Column) -> Column:
         rest = F.substring(given, F.length(base) + 1, F.length(given))
         host_only = base.contains("://") & ~F.endswith(base, F.lit("/"))
         port_ok = (given == base) | (F.startswith(given, base) & rest.rlike("^:[0-9]{1,5}$"))
-        return F.when(any_port, host_only & port_ok).otherwise(entry == given)
+        return F.when(any_port, host_only & port_ok).otherwise((entry == given) & (entry != "*"))
 
     usable = (F.trim(origin) != "") & (origin != "null")
     return F.coalesce(usable & F.exists(allowed, lambda entry: F.coalesce(matches(entry), F.lit(False))), F.lit(False))

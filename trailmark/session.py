@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Batches of whole texts for Python; long documents make large batches.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
