@@ -78,6 +78,17 @@ def is_latin(word: str) -> bool:
     return word.isalpha() and max(word) < LATIN_END and "İ" not in word
 
 
+def lowered(text: str) -> str:
+    """The text in lower case where that is the same letter by letter, so that fewer words are different."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class LowerWords:
     """Ids of texts in such a vocabulary, by the tokenizers library, as little-endian 32-bit integers."""
 
@@ -105,7 +116,7 @@ class LowerWords:
         self.recent = Recent(make)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.recent.__getitem__, split_words(text)))
+        return b"".join(map(self.recent.__getitem__, split_words(lowered(text))))
 
 
 class SpacedWords:
