@@ -37,8 +37,8 @@ from trailmark.session import written
 DEPTH = 5  # bytes of context
 TOP = 3  # bytes of context that name a shard
 START, END = 0xFE, 0xFF  # never part of UTF-8
-BLOCK = 32 << 20
-PIECE = 4 << 20  # bytes of text whose strings are held one by one
+BLOCK = 12 << 20
+PIECE = 2 << 20  # bytes of text whose strings and words are held one by one
 FOLDS, HELD_OUT = 7, 2
 WORD_END = b"\xff"
 LEAST_SHARDS = 64
@@ -413,27 +413,31 @@ def score_block(texts: pa.Table, model: pa.Table, total: int, distinct: int) ->
         return pa.Table.from_batches([], SCORES_SCHEMA)
     numbers = texts.column("doc_id").to_pylist()
     data = [(value or b"").lower() for chunk in texts.column("text").chunks for value in utf8(chunk)]
-    known, scores = answered(STRINGS, np.float32), []
+    of_strings, of_words = answered(STRINGS, np.float32), answered(WORDS, np.int64)
+    scores, bases, tokens, knowns = [], [], [], []
     for start, end in pieces(data):
         keys, sizes = strings_of(data[start:end])
         codes, used = pd.factorize(keys)
-        logs = look_up(known, used).astype(np.float64)[codes]
+        logs = look_up(of_strings, used).astype(np.float64)[codes]
         scores.append(np.add.reduceat(logs, np.cumsum(sizes) - sizes))
+        del keys, codes, logs
+        lists = [[*text.split(), WORD_END] for text in data[start:end]]
+        words = list(dict.fromkeys(word for words in lists for word in words))
+        counts = look_up(of_words, np.array(hashes(words), np.uint64))
+        base = dict(zip(words, np.log10((counts + 1) / (total + distinct + 1)).tolist(), strict=True))
+        known = dict(zip(words, (counts > 0).tolist(), strict=True))
+        tokens += map(len, lists)
+        bases += [sum(map(base.__getitem__, words)) for words in lists]
+        knowns += [sum(map(known.__getitem__, words)) for words in lists]
     scores = np.concatenate(scores)
     sizes = np.array([len(text) + 1 for text in data])
-
-    lists = [[*text.split(), WORD_END] for text in data]
-    words = list(dict.fromkeys(word for words in lists for word in words))
-    counts = look_up(answered(WORDS, np.int64), np.array(hashes(words), np.uint64))
-    base = dict(zip(words, np.log10((counts + 1) / (total + distinct + 1)).tolist(), strict=True))
-    known = dict(zip(words, (counts > 0).tolist(), strict=True))
     rows = {
         "doc_id": pa.array(numbers, pa.int64()),
         "held_out": pa.array([is_held_out(number) for number in numbers], pa.bool_()),
-        "n_tokens": pa.array([len(words) for words in lists], pa.int64()),
-        "n_known": pa.array([sum(map(known.__getitem__, words)) for words in lists], pa.int64()),
-        "train_tokens": pa.array([total] * len(lists), pa.int64()),
-        "base_score": pa.array([sum(map(base.__getitem__, words)) for words in lists], pa.float64()),
+        "n_tokens": pa.array(tokens, pa.int64()),
+        "n_known": pa.array(knowns, pa.int64()),
+        "train_tokens": pa.array([total] * len(data), pa.int64()),
+        "base_score": pa.array(bases, pa.float64()),
         "score": pa.array(scores),
         "n_bytes": pa.array(sizes - 1),
         "bits_per_byte": pa.array(-scores * np.log2(10) / np.maximum(1, sizes - 1)),
