@@ -103,7 +103,8 @@ def test_tracker_and_closer(spark, paths):
     message = lifecycle_messages(lifecycle.drop("batch_id")).first()
     assert message["key"] == ID.format(3) and json.loads(message["value"])["schemaVersion"] == 1
     dead = spark.read.parquet(paths("dead2")).collect()
-    assert [(r["key"], r["reason"], r["consumer"]) for r in dead] == [(ID.format(9), "store_rejected", "sessions")]
+    assert [(r["key"], r["reason"], r["consumer"]) for r in dead] == [(ID.format(3), "store_rejected", "sessions")]
+    assert json.loads(dead[0]["value"])["sessionId"] == ID.format(9) and dead[0]["topic"]
 
 
 def test_snapshot_shows_only_committed_versions(spark, paths):
