@@ -39,6 +39,8 @@ QUERIES = [
     "replay_integrity",
     "nearest_insights",
     "offset_runs",
+    "list_sessions",
+    "events_stream",
 ]
 
 

@@ -6,12 +6,13 @@ import io
 import pytest
 from helpers import events, moment
 
-import __spark_entry__ as entry
 from trailmark import schemas as S
 from trailmark.operators import tables
+from trailmark.plans import load
 from trailmark.sources.writers import write_events
 
 FOLDER = "/root/testdata/sf0.001"
+RUNS = load()[0]
 RUNNING = {"events_stream", "replay_stream", "session_stream", "closer_job", "lifecycle_stream", "dedup_stream", "compact_days", "close_sessions"}
 
 
@@ -49,9 +50,9 @@ def test_narrow_reads_read_few_columns(stored):
     assert "url" in schemas[0] and set(S.EVENT_KEYS) <= set(stored.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - RUNNING))
+@pytest.mark.parametrize("name", sorted(set(RUNS) - RUNNING))
 def test_no_nested_loops(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(RUNS[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 

@@ -169,7 +169,8 @@ def lag_report(events: DataFrame, ts: str = "ts", written: str = "ingested_at")
     lag = F.unix_millis(F.col(written)) - F.unix_millis(F.col(ts))
     lags = percentiles(events, lag, {"p50_ms": 0.5, "p95_ms": 0.95})
     times = percentiles(events, F.floor(F.unix_millis(F.col(written)) / 1000), {"_t10": 0.1, "_t90": 0.9})
-    both = lags.crossJoin(times.select("_t10", "_t90"))  # one row each
+    both = lags.unionByName(times.select("_t10", "_t90"), allowMissingColumns=True)  # one row each
+    both = both.agg(*[F.max(name).alias(name) for name in ("n", "p50_ms", "p95_ms", "most", "_t10", "_t90")])
     rate = F.when(F.col("_t90") > F.col("_t10"), F.col("n") * 0.8 / (F.col("_t90") - F.col("_t10")))
     return both.select(F.coalesce("n", F.lit(0)).alias("n"), "p50_ms", "p95_ms", F.col("most").alias("max_ms"), rate.alias("rows_per_second"))
 
