@@ -34,6 +34,7 @@ PACE = 0.3
 PENALTY = 1e-4
 REJECT = {"toxic": 0.3, "low": 0.5}  # passing on a toxic text is worse than losing a sound one
 FAULTS = ("toxic", "low")
+WORDS = 150_000  # words whose features a worker remembers
 SITES = 50_000  # sites up to which their table is handed to all tasks; beyond, documents are shuffled to it
 STRIPPED = b".,;:!?\"'()[]{}|"
 SYMBOLS = b"#*$%&|<>!@^~=+_\\/"
@@ -73,7 +74,7 @@ def features(data: bytes):
     """Distinct features of a text."""
     import numpy as np
 
-    recent = once_per_worker("features", lambda: Recent(word_features))
+    recent = once_per_worker("features", lambda: Recent(word_features, WORDS))
     words = data.split()
     distinct = set(data.lower().split())
     return np.unique(np.frombuffer(b"".join(map(recent.__getitem__, distinct)) + shape_features(data, words, len(distinct)), "<i4"))

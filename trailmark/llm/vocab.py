@@ -143,8 +143,9 @@ class SpacedWords:
         self.specials = {name: np.array([number], "<u4").tobytes() for name, number in specials.items()}
         self.pattern = re.compile("(" + "|".join(map(re.escape, specials)) + ")")
         self.whole = lambda text: np.array(coder.encode_ordinary(text), "<u4").tobytes()
-        self.bare = Recent(lambda word: self.make("", word))
-        self.after_space = Recent(lambda word: self.make(" ", word))
+        # Smaller, for a worker may hold these beside the words of other stages.
+        self.bare = Recent(lambda word: self.make("", word), RECENT // 5)
+        self.after_space = Recent(lambda word: self.make(" ", word), RECENT // 2)
         self.line = self.whole("\n")
 
     def make(self, space: str, word: str) -> bytes:
