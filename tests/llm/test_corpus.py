@@ -243,6 +243,21 @@ def test_nn_descent(spark):
     assert descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_dense_groups(spark):
+    draw = np.random.default_rng(9)
+    axes = np.linalg.qr(draw.standard_normal((64, 64)))[0]
+    centres = [axes[0], 0.985 * axes[0] + math.sqrt(1 - 0.985**2) * axes[1], axes[2]]
+    rows = [(300 * k + i, centre + draw.standard_normal(64) * math.sqrt(0.001 / 64), 1) for k, centre in enumerate(centres) for i in range(100)]
+    rows = [(i, [float(x) for x in v.astype("float32")], label) for i, v, label in rows]
+    units = np.array([v for _, v, _ in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    linked = units @ units.T >= 0.98
+    assert linked[:200, :200].all() and not linked[:200, 200:].any()
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in descent.near_duplicates(df).collect()}
+    assert got == {(row[0], int(linked[i].sum()) - 1, 0 if i < 200 else 600, i in (0, 200)) for i, row in enumerate(rows)}
+
+
 def test_audit_of_recall(spark):
     df, _ = embeddings(spark)
     found = descent.near_duplicates(df)

@@ -8,8 +8,12 @@ Vectors with the same label and the same components are one node. Per label a gr
 * A list whose `NEAR` entries are all above the threshold is saturated and grows to `WIDEST` while it finds links.
 * Edges at or above the threshold are links, exact cosines in double precision; components follow from them.
 
-Lists end at `WIDEST`. In a component with a list that is full even then, nothing is left to chance: all its vectors are
-compared in blocks, so that links are counted exactly whatever the size of a group of copies; only counts leave a task.
+Lists end at `WIDEST`. A met link that both its lists have cut has a full list on either side, so it lies in or between
+components with a full list, and there nothing is left to chance. Such a component is held by a ball: its smallest node
+and the largest angle to it. By the triangle inequality two components have a link only if their balls are no further apart
+than the angle of the threshold. Components that can touch, directly or over others, are compared as one group in blocks, so
+that links are counted exactly whatever the size of a group of copies, and components with a link between them become one;
+only counts and a spanning forest of components leave a task.
 `audit` measures the recall of the links against brute force for the rows whose id is divisible by 100.
 
 Rows without label, and vectors that are null, zero, or hold null or non-finite components, link with nothing. Vectors of
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.components import components, groups, join_anew, spread
+from trailmark.llm.components import Sets, components, groups, join_anew, spread
 from trailmark.session import written
 
 THRESHOLD = 0.98
@@ -32,6 +36,7 @@ PLANES = 20
 TABLES = 6
 GROUP = 48
 BLOCK = 1024
+SLACK = 1e-6  # radians; cosines near 1 are exact to about 1e-8 as angles
 
 CANDIDATES = "node bigint, other bigint, sim double"
 
@@ -153,28 +158,101 @@ def neighbours(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return lists.select("node", "other", "sim")
 
 
-def count_links(members: DataFrame) -> DataFrame:
-    """Rows (node, links) of `members` (root, node, vector, copies), by comparing all of a component in blocks."""
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors of one length."""
+
+    @F.arrow_udf("double")
+    def of_pairs(ones: pa.Array, others: pa.Array) -> pa.Array:
+        import numpy as np
+
+        out = np.zeros(len(ones))
+        sizes = ones.value_lengths().to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            here = np.flatnonzero(sizes == size)
+            out[here] = (units(ones.take(pa.array(here))) * units(others.take(pa.array(here)))).sum(axis=1)
+        return pa.array(out)
+
+    return of_pairs(a, b)
+
+
+def forest_of(sets: Sets, names) -> pa.RecordBatch:
+    """Edges (a, b) between the `names` of a set, one less than it has members."""
+    pairs = [(place, sets.root(place)) for place in range(len(names)) if sets.root(place) != place]
+    a, b = ([names[pair[side]] for pair in pairs] for side in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def touching(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the roots of `members` (kind, root, node, vector) between which there can be links."""
+
+    def touch(batches):
+        import numpy as np
+
+        for group in groups(batches, ["kind", "low", "high"]):
+            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+            names, block = group.column("root").to_pylist(), group.column("block").to_numpy()
+            vectors, radius = units(group.column("vector")), group.column("radius").to_numpy()
+            sets, (a, b) = Sets(len(names)), (np.flatnonzero(block == one) for one in (low, high))
+            for at in range(0, len(a), BLOCK):
+                part = a[at : at + BLOCK]
+                apart = np.arccos(np.clip(vectors[part] @ vectors[b].T, -1, 1))
+                near = apart <= radius[part][:, None] + radius[b][None, :] + np.arccos(THRESHOLD) + SLACK
+                for x, y in np.argwhere(near).tolist():
+                    sets.join(int(part[x]), int(b[y]))
+            yield forest_of(sets, names)
+
+    centres = members.where("node = root").select("root", F.col("vector").alias("centre"))
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vector"), F.col("centre")))))
+    radii = join_anew(members.select("root", "vector"), centres, "root").select("root", angle.alias("angle"))
+    radii = radii.groupBy("root").agg(F.max("angle").alias("radius"))
+    balls = written(join_anew(members.where("node = root").select("kind", "root", "vector"), radii, "root"), "balls")
+    sizes = balls.groupBy("kind").agg(F.count("*").alias("n"))
+    dealt = spread(balls, "kind", "root", BLOCK, sizes).select("kind", "low", "high", "block", "root", "vector", "radius")
+    dealt = dealt.repartition("kind", "low", "high").sortWithinPartitions("kind", "low", "high", "root")
+    return dealt.mapInArrow(touch, "a bigint, b bigint")
+
+
+def count_links(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, links) of `members` (kind, root, node, vector, copies), and edges (a, b) between roots with links.
+
+    All vectors of components that can touch are compared, in blocks.
+    """
 
     def count(batches):
         import numpy as np
 
-        for group in groups(batches, ["root", "low", "high"]):
+        for group in groups(batches, ["area", "low", "high"]):
             low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
             nodes, block = group.column("node").to_numpy(), group.column("block").to_numpy()
             copies, vectors = group.column("copies").to_numpy(), units(group.column("vector"))
+            names, own = np.unique(group.column("root").to_numpy(), return_inverse=True)
+            sets = Sets(len(names))
             for one, other in {(low, high), (high, low)}:
                 a, b = np.flatnonzero(block == one), np.flatnonzero(block == other)
                 for at in range(0, len(a), BLOCK):
                     part = a[at : at + BLOCK]
                     linked = (vectors[part] @ vectors[b].T >= THRESHOLD) & (nodes[part][:, None] != nodes[b][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(linked @ copies[b])], ["node", "links"])
-
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    dealt = spread(members, "root", "node", BLOCK, sizes)
-    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
-    dealt = dealt.select("root", "low", "high", "block", "node", "vector", "copies")
-    return dealt.mapInArrow(count, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+                    none = pa.nulls(len(part), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(linked @ copies[b]), none, none], names_of)
+                    if one == low and len(names) > 1:
+                        x, y = np.nonzero(linked & (own[part][:, None] != own[b][None, :]))
+                        for pair in np.unique(own[part][x] * len(names) + own[b][y]).tolist():
+                            sets.join(*divmod(pair, len(names)))
+            edges = forest_of(sets, names)
+            none = pa.nulls(len(edges), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *edges.columns], names_of)
+
+    names_of = ["node", "links", "a", "b"]
+    areas = components(touching(members)).select(F.col("node").alias("root"), F.col("root").alias("area"))
+    members = join_anew(members, areas, "root", "left").withColumn("area", F.coalesce("area", "root"))
+    members = written(members, "areas")
+    sizes = members.groupBy("area").agg(F.count("*").alias("n"))
+    dealt = spread(members, "area", "node", BLOCK, sizes)
+    dealt = dealt.repartition("area", "low", "high").sortWithinPartitions("area", "low", "high", "node")
+    dealt = dealt.select("area", "low", "high", "block", "root", "node", "vector", "copies")
+    counted = written(dealt.mapInArrow(count, ", ".join(f"{name} bigint" for name in names_of)), "counted")
+    links = counted.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    return links, counted.where("a IS NOT NULL").select("a", "b")
 
 
 def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -191,17 +269,19 @@ def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
     edges = written(edges.distinct(), "links")
     roots = written(components(edges), "components")
 
-    # Links of every node in short lists; of components with a full list by comparing all.
+    # Links of every node in short lists; of components with a full list, and between these, by comparing all.
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = nodes.select(F.col("node").alias("b"), "copies")
     short = join_anew(both, copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
     full = graph.where(F.col("sim") >= THRESHOLD).groupBy("node").count().where(F.col("count") >= WIDEST).select("node")
     full = roots.join(full, "node").select("root").distinct().withColumn("dense", F.lit(True))
     rooted = written(join_anew(roots, full, "root", "left"), "rooted")
-    members = rooted.where("dense").select("root", "node").join(nodes.select("node", "vector", "copies"), "node")
-    exact = count_links(written(members, "dense"))
+    members = rooted.where("dense").select("root", "node").join(nodes.select("node", "kind", "vector", "copies"), "node")
+    exact, across = count_links(written(members, "dense"))
     sparse = rooted.where("dense IS NULL").select("node").join(short, "node")
     links = sparse.select("node", "links").unionByName(exact)
+    merged = components(across).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    rooted = join_anew(rooted, merged, "root", "left").withColumn("root", F.coalesce("whole", "root"))
 
     known = nodes.join(rooted.select("node", "root"), "node", "left").join(links, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
