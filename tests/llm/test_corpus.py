@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -198,6 +199,43 @@ def test_drop_copies(spark):
     assert simhash.drop_copies(docs.limit(0)).count() == 0
 
 
+def test_copies_that_repeat_a_line(spark):
+    draw = random.Random(11)
+    rows = []
+    for i in range(20):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(308)]
+        rows += [(4 * i, " ".join(words)), (4 * i + 1, " ".join(words + 19 * words[300:]))]
+        rows += [(4 * i + 2, " ".join(words[:200] + 6 * words[7:8])), (4 * i + 3, " ".join(words[:200] + 150 * words[7:8]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = kept_by_hand(rows)
+    assert len(want) == 40
+    assert Counter(row["doc_id"] for row in simhash.drop_copies(docs).collect()) == want
+
+
+@pytest.mark.parametrize("blocks", [[0], [0, 1]])
+def test_copies_beyond_the_radius(blocks):
+    draw = np.random.default_rng(12)
+    common = draw.integers(0, 2**32, 300, dtype=np.uint32)  # a long line that all texts share
+    sets = []
+    for _ in range(20):
+        base = draw.integers(0, 2**32, 100, dtype=np.uint32)
+        sets += [np.unique(np.concatenate([common[:150], base])), np.unique(np.concatenate([common[:150], base[n:]])) if (n := draw.integers(0, 90)) else common]
+    prints = [int(x) for x in draw.integers(-(2**63), 2**63 - 1, len(sets))]  # far from each other
+    own = [i % len(blocks) for i in range(len(sets))]
+    columns = {"key": [1] * len(sets), "low": [0] * len(sets), "high": [blocks[-1]] * len(sets), "block": own, "row": list(range(len(sets))), "node": prints}
+    columns["shingles"] = [x.tobytes() for x in sets]
+    got, want = Groups(len(sets)), Groups(len(sets))
+    for edges in simhash.copy_forest([pa.RecordBatch.from_pydict(columns)], 0.8):
+        for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+            got.join(a, b)
+    for i in range(len(sets)):
+        for k in range(i):
+            if (len(blocks) == 1 or own[i] != own[k]) and simhash.similarity(sets[i], sets[k]) >= 0.8:
+                want.join(i, k)
+    roots = [want.root(i) for i in range(len(sets))]
+    assert [got.root(i) for i in range(len(sets))] == roots and 20 < len(set(roots)) < 40
+
+
 # NN-descent
 
 

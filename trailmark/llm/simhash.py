@@ -14,6 +14,8 @@ Null texts count as empty; texts without words have fingerprint zero. Rows are n
 give one row each, and null ids are ignored where the smallest id is taken.
 """
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,13 +194,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 # in more bits than bands can bridge, so shards are named by the smallest shingle hash under each of `KEYS` permutations:
 # at similarity s, two texts miss each other with probability (1 - s) ** KEYS, which is 0.0003 at 0.8. Within a shard
 # the BK-tree is asked with radius `NEAR`, and what it finds is compared shingle by shingle unless it is known to belong
-# together already. So a large group costs about one comparison for each of its texts.
+# together already. So a large group costs about one comparison for each of its texts. Fingerprints are taken from the
+# distinct shingles, since the measure does not count repeats either.
+#
+# The radius is a short cut, not a bound. Pairs of a shard that are not known to belong together after it are compared if
+# they share one of their rarest shingles: with s similar or more, each of two sets has at least s of its shingles in
+# the other, so that in any common order the first 1 - s of both, and one more, have a shingle in common.
 
 COPY_WIDTH = 5
 SIMILAR = 0.8
 KEYS = 5
 NEAR = 20  # bits; near-copies at 0.8 differ in 17 at most where this was measured
 COPY_MOST = 1024
+FEW = 8  # texts of a shard that are compared pair by pair at once
 HANDED = 1_000_000  # row numbers that may be handed to all tasks; more are joined by shuffle
 SIGNATURE = "struct<digest string, node bigint, keys array<bigint>>"
 
@@ -217,7 +225,7 @@ def signature(text: Column, width: int) -> Column:
             data = data or b""
             hashes = shingle_hashes(data, width)
             digests.append(xxhash.xxh128_hexdigest(b" ".join(data.lower().split())))
-            prints.append(fingerprint_of(hashes))
+            prints.append(fingerprint_of(np.unique(hashes)))
             for number, (times, more) in enumerate(mix if len(hashes) else []):
                 mixed = hashes * times
                 least = int(((mixed ^ (mixed >> np.uint64(29))) * more).min())
@@ -249,6 +257,41 @@ def similarity(a, b) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def candidates(shingles, sides, sets: Sets, similar: float):
+    """Pairs of places, of different sides if there are any, that are in different sets and may be similar."""
+    import numpy as np
+
+    def apart(one: int, other: int) -> bool:
+        return (sides is None or sides[one] != sides[other]) and sets.root(one) != sets.root(other)
+
+    places = range(len(shingles))
+    if all(sets.root(place) == sets.root(0) for place in places):
+        return
+    if len(shingles) <= FEW:
+        yield from ((one, other) for other in places for one in range(other) if apart(one, other))
+        return
+    drawn = np.sort(np.concatenate(shingles))
+    starts = np.flatnonzero(np.concatenate(([True], drawn[1:] != drawn[:-1])))
+    counts = np.diff(np.append(starts, len(drawn)))
+    shared, counts = drawn[starts[counts > 1]], counts[counts > 1]
+    del drawn, starts
+    holders = {}
+    for place, own in enumerate(shingles if len(shared) else []):
+        at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+        count = np.where(shared[at] == own, counts[at], 1)
+        first = len(own) - math.ceil(similar * len(own) - 1e-9) + 1
+        rarest = np.lexsort((own, count))[:first]
+        met = set()
+        for shingle in own[rarest[count[rarest] > 1]].tolist():
+            before = holders.setdefault(shingle, [])
+            for other in before:
+                if other not in met:
+                    met.add(other)
+                    if apart(other, place):
+                        yield other, place
+            before.append(place)
+
+
 def copy_forest(batches, similar: float):
     """Edges of a spanning forest of the near-copies in every group of (key, low, high)."""
     import numpy as np
@@ -260,16 +303,18 @@ def copy_forest(batches, similar: float):
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         tree, places, sets, pairs = Tree(), [], Sets(len(rows)), []
 
-        def ask(place: int) -> None:
+        def compare(other: int, place: int) -> None:
             own = shingles[place]
+            sizes = sorted((len(own), len(shingles[other])))
+            if sizes[0] < similar * sizes[1] or sets.root(other) == sets.root(place):
+                return
+            if similarity(own, shingles[other]) >= similar:
+                sets.join(other, place)
+                pairs.append((rows[other], rows[place]))
+
+        def ask(place: int) -> None:
             for found, _ in sorted(tree.search(words[place], NEAR), key=lambda hit: hit[1]):
-                other = places[found]
-                sizes = sorted((len(own), len(shingles[other])))
-                if sizes[0] < similar * sizes[1] or sets.root(other) == sets.root(place):
-                    continue
-                if similarity(own, shingles[other]) >= similar:
-                    sets.join(other, place)
-                    pairs.append((rows[other], rows[place]))
+                compare(places[found], place)
 
         for place in range(len(rows)):
             if low == high:
@@ -281,6 +326,8 @@ def copy_forest(batches, similar: float):
             for place in range(len(rows)):
                 if blocks[place] == high:
                     ask(place)
+        for other, place in candidates(shingles, blocks if low != high else None, sets, similar):
+            compare(other, place)
         if pairs:
             a, b = zip(*pairs, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
