@@ -109,6 +109,38 @@ def test_bad_templates_are_rejected(spark):
     assert urls.filter_urls(pages.limit(0), labels, URL_RULES).count() == 0
 
 
+def test_unlike_branches_stay_apart(spark):
+    rows, labels = [], []
+
+    def add(host, section, good, labelled, n):
+        for i in range(n):
+            number = len(rows)
+            rows.append((number, f"http://{host}/{section}/{i}"))
+            labels.extend([(number, i < good)] * (i < labelled))
+
+    add("glued.net", "spam", 0, 100, 100)  # a branch without labels between a bad and a good one
+    add("glued.net", "misc", 0, 0, 50)
+    add("glued.net", "news", 150, 150, 150)
+    for good in (0, 3, 6, 9):  # each like the one before it
+        add("chain.net", "abcdefghij"[good], good, 10, 10)
+    add("one.net", "a", 20, 20, 20)
+    add("one.net", "b", 0, 0, 20)
+    pages, labels = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, good boolean")
+    got = {(r["host"], r["path"].split("/")[1]): r for r in urls.filter_urls(pages, labels, []).collect()}
+    assert {k: (r["template"], r["verdict"]) for k, r in got.items()} == {
+        ("glued.net", "spam"): ("/spam/<n>", "block"),
+        ("glued.net", "misc"): ("/misc/<n>", "allow"),
+        ("glued.net", "news"): ("/news/<n>", "allow"),
+        ("chain.net", "a"): ("/*0/<n>", "block"),
+        ("chain.net", "d"): ("/*0/<n>", "block"),
+        ("chain.net", "g"): ("/*1/<n>", "allow"),
+        ("chain.net", "j"): ("/*1/<n>", "allow"),
+        ("one.net", "a"): ("/*/<n>", "allow"),
+        ("one.net", "b"): ("/*/<n>", "allow"),
+    }
+    assert 0.59 < got["glued.net", "misc"]["purity"] < 0.61
+
+
 # SimHash
 
 

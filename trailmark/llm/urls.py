@@ -5,9 +5,10 @@ Rules come first: the longest rule that fits a url decides. All other urls are j
 * Per host, paths form a tree of segments. A segment that looks like a number, id or slug is variable at once and
   becomes a wildcard that keeps its file ending (`<n>.html`, `<x>`, `<s>`). A place with more than `NAMES` different
   segments below one parent is variable as a whole (`*`), but for segments that hold far more rows than their share.
-* Branches below the root of a host that go on alike are ordered by purity and merged with their neighbours as long as
-  the labels of the two do not differ: a chi-square of at most `ALIKE`. A branch with few labels differs from nothing. All
-  of them in one are `*`, several groups are `*0`, `*1` and so on.
+* Branches below the root of a host that go on alike are ordered by purity, and each joins the cluster before it as long
+  as its labels do not differ from the sums of that cluster: a chi-square of at most `ALIKE`. All of them in one are `*`,
+  several clusters are `*0`, `*1` and so on. Branches without labels join the cluster if there is only one; else they
+  stay alone, with the purity of all branches that go on alike.
 * The purity of a template is its share of good labels, smoothed by `STRENGTH` pseudo-labels at the purity of its host,
   which in turn is smoothed by as many at the purity of the whole table. Below `LEAST` the template is rejected.
 
@@ -18,8 +19,10 @@ Null urls and urls without `://` have an empty host and path, and share one temp
 several labels of a page all count. Empty tables give no rows. Repeated pages are judged each, and alike.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trailmark.llm.common import lower_ascii
 from trailmark.llm.components import join_anew
@@ -102,31 +105,42 @@ def templates(paths: DataFrame) -> DataFrame:
     return whole.select("host", "path", F.concat(F.lit("/"), F.array_join("steps.step", "/")).alias("template"))
 
 
+def clusters(batches):
+    """Adds `cluster` to labelled branches in the order of `_key` and purity; only the sums of the last one are held."""
+    key, cluster, good, labelled = None, 0, 0, 0
+    for batch in batches:
+        out = []
+        for of, g, n in zip(*(batch.column(name).to_pylist() for name in ("_key", "good", "labelled")), strict=True):
+            if of != key:
+                key, cluster, good, labelled = of, 0, 0, 0
+            if labelled:
+                both = (good + g + 0.5) / (labelled + n + 1.0)
+                gap = g / n - good / labelled
+                if gap * gap > ALIKE * both * (1 - both) * (1 / n + 1 / labelled):
+                    cluster, good, labelled = cluster + 1, 0, 0
+            good, labelled = good + g, labelled + n
+            out.append(cluster)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "cluster"])
+
+
 def purities(counts: DataFrame) -> DataFrame:
     """Rows (host, template, merged, purity) for rows (host, template, good, labelled): a template after merging."""
     branch = F.regexp_replace("template", r"^/[^/<*][^/]*/", "/*/")
     counts = with_key(counts.withColumn("merged", branch), "host", "merged")
-    pools = counts.groupBy("_key").agg(
-        F.sum("good").alias("pool_good"), F.sum("labelled").alias("pool_labelled"), F.count("*").alias("branches")
-    )
+    pools = counts.groupBy("_key").agg(F.sum("good").alias("pool_good"), F.sum("labelled").alias("pool_labelled"))
     rows = join_anew(counts, pools, "_key")
-    # Neighbours in order of purity belong together unless they differ; a form has at most some dozens of branches.
     share = (F.col("pool_good") + 0.5) / (F.col("pool_labelled") + 1.0)
-    rows = rows.withColumn("own", (F.col("good") + share) / (F.col("labelled") + 1.0))
-    order = Window.partitionBy("_key").orderBy("own", "template")
-    n, last_n = F.col("labelled"), F.lag("labelled").over(order)
-    both = (F.col("good") + F.lag("good").over(order) + 0.5) / (n + last_n + 1.0)
-    gap = F.col("good") / n - F.lag("good").over(order) / last_n
-    chi = F.when((n > 0) & (last_n > 0), gap * gap / (both * (1 - both) * (1 / n + 1 / last_n)))
-    rows = rows.withColumn("cut", (F.coalesce(chi, F.lit(0.0)) > ALIKE).cast("int"))
-    rows = rows.withColumn("cluster", F.sum("cut").over(order))
+    rows = written(rows.withColumn("own", (F.col("good") + share) / (F.col("labelled") + 1.0)), "forms")
+    ordered = rows.where("labelled > 0").repartition("_key").sortWithinPartitions("_key", "own", "template")
+    clustered = ordered.mapInArrow(clusters, StructType([*ordered.schema, StructField("cluster", LongType())]))
+    rows = clustered.unionByName(rows.where("labelled = 0").withColumn("cluster", F.lit(None).cast("bigint")))
+    parts = F.coalesce(F.max("cluster").over(Window.partitionBy("_key")) + 1, F.lit(1))
     members = F.count("*").over(Window.partitionBy("_key", "cluster"))
     name = F.concat(F.lit("/*"), F.col("cluster").cast("string"), F.expr("substring(merged, 3)"))
-    rows = rows.withColumn("members", members).withColumn(
-        "merged",
-        F.when(F.col("members") == F.col("branches"), F.col("merged")).when(F.col("members") == 1, F.col("template")).otherwise(name),
-    )
-    rows = written(rows.select("host", "template", "merged", "good", "labelled"), "branches")
+    alone = F.col("cluster").isNull() | (F.col("members") == 1)
+    rows = rows.withColumn("parts", parts).withColumn("members", members)
+    rows = rows.withColumn("merged", F.when(F.col("parts") == 1, F.col("merged")).when(alone, F.col("template")).otherwise(name))
+    rows = written(rows.select("host", "template", "merged", "good", "labelled", "pool_good", "pool_labelled"), "branches")
     total = rows.agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).first()
     overall = ((total["good"] or 0) + 1.0) / ((total["labelled"] or 0) + 1.0)  # without any label nothing is rejected
 
@@ -134,7 +148,9 @@ def purities(counts: DataFrame) -> DataFrame:
         return (F.sum("good") + STRENGTH * prior) / (F.sum("labelled") + STRENGTH)
 
     hosts = rows.groupBy("host").agg(smoothed(F.lit(overall)).alias("host_purity"))
-    pooled = rows.groupBy("host", "merged").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+    # Without labels of its own, a template has those of its pool.
+    sums = [F.when(F.sum("labelled") > 0, F.sum(c)).otherwise(F.max(f"pool_{c}")).alias(c) for c in ("good", "labelled")]
+    pooled = rows.groupBy("host", "merged").agg(*sums)
     pooled = join_anew(pooled, hosts, "host")
     purity = (F.col("good") + STRENGTH * F.col("host_purity")) / (F.col("labelled") + STRENGTH)
     pooled = with_key(pooled.withColumn("purity", purity), "host", "merged").select("_key", "purity")
