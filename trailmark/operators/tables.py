@@ -56,7 +56,7 @@ def session_events(events: DataFrame, tenant_id: str, session_id: str) -> DataFr
 
 
 def session_chunks(manifest: DataFrame, tenant_id: str, session_id: str) -> DataFrame:
-    own = lookup(for_tenant(manifest, tenant_id), session_id=session_id)
+    own = lookup(manifest, tenant_id, session_id=session_id)
     return dedup_latest(own, S.CHUNK_KEYS).orderBy("chunk_seq")
 
 
