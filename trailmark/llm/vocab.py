@@ -23,6 +23,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 # White space beside a space, or white space other than space and line feed, needs the pattern itself.
 _ODD = ("  ", "\n ", " \n")
+_SPACE = re.compile(f"[{UNICODE_SPACE}]+")
+LONG_SPACE = 100_000  # the pattern engine keeps a frame for each space of a run, which ends above 700,000
 _RARE_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -61,6 +63,10 @@ def split_spaces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
+def has_long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and any(run.end() - run.start() >= LONG_SPACE for run in _SPACE.finditer(text))
+
+
 def simpler_words(word: str) -> tuple[str, ...] | None:
     """Words to encode instead of this one, for vocabularies of lower-case words cut into letters, digits and marks.
 
@@ -123,7 +129,8 @@ class SpacedWords:
     """Ids of texts in the byte-level vocabulary whose pieces begin with their space, as such integers.
 
     The ranks are those of the tokenizer file, used by the faster of the two libraries that read this vocabulary.
-    Special tokens written in a text are found first, as its own library does.
+    Special tokens written in a text are found first, as its own library does. Texts with a very long run of white
+    space go to that library, which does not walk through such a run with a pattern engine that backtracks.
     """
 
     def __init__(self, path: str):
@@ -143,6 +150,8 @@ class SpacedWords:
         self.specials = {name: np.array([number], "<u4").tobytes() for name, number in specials.items()}
         self.pattern = re.compile("(" + "|".join(map(re.escape, specials)) + ")")
         self.whole = lambda text: np.array(coder.encode_ordinary(text), "<u4").tobytes()
+        self.library = None
+        self.path = path
         # Smaller, for a worker may hold these beside the words of other stages.
         self.bare = Recent(lambda word: self.make("", word), RECENT // 5)
         self.after_space = Recent(lambda word: self.make(" ", word), RECENT // 2)
@@ -158,7 +167,19 @@ class SpacedWords:
             return own[word[:-1]] + self.bare[word[-1]]
         return self.whole(space + word)
 
+    def by_library(self, text: str) -> bytes:
+        import numpy as np
+        from tokenizers import Tokenizer
+
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if has_long_space(text):
+            return self.by_library(text)
         if "<|" in text:
             parts = self.pattern.split(text)
             return b"".join(self.specials[part] if part in self.specials else self.plain(part) for part in parts)
