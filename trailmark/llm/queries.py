@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ctw, descent, evidence
+from trailmark.llm import bestfit, ctw, descent, evidence, repair
 from trailmark.llm.bpe import digests
 from trailmark.llm.common import table
 from trailmark.llm.compression import judge_documents
@@ -13,6 +13,7 @@ from trailmark.llm.simhash import near_duplicates
 from trailmark.llm.tokencount import count_tokens
 from trailmark.llm.tokenfile import ids_crc32, read_tokens, write_tokens
 from trailmark.llm.urls import filter_urls
+from trailmark.llm.whiten import whiten
 from trailmark.session import work_folder
 
 TOKEN_LIMIT = 4096
@@ -76,5 +77,36 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", ids_crc32(F.col("tokens")).alias("ids_crc32"))
 
 
-RUNS = {run.__name__: run for run in (op1_url_filter, op2_context_tree, op3_simhash, op4_bpe, op5_compression, op6_nn_descent, op7_token_counts, op8_packing, op9_site_evidence, op10_token_file)}
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return bestfit.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_digests(repair.damaged(table(spark, folder, "conversations")))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whiten(table(spark, folder, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "part")
+    rows = white.select("vec_id", "n", "deviation", "identity_error", parts)
+    component = (F.col("place") + 1).alias("component")
+    return rows.select("vec_id", component, "n", "deviation", "part.whitened", "part.explained", "identity_error")
+
+
+QUERIES = (
+    op1_url_filter,
+    op2_context_tree,
+    op3_simhash,
+    op4_bpe,
+    op5_compression,
+    op6_nn_descent,
+    op7_token_counts,
+    op8_packing,
+    op9_site_evidence,
+    op10_token_file,
+    op11_best_fit,
+    op12_repair,
+    op13_whitening,
+)
+RUNS = {run.__name__: run for run in QUERIES}
 SQL: dict[str, str] = {}
