@@ -13,7 +13,10 @@ from trailmark.sources.writers import write_events
 
 FOLDER = "/root/testdata/sf0.001"
 RUNS = load()[0]
-RUNNING = {"events_stream", "replay_stream", "session_stream", "closer_job", "lifecycle_stream", "dedup_stream", "compact_days", "close_sessions"}
+RUNNING = {
+    *("events_stream", "replay_stream", "session_stream", "closer_job", "lifecycle_stream", "dedup_stream", "compact_days", "close_sessions"),
+    *("stored_sessions", "pipeline_counters", "erasure_job"),
+}
 
 
 def plan(df) -> str:
@@ -61,3 +64,24 @@ def test_sessions_are_counted_without_a_join(stored):
 
     text = plan(session_stats(stored))
     assert "Join" not in text.split("\n\n(1)")[0] and text.split("\n\n(1)")[0].count("Exchange") == 2
+
+
+def shuffles(text: str) -> tuple[int, int]:
+    """Scans and exchanges of a plan."""
+    tree = text.split("\n\n(1)")[0]
+    return tree.count("Scan parquet"), tree.count("Exchange")
+
+
+def test_funnel_reads_events_once(stored):
+    from trailmark.operators.insights import funnel
+
+    steps = [stored["event_type"] == kind for kind in ("NAVIGATION", "CLICK", "CUSTOM")]
+    scans, exchanges = shuffles(plan(funnel(stored, steps, 1000)))
+    assert scans == 1 and exchanges <= 3
+
+
+def test_signals_share_one_shuffle(stored):
+    from trailmark.operators.signals import signal_counts
+
+    scans, exchanges = shuffles(plan(signal_counts(stored)))
+    assert scans == 1 and exchanges <= 3

@@ -2,16 +2,28 @@ import json
 
 import pytest
 from helpers import T0, at, events, moment
+from pyspark.sql import functions as F
 from test_ingest import ID, chunk, envelope
 
 from trailmark import schemas as S
 from trailmark.operators.ingest import classify_telemetry, decode_envelope, to_event_rows
 from trailmark.operators.tables import dedup_latest, latest_by_key
 from trailmark.sources.readers import read_replay, read_table, read_telemetry
+from trailmark.sources.daytable import DayTable
 from trailmark.sources.snapshots import Snapshot
 from trailmark.sources.writers import compact_events, lifecycle_messages, write_events
-from trailmark.streaming.events import observed, pipeline_report, run_events_stream, run_replay_stream
-from trailmark.streaming.sessions import current_sessions, read_updates, run_closer, run_session_stream
+from trailmark.streaming import sessions as jobs
+from trailmark.streaming.counters import pipeline_totals, read_counters
+from trailmark.streaming.events import pipeline_report, run_events_stream, run_replay_stream
+from trailmark.streaming.sessions import (
+    current_sessions,
+    list_stored_sessions,
+    read_updates,
+    run_closer,
+    run_session_stream,
+    session_table,
+    state_rows,
+)
 
 
 def put(spark, path, values, first=0):
@@ -72,28 +84,35 @@ def test_replay_payload_and_manifest_agree(spark, paths):
     assert {r["reason"] for r in spark.read.parquet(paths("dead")).collect()} == {"invalid_chunk", "deserialization"}
 
 
-def test_tracker_and_closer(spark, paths):
-    sites = spark.createDataFrame([(ID.format(2), ID.format(1))], "id string, tenant_id string")
+SITE = "id string, tenant_id string"
+
+
+def track(spark, paths, sites, name="updates", **more):
+    stream = read_telemetry(spark, paths("log"), streaming=True)
+    query = run_session_stream(stream, sites, paths(name), paths("dead2"), paths(f"state of {name}"), **more)
+    query.awaitTermination()
+    return query
+
 
-    def track():
-        stream = read_telemetry(spark, paths("log"), streaming=True)
-        run_session_stream(stream, sites, paths("updates"), paths("dead2"), paths("state2")).awaitTermination()
+def test_tracker_and_closer(spark, paths):
+    sites = spark.createDataFrame([(ID.format(2), ID.format(1))], SITE)
+    counters = paths("counters")
 
     def close(ms, idle=600_000):
         stored = dedup_latest(spark.read.parquet(paths("events")).drop("batch_id"), ["event_date", *S.EVENT_KEYS])
-        return run_closer(spark, paths("sessions"), paths("updates"), paths("lifecycle"), stored, moment(ms), idle)
+        return run_closer(spark, paths("sessions"), paths("updates"), paths("lifecycle"), stored, moment(ms), idle, counters)
 
     put(spark, paths("log"), [numbered(i) for i in range(3)] + [numbered(7, siteId=ID.format(8), sessionId=ID.format(9)), "{broken"])
     run_events(spark, paths)
-    track()
-    assert close(T0 + 3_600_000) == 0
+    track(spark, paths, sites, counters_path=counters)
+    assert close(T0 + 3_600_000)["version"] == 0
     put(spark, paths("log"), [numbered(60, type="EXCEPTION", receivedAt="2025-06-15T16:30:00.000Z")])
     run_events(spark, paths)
-    track()
-    table = Snapshot(spark, paths("sessions"), S.USER_SESSION)
+    track(spark, paths, sites, counters_path=counters)
+    table = session_table(spark, paths("sessions"))
     live = current_sessions(table.read(), read_updates(spark, paths("updates"), 0)).collect()
     assert [r["needs_recompute"] for r in live] == [True]
-    assert close(T0 + 3_700_000, idle=36_000_000) == 1
+    assert close(T0 + 3_700_000, idle=36_000_000)["version"] == 1
     rows = table.read().collect()
     assert [(r["duration_ms"], r["error_count"], r["needs_recompute"]) for r in rows] == [(60_000, 1, False)]
     lifecycle = spark.read.parquet(paths("lifecycle"))
@@ -105,6 +124,159 @@ def test_tracker_and_closer(spark, paths):
     dead = spark.read.parquet(paths("dead2")).collect()
     assert [(r["key"], r["reason"], r["consumer"]) for r in dead] == [(ID.format(3), "store_rejected", "sessions")]
     assert json.loads(dead[0]["value"])["sessionId"] == ID.format(9) and dead[0]["topic"]
+    totals = {(r["job"], r["name"]): r["value"] for r in pipeline_totals(read_counters(spark, counters)).collect()}
+    assert totals["sessions", "sessions_upserted"] == 2 and totals["sessions", "records_skipped"] == 1
+    assert (totals["closer", "closed"], totals["closer", "recomputed"], totals["closer", "deferred"]) == (1, 1, 0)
+
+
+def uid(n):
+    return f"0a1b2c3d-0000-7000-9000-{n:012d}"
+
+
+def test_owner_lookup_follows_the_batch(spark, paths):
+    """Who came first keeps an id; state touched by a batch is that of its own sessions, whatever came before."""
+    sites = spark.createDataFrame([(uid(n + 20), uid(n)) for n in (1, 4)], SITE)
+    own = {"tenantId": uid(1), "siteId": uid(21)}
+    for batch in range(4):
+        put(spark, paths("log"), [numbered(10 * batch + i, sessionId=uid(100 + 10 * batch + i), **own) for i in range(4)], 10 * batch)
+        query = track(spark, paths, sites)
+        progress = [line for line in query.recentProgress if line["numInputRows"]][-1]
+        assert sum(operator["numRowsUpdated"] for operator in progress["stateOperators"]) == 4
+        assert state_rows(progress) == 4 * (batch + 1)
+    # Another tenant uses the ids of the first batch, with an earlier time of receipt.
+    other = {"tenantId": uid(4), "siteId": uid(24), "receivedAt": "2025-06-15T10:00:00.000Z"}
+    put(spark, paths("log"), [numbered(90 + i, sessionId=uid(100 + i), **other) for i in range(4)], 90)
+    track(spark, paths, sites)
+    owners = {(r["id"], r["tenant_id"]) for r in read_updates(spark, paths("updates")).collect()}
+    assert len(owners) == 16 and {tenant for _, tenant in owners} == {uid(1)}
+    assert spark.read.parquet(paths("dead2")).count() == 4
+    # A stream that starts anew beside the stored sessions takes their owners over, also against the order of the log.
+    stored = spark.createDataFrame([(uid(100), uid(4))], "id string, tenant_id string")
+    table = session_table(spark, paths("sessions"))
+    blank = [F.lit(None).cast(field.dataType).alias(field.name) for field in S.STORED_SESSION if field.name not in stored.columns]
+    table.write(stored.select("*", *blank).withColumn("home_day", F.lit("2025-06-01").cast("date")), F.lit("open"), [], 0, -1)
+    track(spark, paths, sites, "updates2", sessions_path=paths("sessions"))
+    first = {r["id"]: (r["tenant_id"], str(r["home_day"])) for r in read_updates(spark, paths("updates2")).collect()}
+    assert first[uid(100)] == (uid(4), "2025-06-01") and first[uid(101)][0] == uid(1)
+
+
+DAYS = 60
+
+
+def stored_history(spark, path, closed_per_day=100, still_open=100):
+    """Closed sessions of many days, and a hundredth as many open ones, in a stored table."""
+    day = 86_400_000
+    rows = spark.range(DAYS * closed_per_day + still_open).withColumn("open", F.col("id") >= DAYS * closed_per_day)
+    began = F.when(F.col("open"), F.lit(T0)).otherwise(T0 - (DAYS - F.floor(F.col("id") / closed_per_day)) * day)
+    rows = rows.withColumn("at", F.timestamp_millis(began + F.col("id") % 50 * 1000))
+    values = {
+        "id": F.concat(F.lit("s"), "id"),
+        "tenant_id": F.lit("t1"),
+        "site_id": F.lit("s1"),
+        "anonymous_id": F.lit("a"),
+        "started_at": F.col("at"),
+        "last_active_at": F.col("at"),
+        "ended_at": F.when(~F.col("open"), F.col("at")),
+        "duration_ms": F.lit(0),
+        "page_count": F.lit(1),
+        "error_count": F.lit(0),
+        "needs_recompute": F.lit(False),
+        "version": F.lit(1),
+        "home_day": F.to_date("at"),
+    }
+    fields = [values.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name) for field in S.STORED_SESSION]
+    table = session_table(spark, path)
+    part = F.when(F.col("ended_at").isNull(), F.lit("open")).otherwise(F.col("home_day").cast("string"))
+    table.write(rows.select(*fields), part, [], 0, -1)
+    return table
+
+
+def update_of(spark, path, batch, ids, ms, home_ms):
+    rows = [(name, "t1", "s1", "a", at(ms), at(ms), at(ms), None, None, None, None, at(home_ms).date(), batch) for name in ids]
+    spark.createDataFrame(rows, jobs.UPDATES_DDL).write.mode("append").partitionBy("batch_id").parquet(path)
+
+
+def test_a_pass_costs_what_is_due(spark, paths):
+    table = stored_history(spark, paths("sessions"))
+    total = table.read().count()
+    none = events(spark, [("none", "1", 0, "CLICK")])
+    day = 86_400_000
+    # Open sessions go on, and one closed session of an old day has a late event.
+    update_of(spark, paths("updates"), 0, ["s6000", "s6001", "new"], T0 + 1000, T0)
+    update_of(spark, paths("updates"), 1, ["s4207"], T0 - 17 * day, T0 - 18 * day)
+
+    def close(ms):
+        return run_closer(spark, paths("sessions"), paths("updates"), paths("lifecycle"), none, moment(ms), 600_000)
+
+    before = {(e["part"], e["folder"]) for e in table.entries()}
+    done = close(T0 + 2000)
+    assert done["rows_read"] < 0.05 * total and done["rows_written"] < 0.05 * total
+    assert (done["version"], done["closed"], done["recomputed"], done["sessions_upserted"]) == (1, 0, 1, 4)
+    after = {(e["part"], e["folder"]) for e in table.entries()}
+    touched = str(at(T0 - 18 * day).date())
+    assert before - after == {("open", 0), (touched, 0)} and after - before == {("open", 1), (touched, 1)}
+    rows = table.read()
+    assert rows.count() == total + 1 and rows.select("id").distinct().count() == total + 1
+    late = rows.filter("id = 's4207'").first()
+    assert late["ended_at"] == late["started_at"] and not late["needs_recompute"] and late["version"] == 3
+    # All open ones are closed by the next pass and appended to their day; nothing else is written again.
+    done = close(T0 + 3 * day)
+    assert done["closed"] == 101 and done["rows_written"] == 101 and done["rows_read"] == 101
+    assert table.read().filter("ended_at IS NULL").count() == 0
+    assert not [name for name in table._names("data/0") if name in ("part=open", f"part={touched}")]
+    kept = {(e["part"], e["folder"]) for version in (1, 2) for e in table.entries(version)}
+    found = {(part[5:], int(folder)) for folder in table._names("data") if folder.isdigit() for part in table._names(f"data/{folder}") if part.startswith("part=")}
+    assert found == kept
+
+
+def test_a_pass_that_dies_changes_nothing(spark, paths, monkeypatch):
+    table = stored_history(spark, paths("sessions"), 3, 4)
+    update_of(spark, paths("updates"), 0, ["s17", "s180"], T0 + 1000, T0 - 55 * 86_400_000)
+    none = events(spark, [("none", "1", 0, "CLICK")])
+    before = sorted(map(str, table.read().collect()))
+
+    def close():
+        return run_closer(spark, paths("sessions"), paths("updates"), paths("lifecycle"), none, moment(T0 + 86_400_000), 600_000)
+
+    def die(self, df, version):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Snapshot, "write", die)
+        with pytest.raises(OSError):
+            close()
+    assert sorted(map(str, table.read().collect())) == before
+    assert close()["version"] == 1
+    once = spark.read.parquet(paths("lifecycle")).count()
+    assert table.read().filter("ended_at IS NULL").count() == 0 and once == 5
+    assert table.read().count() == len(before)
+
+
+def test_days_in_many_folders_become_one(spark, paths):
+    rows = stored_history(spark, paths("a"), 1, 0).read().limit(10)
+    table = DayTable(spark, paths("b"), S.STORED_SESSION, "started_at")
+    for version in range(jobs.FOLDERS_PER_DAY):
+        table.write(rows, F.lit("2025-01-01"), table.entries(), version, -1)
+    assert len(table.entries()) == jobs.FOLDERS_PER_DAY and table.read().count() == 10 * jobs.FOLDERS_PER_DAY
+    none = events(spark, [("none", "1", 0, "CLICK")])
+    run_closer(spark, paths("b"), paths("updates"), paths("lifecycle"), none, moment(T0), 600_000)
+    assert table.read().count() == 10 * jobs.FOLDERS_PER_DAY
+    assert {e["folder"] for e in table.entries()} == {jobs.FOLDERS_PER_DAY}
+
+
+def test_list_reads_the_newest_days_only(spark, paths):
+    table = stored_history(spark, paths("sessions"), 20, 10)
+    page = list_stored_sessions(table, "t1", limit=50, is_open=False)
+    whole = jobs.sessions_ops.list_sessions(table.read(), "t1", limit=50, is_open=False)
+    assert [r["id"] for r in page.collect()] == [r["id"] for r in whole.collect()]
+    assert len(page.inputFiles()) < 10 < len(table.read().inputFiles())
+    last = page.collect()[-1]
+    cursor = (F.lit(last["started_at"]), last["id"])
+    following = list_stored_sessions(table, "t1", limit=50, is_open=False, after=cursor)
+    whole = jobs.sessions_ops.list_sessions(table.read(), "t1", limit=100, is_open=False)
+    assert [r["id"] for r in following.collect()] == [r["id"] for r in whole.collect()][50:]
+    assert list_stored_sessions(table, None).count() == 0
+    assert list_stored_sessions(table, "t1", limit=10**6).count() == table.read().count()
 
 
 def test_snapshot_shows_only_committed_versions(spark, paths):
@@ -118,16 +290,14 @@ def test_snapshot_shows_only_committed_versions(spark, paths):
     assert table.read().count() == 2
 
 
-def test_text_source_and_counters(spark, paths):
+def test_text_source(spark, paths):
     spark.createDataFrame([(envelope(),), ("{broken",)], "value string").write.text(paths("lines"))
     assert {r["topic"] for r in read_telemetry(spark, paths("lines"), fmt="text").collect()} == {"telemetry.events.v1"}
-    seen = observed(events(spark, [("s", "1", 0, "EXCEPTION"), ("s", "2", 0, "CLICK")]))
-    assert seen.count() == 2
     write_events(events(spark, [("s", "1", 0, "CLICK")]), paths("e"), 0)
     assert read_table(spark, paths("e")).count() == 1
 
 
-def test_lifecycle_timer_closes_and_late_events_update(spark, paths):
+def test_lifecycle_reports_once_and_forgets(spark, paths):
     from trailmark.streaming.sessions import session_lifecycle_stream
 
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -138,26 +308,32 @@ def test_lifecycle_timer_closes_and_late_events_update(spark, paths):
     seen = []
 
     def keep(batch, batch_id):
-        seen.extend((r["type"], r["duration_ms"], r["page_count"], r["error_count"]) for r in batch.collect())
+        seen.extend((r["session_id"], r["type"], r["duration_ms"], r["page_count"], r["error_count"]) for r in batch.collect())
 
-    def wait(query, wanted):
-        for _ in range(120):
-            if query.exception() or wanted in [s[0] for s in seen]:
+    def wait(query, done):
+        for _ in range(240):
+            if query.exception() or done():
                 break
             query.awaitTermination(0.5)
         assert query.exception() is None
 
+    def add(*rows):
+        events(spark, list(rows)).coalesce(1).write.mode("append").parquet(paths("log"))
+
     try:
-        stream = session_lifecycle_stream(spark.readStream.schema(source.schema).parquet(paths("log")), 500)
+        # Closed after half a second, remembered for six.
+        stream = session_lifecycle_stream(spark.readStream.schema(source.schema).parquet(paths("log")), 500, 6000)
         writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", paths("state"))
         query = writer.trigger(processingTime="1 second").start()
         try:
-            wait(query, "CLOSED")
-            late = events(spark, [("s", "3", 5000, "EXCEPTION")])
-            late.coalesce(1).write.mode("append").parquet(paths("log"))
-            wait(query, "UPDATED")
+            wait(query, lambda: "CLOSED" in [s[1] for s in seen])
+            add(("s", "3", 5000, "EXCEPTION"), ("other", "4", 0, "CLICK"))
+            wait(query, lambda: seen.count(("other", "CLOSED", 0, 0, 0)))
+            wait(query, lambda: query.lastProgress and not query.lastProgress["numInputRows"] and not state_rows(query.lastProgress))
+            assert state_rows(query.lastProgress) == 0
         finally:
             query.stop()
     finally:
         spark.conf.set(provider, before)
-    assert seen[:3] == [("OPEN", 900, 1, 1), ("CLOSED", 900, 1, 1), ("UPDATED", 5000, 1, 2)]
+    assert [s[1:] for s in seen if s[0] == "s"] == [("OPEN", 900, 1, 1), ("CLOSED", 900, 1, 1), ("UPDATED", 5000, 1, 2)]
+    assert [s[1] for s in seen if s[0] == "other"] == ["OPEN", "CLOSED"]

@@ -1,12 +1,17 @@
 import hashlib
+import json
 import random
 
 import pytest
 from helpers import T0, at, events, moment
 from pyspark.sql import functions as F
+from test_ingest import ID, envelope
 
-from trailmark.operators import governance, insights, replay, signals
+from trailmark.operators import governance, ingest, insights, replay, signals
 from trailmark.operators import tables as ops
+from trailmark.sources.daytable import DayTable
+from trailmark.sources.erasure import REQUEST, Store, run_erasure
+from trailmark.sources.snapshots import Snapshot
 
 
 def test_redelivery_collapses_whatever_the_order(spark):
@@ -103,41 +108,100 @@ def test_gaps(spark):
     assert got == {("a", 2, 3), ("b", 0, 1)}
 
 
-def sequential_cut(rows, max_bytes, flush_ms):
+def sequential_cut(rows, max_bytes):
     """Plain sequential cutting of one session."""
-    sealed, size, tick, out = True, 0, None, []
-    for ts, seq, kind, text in sorted(rows):
-        if sealed or kind == 4 or ts // flush_ms != tick:
+    sealed, size, out = True, 0, []
+    for _, seq, kind, text in sorted(rows):
+        if sealed or kind == 4:
             out.append([])
             size, sealed = 0, False
-        tick = ts // flush_ms
         out[-1].append(seq)
         size += len(text)
         sealed = size >= max_bytes
-    return [(min(c), max(c), len(c)) for c in out]
+    return [(c[0], c[-1], len(c)) for c in out]
 
 
 @pytest.mark.parametrize("width", [2_000, 3_600_000])
 def test_rechunk_equals_sequential_cutting(spark, width):
     rng = random.Random(3)
     sessions = {}
-    for name, n in (("hot", 400), ("a", 30), ("b", 1)):
+    for number in range(100):
+        n = 600 if number == 0 else rng.randrange(1, 40)
         times = sorted(rng.randrange(0, 20_000) for _ in range(n))
-        sessions[name] = [(t, i, 4 if rng.random() < 0.05 else 3, "x" * rng.randrange(1, 90)) for i, t in enumerate(times)]
+        metas = 0 if number == 1 else 0.05
+        sizes = rng.choice([(0, 90), (1, 20), (150, 700), (0, 2)])
+        sessions[f"s{number}"] = [(t, i, 4 if rng.random() < metas else 3, "x" * rng.randint(*sizes)) for i, t in enumerate(times)]
     rows = [("t", s, at(t), q, k, e) for s, items in sessions.items() for t, q, k, e in items]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "tenant_id string, session_id string, ts timestamp, seq bigint, type int, event string")
-    got = replay.rechunk_replay(df, 200, 5_000, width).toPandas()
+    made = replay.rechunk_replay(df, 200, width)
+    got = made.toPandas()
     for name, items in sessions.items():
         mine = got[got["session_id"] == name].sort_values("chunk_seq")
         assert list(mine["chunk_seq"]) == list(range(len(mine)))
-        assert list(zip(mine["first_seq"], mine["last_seq"], mine["event_count"])) == sequential_cut(items, 200, 5_000)
+        assert list(zip(mine["first_seq"], mine["last_seq"], mine["event_count"])) == sequential_cut(items, 200), name
+        assert sum(mine["bytes"]) == sum(len(text) for *_, text in items)
+    assert "Python" not in made._jdf.queryExecution().toString() and "Arrow" not in made._jdf.queryExecution().toString()
+    assert replay.rechunk_replay(df.limit(0), 200, width).count() == 0
+
+
+def plain_bucket(times, burst, refill, period_ms):
+    """A token bucket, request by request: refused requests and all requests by period."""
+    level, last, out = burst, None, {}
+    for ms in sorted(times):
+        step = ms * refill // period_ms
+        level = burst if last is None else min(burst, level + step - last)
+        last = step
+        line = out.setdefault(ms // period_ms * period_ms, [0, 0])
+        line[0] += 1
+        if level:
+            level -= 1
+        else:
+            line[1] += 1
+    return {start: tuple(line) for start, line in out.items() if line[1]}
+
+
+@pytest.mark.parametrize("burst, refill, period_ms", [(100, 50, 1000), (3, 2, 1000), (40, 7, 777)])
+def test_rate_audit_equals_a_bucket(spark, burst, refill, period_ms, monkeypatch):
+    monkeypatch.setattr(ingest, "PERIODS", 8)
+    rng = random.Random(burst)
+    keys = {"hot": [T0 + int(rng.expovariate(1 / 50_000)) for _ in range(6000)], "one": [T0], "calm": [T0 + i * 10 * period_ms for i in range(40)]}
+    for number in range(5):
+        start, bursts = T0 + rng.randrange(10**6), [rng.randrange(10**6) for _ in range(6)]
+        keys[f"k{number}"] = [start + rng.choice(bursts) + int(rng.gauss(0, 400)) for _ in range(rng.randrange(1, 900))]
+    rows = [(key, at(ms)) for key, times in keys.items() for ms in times]
+    rng.shuffle(rows)
+    got = ingest.rate_audit(spark.createDataFrame(rows, "key_hash string, ts timestamp"), burst, refill, period_ms).collect()
+    want = {(key, start, *line) for key, times in keys.items() for start, line in plain_bucket(times, burst, refill, period_ms).items()}
+    assert {(r["key_hash"], r["window_start_ms"], r["n"], r["refused"]) for r in got} == want
+    assert len(got) == len(want) and all(r["accepted"] + r["refused"] == r["n"] for r in got) and "hot" in {r["key_hash"] for r in got}
+
+
+def leaks(spark, tables, secrets):
+    found = governance.leak_scan(tables, spark.createDataFrame(secrets, "name string, secret string")).collect()
+    assert len(found) == len(tables) * len(secrets)
+    return {(r["table"], r["secret"]): (r["rows_with_secret"], r["rows_masked"]) for r in found}
 
 
 def test_leaks_are_counted_even_when_absent(spark):
-    rows = spark.createDataFrame([("pin 4711 here", None), ("nothing", "4711"), ("****", "x")], "a string, b string")
-    got = {r["secret"]: (r["rows_with_secret"], r["rows_masked"]) for r in governance.leak_scan(rows, ["a", "b"], {"pin": "4711", "no": "zzzzz"}).collect()}
-    assert got == {"pin": (2, 1), "no": (0, 0)}
+    rows = spark.createDataFrame([("pin 4711 here", None), ("nothing", "4711"), ("****", "x 4711 4711")], "a string, b string")
+    other = spark.createDataFrame([("*****", "correct horse"), (None, "correct hors"), ("", "incorrect horse!")], "c string, d string")
+    secrets = [("pin", "4711"), ("no", "zzzzz"), ("words", "correct horse"), ("empty", ""), ("null", None), ("twin", "correct home")]
+    got = leaks(spark, {"one": (rows, ["a", "b"]), "two": (other, ["c", "d"])}, secrets)
+    assert got["one", "pin"] == (3, 1) and got["two", "pin"] == (0, 1) and got["two", "no"] == (0, 1)
+    assert got["two", "words"] == (2, 0) and got["two", "twin"] == (0, 0)
+    assert got["one", "empty"] == got["one", "null"] == got["two", "null"] == (0, 0)
+
+
+def test_leaks_of_many_secrets(spark, monkeypatch):
+    monkeypatch.setattr(governance, "ANCHORS", 4000)
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh1234", k=rng.randrange(3, 20))) for _ in range(10_000)]
+    texts = [" ".join(rng.choices("abcdefgh1234", k=30)).replace(" ", "") + rng.choice(["", "***", "*" * 12]) + rng.choice(words) for _ in range(60)]
+    df = spark.createDataFrame([(text,) for text in texts], "text string")
+    got = leaks(spark, {"t": (df, ["text"])}, [(f"n{i}", word) for i, word in enumerate(words)])
+    for i, word in enumerate(words):
+        assert got["t", f"n{i}"] == (sum(word in text for text in texts), sum("*" * len(word) in text for text in texts)), word
 
 
 def test_sampling_extremes(spark):
@@ -163,8 +227,83 @@ def test_erasure_leaves_nothing(spark):
     assert {r["session_id"] for r in kept["events"].collect()} == {"c", "a2"}
     assert {(r["tenant_id"], r["id"]) for r in kept["end_users"].collect()} == {("t", "u2"), ("t2", "u1")}
     assert {r["table"]: r["erased"] for r in progress.collect()} == {"sessions": 2, "events": 3, "end_users": 1}
-    done = governance.complete_requests(requests, progress).collect()
-    assert {r["status"] for r in done} == {"COMPLETED"} and done[0]["progress"]["events"] == "DONE"
+
+
+@pytest.fixture
+def erasable(spark, tmp_path):
+    """Sessions on forty days, three events each, visitors, and requests; and what is to be left of them."""
+    day, users = 86_400_000, 20
+    rows = [(f"s{i}", "t", f"u{i % users}", at(T0 + i * day), at(T0 + i * day), None) for i in range(40)] + [("s3", "t2", "u3", at(T0), at(T0), None)]
+    sessions = spark.createDataFrame(rows, "id string, tenant_id string, end_user_id string, started_at timestamp, last_active_at timestamp, ended_at timestamp")
+    events_ = [(tenant, name, f"{name}-{n}", at(T0 + i * day + n)) for i, (name, tenant, *_) in enumerate(rows[:40]) for n in range(3)]
+    events_ = spark.createDataFrame(events_ + [("t2", "s3", "x", at(T0))], "tenant_id string, session_id string, event_id string, ts timestamp")
+    visitors = spark.createDataFrame([("t", f"u{i}", at(T0)) for i in range(users)] + [("t2", "u3", at(T0))], "tenant_id string, id string, seen timestamp")
+
+    def stored(df, name, bounds):
+        table = DayTable(spark, str(tmp_path / name), df.schema, bounds)
+        table.write(df, F.to_date(bounds).cast("string"), [], 0, -1)
+        return table
+
+    stores = {
+        "events": Store(stored(events_, "events", "ts"), "session_id", dated=True),
+        "end_users": Store(stored(visitors, "end_users", "seen"), "id", "END_USER"),
+        "sessions": Store(stored(sessions, "sessions", "started_at"), "id", dated=True),
+    }
+    asked = [("1", "t", "END_USER", "u3", "PENDING", None, {}), ("2", "t", "SESSION", "s10", "PENDING", None, {}), ("3", "t", "SESSION", "s5", "COMPLETED", None, {}), ("4", "t", "SESSION", "none", "PENDING", None, {})]
+    requests = str(tmp_path / "requests")
+    Snapshot(spark, requests, REQUEST).write(spark.createDataFrame(asked, REQUEST), 0)
+    gone = {f"s{i}" for i in range(3, 40, 20)} | {"s10"}
+    left = {
+        "sessions": {("t", name) for name, tenant, *_ in rows if tenant == "t" and name not in gone} | {("t2", "s3")},
+        "end_users": {("t", f"u{i}") for i in range(users) if i != 3} | {("t2", "u3")},
+    }
+    return requests, stores, left, gone
+
+
+def check_erased(spark, requests, stores, left, gone):
+    for name, want in left.items():
+        assert {(r["tenant_id"], r["id"]) for r in stores[name].table.read().collect()} == want
+    kept = {(r["tenant_id"], r["session_id"]) for r in stores["events"].table.read().collect()}
+    assert kept == left["sessions"]
+    done = {r["id"]: (r["status"], sorted(r["progress"])) for r in Snapshot(spark, requests, REQUEST).read().collect()}
+    assert done == {"1": ("COMPLETED", sorted(stores)), "2": ("COMPLETED", sorted(stores)), "3": ("COMPLETED", []), "4": ("COMPLETED", sorted(stores))}
+    # Nothing of it is left in old folders either.
+    raw = spark.read.parquet(*[f"{stores['events'].table.path}/data/{n}" for n in stores["events"].table._names("data")])
+    assert not raw.filter(F.col("session_id").isin(*gone) & (F.col("tenant_id") == "t")).count()
+
+
+def test_erasure_job(spark, erasable):
+    requests, stores, left, gone = erasable
+    events_ = stores["events"].table
+    before = {(e["part"], e["folder"]) for e in events_.entries()}
+    run_erasure(spark, requests, stores, moment(T0))
+    check_erased(spark, requests, stores, left, gone)
+    changed = before - {(e["part"], e["folder"]) for e in events_.entries()}
+    assert len(changed) == 3 and len(before) == 40
+    version = events_.version()
+    run_erasure(spark, requests, stores, moment(T0))
+    assert events_.version() == version
+
+
+@pytest.mark.parametrize("dies_at", [1, 3, 4, 6])
+def test_erasure_is_resumed(spark, erasable, monkeypatch, dies_at):
+    requests, stores, left, gone = erasable
+    real, calls = Snapshot.write, []
+
+    def write(self, df, version):
+        calls.append(self.path)
+        if len(calls) == dies_at:
+            raise OSError("lost")
+        real(self, df, version)
+        statuses = {r["status"] for r in Snapshot(spark, requests, REQUEST).read().filter("id IN ('1', '2', '4')").collect()}
+        assert "COMPLETED" not in statuses or all(r["id"] != "s10" for r in stores["sessions"].table.read().collect())
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Snapshot, "write", write)
+        with pytest.raises(OSError):
+            run_erasure(spark, requests, stores, moment(T0))
+    run_erasure(spark, requests, stores, moment(T0))
+    check_erased(spark, requests, stores, left, gone)
 
 
 def test_transitions(spark):
@@ -202,6 +341,25 @@ def test_scores_and_gate(spark):
     assert scores == {"s": 100, "calm": 0}
 
 
+def test_marks_are_what_the_single_signals_find(spark):
+    draw = random.Random(9)
+    kinds = ["CLICK", "CLICK", "NAVIGATION", "EXCEPTION", "CONSOLE_ERROR", "MUTATION", "INPUT"]
+    rows = [(draw.choice("abc"), f"{i}", draw.randrange(60_000), draw.choice(kinds), {"selector": draw.choice(["x", "y", ""])}) for i in range(500)]
+    made = events(spark, rows)
+    for width in (2_000, 3_600_000):
+        marked = signals.mark_signals(made, 3, 1000, 4, 5000, width, 2000)
+        assert marked.count() == 500
+        single = {
+            "rage_click": signals.rage_clicks(made, 3, 2000, width),
+            "dead_click": signals.dead_clicks(made, 1000, width),
+            "error_click": signals.error_clicks(made, 1000, width),
+            "error_burst": signals.error_bursts(made, 4, 5000, width),
+        }
+        for name, found in single.items():
+            got = {r["event_id"] for r in marked.filter(name).collect()}
+            assert got == {r["event_id"] for r in found.collect()} and got, name
+
+
 @pytest.mark.parametrize("share, threshold", [(0.05, 10), (0.5, 10), (0.6, 100), (0.3, 101), (1.0, 0)])
 def test_gate_passes_the_highest_scores(spark, share, threshold):
     rows = [(f"t{i % 3}", f"s{i}", min(100, 2 * i)) for i in range(200)]
@@ -268,3 +426,48 @@ def test_network_and_guardrails(spark):
     assert [(r["guardrail_rule"], r["analysis_status"]) for r in judged] == [("rage", "REVIEW_REQUIRED"), (None, "AI_ANALYZED")]
 
 
+def plain_progress(rows, kinds, within):
+    """Times of the steps of one session, step by step."""
+    reached, last = [], None
+    for kind in kinds:
+        times = [ms for ms, own in rows if own == kind and (last is None or ms > last)]
+        times = [ms for ms in times if within is None or not reached or ms <= reached[0] + within]
+        if not times:
+            break
+        last = min(times)
+        reached.append(last)
+    return reached
+
+
+@pytest.mark.parametrize("within, width", [(None, 700), (900, 700), (900, 3_600_000)])
+def test_funnel_equals_going_step_by_step(spark, within, width):
+    draw = random.Random(14)
+    kinds = ["NAVIGATION", "CLICK", "CLICK", "CUSTOM"]
+    rows = [(f"s{draw.randrange(60)}", f"{i}", draw.randrange(60) * 100, draw.choice(["NAVIGATION", "CLICK", "CUSTOM", "INPUT"])) for i in range(700)]
+    progress = insights.funnel_progress(events(spark, rows), [F.col("event_type") == kind for kind in kinds], within, width)
+    got = {r["session_id"]: [r[f"t{i}"] - T0 for i in range(1, 5) if r[f"t{i}"] is not None] for r in progress.collect()}
+    want = {}
+    for name in {row[0] for row in rows}:
+        reached = plain_progress([(row[2], row[3]) for row in rows if row[0] == name], kinds, within)
+        if reached:
+            want[name] = reached
+    assert got == want
+
+
+def test_network_columns(spark):
+    def call(props, kind="NETWORK"):
+        return json.dumps({**json.loads(envelope()), "event": {"clientEventId": ID.format(4), "type": kind, "ts": T0, "props": props}})
+
+    values = [
+        call({"method": "GET", "url": "https://a.test/x?mail=me%40example.com", "status": 404, "durationMs": 12.7}),
+        call({"status": 70000, "durationMs": -1, "url": "https://a.test/y"}),
+        call({"method": "GET", "status": 500}, "CUSTOM"),
+        call({"status": 200, "durationMs": 5000}),
+    ]
+    records = spark.createDataFrame([(value,) for value in values], "value string")
+    good, _ = ingest.split_poison(ingest.classify_telemetry(ingest.decode_envelope(records, "telemetry")))
+    rows = ingest.to_event_rows(good)
+    got = [tuple(r) for r in rows.select("http_method", "http_url", "http_status", "http_duration_ms").collect()]
+    assert got[0][0] == "GET" and "example" not in got[0][1] and got[0][2:] == (404, 12)
+    assert got[1] == ("", "https://a.test/y", 0, 0) and got[2] == ("", "", 0, 0) and got[3] == ("", "", 200, 5000)
+    assert [r["issue"] for r in insights.network_issues(rows, 800).collect()] == ["failed", "failed", "slow"]

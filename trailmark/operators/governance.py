@@ -42,29 +42,68 @@ def sensitive_fields(names: DataFrame, name: str = "name") -> DataFrame:
     return names.withColumn("sensitive", X.is_sensitive_name(F.col(name)))
 
 
-def leak_scan(df: DataFrame, texts: Sequence[str], secrets: Mapping[str, str]) -> DataFrame:
-    """Counts, for every named secret, the rows with it in any of the text columns, and the rows with its masked form.
+ANCHOR = 8
+ANCHORS = 100_000  # anchors looked for in one pass over a table
 
-    The secrets are literals of the query, so the scan is one pass over the table without a join; secrets that are
-    found nowhere are reported with zero.
-    """
-    names = list(secrets)
 
-    def contained(needle: str) -> Column:
-        hit = F.lit(False)
-        for text in texts:
-            hit = hit | F.coalesce(F.col(text).contains(needle), F.lit(False))
-        return hit
+def leak_scan(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], secrets: DataFrame) -> DataFrame:
+    """For every table and secret, the rows with the secret in any text column, and the rows with its masked form.
 
-    found = df.agg(
-        *[F.count_if(contained(secrets[name])).alias(f"s{i}") for i, name in enumerate(names)],
-        *[F.count_if(contained("*" * len(secrets[name]))).alias(f"m{i}") for i, name in enumerate(names)],
-    )
-    entries = [
-        F.struct(F.lit(name).alias("secret"), F.col(f"s{i}").alias("rows_with_secret"), F.col(f"m{i}").alias("rows_masked"))
-        for i, name in enumerate(names)
-    ]
-    return found.select(F.inline(F.array(*entries)))
+    `tables` gives each table with its text columns, `secrets` has `name` and `secret`. A secret is anchored at its first
+    `ANCHOR` characters (all, if it has fewer). Of all such pieces of a text only those that are an anchor leave the row;
+    they meet their secrets in a join, and only then is the text searched for the whole secret. So a text is gone through
+    once however many secrets there are. Anchors are few characters each and are handed to the scan, `ANCHORS` to a pass.
+
+    A masked form is a run of stars at least as long as the secret: the longest run of each row says it for all secrets.
+    Secrets that are found nowhere are reported with zero; null and empty ones are found nowhere.
+    """
+    known = secrets.select("name", F.coalesce("secret", F.lit("")).alias("secret"))
+    known = known.withColumn("anchor", F.substring("secret", 1, ANCHOR)).filter("anchor <> ''")
+    anchors = sorted(row[0] for row in known.select("anchor").distinct().collect())
+    found = None
+    for name, (table, texts) in tables.items():
+        rows = table.select(F.array(*[F.coalesce(text, F.lit("")) for text in texts]).alias("texts"))
+        parts = [_with_secret(rows, known, anchors[at : at + ANCHORS]) for at in range(0, len(anchors), ANCHORS)]
+        counts = _with_stars(rows, known)
+        for part in parts:
+            counts = counts.unionByName(part)
+        counts = counts.groupBy("name").agg(F.sum("rows_with_secret").alias("rows_with_secret"), F.sum("rows_masked").alias("rows_masked"))
+        zero = F.lit(0).cast("bigint")
+        all_names = secrets.select("name").distinct().join(counts, "name", "left").select(
+            F.lit(name).alias("table"),
+            F.col("name").alias("secret"),
+            F.coalesce("rows_with_secret", zero).alias("rows_with_secret"),
+            F.coalesce("rows_masked", zero).alias("rows_masked"),
+        )
+        found = all_names if found is None else found.unionByName(all_names)
+    return found
+
+
+def _with_secret(rows: DataFrame, secrets: DataFrame, anchors: Sequence[str]) -> DataFrame:
+    """How many rows hold each of the secrets with these anchors."""
+    sizes = sorted({len(anchor) for anchor in anchors})
+
+    def pieces(text: Column, size: int) -> Column:
+        last = F.length(text) - (size - 1)
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))), lambda piece: piece.isin(list(anchors)))
+
+    met = F.flatten(F.transform("texts", lambda text: F.array_distinct(F.concat(*[pieces(text, size) for size in sizes]))))
+    hits = rows.select("texts", F.explode(F.array_distinct(met)).alias("anchor")).join(secrets, "anchor")
+    hits = hits.filter(F.exists("texts", lambda text: F.contains(text, F.col("secret"))))
+    return hits.groupBy("name").agg(F.count("*").alias("rows_with_secret"), F.lit(0).cast("bigint").alias("rows_masked"))
+
+
+def _with_stars(rows: DataFrame, secrets: DataFrame) -> DataFrame:
+    """How many rows hold a run of stars as long as each secret."""
+    runs = F.transform("texts", lambda text: F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(\*+)"), F.lit(1)), F.length)))
+    longest = rows.select(F.coalesce(F.array_max(runs), F.lit(0)).alias("stars")).filter("stars > 0")
+    # One row per length of a run and of a secret.
+    most = secrets.agg(F.max(F.length("secret"))).first()[0] or 0
+    by_length = longest.groupBy(F.least("stars", F.lit(most)).alias("stars")).agg(F.count("*").alias("n"))
+    enough = by_length.select(F.explode(F.sequence(F.lit(1), "stars")).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("n"))
+    masked = secrets.withColumn("size", F.length("secret")).join(enough, "size")
+    return masked.select("name", F.lit(0).cast("bigint").alias("rows_with_secret"), F.col("n").alias("rows_masked"))
 
 
 def check_constraints(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
@@ -112,27 +151,6 @@ def erase(
     return kept, progress
 
 
-def complete_requests(requests: DataFrame, progress: DataFrame) -> DataFrame:
-    """Requests after the erasure job: completed, with the tables that were worked through."""
-    names = sorted(row["table"] for row in progress.select("table").collect())  # one line per table
-    states = F.create_map(*[F.lit(part) for name in names for part in (name, "DONE")])
-    is_open = F.col("status") != "COMPLETED"
-    return requests.withColumns(
-        {
-            "progress": F.when(is_open, states).otherwise(F.col("progress")),
-            "status": F.when(is_open, F.lit("COMPLETED")).otherwise(F.col("status")),
-        }
-    )
-
-
-def run_erasure(
-    requests: DataFrame, tables: Mapping[str, DataFrame], session_column: Mapping[str, str] | None = None
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables after all open requests, and the requests marked as completed with their progress."""
-    kept, progress = erase(tables, requests, session_column)
-    return kept, complete_requests(requests, progress)
-
-
 def illegal_transitions(review_events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     """Status changes that are not allowed, or that do not start where the change before ended.
 

@@ -122,11 +122,31 @@ def to_event_rows(envelopes: DataFrame, carried: Sequence[str] = ()) -> DataFram
         text(event["targetText"]).alias("target_text"),
         text(event["errorMessage"]).alias("error_message"),
         text(event["errorStack"]).alias("error_stack"),
+        *network_columns(event["type"], event["props"]),
         F.when(J.is_object(event["props"]), event["props"]).otherwise(F.lit("{}")).alias("props"),
         e["userAgent"].alias("user_agent"),
     )
 
 
+def network_columns(event_type: Column, props: Column) -> list[Column]:
+    """Method, redacted URL, status and duration of network calls, out of `props` (`method`, `url`, `status`, `durationMs`).
+
+    Other events, and values that are missing or do not fit the stored types, have an empty text or zero.
+    """
+    is_call = event_type == "NETWORK"
+
+    def number(path: str, most: int) -> Column:
+        value = F.get_json_object(props, f"$.{path}").try_cast("double")
+        return F.when(is_call & value.between(0, most), F.floor(value)).otherwise(F.lit(0))
+
+    return [
+        F.when(is_call, F.substring(J.prop(props, "method"), 1, S.MAX_METHOD_LENGTH)).otherwise(F.lit("")).alias("http_method"),
+        F.when(is_call, X.redact_url(J.prop(props, "url"))).otherwise(F.lit("")).alias("http_url"),
+        number("status", 2**16 - 1).cast("int").alias("http_status"),
+        number("durationMs", 2**32 - 1).cast("bigint").alias("http_duration_ms"),
+    ]
+
+
 def parse_batches(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Adds `batch`, the decoded events body, `unknown_events` and `well_formed`.
 
@@ -403,3 +423,107 @@ def rate_exceedance(
     start = F.floor(F.unix_millis(F.col(ts)) / window_ms) * window_ms
     counts = requests.groupBy(F.col(key), start.alias("window_start_ms")).agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") > limit)
+
+
+PERIODS = 4096  # periods of a rate that are looked at as one list
+
+
+def _change(shift: Column, low: Column, high: Column, at: Column) -> Column:
+    """What happens to a level: `shift` is added, then it is kept between `low` and `high`. `at` is where time stands."""
+    parts = {"shift": shift, "low": low, "high": high, "at": at}
+    return F.struct(*[F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint")).alias(name) for name, value in parts.items()])
+
+
+def _level(change: Column, before: Column) -> Column:
+    return F.least(change["high"], F.greatest(change["low"], before + change["shift"]))
+
+
+def rate_audit(
+    requests: DataFrame,
+    burst: int = S.RATE_BURST,
+    refill: int = S.RATE_PER_SECOND,
+    period_ms: int = 1000,
+    key: str = "key_hash",
+    ts: str = "ts",
+) -> DataFrame:
+    """Periods in which a token bucket would have refused requests of a key: `n` requests, `accepted` and `refused`.
+
+    A bucket holds `burst` tokens and starts full. It gets `refill` tokens in each period, one at a time at equal steps of
+    the clock, and loses one for each request it accepts; a request that finds it empty is refused and costs nothing.
+
+    What a stretch of time does to a bucket's level is to add a number and then keep the result between a floor and a
+    ceiling, and so do two stretches together. So each period of a key is three numbers, made where its requests are; a
+    run of periods is three numbers again; and the runs of a key, one line each, give every run the level it begins with.
+    A hot key is spread over its periods and runs, and no list is longer than a run (`PERIODS`) or the runs of one key.
+    """
+    cap, none = F.lit(burst), F.lit(0)
+
+    def wait(change: Column, tokens: Column, at: Column) -> Column:
+        return _change(change["shift"] + tokens, F.least(cap, change["low"] + tokens), F.least(cap, change["high"] + tokens), at)
+
+    def take(change: Column, n: Column) -> Column:
+        low, high = (F.greatest(none, change[name] - n) for name in ("low", "high"))
+        return _change(change["shift"] - n, low, high, change["at"])
+
+    def follow(first: Column, then: Column, at: Column) -> Column:
+        return _change(first["shift"] + then["shift"], _level(then, first["low"]), _level(then, first["high"]), at)
+
+    # Periods: how many requests at which token step, and what that does to the level.
+    step = F.floor(F.unix_millis(F.col(ts)) * refill / period_ms)
+    steps = requests.groupBy(F.col(key), step.alias("step")).agg(F.count("*").alias("n"))
+    period = F.floor(F.col("step") / refill)
+    periods = steps.groupBy(key, period.alias("period")).agg(F.array_sort(F.collect_list(F.struct("step", "n"))).alias("steps"))
+    start = F.col("period") * refill
+    change = F.aggregate(
+        "steps",
+        _change(none, none, cap, start),
+        lambda state, one: take(wait(state, one["step"] - state["at"], one["step"]), one["n"]),
+        lambda state: wait(state, start + refill - state["at"], start + refill),
+    )
+    # Runs of periods, and the level each begins with.
+    run = F.floor(F.col("period") / PERIODS)
+    of_run = F.struct("period", "change", "steps")
+    runs = periods.withColumn("change", change).groupBy(key, run.alias("run")).agg(F.array_sort(F.collect_list(of_run)).alias("periods"))
+    begin = F.col("run") * PERIODS
+    change = F.aggregate(
+        "periods",
+        _change(none, none, cap, begin),
+        lambda state, one: follow(wait(state, (one["period"] - state["at"]) * refill, none), one["change"], one["period"] + 1),
+        lambda state: wait(state, (begin + PERIODS - state["at"]) * refill, none),
+    )
+    runs = runs.withColumn("change", change)
+    lines = runs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("run", "change"))).alias("runs"))
+    numbers = F.transform("runs", lambda one: one["run"])
+    levels = _levels("runs", "run", burst, PERIODS * refill)
+    begun = lines.select(key, F.explode(F.arrays_zip(numbers.alias("run"), levels.alias("level"))).alias("b")).select(key, "b.run", "b.level")
+    # The same inside each run, then inside each period.
+    opened = runs.drop("change").join(begun, [key, "run"])
+    levels = _levels("periods", "period", burst, refill, F.col("level"), begin)
+    inside = opened.select(key, F.explode(F.arrays_zip(F.col("periods").alias("one"), levels.alias("level"))).alias("p"))
+    total = F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, one: n + one["n"])
+    inside = inside.select(key, "p.one.period", "p.one.steps", "p.level").withColumn("n", total)
+    first = F.struct("level", F.lit(0).cast("bigint").alias("accepted"), (F.col("period") * refill).alias("at"))
+
+    def serve(state: Column, one: Column) -> Column:
+        there = F.least(F.lit(burst).cast("bigint"), state["level"] + one["step"] - state["at"])
+        taken = F.least(one["n"], there)
+        return F.struct((there - taken).alias("level"), (state["accepted"] + taken).alias("accepted"), one["step"].alias("at"))
+
+    accepted = F.aggregate("steps", first, serve, lambda state: state["accepted"])
+    judged = inside.withColumn("accepted", accepted).filter("n > accepted")
+    return judged.select(key, (F.col("period") * period_ms).alias("window_start_ms"), "n", "accepted", (F.col("n") - F.col("accepted")).alias("refused"))
+
+
+def _levels(list_: str, number: str, burst: int, width: int, level: Column | None = None, at: Column | None = None) -> Column:
+    """The level at the beginning of each stretch of a list, in order; between stretches that are not there it only fills."""
+    full = F.lit(burst).cast("bigint")
+    at = F.element_at(list_, 1)[number] if at is None else at
+    none = F.array().cast("array<bigint>")
+    first = F.struct((full if level is None else level).alias("level"), at.cast("bigint").alias("at"), none.alias("out"))
+
+    def go(state: Column, one: Column) -> Column:
+        here = F.least(full, state["level"] + (one[number] - state["at"]) * width)
+        after = _level(one["change"], here)
+        return F.struct(after.alias("level"), (one[number] + 1).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
+
+    return F.aggregate(list_, first, go, lambda state: state["out"])

@@ -9,7 +9,7 @@ from trailmark import schemas as S
 from trailmark.functions import text as X
 from trailmark.functions.times import DAY_MS, HOUR_MS
 from trailmark.functions.vectors import cosine_distance_to
-from trailmark.operators.slices import attach_per_key, with_key_value
+from trailmark.operators.slices import SLICE, sliced, with_key_value
 from trailmark.operators.tables import for_tenant
 
 SESSION_KEYS = ["tenant_id", "session_id"]
@@ -27,21 +27,18 @@ def nearest_insights(
     return ranked.filter("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
-def timeline(events: DataFrame, markers: DataFrame | None = None, width_ms: int = HOUR_MS) -> DataFrame:
+def timeline(events: DataFrame, signals: Sequence[str] = (), width_ms: int = HOUR_MS) -> DataFrame:
     """Pages, clicks and errors of each session with their offset from its start.
 
-    `markers` adds rows at times of existing events, such as rage or dead clicks with their own `event_type`.
+    `signals` names flags that the events carry (`signals.mark_signals`); an event that is one has a row of that type more.
     """
     kinds = ["NAVIGATION", "CLICK", *S.ERROR_TYPES, "RAGE_CLICK", "DEAD_CLICK", "ERROR_CLICK"]
-    columns = [*SESSION_KEYS, "ts", "event_id", "event_type"]
-    rows = events.select(*columns)
-    if markers is not None:
-        rows = rows.unionByName(markers.select(*columns))
+    marks = [F.when(F.col(name), F.lit(name.upper())) for name in signals]
+    types = F.array_compact(F.array(F.when(F.col("event_type").isin(kinds), F.col("event_type")), *marks))
+    rows = events.select(*SESSION_KEYS, "ts", "event_id", types.alias("_types"))
     begun = with_key_value(rows, SESSION_KEYS, "_start", F.min("ts"), F.min, width_ms=width_ms)
     offset = F.unix_millis("ts") - F.unix_millis("_start")
-    return begun.filter(F.col("event_type").isin(kinds)).select(
-        *SESSION_KEYS, "event_id", "event_type", offset.alias("offset_ms")
-    )
+    return begun.select(*SESSION_KEYS, "event_id", F.explode("_types").alias("event_type"), offset.alias("offset_ms"))
 
 
 def session_summaries(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
@@ -109,21 +106,47 @@ def funnel_progress(
     """When each session reached each step: `t1 ... tk`, null from the first step it missed.
 
     A step counts at the earliest matching event strictly after the step before it and, with `within_ms`, no later
-    than that after the first. Each step is a minimum per session, folded per task before the shuffle.
+    than that after the first.
+
+    Events are read once and dealt by (session, slice). What a slice does is said by one chain of times for each step it may
+    be entered at: the earliest match of that step, the earliest match of the next one after that, and so on. Chains are
+    frames over one order of the slice. The slices of a session are then gone along, each continuing from the step
+    reached before it. Two shuffles, and a hot session is spread over its slices.
     """
-    reached = (
-        events.filter(steps[0]).groupBy(*SESSION_KEYS).agg(F.unix_millis(F.min("ts")).alias("t1"))
-    )
-    for number, step in enumerate(steps[1:], start=2):
-        candidates = events.filter(step).select(*SESSION_KEYS, "ts")
-        ahead = attach_per_key(candidates, reached, SESSION_KEYS, width_ms=width_ms)
-        at = F.unix_millis("ts")
-        follows = at > F.col(f"t{number - 1}")
-        if within_ms is not None:
-            follows = follows & (at <= F.col("t1") + within_ms)
-        hits = ahead.filter(follows).groupBy(*SESSION_KEYS).agg(F.unix_millis(F.min("ts")).alias(f"t{number}"))
-        reached = reached.join(hits, SESSION_KEYS, "left")
-    return reached
+    k = len(steps)
+    matches = [F.coalesce(step, F.lit(False)).alias(f"_m{i}") for i, step in enumerate(steps)]
+    rows = sliced(events.select(*SESSION_KEYS, "ts", *matches), "ts", width_ms)
+    rows = rows.filter(F.exists(F.array(*[f"_m{i}" for i in range(k)]), lambda hit: hit))
+    rows = rows.withColumn("_at", F.unix_millis("ts")).withColumn("_back", -F.col("_at")).drop("ts")
+    # Backwards in time a frame that begins with the slice grows row by row; equal times are not after each other.
+    later = Window.partitionBy(*SESSION_KEYS, SLICE).orderBy("_back").rangeBetween(Window.unboundedPreceding, -1)
+
+    def chain(step: int) -> Column:
+        rest = [F.col(f"_next{step + 1}")] if step + 1 < k else []
+        return F.when(F.col(f"_m{step}"), F.struct(F.col("_at").alias("t"), *[r.alias("rest") for r in rest]))
+
+    for step in reversed(range(1, k)):
+        rows = rows.withColumn(f"_next{step}", F.min(chain(step)).over(later))
+    slices = rows.groupBy(*SESSION_KEYS, SLICE).agg(*[F.min(chain(step)).alias(f"_from{step}") for step in range(k)])
+
+    def times(step: int) -> Column:
+        """The chain entered at a step as a list of times."""
+        path, out = F.col(f"_from{step}"), []
+        for _ in range(step, k):
+            out.append(path["t"])
+            path = path["rest"] if len(out) < k - step else path
+        return F.array_compact(F.array(*out))
+
+    entered = F.array(*[times(step) for step in range(k)])
+    along = slices.groupBy(*SESSION_KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col(SLICE), entered.alias("entered")))).alias("_slices"))
+    none = F.array().cast("array<bigint>")
+    reached = F.aggregate("_slices", none, lambda done, part: F.concat(done, F.coalesce(F.get(part["entered"], F.size(done)), none)))
+    along = along.withColumn("_reached", reached)
+    if within_ms is not None:
+        # The earliest match is beyond the limit only if all are; steps behind it are as late.
+        along = along.withColumn("_reached", F.filter("_reached", lambda t: t <= F.get("_reached", F.lit(0)) + within_ms))
+    found = along.filter(F.size("_reached") > 0)
+    return found.select(*SESSION_KEYS, *[F.get("_reached", F.lit(i)).alias(f"t{i + 1}") for i in range(k)])
 
 
 def funnel(
@@ -160,9 +183,11 @@ def funnel_dropoffs(progress: DataFrame, step: int) -> DataFrame:
 
 def click_map(events: DataFrame) -> DataFrame:
     """Clicks per page and element, and their share of the page's clicks."""
-    cells = events.filter("event_type = 'CLICK'").groupBy("path", "target_selector").agg(F.count("*").alias("clicks"))
-    share = F.col("clicks") / F.sum("clicks").over(Window.partitionBy("path"))
-    return cells.withColumn("share", F.round(share, 6))
+    clicks = events.filter("event_type = 'CLICK'")
+    cells = clicks.groupBy("path", "target_selector").agg(F.count("*").alias("clicks"))
+    pages = cells.groupBy(F.col("path").alias("_path")).agg(F.sum("clicks").alias("_all"))
+    joined = cells.join(pages, F.col("path").eqNullSafe(F.col("_path")))
+    return joined.select("path", "target_selector", "clicks", F.round(F.col("clicks") / F.col("_all"), 6).alias("share"))
 
 
 def network_issues(events: DataFrame, slow_ms: int) -> DataFrame:

@@ -1,9 +1,6 @@
 """Replay chunks: manifest, continuity, integrity, payload lookup and re-chunking."""
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark import schemas as S
@@ -12,6 +9,9 @@ from trailmark.functions import web as W
 from trailmark.functions.times import HOUR_MS
 from trailmark.operators.once import with_once
 from trailmark.operators.slices import with_previous, with_running_total
+from trailmark.session import written
+
+SESSION_KEYS = ["tenant_id", "session_id"]
 
 
 def chunk_rows(good: DataFrame) -> DataFrame:
@@ -108,77 +108,69 @@ def explode_replay(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _cut_runs(max_bytes: int):
-    """Chunk number inside each (session, run, tick) group; only keys and sizes come here, never payload text."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, part, size, full = None, 0, 0, False
-        for batch in batches:
-            parts = []
-            for key, length in zip(
-                zip(batch["tenant_id"], batch["session_id"], batch["run"], batch["tick"]), batch["bytes"]
-            ):
-                if key != group:
-                    group, part, size, full = key, 0, 0, False
-                elif full:
-                    part, size, full = part + 1, 0, False
-                size += length
-                full = size >= max_bytes
-                parts.append(part)
-            yield batch.assign(part=parts)
-
-    return cut
-
-
-def rechunk_replay(
-    events: DataFrame,
-    max_bytes: int = S.REPLAY_CHUNK_BYTES,
-    flush_ms: int = S.REPLAY_FLUSH_MS,
-    width_ms: int = HOUR_MS,
-) -> DataFrame:
-    """Cuts recorded events into chunks anew and numbers the chunks of each session.
+def chunk_starts(sized: DataFrame, max_bytes: int) -> DataFrame:
+    """The offsets at which chunks begin, of rows (tenant_id, session_id, run, start): `start` is an event's byte offset.
 
-    A chunk ends before a Meta event, when its text reaches `max_bytes`, and at every flush tick of `flush_ms`. Wants
-    `tenant_id, session_id, ts, seq, type, event`, where `seq` orders events of equal time. The byte counter starts
-    again in every (session, Meta run, tick), so rows are spread by those three and streamed in order through Python
-    with a few numbers of state; the events' text itself stays in the JVM and is never sent there.
+    A chunk that begins at an offset ends with the event that brings it to `max_bytes`, so the next one begins at the
+    first event at or behind that distance. That is one pointer for each event, found inside cells of `max_bytes`: it leads
+    into the next cell, or to the first event behind where that one has none. From the start of a run the pointers are
+    followed by doubling them: each round adds the starts as far ahead as all the rounds before, so a run of n chunks
+    takes log n rounds, and a run without a second chunk none.
     """
-    session = ["tenant_id", "session_id"]
-    is_meta = (F.col("type") == S.REPLAY_META).cast("long")
-    runs = with_running_total(events, session, ["ts", "seq"], F.coalesce(is_meta, F.lit(0)), "run", width_ms)
-    sized = runs.select(
-        *session,
-        "ts",
-        "seq",
-        "run",
-        F.floor(F.unix_millis("ts") / flush_ms).alias("tick"),
-        F.length("event").cast("bigint").alias("bytes"),
-        F.coalesce(is_meta, F.lit(0)).alias("is_meta"),
+    run = [*SESSION_KEYS, "run"]
+    nodes = sized.select(*run, "start").distinct().withColumn("cell", F.floor(F.col("start") / max_bytes))
+    nodes = written(nodes, "nodes")
+    axis = F.array(
+        F.struct(F.col("cell").alias("of"), F.col("start").alias("x"), F.lit(True).alias("there")),
+        F.struct((F.col("cell") + 1).alias("of"), (F.col("start") + max_bytes).alias("x"), F.lit(False).alias("there")),
     )
-    group = [*session, "tick", "run"]
-    ordered = sized.repartition(*group).sortWithinPartitions(*group, "ts", "seq")
-    ddl = "tenant_id string, session_id string, ts timestamp, seq bigint, run bigint, tick bigint, bytes bigint, is_meta bigint, part int"
-    cut = ordered.mapInPandas(_cut_runs(max_bytes), ddl)
-    chunks = cut.groupBy(*session, "tick", "run", "part").agg(
+    dealt = nodes.select(*run, "start", "cell", F.inline(axis)).withColumn("back", -F.col("x"))
+    ahead = Window.partitionBy(*run, "of").orderBy("back").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = dealt.withColumn("near", F.min(F.when(F.col("there"), F.col("x"))).over(ahead)).filter("NOT there")
+    # The first event behind the next cell, for cells that hold none far enough ahead. A run has one line per cell.
+    along = Window.partitionBy(*run).orderBy("cell")
+    cells = nodes.groupBy(*run, "cell").agg(F.min("start").alias("first")).withColumns(
+        {"c1": F.lead("cell").over(along), "f1": F.lead("first").over(along), "f2": F.lead("first", 2).over(along)}
+    )
+    beyond = F.when(F.col("c1") == F.col("cell") + 1, F.col("f2")).otherwise(F.col("f1"))
+    cells = cells.select(*run, "cell", beyond.alias("beyond"))
+    pointers = near.join(cells, [*run, "cell"]).select(*run, "start", F.coalesce("near", "beyond").alias("next"))
+    pointers = written(pointers.filter("next IS NOT NULL"), "pointers")
+    starts = nodes.filter("start = 0").select(*run, "start")
+    while pointers.take(1):
+        found = starts.join(pointers, [*run, "start"]).select(*run, F.col("next").alias("start"))
+        starts = written(starts.unionByName(found), "starts")
+        then = pointers.select(*run, F.col("start").alias("next"), F.col("next").alias("after"))
+        pointers = written(pointers.join(then, [*run, "next"]).select(*run, "start", F.col("after").alias("next")), "pointers")
+    return starts
+
+
+def rechunk_replay(events: DataFrame, max_bytes: int = S.REPLAY_CHUNK_BYTES, width_ms: int = HOUR_MS) -> DataFrame:
+    """Cuts recorded events into chunks anew and numbers the chunks of each session.
+
+    A chunk ends before a Meta event and when its text reaches `max_bytes`. Wants `tenant_id, session_id, ts, seq, type,
+    event`, where `(ts, seq)` orders the events of a session. The work is on sizes and offsets; the texts are read once to
+    measure them.
+    """
+    is_meta = F.coalesce((F.col("type") == S.REPLAY_META).cast("long"), F.lit(0))
+    sized = events.select(*SESSION_KEYS, "ts", "seq", F.length("event").cast("bigint").alias("bytes"), is_meta.alias("is_meta"))
+    order = ["ts", "seq"]
+    runs = with_running_total(sized, SESSION_KEYS, order, F.col("is_meta"), "run", width_ms)
+    ends = with_running_total(runs, [*SESSION_KEYS, "run"], order, F.col("bytes"), "end", width_ms)
+    placed = written(ends.withColumn("start", F.col("end") - F.col("bytes")), "offsets")
+    # Events without text begin where the one behind them does; the first of them is the one that begins the chunk.
+    run = [*SESSION_KEYS, "run"]
+    starts = chunk_starts(placed, max_bytes).withColumn("begins", F.lit(1))
+    first = placed.groupBy(*run, "start").agg(F.min(F.struct(*order)).alias("first"))
+    begins = first.join(starts, [*run, "start"]).select(*SESSION_KEYS, "first.ts", "first.seq", "begins")
+    marked = placed.join(begins, [*SESSION_KEYS, *order], "left")
+    chunks = with_running_total(marked, SESSION_KEYS, order, F.coalesce("begins", F.lit(0)), "_number", width_ms)
+    return chunks.groupBy(*SESSION_KEYS, (F.col("_number") - 1).alias("chunk_seq")).agg(
         F.count("*").alias("event_count"),
         F.sum("bytes").alias("bytes"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        (F.min_by("is_meta", F.struct("ts", "seq")) == 1).alias("starts_with_snapshot"),
-    )
-    numbered = with_running_total(
-        chunks, session, ["first_ts", "first_seq"], F.lit(1), "_number", width_ms
-    )
-    return numbered.withColumn("chunk_seq", F.col("_number") - 1).select(
-        *session,
-        "chunk_seq",
-        "event_count",
-        "bytes",
-        "first_ts",
-        "last_ts",
-        "first_seq",
-        "last_seq",
-        "starts_with_snapshot",
+        F.min_by("seq", F.struct(*order)).alias("first_seq"),
+        F.max_by("seq", F.struct(*order)).alias("last_seq"),
+        (F.min_by("is_meta", F.struct(*order)) == 1).alias("starts_with_snapshot"),
     )

@@ -125,7 +125,10 @@ def fold_updates(updates: DataFrame) -> DataFrame:
     def earliest(column: str) -> Column:
         return F.min_by(column, F.when(F.col(column).isNotNull(), F.struct("last_received", "first_ts")))
 
+    # The day a session is kept under is the same in all its updates.
+    home = ["home_day"] if "home_day" in updates.columns else []
     folded = updates.groupBy("tenant_id", "id").agg(
+        *[F.min(name).alias(name) for name in home],
         first.alias("_first"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
@@ -146,6 +149,7 @@ def fold_updates(updates: DataFrame) -> DataFrame:
         F.col("_entry.entry_url").alias("entry_url"),
         "platform",
         "browser",
+        *home,
     )
 
 
@@ -166,6 +170,7 @@ def upsert_sessions(current: DataFrame, updates: DataFrame) -> DataFrame:
     tenants are ignored; `reject_unknown_refs` reports those.
     """
     old, new = current.alias("o"), owned(current, updates).alias("n")
+    home = ["home_day"] if "home_day" in current.columns and "home_day" in updates.columns else []
     known = F.col("o.id").isNotNull()
     same = F.col("n.id").isNotNull()
     user = F.when(
@@ -216,6 +221,7 @@ def upsert_sessions(current: DataFrame, updates: DataFrame) -> DataFrame:
             F.when(earlier_entry & same, F.col("n.entry_at")).otherwise(F.col("o.entry_at")).alias("entry_at"),
             (F.coalesce("o.needs_recompute", F.lit(False)) | late).alias("needs_recompute"),
             F.when(known, F.col("o.version") + changed.cast("int")).otherwise(F.lit(0)).cast("bigint").alias("version"),
+            *[F.coalesce(f"o.{name}", f"n.{name}").alias(name) for name in home],
         )
     )
 

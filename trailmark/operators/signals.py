@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trailmark import schemas as S
 from trailmark.functions.times import HOUR_MS
-from trailmark.operators.slices import with_neighbours, with_previous
+from trailmark.operators.slices import SLICE, with_neighbours, with_previous
 
 SESSION_KEYS = ["tenant_id", "session_id"]
 IS_CLICK = "event_type = 'CLICK'"
@@ -74,20 +74,48 @@ def stuck_pages(events: DataFrame, min_stay_ms: int, min_repeats: int) -> DataFr
 SIGNALS = ["rage_click", "dead_click", "error_click", "error_burst"]
 
 
-def tally_signals(events: DataFrame, found: DataFrame) -> DataFrame:
-    """Counts per session of the given signals (`tenant_id, session_id, signal`) and of errors, zero where none are.
+def mark_signals(
+    events: DataFrame,
+    rage_n: int = 3,
+    within_ms: int = 1000,
+    burst_n: int = 5,
+    burst_ms: int = 10_000,
+    width_ms: int = HOUR_MS,
+    rage_ms: int | None = None,
+) -> DataFrame:
+    """Every event with a flag for each signal (`SIGNALS`) it is, by the rules of the functions above.
 
-    Every event is one line of the same tally, so sessions without signals appear too and nothing is joined.
+    Rows are copied into the slices their time reaches once, for the widest reach, and all frames are taken over that one
+    shuffle: those of a session and those of an element in it.
     """
-    lines = found.unionByName(
-        events.select(
-            *SESSION_KEYS,
-            F.when(F.col("event_type").isin(S.ERROR_TYPES), F.lit("error")).otherwise(F.lit("")).alias("signal"),
-        )
-    )
-    return lines.groupBy(*SESSION_KEYS).agg(
-        *[F.count_if(F.col("signal") == name).alias(f"{name}_count") for name in [*SIGNALS, "error"]]
+    is_error = F.col("event_type").isin(S.ERROR_TYPES)
+    is_click, is_effect = F.expr(IS_CLICK), F.col("event_type").isin("NAVIGATION", "MUTATION")
+    ms = F.unix_millis("ts")
+    rage_ms = within_ms if rage_ms is None else rage_ms
+    before, after = max(rage_ms, burst_ms), within_ms
+    width_ms = max(width_ms, before, after)
+    reached = F.sequence(F.floor((ms - after) / width_ms), F.floor((ms + before) / width_ms))
+    copies = events.withColumn("_ms", ms).withColumn(SLICE, F.explode(reached))
+    # Elements of clicks only: other rows share one empty element and must not make a group of their own.
+    element = F.when(is_click, F.col("target_selector"))
+    of_session = Window.partitionBy(*SESSION_KEYS, SLICE).orderBy("_ms")
+    of_element = Window.partitionBy(*SESSION_KEYS, SLICE, "_element").orderBy("_ms")
+    marked = copies.withColumn("_element", element).withColumns(
+        {
+            "_errors": F.count_if(is_error).over(of_session.rangeBetween(-burst_ms, 0)),
+            "_error_after": F.count_if(is_error).over(of_session.rangeBetween(0, within_ms)),
+            "_effect_after": F.count_if(is_effect).over(of_session.rangeBetween(0, within_ms)),
+            "_clicks": F.count_if(is_click).over(of_element.rangeBetween(-rage_ms, 0)),
+        }
     )
+    flags = {
+        "rage_click": is_click & (F.col("_clicks") >= rage_n),
+        "dead_click": is_click & (F.col("_effect_after") == 0),
+        "error_click": is_click & (F.col("_error_after") > 0),
+        "error_burst": is_error & (F.col("_errors") >= burst_n),
+    }
+    own = marked.filter(F.col(SLICE) == F.floor(F.col("_ms") / width_ms)).withColumns(flags)
+    return own.drop(SLICE, "_ms", "_element", "_errors", "_error_after", "_effect_after", "_clicks")
 
 
 def signal_counts(
@@ -97,19 +125,13 @@ def signal_counts(
     burst_n: int = 5,
     burst_ms: int = 10_000,
     width_ms: int = HOUR_MS,
+    rage_ms: int | None = None,
 ) -> DataFrame:
     """Signals per session: rage, dead and error clicks, bursts and errors, zero where there are none."""
-    parts = [
-        rage_clicks(events, rage_n, within_ms, width_ms),
-        dead_clicks(events, within_ms, width_ms),
-        error_clicks(events, within_ms, width_ms),
-        error_bursts(events, burst_n, burst_ms, width_ms),
-    ]
-    found = None
-    for name, part in zip(SIGNALS, parts):
-        lines = part.select(*SESSION_KEYS, F.lit(name).alias("signal"))
-        found = lines if found is None else found.unionByName(lines)
-    return tally_signals(events, found)
+    needed = events.select(*SESSION_KEYS, "ts", "event_type", "target_selector")
+    marked = mark_signals(needed, rage_n, within_ms, burst_n, burst_ms, width_ms, rage_ms)
+    flags = {**{name: F.col(name) for name in SIGNALS}, "error": F.col("event_type").isin(S.ERROR_TYPES)}
+    return marked.groupBy(*SESSION_KEYS).agg(*[F.count_if(flag).alias(f"{name}_count") for name, flag in flags.items()])
 
 
 # Our weights of the friction score; the sum of weight * count is cut at 100.

@@ -60,6 +60,55 @@ def erase(spark, folder):
     return progress.join(counts, "table").select("table", "erased", "kept")
 
 
+@query(
+    fx.on_events(
+        """, gone AS (SELECT *, user_id % 20 = 2 OR (user_id % 20 = 1 AND session_id = user_id || '-1') AS erased FROM ev),
+  asked AS (SELECT DISTINCT 'END_USER' AS subject_type, CAST(user_id AS VARCHAR) AS subject, user_id % 20 = 2 AS new FROM ev WHERE user_id % 20 IN (2, 3)
+    UNION ALL SELECT DISTINCT 'SESSION', session_id, true FROM ev WHERE user_id % 20 = 1 AND session_id = user_id || '-1')
+  SELECT 'events' AS store, event_id AS id, '' AS status FROM gone WHERE NOT erased
+  UNION ALL SELECT DISTINCT 'sessions', session_id, '' FROM gone WHERE NOT erased
+  UNION ALL SELECT DISTINCT 'end_users', anonymous_id, '' FROM ev WHERE user_id % 20 <> 2
+  UNION ALL SELECT 'requests ' || subject_type, CASE WHEN subject_type = 'SESSION' THEN subject ELSE '' END,
+    CASE WHEN new THEN 'COMPLETED end_users, events, sessions' ELSE 'COMPLETED ' END FROM asked"""
+    )
+)
+def erasure_job(spark, folder):
+    """The erasure job over stored tables: what is left in each of them, and the requests with their progress."""
+    from trailmark.session import work_folder
+    from trailmark.sources.daytable import DayTable
+    from trailmark.sources.erasure import REQUEST, Store, run_erasure
+    from trailmark.sources.snapshots import Snapshot
+
+    sessions = written(fx.sessions(spark, folder), "sessions")
+    events = fx.events(spark, folder).select("tenant_id", "session_id", "event_id", "ts")
+    users = fx.base_events(spark, folder).groupBy("tenant_id", "site_id", "anonymous_id").agg(F.min("ts").alias("first_seen_at"))
+    users = users.withColumn("id", end_user_id(F.col("site_id"), F.col("anonymous_id")))
+
+    def stored(rows, name, bounds):
+        table = DayTable(spark, work_folder(spark, name), rows.schema, bounds)
+        table.write(rows, F.to_date(bounds).cast("string"), [], 0, -1)
+        return table
+
+    stores = {
+        "events": Store(stored(events, "events", "ts"), "session_id", dated=True),
+        "end_users": Store(stored(users, "end_users", "first_seen_at"), "id", "END_USER"),
+        "sessions": Store(stored(sessions, "sessions", "started_at"), "id", dated=True),
+    }
+    path = work_folder(spark, "requests")
+    asked = erasure_requests(sessions).withColumn("id", F.concat_ws("/", "tenant_id", "subject_type", "subject_id"))
+    asked = asked.withColumns({"completed_at": F.lit(None).cast("timestamp"), "progress": F.create_map().cast("map<string,string>")})
+    Snapshot(spark, path, REQUEST).write(asked, 0)
+    done = run_erasure(spark, path, stores, fx.now())
+    ids = {"events": "event_id", "end_users": "anonymous_id", "sessions": "id"}
+    rows = None
+    for name, column in ids.items():
+        part = stores[name].table.read().select(F.lit(name).alias("store"), F.col(column).alias("id"), F.lit("").alias("status"))
+        rows = part if rows is None else rows.unionByName(part)
+    steps = F.concat_ws(" ", "status", F.array_join(F.array_sort(F.map_keys("progress")), ", "))
+    subject = F.when(F.col("subject_type") == "SESSION", F.col("subject_id")).otherwise(F.lit(""))
+    return rows.unionByName(done.select(F.concat(F.lit("requests "), "subject_type").alias("store"), subject.alias("id"), steps.alias("status")))
+
+
 def review_events(spark, folder):
     """Three status changes per label; some of them are not allowed or do not follow each other."""
     verdict = (

@@ -452,6 +452,30 @@ def rate_exceedance(spark, folder):
     return ingest.rate_exceedance(requests, 3, HOUR_MS)
 
 
+RATE = {"burst": 5, "refill": 4, "period_ms": DAY_MS}
+
+
+@query(
+    f"""WITH RECURSIVE steps AS (
+    SELECT user_id % 8 AS site, epoch_us(ts) // 1000 * 4 // {DAY_MS} AS step, count(*) AS n FROM events GROUP BY ALL
+  ), numbered AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY step) AS i FROM steps
+  ), bucket AS (
+    SELECT site, step, i, n, least(n, 5) AS accepted, 5 - least(n, 5) AS level FROM numbered WHERE i = 1
+    UNION ALL
+    SELECT s.site, s.step, s.i, s.n, least(s.n, least(5, level + s.step - b.step)),
+      least(5, level + s.step - b.step) - least(s.n, least(5, level + s.step - b.step))
+    FROM bucket b JOIN numbered s ON s.site = b.site AND s.i = b.i + 1
+  )
+  SELECT sha256('key-' || site) AS key_hash, step // 4 * {DAY_MS} AS window_start_ms, CAST(sum(n) AS BIGINT) AS n,
+    CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(n - accepted) AS BIGINT) AS refused FROM bucket GROUP BY ALL HAVING sum(n) > sum(accepted)"""
+)
+def rate_audit(spark, folder):
+    """A bucket of five for each site key, refilled four times a day; the live one holds 100 and gets 50 a second."""
+    key = F.sha2(F.concat(F.lit("key-"), F.col("site_id")), 256)
+    requests = fx.base_events(spark, folder).select(key.alias("key_hash"), "ts")
+    return ingest.rate_audit(requests, **RATE)
+
+
 @query(
     """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'smsOtp' WHEN 1 THEN 'saved.cvc' WHEN 2 THEN 'CVN3digits' WHEN 3 THEN 'adoption'
     WHEN 4 THEN 'OTPSent' WHEN 5 THEN 'cvcard' WHEN 6 THEN 'street' ELSE 'visa CVV' END || '_' || source AS name,
@@ -483,13 +507,16 @@ SECRETS = {"mail host": "@mail1.example.com", "area code": "+1 (743)", "masked r
 
 
 @query(
-    "SELECT * FROM ("
+    """SELECT * FROM ("""
     + " UNION ALL ".join(
-        f"SELECT '{name}' AS secret, count(*) FILTER (contains(text, '{value}')) AS rows_with_secret, "
-        f"count(*) FILTER (contains(text, repeat('*', {len(value)}))) AS rows_masked FROM documents"
+        f"SELECT '{table}' AS \"table\", '{name}' AS secret, count(*) FILTER (contains(text, '{value}')) AS rows_with_secret, "
+        f"count(*) FILTER (contains(text, repeat('*', {len(value)}))) AS rows_masked FROM {table}"
+        for table in ("documents", "conversations")
         for name, value in SECRETS.items()
     )
     + ")"
 )
 def leak_scan(spark, folder):
-    return governance.leak_scan(fx.table(spark, folder, "documents"), ["text"], SECRETS)
+    tables = {name: (fx.table(spark, folder, name), ["text"]) for name in ("documents", "conversations")}
+    secrets = spark.createDataFrame(list(SECRETS.items()), "name string, secret string")
+    return governance.leak_scan(tables, secrets)

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.times import DAY_MS
 from trailmark.operators import insights as ops
+from trailmark.operators.signals import mark_signals
 from trailmark.plans import fixtures as fx
 from trailmark.plans.catalog import query
-from trailmark.plans.signals import RAGE_SQL, rage
+from trailmark.plans.signals import RAGE_SQL, WITHIN
+from trailmark.session import written
 
 
 def insight_rows(spark, folder):
@@ -52,9 +54,10 @@ def cosine_similarity(spark, folder):
     )
 )
 def timeline(spark, folder):
-    events = fx.events(spark, folder)
-    markers = rage(events).withColumn("event_type", F.lit("RAGE_CLICK"))
-    return ops.timeline(events, markers, DAY_MS).select("session_id", "event_id", "event_type", "offset_ms")
+    needed = ["tenant_id", "session_id", "ts", "event_id", "event_type", "target_selector"]
+    events = written(fx.events(spark, folder).select(*needed), "events")
+    marked = mark_signals(events, 2, WITHIN, 2, 2 * WITHIN, DAY_MS, 4 * WITHIN)
+    return ops.timeline(marked, ["rage_click"], DAY_MS).select("session_id", "event_id", "event_type", "offset_ms")
 
 
 @query(
@@ -126,18 +129,40 @@ def click_map(spark, folder):
 
 @query(
     fx.on_base(
-        """ SELECT event_id, CASE WHEN k % 50 = 0 OR 200 + k * 3 >= 400 THEN 'failed' ELSE 'slow' END AS issue FROM base
-  WHERE event_type = 'CUSTOM' AND (k % 50 = 0 OR 200 + k * 3 >= 400 OR CAST(floor(value * 10) AS BIGINT) > 800)"""
+        """, calls AS (SELECT event_no, CASE WHEN k % 50 = 0 THEN 0 ELSE 200 + k * 3 END AS status, CAST(floor(value * 10) AS BIGINT) AS ms,
+    k FROM base WHERE event_type = 'CUSTOM')
+  SELECT event_no AS event_id, CASE WHEN status = 0 OR status >= 400 THEN 'failed' ELSE 'slow' END AS issue, 'POST' AS http_method,
+    'https://api.example/cart?k=' || k AS http_url, status AS http_status, ms AS http_duration_ms FROM calls
+  WHERE status = 0 OR status >= 400 OR ms > 800"""
     )
 )
 def network_issues(spark, folder):
-    """Purchases as network calls: status from the number, duration from the value."""
-    calls = fx.base_events(spark, folder).filter("event_type = 'CUSTOM'")
+    """Purchases sent as network calls, read out of their records: status from the number, duration from the value."""
+    from trailmark.operators import ingest
+    from trailmark.plans.ingest import number_of, uuid
+
     status = F.when(F.col("k") % 50 == 0, F.lit(0)).otherwise(200 + F.col("k") * 3)
-    network = calls.withColumns(
-        {"event_type": F.lit("NETWORK"), "http_status": status, "http_duration_ms": F.floor(F.col("value") * 10)}
+    call = F.struct(
+        F.lit("POST").alias("method"),
+        F.concat(F.lit("https://api.example/cart?k="), F.col("k").cast("string")).alias("url"),
+        status.alias("status"),
+        F.floor(F.col("value") * 10).alias("durationMs"),
+    )
+    event = F.struct(
+        uuid(3, F.col("event_no")).alias("clientEventId"), F.lit("NETWORK").alias("type"), F.unix_millis("ts").alias("ts"), call.alias("props")
+    )
+    envelope = F.struct(
+        F.lit(1).alias("schemaVersion"),
+        uuid(1, F.col("tenant_id").cast("bigint")).alias("tenantId"),
+        uuid(2, F.col("site_id").cast("bigint")).alias("siteId"),
+        uuid(4, F.col("user_id")).alias("sessionId"),
+        fx.iso_utc("ingested_at").alias("receivedAt"),
+        event.alias("event"),
     )
-    return ops.network_issues(network, 800).select("event_id", "issue")
+    records = fx.base_events(spark, folder).filter("event_type = 'CUSTOM'").select(F.to_json(envelope).alias("value"))
+    good, _ = ingest.split_poison(ingest.classify_telemetry(ingest.decode_envelope(records, "telemetry")))
+    issues = ops.network_issues(ingest.to_event_rows(good), 800)
+    return issues.select(number_of(F.col("event_id")).alias("event_id"), "issue", "http_method", "http_url", "http_status", "http_duration_ms")
 
 
 @query(

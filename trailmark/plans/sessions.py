@@ -7,6 +7,7 @@ from trailmark.operators import sessions as ops
 from trailmark.operators import tables
 from trailmark.plans import fixtures as fx
 from trailmark.plans.catalog import query
+from trailmark.session import work_folder
 from trailmark.session import written
 
 
@@ -291,14 +292,32 @@ def cap_errors(spark, folder):
     )
 )
 def list_sessions(spark, folder):
-    """Second page of a tenant's closed sessions that were entered on one page before the given day."""
+    """Second page of a tenant's closed sessions that were entered on one page before the given day, of the stored table."""
+    from trailmark.streaming.sessions import list_stored_sessions
+
     cursor = (fx.now(fx.NOW_MS - 2 * DAY_MS), "5-1")
-    page = ops.list_sessions(
-        fx.sessions(spark, folder), "1", started_to=fx.now(), url_contains="/p/", is_open=False, after=cursor
-    )
+    table = stored(spark, folder)
+    page = list_stored_sessions(table, "1", started_to=fx.now(), url_contains="/p/", is_open=False, after=cursor)
     return page.select("id", ms("started_at", "started_ms"))
 
 
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, folder):
+    """The session table as the closing job stores it. It is stored once for each application, then only read."""
+    from trailmark.streaming.sessions import OPEN, session_table
+
+    key = spark.sparkContext.applicationId, folder
+    if key not in STORED:
+        table = session_table(spark, work_folder(spark, "sessions"))
+        rows = fx.sessions(spark, folder).withColumn("home_day", F.to_date("started_at"))
+        waits = F.col("ended_at").isNull() | F.col("needs_recompute")
+        table.write(rows, F.when(waits, F.lit(OPEN)).otherwise(F.col("home_day").cast("string")), [], 0, -1)
+        STORED[key] = table.path
+    return session_table(spark, STORED[key])
+
+
 @query(
     fx.on_events(
         """, own AS (SELECT * FROM ev WHERE tenant_id = '2' AND session_id = '14-5'),

@@ -7,7 +7,6 @@ from trailmark.operators import signals as ops
 from trailmark.plans import fixtures as fx
 from trailmark.plans.catalog import query
 from trailmark.plans.sessions import ms
-from trailmark.session import written
 
 WITHIN = 6 * HOUR_MS
 
@@ -95,19 +94,7 @@ GATE_SQL = """, cut AS (
 
 def counts(spark, folder):
     """Counts with the ranges of the single queries above."""
-    events = written(fx.events(spark, folder), "events")
-    keys = ops.SESSION_KEYS
-
-    def tally(found, name):
-        return found.select(*keys, F.lit(name).alias("signal"))
-
-    found = (
-        tally(rage(events), "rage_click")
-        .unionByName(tally(ops.dead_clicks(events, WITHIN, DAY_MS), "dead_click"))
-        .unionByName(tally(ops.error_clicks(events, WITHIN, DAY_MS), "error_click"))
-        .unionByName(tally(ops.error_bursts(events, 2, 2 * WITHIN, DAY_MS), "error_burst"))
-    )
-    return ops.tally_signals(events, found)
+    return ops.signal_counts(fx.events(spark, folder), 2, WITHIN, 2, 2 * WITHIN, DAY_MS, 4 * WITHIN)
 
 
 @query(fx.on_events(COUNTS_SQL + " SELECT * FROM counts"))

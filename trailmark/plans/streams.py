@@ -14,13 +14,15 @@ from trailmark.plans.ingest import DAY_ONE, REASON_SQL, number_of, telemetry_rec
 from trailmark.plans.sessions import known, ms
 from trailmark.session import work_folder
 from trailmark.sources.readers import REPLAY_TOPIC, read_replay, read_telemetry
+from trailmark.streaming.counters import pipeline_totals, read_counters
 from trailmark.streaming.events import run_events_stream, run_replay_stream, stream_dedup
 from trailmark.streaming.sessions import (
     read_updates,
     run_closer,
     run_session_stream,
-    run_until_read,
+    run_until_idle,
     session_lifecycle_stream,
+    session_table,
 )
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -118,21 +120,19 @@ def replay_stream(spark, folder):
     return good.unionByName(refused).groupBy("reason").agg(F.count("*").alias("n"), F.sum("events").alias("events"))
 
 
-WIRE_SQL = fx.on_base(
-    f""", wire AS (SELECT *, CAST(user_id * 100 + ts_ms // {DAY_MS} - {DAY_ONE} AS BIGINT) AS visit FROM base
-  WHERE event_no % 13 = 0 AND event_no % 2 = 0)"""
-)
+WIRE_SQL = fx.on_base(f", wire AS (SELECT *, CAST(user_id * 100 + ts_ms // {DAY_MS} - {DAY_ONE} AS BIGINT) AS visit FROM base)")
 
 
-def tracked(spark, folder):
-    """Raw records through the tracker job; returns the folder of its updates and the sites it knows."""
-    log = log_of(telemetry_records(spark, folder), "telemetry")
+def tracked(spark, folder, counters=None):
+    """All events as raw records through the tracker job; returns the log and the folder of its updates."""
+    log = log_of(telemetry_records(spark, folder, defects=False), "telemetry")
     updates, dead, state = (work_folder(spark, name) for name in ("updates", "dead", "state"))
     rows = fx.base_events(spark, folder)
     sites = rows.select(
         uuid(2, F.col("site_id").cast("bigint")).alias("id"), uuid(1, F.col("tenant_id").cast("bigint")).alias("tenant_id")
     ).distinct()
-    run_session_stream(read_telemetry(spark, log, streaming=True), sites, updates, dead, state).awaitTermination()
+    stream = read_telemetry(spark, log, streaming=True)
+    run_session_stream(stream, sites, updates, dead, state, counters_path=counters).awaitTermination()
     return log, updates
 
 
@@ -154,19 +154,26 @@ def session_stream(spark, folder):
     )
 
 
+def closed(spark, folder, counters=None):
+    """Tracker, events job and two closing passes one after the other, each through its stored tables."""
+    log, updates = tracked(spark, folder, counters)
+    events, dead, state = (work_folder(spark, name) for name in ("events", "dead", "state"))
+    run_events_stream(read_telemetry(spark, log, streaming=True), events, dead, state, counters).awaitTermination()
+    sessions, lifecycle = work_folder(spark, "sessions"), work_folder(spark, "lifecycle")
+    stored = dedup_latest(spark.read.parquet(events).drop("batch_id"), ["event_date", *S.EVENT_KEYS])
+    for now_ms in (fx.NOW_MS - 4 * DAY_MS, fx.NOW_MS):
+        run_closer(spark, sessions, updates, lifecycle, stored, fx.now(now_ms), fx.GAP_MS, counters)
+    return sessions, lifecycle
+
+
 @query(
     WIRE_SQL
     + f""" SELECT visit AS id, 'CLOSED' AS type, max(ts_ms) - min(ts_ms) AS duration_ms,
   count(*) FILTER (event_type = 'EXCEPTION') AS error_count FROM wire GROUP BY visit HAVING max(ingested_ms) < {fx.NOW_MS - fx.GAP_MS}"""
 )
 def closer_job(spark, folder):
-    """Tracker, events job and closing job one after the other, each through its stored tables."""
-    log, updates = tracked(spark, folder)
-    events, dead, state = (work_folder(spark, name) for name in ("events", "dead", "state"))
-    run_events_stream(read_telemetry(spark, log, streaming=True), events, dead, state).awaitTermination()
-    sessions, lifecycle = work_folder(spark, "sessions"), work_folder(spark, "lifecycle")
-    stored = dedup_latest(spark.read.parquet(events).drop("batch_id"), ["event_date", *S.EVENT_KEYS])
-    run_closer(spark, sessions, updates, lifecycle, stored, fx.now(), fx.GAP_MS)
+    """What the closing passes publish; the second one closes what the first one left open."""
+    _, lifecycle = closed(spark, folder)
     return spark.read.parquet(lifecycle).select(
         number_of(F.col("sessionId")).alias("id"),
         "type",
@@ -175,21 +182,76 @@ def closer_job(spark, folder):
     )
 
 
+@query(
+    WIRE_SQL
+    + f""" SELECT visit AS id, min(ts_ms) AS started_ms, CASE WHEN max(ingested_ms) < {fx.NOW_MS - fx.GAP_MS} THEN max(ts_ms) ELSE -1 END AS ended_ms,
+  CASE WHEN max(ingested_ms) < {fx.NOW_MS - fx.GAP_MS} THEN 'closed' ELSE 'open' END AS part FROM wire GROUP BY visit"""
+)
+def stored_sessions(spark, folder):
+    """The stored session table after both passes, with the part each session lies in."""
+    table = session_table(spark, closed(spark, folder)[0])
+    part = F.when(table.part() == "open", F.lit("open")).otherwise(F.lit("closed"))
+    rows = table.read().select(number_of(F.col("id")).alias("id"), ms("started_at", "started_ms"), ms("ended_at", "ended_ms"), part.alias("part"))
+    return rows.withColumn("ended_ms", F.coalesce("ended_ms", F.lit(-1).cast("bigint")))
+
+
+@query(
+    WIRE_SQL
+    + f""", visits AS (SELECT visit, max(ingested_ms) AS received FROM wire GROUP BY ALL),
+  chunks AS (SELECT conv_id, turn, (conv_id + turn) % 9 IN (1, 2, 3, 4) AS bad FROM conversations)
+  SELECT 'events' AS job, 'rows' AS name, count(*) AS value, true AS as_stored FROM base
+  UNION ALL SELECT 'events', 'dead_letters', 0, true UNION ALL SELECT 'events', 'batches', 1, true
+  UNION ALL SELECT 'sessions', 'sessions_upserted', count(*), true FROM visits
+  UNION ALL SELECT 'sessions', 'records_skipped', 0, true UNION ALL SELECT 'sessions', 'batches', 1, true
+  UNION ALL SELECT 'closer', 'sessions_upserted', count(*), true FROM visits
+  UNION ALL SELECT 'closer', 'closed', count(*), true FROM visits WHERE received < {fx.NOW_MS - fx.GAP_MS}
+  UNION ALL SELECT 'closer', 'recomputed', 0, true UNION ALL SELECT 'closer', 'deferred', 0, true UNION ALL SELECT 'closer', 'batches', 2, true
+  UNION ALL SELECT 'replay', 'chunks', count(*) FILTER (NOT bad), true FROM chunks
+  UNION ALL SELECT 'replay', 'dead_letters', count(*) FILTER (bad), true FROM chunks
+  UNION ALL SELECT 'replay', 'bytes', -1, true UNION ALL SELECT 'replay', 'batches', 1, true"""
+)
+def pipeline_counters(spark, folder):
+    """Counters of all jobs, and whether the stored tables say the same; sizes of chunks are compared with the tables only."""
+    counters, log = work_folder(spark, "counters"), log_of(chunk_records(spark, folder), "replay")
+    sessions, lifecycle = closed(spark, folder, counters)
+    payloads, manifest, dead, state = (work_folder(spark, name) for name in ("payloads", "manifest", "dead", "state"))
+    stream = read_replay(spark, log, streaming=True)
+    run_replay_stream(stream, payloads, manifest, dead, state, counters).awaitTermination()
+    stored = session_table(spark, sessions).read().agg(F.count("*").alias("value")).select(
+        F.explode(F.array(F.lit("closer"), F.lit("sessions"))).alias("job"), F.lit("sessions_upserted").alias("name"), "value"
+    )
+    kinds = {"CLOSED": "closed", "UPDATED": "recomputed"}
+    published = spark.read.parquet(lifecycle)
+    for kind, name in kinds.items():
+        line = published.filter(F.col("type") == kind).agg(F.count("*").alias("value"))
+        stored = stored.unionByName(line.select(F.lit("closer").alias("job"), F.lit(name).alias("name"), "value"))
+    chunks = spark.read.parquet(manifest).agg(F.count("*").alias("chunks"), F.sum("payload_bytes").alias("bytes"))
+    chunks = chunks.unpivot([], ["chunks", "bytes"], "name", "value").withColumn("job", F.lit("replay"))
+    refused = spark.read.parquet(dead).agg(F.count("*").alias("value"))
+    refused = refused.select(F.lit("replay").alias("job"), F.lit("dead_letters").alias("name"), "value")
+    stored = stored.unionByName(chunks).unionByName(refused).withColumnRenamed("value", "stored")
+    totals = pipeline_totals(read_counters(spark, counters)).filter("name NOT IN ('rows_read', 'rows_written')")
+    known = totals.join(stored, ["job", "name"], "left")
+    value = F.when(F.col("name") == "bytes", F.lit(-1)).otherwise(F.col("value")).cast("bigint")
+    return known.select("job", "name", value.alias("value"), F.coalesce(F.col("value") == F.col("stored"), F.lit(True)).alias("as_stored"))
+
+
 @query(
     fx.on_events(
         fx.stats_sql("ev")
-        + " SELECT tenant_id, session_id, first_ms AS started_ms, last_ms AS ended_ms, duration_ms, page_count, error_count FROM stats"
+        + """ SELECT tenant_id, session_id, type, first_ms AS started_ms, last_ms AS ended_ms, duration_ms, page_count, error_count
+  FROM stats CROSS JOIN (SELECT unnest(['OPEN', 'CLOSED']) AS type)"""
     )
 )
 def lifecycle_stream(spark, folder):
-    """Stored events through the stateful lifecycle; the last record of every session."""
+    """Stored events through the stateful lifecycle until its state is empty: every session opens once and closes once."""
     columns = ["tenant_id", "session_id", "event_id", "ts", "ingested_at", "event_type", "url", "props"]
     rows = fx.events(spark, folder).select(*columns)
     log, out, state = log_of(rows, "events"), work_folder(spark, "lifecycle"), work_folder(spark, "state")
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        stream = session_lifecycle_stream(spark.readStream.schema(rows.schema).parquet(log), fx.GAP_MS)
+        stream = session_lifecycle_stream(spark.readStream.schema(rows.schema).parquet(log), 500, 500)
 
         def keep(batch, batch_id):
             batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
@@ -197,17 +259,18 @@ def lifecycle_stream(spark, folder):
             ).partitionBy("batch_id").parquet(out)
 
         writer = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state)
-        run_until_read(writer)
+        run_until_idle(writer)
     finally:
         spark.conf.set(STATE_STORE, before)
-    last = spark.read.parquet(out).filter("type <> 'CLOSED'")
-    keys = ["tenant_id", "session_id"]
-    latest = last.groupBy(*keys).agg(F.max(F.struct("batch_id", *[c for c in last.columns if c not in {*keys, "batch_id"}])).alias("r"))
-    return latest.select(
-        *keys,
-        ms("r.started_at", "started_ms"),
-        ms("r.ended_at", "ended_ms"),
-        *[F.col(f"r.{name}").alias(name) for name in ("duration_ms", "page_count", "error_count")],
+    return spark.read.parquet(out).select(
+        "tenant_id",
+        "session_id",
+        "type",
+        ms("started_at", "started_ms"),
+        ms("ended_at", "ended_ms"),
+        "duration_ms",
+        "page_count",
+        "error_count",
     )
 
 

@@ -39,6 +39,7 @@ MAX_EVENTS_PER_BATCH = 500
 MAX_EVENT_AGE_MS = 24 * 3_600_000
 MAX_CLOCK_SKEW_MS = 5 * 60_000
 MAX_SITE_KEY_LENGTH = 256
+MAX_METHOD_LENGTH = 16
 RATE_BURST = 100
 RATE_PER_SECOND = 50
 
@@ -48,7 +49,6 @@ MAX_ERRORS_PER_MINUTE = 30
 REPLAY_META = 4
 REPLAY_FULL_SNAPSHOT = 2
 REPLAY_CHUNK_BYTES = 256 * 1024
-REPLAY_FLUSH_MS = 5_000
 
 REPLAY_RETENTION_DAYS = 30
 
@@ -142,3 +142,6 @@ END_USER = _struct(
     "tenant_id:string, site_id:string, anonymous_id:string, first_seen_at:timestamp, "
     "last_seen_at:timestamp, version:bigint"
 )
+
+# A session as the closing job keeps it: under the day of its first received event, which never changes.
+STORED_SESSION = T.StructType([*USER_SESSION.fields, T.StructField("home_day", T.DateType())])

@@ -14,6 +14,7 @@ from trailmark.operators.ingest import (
 )
 from trailmark.operators.replay import chunk_rows
 from trailmark.sources.writers import write_dead_letters, write_events, write_replay
+from trailmark.streaming.counters import Counters
 
 
 def _start(stream: DataFrame, work, checkpoint: str, name: str, trigger: dict) -> StreamingQuery:
@@ -22,20 +23,24 @@ def _start(stream: DataFrame, work, checkpoint: str, name: str, trigger: dict) -
 
 
 def run_events_stream(
-    records: DataFrame, events_path: str, dead_path: str, checkpoint: str, **trigger
+    records: DataFrame, events_path: str, dead_path: str, checkpoint: str, counters_path: str | None = None, **trigger
 ) -> StreamingQuery:
     """Decodes, classifies, stores good events and dead-letters the rest, then commits the batch.
 
     A failed write fails the query, which resumes from its checkpoint: an outage never turns records into dead
-    letters. The batch is decoded once per write rather than cached, unless it is small enough to keep.
+    letters. Counters: `rows` stored and `dead_letters`.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        classified = classify_telemetry(decode_envelope(batch, "telemetry")).persist()
+        counters = Counters(counters_path, "events", batch_id)
+        classified = classify_telemetry(decode_envelope(batch, "telemetry"))
+        good, bad = F.count_if(F.col("reason").isNull()), F.count_if(F.col("reason").isNotNull())
+        classified = counters.observe(classified, rows=good, dead_letters=bad).persist()
         try:
             good, poison = split_poison(classified)
             write_events(to_event_rows(good), events_path, batch_id)
             write_dead_letters(poison, dead_path, batch_id, "events")
+            counters.store(batch.sparkSession)
         finally:
             classified.unpersist()
 
@@ -43,16 +48,28 @@ def run_events_stream(
 
 
 def run_replay_stream(
-    records: DataFrame, payload_path: str, manifest_path: str, dead_path: str, checkpoint: str, **trigger
+    records: DataFrame,
+    payload_path: str,
+    manifest_path: str,
+    dead_path: str,
+    checkpoint: str,
+    counters_path: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """The same for replay chunks: payloads, then the manifest, then dead letters."""
+    """The same for replay chunks: payloads, then the manifest, then dead letters. Counters: `chunks` and their `bytes`."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        classified = classify_replay(decode_envelope(batch, "replay")).persist()
+        counters = Counters(counters_path, "replay", batch_id)
+        classified = classify_replay(decode_envelope(batch, "replay"))
+        taken = F.col("reason").isNull()
+        counts = {"chunks": F.count_if(taken), "dead_letters": F.count_if(~taken)}
+        counts["bytes"] = F.sum(F.when(taken, F.octet_length("envelope.events")))
+        classified = counters.observe(classified, **counts).persist()
         try:
             good, poison = split_poison(classified)
             write_replay(chunk_rows(good), payload_path, manifest_path, batch_id)
             write_dead_letters(poison, dead_path, batch_id, "replay")
+            counters.store(batch.sparkSession)
         finally:
             classified.unpersist()
 
@@ -67,16 +84,6 @@ def stream_dedup(records: DataFrame, horizon: str = "1 hour", arrival: str = "in
     return records.withWatermark(arrival, horizon).dropDuplicatesWithinWatermark(["tenant_id", "session_id", "event_id"])
 
 
-def observed(rows: DataFrame, name: str = "pipeline") -> DataFrame:
-    """Adds counters to a batch or stream without another pass; read them from the query's progress."""
-    return rows.observe(
-        name,
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("event_type").isin(S.ERROR_TYPES)).alias("errors"),
-        F.max("ingested_at").alias("last_received"),
-    )
-
-
 def pipeline_report(query: StreamingQuery) -> list[dict]:
     """One line per micro-batch of a query: rows read, rates, durations and observed counters."""
     lines = []
