@@ -14,7 +14,12 @@ and the largest angle to it. By the triangle inequality two components have a li
 than the angle of the threshold. Components that can touch, directly or over others, are compared as one group in blocks, so
 that links are counted exactly whatever the size of a group of copies, and components with a link between them become one;
 only counts and a spanning forest of components leave a task.
-`audit` measures the recall of the links against brute force for the rows whose id is divisible by 100.
+
+Pairs far from all others share no neighbour, so only the start can bring them together, and how often it does falls with
+the number of vectors. So the links found are audited: rows whose id is divisible by `AUDITED` are compared with all rows
+of their label, in blocks. While fewer than `RECALL` of their links are found, the start is repeated with other planes,
+what it finds joins the lists, and they are refined again. A label that is still short of links after `TRIES` times is
+compared as a whole. The recall of the last audit is in the result.
 
 Rows without label, and vectors that are null, zero, or hold null or non-finite components, link with nothing. Vectors of
 unlike length do not compare. Repeated rows link with each other.
@@ -30,10 +35,13 @@ from trailmark.session import written
 THRESHOLD = 0.98
 NEAR = 10
 WIDEST = 40
-ROUNDS = 4
+ROUNDS = 4  # of one refinement at most; the audit goes on from there
 SETTLED = 0.001  # share of list entries that a round has to renew to be worth another
-PLANES = 20
+PLANES = 30
 TABLES = 6
+AUDITED = 100
+RECALL = 0.99
+TRIES = 6
 GROUP = 48
 BLOCK = 1024
 SLACK = 1e-6  # radians; cosines near 1 are exact to about 1e-8 as angles
@@ -55,8 +63,8 @@ def units(column: pa.Array):
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def codes(vector: Column) -> Column:
-    """For each table, the sides of `PLANES` random planes as bits."""
+def codes(vector: Column, draw: int) -> Column:
+    """For each table, the sides of `PLANES` random planes as bits; other planes for each `draw`."""
 
     @F.arrow_udf("array<int>")
     def sides(vectors: pa.Array) -> pa.Array:
@@ -66,7 +74,7 @@ def codes(vector: Column) -> Column:
         sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
         for size in np.unique(sizes):
             here = np.flatnonzero(sizes == size)
-            planes = np.random.default_rng(int(size)).standard_normal((int(size), TABLES * PLANES))
+            planes = np.random.default_rng([int(size), draw]).standard_normal((int(size), TABLES * PLANES))
             bits = (units(vectors.take(pa.array(here))) @ planes > 0).reshape(len(here), TABLES, PLANES)
             out[here] = bits @ (1 << np.arange(PLANES, dtype=np.int32))
         offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * TABLES)
@@ -106,16 +114,16 @@ def introduce(batches, names):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["node", "other", "sim"])
 
 
-def start(nodes: DataFrame) -> DataFrame:
+def start(nodes: DataFrame, draw: int) -> DataFrame:
     """First candidates, from groups on the same side of random planes."""
     sizes = nodes.groupBy("kind").agg(F.count("*").alias("n"))
-    sized = join_anew(nodes.withColumn("codes", codes(F.col("vector"))), sizes, "kind")
+    sized = join_anew(nodes.withColumn("codes", codes(F.col("vector"), draw)), sizes, "kind")
     bits = F.least(F.lit(PLANES), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / GROUP)))).cast("int")
     dealt = sized.withColumn("bits", bits).select("node", "vector", "kind", "bits", F.posexplode("codes").alias("place", "code"))
-    dealt = dealt.withColumn("key", F.xxhash64("kind", "place", F.expr("shiftright(code, 20 - bits)"))).drop("code", "bits")
+    dealt = dealt.withColumn("key", F.xxhash64("kind", "place", F.expr(f"shiftright(code, {PLANES} - bits)"))).drop("code", "bits")
     # Groups are cut into blocks of about GROUP nodes, another way in each table.
     full = dealt.groupBy("key").agg(F.count("*").alias("n"))
-    block = F.pmod(F.xxhash64("node", "place"), F.ceil(F.col("n") / GROUP))
+    block = F.pmod(F.xxhash64("node", "place", F.lit(draw)), F.ceil(F.col("n") / GROUP))
     dealt = join_anew(dealt, full, "key").withColumn("block", block)
     dealt = dealt.select("key", "block", "node", "vector", F.lit(-2.0).alias("worst"), F.lit(True).alias("fresh"))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "node")
@@ -147,9 +155,12 @@ def refine(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     return keep_best(old.unionByName(found.withColumn("fresh", F.lit(True))))
 
 
-def neighbours(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (node, other, sim): the neighbour graph of `nodes` (node, kind, vector)."""
-    lists = written(keep_best(start(nodes).withColumn("fresh", F.lit(True))), "graph")
+def neighbours(nodes: DataFrame, known: DataFrame | None = None, draw: int = 0, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (node, other, sim): the neighbour graph of `nodes` (node, kind, vector), on top of one that is known."""
+    lists = start(nodes, draw).withColumn("fresh", F.lit(True))
+    if known is not None:
+        lists = lists.unionByName(known.withColumn("fresh", F.lit(False)))
+    lists = written(keep_best(lists), "graph")
     for _ in range(rounds):
         lists = written(refine(nodes, lists), "graph")
         row = lists.agg(F.count("*").alias("n"), F.sum(F.col("fresh").cast("long")).alias("fresh")).first()
@@ -256,7 +267,7 @@ def count_links(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept), one for each row."""
+    """Rows (vec_id, n_links, component_id, kept, recall), one for each row; `recall` is that of the audit."""
     given = rows.select(F.col(id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     given = given.withColumn("sound", F.col("label").isNotNull() & is_sound(F.col("vector")))
     given = written(given.withColumn("key", F.xxhash64("label", "vector")), "vectors")
@@ -264,7 +275,23 @@ def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
     same = same.agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     kind = F.xxhash64("label", F.size("vector"))
     nodes = written(same.withColumn("kind", kind).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    graph = neighbours(nodes.select("node", "kind", "vector"))
+    graph, whole, recall = None, None, 0.0
+    for draw in range(TRIES + 1):
+        graph = neighbours(nodes.select("node", "kind", "vector"), graph, draw)
+        found = written(links_of(given, nodes, graph, whole), "found")
+        audited = audit(given, found, "vec_id", "vector", "label", AUDITED).where("true_links > 0")
+        audited = written(audited.join(given.select("vec_id", F.xxhash64("label", F.size("vector")).alias("kind")), "vec_id"), "audited")
+        sums = audited.agg(F.sum("n_links").alias("found"), F.sum("true_links").alias("true")).first()
+        recall = sums["found"] / sums["true"] if sums["true"] else 1.0
+        if recall >= RECALL:
+            break
+        if draw + 1 == TRIES:
+            whole = audited.where("n_links < true_links").select("kind").distinct()
+    return found.withColumn("recall", F.lit(recall))
+
+
+def links_of(given: DataFrame, nodes: DataFrame, graph: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept) by the neighbour graph. Nodes of the kinds in `whole` are all compared."""
     edges = graph.where(F.col("sim") >= THRESHOLD).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
     edges = written(edges.distinct(), "links")
     roots = written(components(edges), "components")
@@ -274,7 +301,11 @@ def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
     copies = nodes.select(F.col("node").alias("b"), "copies")
     short = join_anew(both, copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
     full = graph.where(F.col("sim") >= THRESHOLD).groupBy("node").count().where(F.col("count") >= WIDEST).select("node")
-    full = roots.join(full, "node").select("root").distinct().withColumn("dense", F.lit(True))
+    if whole is not None:
+        every = nodes.join(whole, "kind", "left_semi").select("node")
+        alone = every.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+        roots, full = written(roots.unionByName(alone), "roots"), full.unionByName(every)
+    full = roots.join(full.distinct(), "node").select("root").distinct().withColumn("dense", F.lit(True))
     rooted = written(join_anew(roots, full, "root", "left"), "rooted")
     members = rooted.where("dense").select("root", "node").join(nodes.select("node", "kind", "vector", "copies"), "node")
     exact, across = count_links(written(members, "dense"))
@@ -296,28 +327,32 @@ def near_duplicates(rows: DataFrame, id: str = "vec_id", vector: str = "embeddin
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit(rows: DataFrame, found: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", every: int = 100) -> DataFrame:
-    """Rows (vec_id, n_links, true_links) for ids divisible by `every`, the latter by comparing them with all rows."""
+def audit(rows: DataFrame, found: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", every: int = AUDITED) -> DataFrame:
+    """Rows (vec_id, n_links, true_links) for ids divisible by `every`, the latter by comparing them with all rows.
+
+    An id that several rows have is one line with the sums over these.
+    """
 
     def compare(batches):
         import numpy as np
 
         for group in groups(batches, ["kind", "block"]):
-            asked = group.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+            asked = group.column("row").is_valid().to_numpy(zero_copy_only=False)
             if asked.any():
-                vectors, ids = units(group.column("vector")), group.column("vec_id").to_numpy()
+                vectors, numbers = units(group.column("vector")), group.filter(pa.array(asked)).column("row")
                 links = (vectors[asked] @ vectors[~asked].T >= THRESHOLD).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[asked]), pa.array(links)], ["vec_id", "links"])
+                yield pa.RecordBatch.from_arrays([numbers, group.filter(pa.array(asked)).column("vec_id"), pa.array(links)], ["row", "vec_id", "links"])
 
-    sound = rows.select(F.col(id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    sound = rows.select(F.col(id).cast("bigint").alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     sound = sound.where(F.col("label").isNotNull() & is_sound(F.col("vector")))
     sound = sound.withColumn("kind", F.xxhash64("label", F.size("vector"))).drop("label")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * BLOCK))).cast("int")
     sizes = sound.groupBy("kind").agg(F.count("*").alias("n")).withColumn("blocks", blocks).drop("n")
-    sound = join_anew(sound, sizes, "kind")
-    all_rows = sound.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("asked", F.lit(False))
+    sound = written(join_anew(sound, sizes, "kind").withColumn("row", F.monotonically_increasing_id()), "audit")
+    all_rows = sound.withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int")).withColumn("row", F.lit(None).cast("bigint"))
     asked = sound.where(F.col("vec_id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = all_rows.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True).drop("blocks")
+    dealt = all_rows.unionByName(asked).drop("blocks")
     dealt = dealt.repartition("kind", "block").sortWithinPartitions("kind", "block")
-    true = dealt.mapInArrow(compare, "vec_id bigint, links bigint").groupBy("vec_id").agg((F.sum("links") - 1).alias("true_links"))
-    return found.select("vec_id", "n_links").join(true, "vec_id")
+    links = dealt.mapInArrow(compare, "row bigint, vec_id bigint, links bigint")
+    true = links.groupBy("row", "vec_id").agg((F.sum("links") - 1).alias("links")).groupBy("vec_id").agg(F.sum("links").alias("true_links"))
+    return found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links")).join(true, "vec_id")
