@@ -13,7 +13,8 @@ Two faults are judged alike: toxic and low quality.
 
 Here a host is the `source` of a document and a path its `lang` within; the columns are parameters. Null texts count as
 empty, null hosts and paths are sites of their own. Labels that are null do not count; of several labels of a document
-the worse holds. Without any labels nothing is rejected. Repeated documents are judged each, and alike.
+the worse holds. Without any labels nothing is rejected. Repeated documents are judged each, and alike. The columns of the
+input are taken by their place, so other columns may have any name.
 """
 
 import pyarrow as pa
@@ -35,7 +36,6 @@ PENALTY = 1e-4
 REJECT = {"toxic": 0.3, "low": 0.5}  # passing on a toxic text is worse than losing a sound one
 FAULTS = ("toxic", "low")
 WORDS = 150_000  # words whose features a worker remembers
-SITES = 50_000  # sites up to which their table is handed to all tasks; beyond, documents are shuffled to it
 STRIPPED = b".,;:!?\"'()[]{}|"
 SYMBOLS = b"#*$%&|<>!@^~=+_\\/"
 
@@ -241,6 +241,24 @@ def site_shares(docs: DataFrame, labels: DataFrame, id: str, host: str, path: st
     return written(shrunk(written(join_anew(paths, hosts, "host"), "paths")).select("site", "share_toxic", "share_low"), "shares")
 
 
+def judged_rows(docs: DataFrame, labels: DataFrame, text: str, id: str, host: str, path: str) -> DataFrame:
+    """The columns of the documents as `c0`, `c1` and so on, by their place, and `judged`."""
+    known = written(label_table(labels), "labels")
+    weights, added = fit(docs, known, text, id)
+    shares = site_shares(docs, known, id, host, path)
+    shares = shares.select("site", F.struct("share_toxic", "share_low").alias("shares"))
+    rows = docs.toDF(*[f"c{place}" for place in range(len(docs.columns))])
+    host, path, text = (F.col(f"c{docs.columns.index(name)}") for name in (host, path, text))
+    joined = rows.withColumn("site", F.to_json(F.struct(host.alias("host"), path.alias("path")))).join(shares, "site")
+    joined = joined.withColumn("evidence", evidence(text, weights, added, docs))
+    odds = {f: F.col(f"evidence.{f}") + F.log(F.col(f"shares.share_{f}") / (1 - F.col(f"shares.share_{f}"))) for f in FAULTS}
+    chance = {f: 1 / (1 + F.exp(-value)) for f, value in odds.items()}
+    kept = (chance["toxic"] <= REJECT["toxic"]) & (chance["low"] <= REJECT["low"])
+    chances = [chance[f].alias(f"p_{f}") for f in FAULTS]
+    judged = F.struct(*chances, "shares.share_toxic", "shares.share_low", kept.alias("kept"))
+    return joined.select(*rows.columns, judged.alias("judged"))
+
+
 def judge_documents(
     docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", path: str = "lang"
 ) -> DataFrame:
@@ -248,22 +266,14 @@ def judge_documents(
 
     `labels` has doc_id, quality and toxic. A column named `judged` is replaced.
     """
-    known = written(label_table(labels), "labels")
-    weights, added = fit(docs, known, text, id)
-    shares = site_shares(docs, known, id, host, path)
-    site = F.to_json(F.struct(F.col(host).alias("host"), F.col(path).alias("path")))
-    scored = docs.withColumn("_site", site)
-    shares = shares.select(F.col("site").alias("_site"), F.struct("share_toxic", "share_low").alias("_shares"))
-    joined = scored.join(F.broadcast(shares), "_site") if shares.count() <= SITES else join_anew(scored, shares, "_site")
-    joined = joined.withColumn("_evidence", evidence(F.col(text), weights, added, docs))
-    odds = {f: F.col(f"_evidence.{f}") + F.log(F.col(f"_shares.share_{f}") / (1 - F.col(f"_shares.share_{f}"))) for f in FAULTS}
-    chance = {f: 1 / (1 + F.exp(-value)) for f, value in odds.items()}
-    kept = (chance["toxic"] <= REJECT["toxic"]) & (chance["low"] <= REJECT["low"])
-    chances = [chance[f].alias(f"p_{f}") for f in FAULTS]
-    judged = F.struct(*chances, "_shares.share_toxic", "_shares.share_low", kept.alias("kept"))
-    return joined.withColumn("judged", judged).drop("_site", "_shares", "_evidence")
+    rows = judged_rows(docs, labels, text, id, host, path)
+    own = [F.col(f"c{place}").alias(name) for place, name in enumerate(docs.columns) if name != "judged"]
+    return rows.select(*own, "judged")
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+def keep_documents(
+    docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", host: str = "source", path: str = "lang"
+) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge_documents(docs, labels, **columns).where("judged.kept").select(*docs.columns)
+    rows = judged_rows(docs, labels, text, id, host, path).where("judged.kept")
+    return rows.select(*[F.col(f"c{place}").alias(name) for place, name in enumerate(docs.columns)])
