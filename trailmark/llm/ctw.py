@@ -11,12 +11,16 @@ all texts sum to one. The score is its log10 probability; `bits_per_byte` is the
 
 How it is spread:
 
-1. Texts are dealt into blocks of `BLOCK` bytes where they are read. A block reports each of its strings of DEPTH + 1
-   bytes once, with its count in training texts.
-2. Strings are sharded by the three bytes before the last, with all of their context tree below that. Shards work
-   bottom up; the tree above, of contexts of up to two bytes, is grouped sums.
-3. Shards come down again and answer each block with the log-probability of its own strings.
-4. A block is scored with those answers. No task sees more of the model than its texts use, and nothing is broadcast.
+1. Texts are dealt into blocks of `BLOCK` bytes where they are read, in an order of their own, so that they are dealt alike
+   each time. A block reports each of its strings of DEPTH + 1 bytes once, with its count in training texts.
+2. Strings are sharded by the three bytes before the last, with all of their context tree below that; the number of shards
+   follows the bytes of text. Where there are more than `FAN` blocks, the reports of `FAN` of them at a time are summed
+   per shard, level by level, so that a shard reads as many reports however much text there is.
+3. Shards work bottom up; the tree above, of contexts of up to two bytes, is grouped sums.
+4. Shards come down again and answer each report with the log-probability of its own strings, and so do sums of reports
+   for those they are made of.
+5. A block is scored with the answers. No task sees more of the model than its texts use, and nothing is broadcast. Strings
+   and words of a very long text are held piece by piece.
 
 Word counts for the comparison with a unigram model go the same way, with 64-bit hashes of words for strings.
 
@@ -24,6 +28,7 @@ Null texts count as empty: they are an end byte. Null ids are hashed as empty st
 learned from each. Texts are taken whole; invalid UTF-8 cannot occur in a string column.
 """
 
+import re
 import zlib
 
 import pyarrow as pa
@@ -41,7 +46,10 @@ BLOCK = 12 << 20
 PIECE = 2 << 20  # bytes of text whose strings and words are held one by one
 FOLDS, HELD_OUT = 7, 2
 WORD_END = b"\xff"
-LEAST_SHARDS = 64
+LEAST_SHARDS, MOST_SHARDS = 64, 1 << 14
+SHARD_BYTES = 8 << 20  # bytes of text for each shard
+FAN = 64
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 STRINGS, WORDS, TOTALS = 0, 1, 2
 PACKED = "kind int, block bigint, shard int, keys binary, values binary"
@@ -61,13 +69,28 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def strings_of(texts: list[bytes]):
-    """Every byte of the texts and of their ends with the DEPTH bytes before it, latest first, as one number."""
+def stretches(texts: list[bytes]):
+    """Lists of parts (number of the text, bytes before, bytes, whether it ends there) of about PIECE bytes together."""
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        for start in range(0, max(1, len(text)), PIECE):
+            part = text[start : start + PIECE]
+            if held and size + len(part) > PIECE:
+                yield held
+                held, size = [], 0
+            before = (bytes([START]) * DEPTH + text[max(0, start - DEPTH) : start])[-DEPTH:]
+            held.append((number, before, part, start + PIECE >= len(text)))
+            size += len(part)
+    if held:
+        yield held
+
+
+def strings_of(parts):
+    """Every byte of the parts and of the ends of texts with the DEPTH bytes before it, latest first, as one number."""
     import numpy as np
 
-    pad = bytes([START]) * DEPTH
-    line = np.frombuffer(b"".join(part for text in texts for part in (pad, text, bytes([END]))), np.uint8)
-    sizes = np.array([len(text) + 1 for text in texts], np.int64)
+    line = np.frombuffer(b"".join(x for _, before, part, last in parts for x in (before, part, bytes([END]) * last)), np.uint8)
+    sizes = np.array([len(part) + last for _, _, part, last in parts], np.int64)
     ends = np.cumsum(sizes + DEPTH)
     real = np.ones(len(line), bool)
     for shift in range(DEPTH):
@@ -79,6 +102,25 @@ def strings_of(texts: list[bytes]):
     return keys, sizes
 
 
+def words_of(texts: list[bytes]):
+    """Lists of parts (number of the text, its words there) of about PIECE bytes together; an end is a word."""
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        start = 0
+        while start <= len(text):
+            cut = WHITE.search(text, start + PIECE) if start + PIECE < len(text) else None
+            end = cut.start() if cut else len(text)
+            if held and size + end - start > PIECE:
+                yield held
+                held, size = [], 0
+            words = text[start:end].split()
+            held.append((number, words if cut else [*words, WORD_END]))
+            size += end - start
+            start = end if cut else len(text) + 1
+    if held:
+        yield held
+
+
 def packed_keys(keys) -> bytes:
     """Ascending numbers as differences, byte plane by byte plane: the high planes are almost all zero."""
     import numpy as np
@@ -105,18 +147,6 @@ def unpacked_counts(data: bytes):
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def pieces(texts: list[bytes]):
-    """Slices (start, end) of a list of texts with about PIECE bytes each."""
-    start, size = 0, 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > PIECE:
-            yield start, at
-            start, size = at, 0
-        size += len(text)
-    if len(texts) > start:
-        yield start, len(texts)
-
-
 def shard_of(keys, kind: int, shards: int):
     import numpy as np
 
@@ -125,11 +155,6 @@ def shard_of(keys, kind: int, shards: int):
     return ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
 
 
-def word_counts(words: list[bytes], counter) -> None:
-    counter.update(words)
-    counter[WORD_END] += 1
-
-
 def hashes(words) -> list[int]:
     import xxhash
 
@@ -186,17 +211,18 @@ def gather(docs: DataFrame, shards: int) -> DataFrame:
 
         def close(block, texts, train):
             found = []
-            for start, end in pieces(texts):
-                keys, sizes = strings_of(texts[start:end])
+            for parts in stretches(texts):
+                keys, sizes = strings_of(parts)
                 codes, used = pd.factorize(keys)
-                learned = np.repeat(np.array(train[start:end]), sizes)
+                learned = np.repeat(np.array([train[number] for number, *_ in parts]), sizes)
                 found.append((used, np.bincount(codes[learned], minlength=len(used))))
             used, inverse = np.unique(np.concatenate([keys for keys, _ in found]), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate([counts for _, counts in found]), len(used)).astype(np.int64)
             yield pack(STRINGS, block, used, counts, shards)
             words, known = Counter(), Counter()
-            for text, learn in zip(texts, train, strict=True):
-                word_counts(text.split(), known if learn else words)
+            for parts in words_of(texts):
+                for number, own in parts:
+                    (known if train[number] else words).update(own)
             words = list(dict.fromkeys([*known, *words]))
             counts = np.array([known[word] for word in words], np.int64)
             yield pack(WORDS, block, np.array(hashes(words), np.uint64), counts, shards)
@@ -414,22 +440,23 @@ def score_block(texts: pa.Table, model: pa.Table, total: int, distinct: int) ->
     numbers = texts.column("doc_id").to_pylist()
     data = [(value or b"").lower() for chunk in texts.column("text").chunks for value in utf8(chunk)]
     of_strings, of_words = answered(STRINGS, np.float32), answered(WORDS, np.int64)
-    scores, bases, tokens, knowns = [], [], [], []
-    for start, end in pieces(data):
-        keys, sizes = strings_of(data[start:end])
+    scores, bases = np.zeros(len(data)), [0.0] * len(data)
+    tokens, knowns = [0] * len(data), [0] * len(data)
+    for parts in stretches(data):
+        keys, sizes = strings_of(parts)
         codes, used = pd.factorize(keys)
         logs = look_up(of_strings, used).astype(np.float64)[codes]
-        scores.append(np.add.reduceat(logs, np.cumsum(sizes) - sizes))
+        np.add.at(scores, [number for number, *_ in parts], np.add.reduceat(logs, np.cumsum(sizes) - sizes))
         del keys, codes, logs
-        lists = [[*text.split(), WORD_END] for text in data[start:end]]
-        words = list(dict.fromkeys(word for words in lists for word in words))
-        counts = look_up(of_words, np.array(hashes(words), np.uint64))
-        base = dict(zip(words, np.log10((counts + 1) / (total + distinct + 1)).tolist(), strict=True))
-        known = dict(zip(words, (counts > 0).tolist(), strict=True))
-        tokens += map(len, lists)
-        bases += [sum(map(base.__getitem__, words)) for words in lists]
-        knowns += [sum(map(known.__getitem__, words)) for words in lists]
-    scores = np.concatenate(scores)
+    for parts in words_of(data):
+        distinct_words = list(dict.fromkeys(word for _, words in parts for word in words))
+        counts = look_up(of_words, np.array(hashes(distinct_words), np.uint64))
+        base = dict(zip(distinct_words, np.log10((counts + 1) / (total + distinct + 1)).tolist(), strict=True))
+        known = dict(zip(distinct_words, (counts > 0).tolist(), strict=True))
+        for number, words in parts:
+            tokens[number] += len(words)
+            bases[number] += sum(map(base.__getitem__, words))
+            knowns[number] += sum(map(known.__getitem__, words))
     sizes = np.array([len(text) + 1 for text in data])
     rows = {
         "doc_id": pa.array(numbers, pa.int64()),
@@ -445,11 +472,43 @@ def score_block(texts: pa.Table, model: pa.Table, total: int, distinct: int) ->
     return pa.table(rows)
 
 
+def summed(rows: pa.Table) -> pa.Table:
+    """Reports of one shard as one, under the number of their group."""
+    used, sums, _ = merged(rows)
+    columns = [rows.column("kind").slice(0, 1), rows.column("sum").slice(0, 1), rows.column("shard").slice(0, 1), pa.array([packed_keys(used)]), pa.array([packed_counts(sums)])]
+    return pa.table(columns, ["kind", "block", "shard", "keys", "values"])
+
+
+def passed_on(rows: pa.Table, sums: pa.Table) -> pa.Table:
+    """The answers to a sum of reports as answers to these reports."""
+    import numpy as np
+
+    dtype = np.float32 if rows.column("kind")[0].as_py() == STRINGS else np.int64
+    known, values = unpacked_keys(sums.column("keys")[0].as_py()), np.frombuffer(sums.column("values")[0].as_py(), dtype)
+    places = [np.searchsorted(known, unpacked_keys(data)) for data in rows.column("keys").to_pylist()]
+    return answers(rows, places, values)
+
+
+def levels_of(asked: DataFrame) -> list[DataFrame]:
+    """The reports, their sums, the sums of these and so on; but for the last, with the number `sum` of what they go into."""
+    levels = []
+    blocks = asked.select("block").distinct().count()
+    while blocks > FAN:
+        blocks = -(-blocks // FAN)
+        asked = asked.withColumn("sum", F.pmod(F.xxhash64("block"), F.lit(blocks)))
+        levels.append(asked)
+        asked = written(asked.groupBy("kind", "shard", "sum").applyInArrow(summed, PACKED), "sums")
+    return [*levels, asked]
+
+
 def score(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows of SCORES, one for each document, by a model of the documents that are not held out."""
     docs = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    shards = max(LEAST_SHARDS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    asked = written(gather(docs, shards), "asked")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows that come out of a shuffle come in any order; blocks have to be the same both times.
+    docs = docs.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, size // SHARD_BYTES))
+    *below, asked = levels_of(written(gather(docs, shards), "asked"))
     strings, words = asked.where(F.col("kind") == STRINGS), asked.where(F.col("kind") == WORDS)
     roots = strings.groupBy("shard").applyInArrow(shard_roots, "context bigint, place int, zeros double, ones double, log double")
     roots = written(roots, "roots")
@@ -462,7 +521,11 @@ def score(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     # One row for each shard.
     totals = [row["values"] for row in model.where(F.col("kind") == TOTALS).select("values").collect()]
     distinct, total = (sum(int.from_bytes(data[8 * i : 8 * i + 8], "little") for data in totals) for i in range(2))
-    blocks = with_blocks(docs).groupBy("block").cogroup(model.where("block >= 0").groupBy("block"))
+    model = model.where("block >= 0")
+    for level in reversed(below):
+        sums = model.withColumnRenamed("block", "sum").groupBy("kind", "shard", "sum")
+        model = written(level.groupBy("kind", "shard", "sum").cogroup(sums).applyInArrow(passed_on, PACKED), "answers")
+    blocks = with_blocks(docs).groupBy("block").cogroup(model.groupBy("block"))
     return blocks.applyInArrow(lambda texts, own: score_block(texts, own, total, distinct), SCORES)
 
 
