@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trailmark.llm import bestfit, packing, queries, repair, whiten
+from trailmark.llm import bestfit, ctw, descent, evidence, packing, queries, repair, urls, whiten
 
 FOLDER = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -338,3 +338,263 @@ def test_leading_pairs(values):
     assert found == pytest.approx(sorted(values, reverse=True)[:4], abs=1e-12 * max(values))
     assert np.abs(matrix @ axes - axes * found).max() < 1e-13 * max(values)
     assert np.abs(axes.T @ axes - np.eye(len(found))).max() < 1e-14
+
+
+# Urls, the learned half
+
+
+def plain_shape(segment):
+    stem = re.sub(r"\.[A-Za-z]{1,5}$", "", segment)
+    ending = segment[len(stem) : len(stem) + 6]
+    if re.search(r"^[0-9]+$", stem):
+        return "<n>" + ending
+    if re.search(r"[0-9]", stem) and len(stem) > 3:
+        return "<x>" + ending
+    return "<s>" + ending if re.search(r"^[^-_]+([-_][^-_]+){2,}$", stem) else segment
+
+
+def plain_judgement(pages, labels):
+    """Template and purity of each page, by a plain tree. `pages` are (id, host, path), `labels` (id, good)."""
+    counts, of_page = defaultdict(lambda: [0, 0, 0]), {}
+    for number, host, path in pages:
+        key = host, tuple(map(plain_shape, (path[1:] if path.startswith("/") else path).split("/")))
+        of_page[number] = key
+        mine = [good for other, good in labels if other == number and good is not None]
+        for place, value in enumerate((1, sum(mine), len(mine))):
+            counts[key][place] += value
+    steps = {key: list(key[1]) for key in counts}
+    for place in range(urls.DEPTH):
+        deep = [key for key in counts if len(key[1]) > place]
+        rows = defaultdict(Counter)
+        for host, path in deep:
+            rows[host, tuple(steps[host, path][:place])][path[place]] += counts[host, path][0]
+        for host, path in deep:
+            seen, segment = rows[host, tuple(steps[host, path][:place])], path[place]
+            frequent = seen[segment] * len(seen) >= urls.FACTOR * sum(seen.values())
+            steps[host, path][place] = segment if len(seen) <= urls.NAMES or frequent or segment.startswith("<") or not segment else "*"
+    forms = defaultdict(lambda: [0, 0])
+    for key, (_, good, labelled) in counts.items():
+        forms[key[0], tuple(steps[key])][0] += good
+        forms[key[0], tuple(steps[key])][1] += labelled
+    now, pool = {form: form[1] for form in forms}, dict.fromkeys(forms, (0, 0))
+    for place in reversed(range(min(urls.DEPTH, max(len(form[1]) for form in forms)) - 1)):
+        branches = defaultdict(lambda: [0, 0])
+        for form, path in now.items():
+            if len(path) > place + 1 and not path[place].startswith("<") and path[place] not in ("*", ""):
+                branches[form[0], path][0] += forms[form][0]
+                branches[form[0], path][1] += forms[form][1]
+        alike = defaultdict(list)
+        for (host, path), sums in branches.items():
+            alike[host, path[:place] + ("*",) + path[place + 1 :]].append((path, *sums))
+        renamed = {}
+        for (host, _), members in alike.items():
+            if len(members) > 1:
+                all_good, all_labelled = sum(m[1] for m in members), sum(m[2] for m in members)
+                share = (all_good + 0.5) / (all_labelled + 1)
+                clusters = []
+                for path, good, labelled in sorted((m for m in members if m[2]), key=lambda m: ((m[1] + share) / (m[2] + 1), "/".join(m[0]))):
+                    if clusters:
+                        sums = clusters[-1]
+                        both = (sums[0] + good + 0.5) / (sums[1] + labelled + 1)
+                        gap = good / labelled - sums[0] / sums[1]
+                        if gap * gap > urls.ALIKE * both * (1 - both) * (1 / labelled + 1 / sums[1]):
+                            clusters.append([0, 0, []])
+                    else:
+                        clusters.append([0, 0, []])
+                    clusters[-1][0] += good
+                    clusters[-1][1] += labelled
+                    clusters[-1][2].append(path)
+                for path, _, labelled in members:
+                    number = next((i for i, cluster in enumerate(clusters) if path in cluster[2]), None)
+                    if len(clusters) <= 1:
+                        name = "*"
+                    elif number is None or len(clusters[number][2]) == 1:
+                        name = path[place]
+                    else:
+                        name = f"*{number}"
+                    renamed[host, path] = path[:place] + (name,) + path[place + 1 :], (all_good, all_labelled)
+        for form, path in list(now.items()):
+            if (form[0], path) in renamed:
+                now[form], sums = renamed[form[0], path]
+                if not forms[form][1] and not pool[form][1]:
+                    pool[form] = sums
+    total = [sum(sums[at] for sums in forms.values()) for at in (0, 1)]
+    hosts, merged = defaultdict(lambda: [0, 0]), defaultdict(list)
+    for form, sums in forms.items():
+        hosts[form[0]][0] += sums[0]
+        hosts[form[0]][1] += sums[1]
+        merged[form[0], now[form]].append((sums, pool[form]))
+    purity = {}
+    for (host, path), parts in merged.items():
+        sums = [sum(own[at] for own, _ in parts) for at in (0, 1)]
+        if not sums[1]:
+            sums = [max(pooled[at] for _, pooled in parts) for at in (0, 1)]
+        prior = (hosts[host][0] + urls.STRENGTH * (total[0] + 1) / (total[1] + 1)) / (hosts[host][1] + urls.STRENGTH)
+        purity[host, path] = (sums[0] + urls.STRENGTH * prior) / (sums[1] + urls.STRENGTH)
+    out = {}
+    for number, key in of_page.items():
+        path = now[key[0], tuple(steps[key])]
+        out[number] = "/" + "/".join(path), purity[key[0], path]
+    return out
+
+
+def judged_pages(spark, pages, labels):
+    rows = spark.createDataFrame([(number, f"http://{host}{path}") for number, host, path in pages], "page_id bigint, url string")
+    known = spark.createDataFrame(labels, "page_id bigint, good boolean")
+    return {row["page_id"]: (row["template"], row["purity"]) for row in urls.filter_urls(rows, known, []).collect()}
+
+
+def test_tree_equals_a_plain_one(spark):
+    draw = random.Random(4)
+    names = ["news", "sports", "games", "misc", "spam", "a-b-c", "x1y2z3", "42", "p.html", "", "<odd"]
+    pages, labels = [], []
+    for number in range(900):
+        host = draw.choice(["hot.org", "hot.org", "b.net", "c.com"])
+        user = "".join(draw.choices("abcdefghij", k=4))
+        path = draw.choice(["", "/", f"/u/{user}/{draw.choice(names)}", f"/{draw.choice(names)}/{draw.choice(names)}/{draw.randrange(99)}", "/" + "/".join(draw.choices(names, k=draw.randrange(1, 20)))])
+        pages.append((number, host, path))
+        bad = "spam" in path or (host == "b.net" and "games" in path)
+        if draw.random() < 0.6:
+            labels.append((number, draw.random() < (0.1 if bad else 0.9)))
+        if draw.random() < 0.05:
+            labels.append((number, draw.choice([True, None])))
+    want = plain_judgement(pages, labels)
+    got = judged_pages(spark, pages, labels)
+    assert {number: template for number, (template, _) in got.items()} == {number: template for number, (template, _) in want.items()}
+    assert all(got[number][1] == pytest.approx(want[number][1], abs=1e-12) for number in want)
+
+
+def test_tree_goes_on_below_a_wildcard(spark):
+    def name(number):
+        return "".join("abcdefghij"[int(digit)] for digit in f"{number:03d}")
+
+    pages = [(number, "a.org", f"/u/{name(number)}/{name(999 - number)}") for number in range(200)]
+    assert {template for template, _ in judged_pages(spark, pages, []).values()} == {"/u/*/*"}
+    pages = [(number, "a.org", f"/sec{number % 40:02d}x/{('sports', 'games')[number % 2]}/x/{number}") for number in range(800)]
+    got = {template for template, _ in judged_pages(spark, pages, [(number, number % 5 > 0) for number in range(800)]).values()}
+    assert got == {"/<x>/*/*/<n>"} or got == {"/<x>/*/x/<n>"}
+
+
+# Site evidence
+
+
+def test_site_evidence_equals_plain_numbers(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    got = {row["doc_id"]: row["judged"] for row in evidence.judge_documents(docs, labels).collect()}
+    known = {row["doc_id"]: (row["toxic"], row["low"]) for row in evidence.label_table(labels).collect()}
+    weights, added = evidence.fit(docs, evidence.label_table(labels), "text", "doc_id")
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    paths, hosts = ({site: np.zeros((2, 2)) for site in sites} for sites in ({(r["source"], r["lang"]) for r in rows}, {r["source"] for r in rows}))
+    for row in rows:
+        for fault, value in enumerate(known.get(row["doc_id"], (None, None))):
+            if value is not None:
+                for sums in (paths[row["source"], row["lang"]], hosts[row["source"]]):
+                    sums[fault] += (1, value)
+    whole = sum(hosts.values())
+
+    def shares(sites, parent, fault):
+        """Shares shrunk towards the parent's, by moments."""
+        with_labels = [(sums[fault][0], sums[fault][1], parent(site)) for site, sums in sites.items() if sums[fault][0]]
+        n, bad, of = map(np.array, zip(*with_labels, strict=True))
+        freedom = n.sum() - (n * n).sum() / n.sum()
+        between = ((n * (bad / n - of) ** 2).sum() - (of * (1 - of)).sum()) / freedom if freedom > 0 else 0
+        weight = min(1e6, max(1, (n * of * (1 - of)).sum() / n.sum() / between - 1)) if between > 0 else 1e6
+        return {site: (sums[fault][1] + weight * parent(site)) / (sums[fault][0] + weight) for site, sums in sites.items()}
+
+    of_path = []
+    for fault in range(2):
+        overall = (whole[fault][1] + 0.5) / (whole[fault][0] + 1)
+        of_host = shares(hosts, lambda site, overall=overall: overall, fault)
+        of_path.append(shares(paths, lambda site, of_host=of_host: of_host[site[0]], fault))
+    kept = 0
+    for row in rows:
+        told = weights[:, evidence.features((row["text"] or "").encode())].sum(axis=1) + added
+        share = np.array([found[row["source"], row["lang"]] for found in of_path])
+        chance = 1 / (1 + np.exp(-(told + np.log(share / (1 - share)))))
+        judged = got[row["doc_id"]]
+        assert [judged["share_toxic"], judged["share_low"]] == pytest.approx(share, rel=1e-9)
+        assert [judged["p_toxic"], judged["p_low"]] == pytest.approx(chance, abs=1e-3)
+        clear = np.abs(chance - [evidence.REJECT[fault] for fault in evidence.FAULTS]).min() > 1e-3
+        assert not clear or judged["kept"] == (chance[0] <= evidence.REJECT["toxic"] and chance[1] <= evidence.REJECT["low"])
+        kept += judged["kept"]
+    assert 0 < kept < len(rows)
+
+
+def test_site_evidence_takes_columns_by_place(spark):
+    names = ["doc_id", "text", "source", "lang", "judged", "site", "shares", "evidence", "c0", "_shares", "doc_id2"]
+    rows = [(number, draw, "s", None, "mine", "x", 1, 2, 3, 4, 5) for number, draw in enumerate([None, "", "word " * 50_000, "same", "same"])]
+    docs = spark.createDataFrame(rows, ", ".join(f"{name} {kind}" for name, kind in zip(names, ["bigint", *["string"] * 5, *["int"] * 5], strict=True)))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
+    kept = evidence.keep_documents(docs, labels)
+    assert kept.columns == names and {row["judged"] for row in kept.collect()} == {"mine"}
+    assert evidence.judge_documents(docs, labels).select("judged.kept").count() == 5
+
+
+# Audit of embedding links
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_audit_finds_isolated_pairs(spark, monkeypatch, whole):
+    """Pairs without a common neighbour, with so few tables that the first start misses many of them."""
+    monkeypatch.setattr(descent, "TABLES", 2)
+    monkeypatch.setattr(descent, "GROUP", 4)
+    monkeypatch.setattr(descent, "ROUNDS", 1)
+    monkeypatch.setattr(descent, "AUDITED", 5)
+    draw = np.random.default_rng(3)
+    rows = []
+    for number in range(0, 1200, 2):
+        one, away = draw.standard_normal((2, 64))
+        one /= np.linalg.norm(one)
+        away -= (away @ one) * one
+        other = 0.982 * one + math.sqrt(1 - 0.982**2) * away / np.linalg.norm(away)
+        rows += [(number + i, [float(x) for x in v.astype("float32")], 7) for i, v in enumerate((one, other))]
+    df = spark.createDataFrame(rows + rows[:40], "vec_id bigint, embedding array<float>, label int").repartition(4)
+
+    def links(found):
+        return sum(row["n_links"] > (row["vec_id"] < 40) for row in found.select("vec_id", "n_links").distinct().collect())
+
+    with monkeypatch.context() as patch:
+        patch.setattr(descent, "RECALL", 0.0)
+        assert links(descent.near_duplicates(df)) < 0.9 * 1200
+    if whole:
+        monkeypatch.setattr(descent, "TRIES", 1)
+    found = descent.near_duplicates(df)
+    assert found.first()["recall"] >= 0.99
+    assert links(found) == 1200 if whole else links(found) >= 0.93 * 1200
+
+
+# Context trees
+
+
+def test_blocks_levels_and_pieces_change_no_score(spark, monkeypatch):
+    """Many small blocks whose reports are summed in levels, texts in pieces, and input out of a shuffle."""
+    draw = random.Random(13)
+    lexicon = ["the", "tree", "there", "Then", "a", "éa", "naïve", "x1", "\t\n", "longerthanapieceofsixteen"]
+    rows = [(i, " ".join(draw.choice(lexicon) for _ in range(draw.randint(0, 40)))) for i in range(120)] + [(500, None), (501, ""), (None, "the")]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id bigint, text string")
+
+    def scores():
+        got = ctw.score(docs.repartition(5, F.rand(draw.randrange(1000))))
+        return Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 3)) for r in got.collect())
+
+    want = scores()
+    for name, value in {"FAN": 2, "BLOCK": 400, "PIECE": 16, "LEAST_SHARDS": 3, "SHARD_BYTES": 1000}.items():
+        monkeypatch.setattr(ctw, name, value)
+    assert scores() == want
+
+
+def test_parts_of_texts():
+    texts = [b"", b" ", b"ab cd", b"x" * 50, b"a b  " * 9, b"word " + b"y" * 40 + b" z"]
+    for piece in (1, 3, 16, 1000):
+        ctw.PIECE, before = piece, ctw.PIECE
+        try:
+            words = [[] for _ in texts]
+            for parts in ctw.words_of(texts):
+                for number, own in parts:
+                    words[number] += own
+            assert words == [[*text.split(), ctw.WORD_END] for text in texts]
+            keys = np.concatenate([ctw.strings_of(parts)[0] for parts in ctw.stretches(texts)])
+        finally:
+            ctw.PIECE = before
+        assert list(keys) == list(ctw.strings_of([(i, bytes([ctw.START]) * ctw.DEPTH, text, True) for i, text in enumerate(texts)])[0])
