@@ -52,7 +52,7 @@ class Whitening:
 
 
 def rows_of(column: pa.Array):
-    """An Arrow column of lists of one length as an integer matrix."""
+    """An Arrow column of lists of one length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -89,7 +89,10 @@ def integer_sums(vectors: DataFrame) -> list[int]:
 
 
 def summed(vectors: DataFrame, of_batch, shape: tuple[int, ...]):
-    """The sum of what `of_batch` makes of the rows of each batch, an array of this shape, over all batches."""
+    """The sum of what `of_batch` makes of the rows of each batch, an array of this shape, over all batches.
+
+    A task leaves one row, and one task adds these up as they come.
+    """
     import numpy as np
 
     def add(batches):
@@ -97,14 +100,18 @@ def summed(vectors: DataFrame, of_batch, shape: tuple[int, ...]):
         for batch in batches:
             if len(batch):
                 total += of_batch(rows_of(batch.column("x")))
-        flat = total.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["place", "value"])
-
-    parts = vectors.select("x").mapInArrow(add, "place int, value double")
-    out = np.zeros(int(np.prod(shape)))
-    for row in parts.groupBy("place").agg(F.sum("value").alias("value")).collect():
-        out[row["place"]] = row["value"]
-    return out.reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
+
+    def add_up(batches):
+        total = np.zeros(int(np.prod(shape)))
+        for batch in batches:
+            if len(batch):
+                total += rows_of(batch.column("sums")).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
+
+    parts = vectors.select("x").mapInArrow(add, "sums array<double>").repartition(1)
+    (row,) = parts.mapInArrow(add_up, "sums array<double>").collect()  # a limit would end the Python worker each time
+    return np.array(row["sums"]).reshape(shape)
 
 
 def orthonormal(block, against):
