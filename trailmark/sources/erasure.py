@@ -79,6 +79,8 @@ def erase_from(store: Store, targets: DataFrame) -> int:
 
 
 def _touches(entry, days: set) -> bool:
+    if entry["low"] is None:
+        return True
     first, last = entry["low"].date(), entry["high"].date()
     return any(first + timedelta(n) in days for n in range((last - first).days + 1))
 

@@ -29,7 +29,7 @@ UPDATES_DDL = (
     "batch_id bigint"
 )
 OWNERS_DDL = "id string, tenant_id string, home_day date"
-OPEN = "open"
+OPEN, NO_DAY = "open", "unknown"  # parts beside those named by a day
 FOLDERS_PER_DAY = 8  # a day in more folders than that is rewritten as one
 
 
@@ -164,9 +164,10 @@ def run_closer(
         return [entry for entry in entries if entry["part"] in days]
 
     # Days as far as the table has them: few lines, whatever the number of sessions.
-    asked = {str(row[0]) for row in elsewhere.select("home_day").distinct().collect()}
+    day = F.coalesce(F.col("home_day").cast("string"), F.lit(NO_DAY))
+    asked = {row[0] for row in elsewhere.select(day).distinct().collect()}
     found = table.read(entries_of(asked)).join(elsewhere.select("id"), "id", "left_semi").persist()
-    touched = {str(row[0]) for row in found.select("home_day").distinct().collect()}
+    touched = {row[0] for row in found.select(day).distinct().collect()}
     folders = collections.Counter(entry["part"] for entry in entries if entry["part"] != OPEN)
     rewritten = touched | {day for day, number in folders.items() if number >= FOLDERS_PER_DAY}
     sessions = sessions_ops.upsert_sessions(still_open.unionByName(found), updates).persist()
@@ -184,7 +185,7 @@ def run_closer(
         unchanged = table.read(entries_of(rewritten)).join(found.select("id"), "id", "left_anti")
         rows = sessions_ops.apply_closings(sessions, decisions).unionByName(unchanged)
         waits = F.col("ended_at").isNull() | F.col("needs_recompute")
-        part = F.when(waits, F.lit(OPEN)).otherwise(F.col("home_day").cast("string"))
+        part = F.when(waits, F.lit(OPEN)).otherwise(day)
         keep = [entry for entry in entries if entry["part"] != OPEN and entry["part"] not in rewritten]
         written = table.write(rows, part, keep, version, newest)
         counters.add(
