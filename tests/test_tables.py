@@ -145,6 +145,71 @@ def test_rechunk_equals_sequential_cutting(spark, width):
     assert replay.rechunk_replay(df.limit(0), 200, width).count() == 0
 
 
+def ticked_cut(rows, max_bytes, flush_ms):
+    """Plain sequential cutting of one session with flush ticks; an event without text has no size."""
+    sealed, size, tick, out = True, 0, None, []
+    for ts, seq, kind, text in sorted(rows, key=lambda row: row[:2]):
+        if sealed or kind == 4 or ts // flush_ms != tick:
+            out.append([])
+            size, sealed = 0, False
+        tick = ts // flush_ms
+        out[-1].append(seq)
+        size += len(text or "")
+        sealed = size >= max_bytes
+    return [(c[0], c[-1], len(c)) for c in out]
+
+
+REPLAY_DDL = "tenant_id string, session_id string, ts timestamp, seq bigint, type int, event string"
+
+
+@pytest.mark.parametrize("width", [2_000, 3_600_000])
+def test_rechunk_cuts_at_flush_ticks(spark, width):
+    rng = random.Random(5)
+    sessions = {}
+    for number in range(40):
+        times = sorted(rng.randrange(0, 20_000) for _ in range(400 if number == 0 else rng.randrange(1, 40)))
+        metas = 0 if number < 10 else 0.05
+        sizes = rng.choice([(0, 90), (1, 20), (150, 700), (0, 2)])
+        texts = ["x" * rng.randint(*sizes) if rng.random() < 0.9 else None for _ in times]
+        sessions[f"s{number}"] = [(t, i, 4 if rng.random() < metas else 3, e) for i, (t, e) in enumerate(zip(times, texts))]
+    rows = [("t", s, at(t), q, k, e) for s, items in sessions.items() for t, q, k, e in items]
+    rng.shuffle(rows)
+    got = replay.rechunk_replay(spark.createDataFrame(rows, REPLAY_DDL), 200, width, flush_ms=5_000).toPandas()
+    for name, items in sessions.items():
+        mine = got[got["session_id"] == name].sort_values("chunk_seq")
+        assert list(mine["chunk_seq"]) == list(range(len(mine)))
+        wanted = ticked_cut([(T0 + t, *rest) for t, *rest in items], 200, 5_000)
+        assert list(zip(mine["first_seq"], mine["last_seq"], mine["event_count"])) == wanted, name
+
+
+def test_rechunk_counts_repeated_events_as_often_as_they_come(spark):
+    events = [(0, 4, "a" * 30), (1_000, 3, "b" * 90), (2_000, 3, "c" * 20), (5_000, 3, "d" * 10), (6_000, 3, "")]
+    rows = [("t", "s", at(ms), n, kind, text) for n, (ms, kind, text) in enumerate(events)] * 2
+    got = replay.rechunk_replay(spark.createDataFrame(rows, REPLAY_DDL), 100, flush_ms=5_000).orderBy("chunk_seq").collect()
+    assert [(r["chunk_seq"], r["first_seq"], r["last_seq"], r["event_count"], r["bytes"]) for r in got] == [
+        (0, 0, 0, 1, 30), (1, 0, 1, 2, 120), (2, 1, 2, 2, 110), (3, 2, 2, 1, 20), (4, 3, 4, 4, 20)
+    ]
+
+
+def test_rechunk_query_flushes_every_five_seconds(spark, tmp_path):
+    import duckdb
+
+    from trailmark.plans import load
+
+    runs, sql = load()
+    turns = [(c, t, "user", "x" * (40 * t + c)) for c in range(6) for t in range(20)]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(path)
+    got = runs["rechunk_replay"](spark, str(tmp_path))
+    # Turns 6 and 7 of the first conversation lie before the tick at 5 s, turn 8 behind it: one run of Meta, two chunks.
+    first = got.filter("session_id = '0' AND first_seq BETWEEN 6 AND 8").orderBy("chunk_seq").collect()
+    assert [(r["first_seq"], r["last_seq"], r["starts_with_snapshot"]) for r in first] == [(6, 7, True), (8, 8, False)]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+        wanted = db.sql(sql["rechunk_replay"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(wanted)
+
+
 def plain_bucket(times, burst, refill, period_ms):
     """A token bucket, request by request: refused requests and all requests by period."""
     level, last, out = burst, None, {}

@@ -12,6 +12,7 @@ from trailmark.operators.slices import with_previous, with_running_total
 from trailmark.session import written
 
 SESSION_KEYS = ["tenant_id", "session_id"]
+RUN_KEYS = [*SESSION_KEYS, "run", "tick"]
 
 
 def chunk_rows(good: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def explode_replay(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_starts(sized: DataFrame, max_bytes: int) -> DataFrame:
-    """The offsets at which chunks begin, of rows (tenant_id, session_id, run, start): `start` is an event's byte offset.
+    """The offsets at which chunks begin, of rows (tenant_id, session_id, run, tick, start): `start` is an event's byte offset.
 
     A chunk that begins at an offset ends with the event that brings it to `max_bytes`, so the next one begins at the
     first event at or behind that distance. That is one pointer for each event, found inside cells of `max_bytes`: it leads
@@ -117,7 +118,7 @@ def chunk_starts(sized: DataFrame, max_bytes: int) -> DataFrame:
     followed by doubling them: each round adds the starts as far ahead as all the rounds before, so a run of n chunks
     takes log n rounds, and a run without a second chunk none.
     """
-    run = [*SESSION_KEYS, "run"]
+    run = RUN_KEYS
     nodes = sized.select(*run, "start").distinct().withColumn("cell", F.floor(F.col("start") / max_bytes))
     nodes = written(nodes, "nodes")
     axis = F.array(
@@ -145,26 +146,36 @@ def chunk_starts(sized: DataFrame, max_bytes: int) -> DataFrame:
     return starts
 
 
-def rechunk_replay(events: DataFrame, max_bytes: int = S.REPLAY_CHUNK_BYTES, width_ms: int = HOUR_MS) -> DataFrame:
+def rechunk_replay(
+    events: DataFrame,
+    max_bytes: int = S.REPLAY_CHUNK_BYTES,
+    width_ms: int = HOUR_MS,
+    flush_ms: int | None = None,
+) -> DataFrame:
     """Cuts recorded events into chunks anew and numbers the chunks of each session.
 
-    A chunk ends before a Meta event and when its text reaches `max_bytes`. Wants `tenant_id, session_id, ts, seq, type,
-    event`, where `(ts, seq)` orders the events of a session. The work is on sizes and offsets; the texts are read once to
-    measure them.
+    A chunk ends before a Meta event, when its text reaches `max_bytes`, and at every flush tick of `flush_ms` (without it
+    there are no ticks). Wants `tenant_id, session_id, ts, seq, type, event`, where `(ts, seq)` orders the events of a
+    session; an event without text has no size. The byte counter starts again in every (session, Meta run, tick). The work
+    is on sizes and offsets; the texts are read once to measure them.
     """
     is_meta = F.coalesce((F.col("type") == S.REPLAY_META).cast("long"), F.lit(0))
     sized = events.select(*SESSION_KEYS, "ts", "seq", F.length("event").cast("bigint").alias("bytes"), is_meta.alias("is_meta"))
     order = ["ts", "seq"]
     runs = with_running_total(sized, SESSION_KEYS, order, F.col("is_meta"), "run", width_ms)
-    ends = with_running_total(runs, [*SESSION_KEYS, "run"], order, F.col("bytes"), "end", width_ms)
-    placed = written(ends.withColumn("start", F.col("end") - F.col("bytes")), "offsets")
+    runs = runs.withColumn("tick", F.lit(0) if flush_ms is None else F.floor(F.unix_millis("ts") / flush_ms))
+    size = F.coalesce("bytes", F.lit(0))
+    ends = with_running_total(runs, RUN_KEYS, order, size, "end", width_ms)
+    # Events can come twice, so each has a number of its own from here on.
+    placed = ends.select("*", (F.col("end") - size).alias("start"), F.monotonically_increasing_id().alias("event_no"))
+    placed = written(placed, "offsets")
     # Events without text begin where the one behind them does; the first of them is the one that begins the chunk.
-    run = [*SESSION_KEYS, "run"]
     starts = chunk_starts(placed, max_bytes).withColumn("begins", F.lit(1))
-    first = placed.groupBy(*run, "start").agg(F.min(F.struct(*order)).alias("first"))
-    begins = first.join(starts, [*run, "start"]).select(*SESSION_KEYS, "first.ts", "first.seq", "begins")
-    marked = placed.join(begins, [*SESSION_KEYS, *order], "left")
-    chunks = with_running_total(marked, SESSION_KEYS, order, F.coalesce("begins", F.lit(0)), "_number", width_ms)
+    first = placed.groupBy(*RUN_KEYS, "start").agg(F.min(F.struct(*order, "event_no")).alias("first"))
+    begins = first.join(starts, [*RUN_KEYS, "start"]).select("first.event_no", "begins")
+    marked = placed.join(begins, "event_no", "left")
+    along = [*order, "run", "start", "event_no"]
+    chunks = with_running_total(marked, SESSION_KEYS, along, F.coalesce("begins", F.lit(0)), "_number", width_ms)
     return chunks.groupBy(*SESSION_KEYS, (F.col("_number") - 1).alias("chunk_seq")).agg(
         F.count("*").alias("event_count"),
         F.sum("bytes").alias("bytes"),
@@ -172,5 +183,5 @@ def rechunk_replay(events: DataFrame, max_bytes: int = S.REPLAY_CHUNK_BYTES, wid
         F.max("ts").alias("last_ts"),
         F.min_by("seq", F.struct(*order)).alias("first_seq"),
         F.max_by("seq", F.struct(*order)).alias("last_seq"),
-        (F.min_by("is_meta", F.struct(*order)) == 1).alias("starts_with_snapshot"),
+        (F.min_by("is_meta", F.struct(*along)) == 1).alias("starts_with_snapshot"),
     )

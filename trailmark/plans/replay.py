@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailmark import schemas as S
 from trailmark.operators import replay as ops
 from trailmark.operators import tables
 from trailmark.plans import fixtures as fx
@@ -126,31 +127,31 @@ def chunk_payloads(spark, folder):
     return found.select("object_key", F.col("payload").isNotNull().alias("found"))
 
 
-MAX_BYTES = 600
+MAX_BYTES, FLUSH_MS = 600, S.REPLAY_FLUSH_MS
 
 
 @query(
     f"""WITH RECURSIVE e AS (
-  SELECT conv_id, turn, length(text) AS bytes, turn % 3 = 0 AS meta FROM conversations
+  SELECT conv_id, turn, length(text) AS bytes, turn % 3 = 0 AS meta, conv_id * 1000 + turn * 700 AS ts FROM conversations
 ), g AS (
-  SELECT *, sum(CAST(meta AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM e
+  SELECT *, ts // {FLUSH_MS} AS tick, sum(CAST(meta AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM e
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS i FROM g
+  SELECT *, row_number() OVER (PARTITION BY conv_id, tick, run ORDER BY turn) AS i FROM g
 ), w AS (
-  SELECT conv_id, run, i, turn, bytes, bytes AS total, 0 AS part FROM n WHERE i = 1
+  SELECT conv_id, tick, run, i, turn, bytes, bytes AS total, 0 AS part FROM n WHERE i = 1
   UNION ALL
-  SELECT n.conv_id, n.run, n.i, n.turn, n.bytes, CASE WHEN w.total >= {MAX_BYTES} THEN n.bytes ELSE w.total + n.bytes END,
+  SELECT n.conv_id, n.tick, n.run, n.i, n.turn, n.bytes, CASE WHEN w.total >= {MAX_BYTES} THEN n.bytes ELSE w.total + n.bytes END,
     CASE WHEN w.total >= {MAX_BYTES} THEN w.part + 1 ELSE w.part END
-  FROM w JOIN n ON n.conv_id = w.conv_id AND n.run = w.run AND n.i = w.i + 1
+  FROM w JOIN n ON n.conv_id = w.conv_id AND n.tick = w.tick AND n.run = w.run AND n.i = w.i + 1
 ), chunk AS (
   SELECT conv_id, count(*) AS event_count, CAST(sum(bytes) AS BIGINT) AS bytes, min(turn) AS first_seq, max(turn) AS last_seq
-  FROM w GROUP BY conv_id, run, part
+  FROM w GROUP BY conv_id, tick, run, part
 )
 SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_seq) - 1 AS chunk_seq,
   event_count, bytes, first_seq, last_seq, first_seq % 3 = 0 AS starts_with_snapshot FROM chunk"""
 )
 def rechunk_replay(spark, folder):
-    """Turns as recorded events of 700 ms each, every third a Meta event, cut at 600 characters."""
+    """Turns as recorded events of 700 ms each, every third a Meta event, cut at 600 characters and every 5 s."""
     rows = fx.table(spark, folder, "conversations").select(
         (F.col("conv_id") % 4).cast("string").alias("tenant_id"),
         F.col("conv_id").cast("string").alias("session_id"),
@@ -159,7 +160,7 @@ def rechunk_replay(spark, folder):
         F.when(F.col("turn") % 3 == 0, F.lit(4)).otherwise(F.lit(3)).alias("type"),
         F.col("text").alias("event"),
     )
-    cut = ops.rechunk_replay(rows, MAX_BYTES)
+    cut = ops.rechunk_replay(rows, MAX_BYTES, flush_ms=FLUSH_MS)
     return cut.select("session_id", "chunk_seq", "event_count", "bytes", "first_seq", "last_seq", "starts_with_snapshot")
 
 
