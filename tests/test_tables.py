@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from helpers import T0, at, events, moment
@@ -269,6 +270,24 @@ def test_leaks_of_many_secrets(spark, monkeypatch):
         assert got["t", f"n{i}"] == (sum(word in text for text in texts), sum("*" * len(word) in text for text in texts)), word
 
 
+def test_leaks_next_to_each_other(spark):
+    words = ["a.b", "a.bc", "a.bcdefg!", "bcdefg!?x", "^", "x\\y", "[z]-", "\U0001f511key", "ke", "\n\n*", "tail-", "tail-end-"]
+    texts = ["a.bcdefg!?x", "aXbc a.b", "x\\y^[z]-", "é\U0001f511key", "\n\n***\n", "key tail-en", "", None, "tail-end-a.b"]
+    got = leaks(spark, {"t": (spark.createDataFrame([(t,) for t in texts], "text string"), ["text"])}, [(w, w) for w in words])
+    for word in words:
+        assert got["t", word][0] == sum(word in (text or "") for text in texts), word
+
+
+def test_leaks_in_a_long_text(spark):
+    """The time grows with the length of a text, not with its square."""
+    text = "no sécret is in here " * 50_000
+    df = spark.createDataFrame([(text + "but this: hunter-two-",), (text,)], "text string")
+    begun = time.monotonic()
+    got = leaks(spark, {"t": (df, ["text"])}, [("own", "hunter-two-"), ("other", "hunter-ten-"), ("short", "-")])
+    assert (got["t", "own"], got["t", "other"], got["t", "short"]) == ((1, 0), (0, 0), (1, 0))
+    assert time.monotonic() - begun < 60
+
+
 def test_sampling_extremes(spark):
     rows = events(spark, [(f"s{i}", f"{i}", 0, "CLICK") for i in range(200)] * 2)
     for rate, low, high in ((0.0, 0, 0), (1.0, 400, 400), (0.5, 120, 280)):

@@ -50,9 +50,10 @@ def leak_scan(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], secrets: Da
     """For every table and secret, the rows with the secret in any text column, and the rows with its masked form.
 
     `tables` gives each table with its text columns, `secrets` has `name` and `secret`. A secret is anchored at its first
-    `ANCHOR` characters (all, if it has fewer). Of all such pieces of a text only those that are an anchor leave the row;
-    they meet their secrets in a join, and only then is the text searched for the whole secret. So a text is gone through
-    once however many secrets there are. Anchors are few characters each and are handed to the scan, `ANCHORS` to a pass.
+    `ANCHOR` characters (all, if it has fewer). One pattern finds the places of a text where an anchor begins, character by
+    character along the tree of all anchors. Only those pieces leave the row; they meet their secrets in a join, and only
+    then is the text searched for the whole secret. So a text is gone through once however many secrets there are, in a time
+    that grows with its length. Anchors are few characters each and are handed to the scan, `ANCHORS` to a pass.
 
     A masked form is a run of stars at least as long as the secret: the longest run of each row says it for all secrets.
     Secrets that are found nowhere are reported with zero; null and empty ones are found nowhere.
@@ -81,19 +82,39 @@ def leak_scan(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], secrets: Da
 
 def _with_secret(rows: DataFrame, secrets: DataFrame, anchors: Sequence[str]) -> DataFrame:
     """How many rows hold each of the secrets with these anchors."""
-    sizes = sorted({len(anchor) for anchor in anchors})
-
-    def pieces(text: Column, size: int) -> Column:
-        last = F.length(text) - (size - 1)
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))), lambda piece: piece.isin(list(anchors)))
-
-    met = F.flatten(F.transform("texts", lambda text: F.array_distinct(F.concat(*[pieces(text, size) for size in sizes]))))
-    hits = rows.select("texts", F.explode(F.array_distinct(met)).alias("anchor")).join(secrets, "anchor")
+    sizes = F.array(*[F.lit(size) for size in sorted({len(anchor) for anchor in anchors})])
+    pattern = F.lit(f"(?s)(?={_any_of(anchors)})(?=(.{{1,{ANCHOR}}}))")
+    # What begins at each place where an anchor does: all anchors there are beginnings of it.
+    begun = F.transform("texts", lambda text: F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1))))
+    pieces = F.flatten(F.transform(F.flatten(begun), lambda piece: F.transform(sizes, lambda size: F.substring(piece, F.lit(1), size))))
+    hits = rows.select("texts", F.explode(F.array_distinct(pieces)).alias("anchor")).join(secrets, "anchor")
     hits = hits.filter(F.exists("texts", lambda text: F.contains(text, F.col("secret"))))
     return hits.groupBy("name").agg(F.count("*").alias("rows_with_secret"), F.lit(0).cast("bigint").alias("rows_masked"))
 
 
+def _any_of(words: Sequence[str]) -> str:
+    """A pattern for places where one of the words begins: their tree of characters, so common beginnings are tried once."""
+    tree: dict = {}
+    for word in sorted(words):  # one that continues another comes behind it, and is not needed
+        node = tree
+        for char in word:
+            if char in node and not node[char]:
+                break
+            node = node.setdefault(char, {})
+
+    def quoted(char: str) -> str:
+        return f"\\{char}" if char.isascii() and not char.isalnum() else char
+
+    def branch(node: dict) -> str:
+        if len(node) == 1:
+            return "".join(quoted(char) + branch(below) for char, below in node.items())
+        ends = "".join(quoted(char) for char, below in node.items() if not below)
+        ways = [quoted(char) + branch(below) for char, below in node.items() if below] + ([f"[{ends}]"] if ends else [])
+        return f"(?:{'|'.join(ways)})" if ways else ""
+
+    return f"(?=[{''.join(map(quoted, tree))}]){branch(tree)}"
+
+
 def _with_stars(rows: DataFrame, secrets: DataFrame) -> DataFrame:
     """How many rows hold a run of stars as long as each secret."""
     runs = F.transform("texts", lambda text: F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(\*+)"), F.lit(1)), F.length)))
