@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import pytest
 from helpers import T0, at, events, moment
@@ -337,3 +339,79 @@ def test_lifecycle_reports_once_and_forgets(spark, paths):
         spark.conf.set(provider, before)
     assert [s[1:] for s in seen if s[0] == "s"] == [("OPEN", 900, 1, 1), ("CLOSED", 900, 1, 1), ("UPDATED", 5000, 1, 2)]
     assert [s[1] for s in seen if s[0] == "other"] == ["OPEN", "CLOSED"]
+
+
+def test_idle_run_ends_though_batches_take_longer_than_a_tick(spark, paths):
+    """There is never a pause between two batches, and all of them take far longer together than the patience."""
+    rows = spark.createDataFrame([("s", 1), ("s", 2)], "id string, n int")
+    rows.coalesce(1).write.parquet(paths("log"))
+    counts = spark.readStream.schema(rows.schema).parquet(paths("log")).groupBy("id").count()
+    ended = []
+
+    class Endless:
+        """A query with timers: a batch follows a batch, and the state is gone after the fourth."""
+
+        isActive, stopped = True, False
+        recentProgress: list = []
+        lastProgress = property(lambda self: self.recentProgress[-1] if self.recentProgress else None)
+        status = {"isTriggerActive": True}
+
+        def run(self):
+            for number in range(30):
+                if not self.isActive:
+                    return
+                self.work(counts, number)
+                ended.append(number)
+                left = {"numRowsTotal": max(0, 3 - number)}
+                self.recentProgress = [*self.recentProgress, {"batchId": number, "numInputRows": 2 * (number == 0), "stateOperators": [left]}]
+
+        def foreachBatch(self, work):
+            self.work = work
+            return self
+
+        def trigger(self, processingTime):
+            return self
+
+        def start(self):
+            self.thread = threading.Thread(target=self.run)
+            self.thread.start()
+            return self
+
+        def stop(self):
+            self.isActive = False
+            self.thread.join()
+
+        def awaitTermination(self, timeout):
+            self.thread.join(timeout)
+
+        def exception(self):
+            return None
+
+    seen = []
+    query = Endless()
+    jobs.run_until_idle(query, lambda batch, number: (time.sleep(0.6), seen.append(number)), patience_s=1.0)
+    assert seen == ended == [0, 1, 2, 3, 4] and not query.thread.is_alive()
+    stuck = Endless()
+    stuck.run = lambda: [stuck.work(counts, n) or setattr(stuck, "recentProgress", [*stuck.recentProgress, {"batchId": n, "numInputRows": 2 * (n == 0), "stateOperators": [{"numRowsTotal": 1}]}]) for n in range(30) if stuck.isActive]
+    with pytest.raises(TimeoutError):
+        jobs.run_until_idle(stuck, lambda batch, number: time.sleep(0.3), patience_s=1.0)
+
+
+def test_idle_run_of_a_stream(spark, paths):
+    """With a tick that is shorter than any batch, the stream still ends, and its checkpoint can be gone on with."""
+    from trailmark.streaming.sessions import session_lifecycle_stream
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for ids in (["a", "b"], ["c"]):
+            seen = []
+            source = events(spark, [(s, s + str(n), n, "CLICK") for s in ids for n in (0, 900)])
+            source.coalesce(1).write.mode("append").parquet(paths("log"))
+            stream = session_lifecycle_stream(spark.readStream.schema(source.schema).parquet(paths("log")), 300, 300)
+            writer = stream.writeStream.outputMode("update").option("checkpointLocation", paths("state"))
+            jobs.run_until_idle(writer, lambda batch, number: seen.extend((r["session_id"], r["type"]) for r in batch.collect()), "1 millisecond", 100)
+            assert sorted(seen) == [(s, kind) for s in ids for kind in ("CLOSED", "OPEN")]
+    finally:
+        spark.conf.set(provider, before)
