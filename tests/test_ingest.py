@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from helpers import T0, at
@@ -247,6 +248,70 @@ def test_references(spark):
     assert checked == {"1": None, "7": None, **{i: "store_rejected" for i in "23456"}}
 
 
+def plain_refusals(rows, sites, held):
+    """What `reject_unknown_refs` says, event by event: the reasons of the events that are kept."""
+    low = lambda row, *names: tuple((row[name] is not None, row[name] or "") for name in names)
+    first, per = {}, {}
+    for row in rows:
+        if row["session_id"] is not None:
+            first[row["session_id"]] = min(first.get(row["session_id"], row), row, key=lambda r: low(r, "received", "tenant_id"))
+            if row["ts"] is not None:
+                per.setdefault((row["tenant_id"], row["session_id"]), []).append(row)
+    out = {}
+    for (tenant, session), own in per.items():
+        owner = held.get(session) or first[session]["tenant_id"]
+        who = min(own, key=lambda r: low(r, "received", "event_id", "anonymous_id"))["anonymous_id"] or ""
+        pages = [r for r in own if r["kind"] == "NAVIGATION" and r["url"]]
+        page = min(pages, key=lambda r: low(r, "ts", "event_id"))["url"] if pages else ""
+        lost = any((r["tenant_id"], r["site_id"]) not in sites for r in own)
+        refused = lost or (owner is not None and owner != tenant) or "\x00" in who + page
+        out |= {r["event_id"]: "store_rejected" if refused else None for r in own if tenant is not None}
+    return out
+
+
+def test_references_equal_a_plain_check(spark):
+    """One session has a third of the events; ids, times and tenants are missing here and there."""
+    rng, rows = random.Random(4), []
+    for n in range(900):
+        session = "hot" if n % 3 == 0 else rng.choice([None, *(f"s{i}" for i in range(120))])
+        tenant = rng.choice(["t1"] * 12 + ["t2", None]) if session != "hot" else "t1"
+        site = rng.choice(["a"] * 30 + ["b", None]) if session != "hot" else "a"
+        url = rng.choice(["https://web.test/"] * 9 + ["", None, "https://web.test/\x00"]) if session != "hot" else "x"
+        who = rng.choice(["u"] * 20 + ["", "u\x00"]) if session != "hot" else "u"
+        times = [rng.choice([None, *range(1, 40)]) if session != "hot" else n * 7_000_000 + 1 for _ in range(2)]
+        rows.append({"event_id": f"{n:04d}", "session_id": session, "tenant_id": tenant, "site_id": site, "url": url, "anonymous_id": who})
+        rows[-1] |= {"kind": rng.choice(["CLICK", "NAVIGATION"]), "ts": times[0], "received": times[1]}
+    columns = ["event_id", "session_id", "tenant_id", "site_id", "url", "anonymous_id", "kind", "ts", "received"]
+    df = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], ", ".join(f"{c} {'bigint' if c in ('ts', 'received') else 'string'}" for c in columns))
+    df = df.withColumns({"ts": F.timestamp_millis("ts"), "ingested_at": F.timestamp_millis("received"), "event_type": F.col("kind")})
+    sites = spark.createDataFrame([("a", "t1"), ("a", "t1"), ("a", "t2"), (None, "t1"), ("b", "t9")], "id string, tenant_id string")
+    held = {f"s{i}": "t2" for i in range(0, 120, 9)}
+    for known in ({}, held):
+        sessions = spark.createDataFrame(list(known.items()), "id string, tenant_id string") if known else None
+        want = plain_refusals(rows, {("t1", "a"), ("t2", "a")}, known)
+        found = ingest.reject_unknown_refs(df, sites, sessions).collect()
+        assert {r["event_id"]: r["reason"] for r in found} == want and len(found) == len(want)
+        assert {None, "store_rejected"} == set(want.values())
+        refused = ingest.refused_sessions(df, sites, sessions)
+        pairs = [tuple(r) for r in refused.collect()]
+        assert len(pairs) == len(set(pairs)) and {(r["tenant_id"], r["session_id"]) for r in rows if want.get(r["event_id"])} <= set(pairs)
+
+
+def test_events_of_accepted_sessions_are_not_moved(spark):
+    """When few sessions are refused, events are marked where they are."""
+    from helpers import events
+
+    rows = events(spark, [("a", "1", 0, "CLICK"), ("b", "2", 0, "CLICK", {"tenant": "t9"})])
+    sites = spark.createDataFrame([("s1", "t1")], "id string, tenant_id string")
+    refused = ingest.refused_sessions(rows, sites).persist()
+    assert [tuple(r) for r in refused.collect()] == [("t9", "b")]
+    marked = ingest.reject_unknown_refs(rows, sites, None, refused)
+    marked.collect()
+    plan = marked._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    refused.unpersist()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_types_are_twelve():
     assert len(S.EVENT_TYPES) == 12 == len(set(S.EVENT_TYPES))
 

@@ -1,6 +1,8 @@
 import json
+import os
 import threading
 import time
+from contextlib import contextmanager
 
 import pytest
 from helpers import T0, at, events, moment
@@ -162,6 +164,37 @@ def test_owner_lookup_follows_the_batch(spark, paths):
     assert first[uid(100)] == (uid(4), "2025-06-01") and first[uid(101)][0] == uid(1)
 
 
+def test_jobs_hold_no_batch_in_memory(spark, paths, monkeypatch):
+    """A batch lies in a table while it is worked on, and owners in a state store on disk, however many there are."""
+    from trailmark.streaming import events as event_jobs
+
+    staged, seen = jobs.staged, []
+
+    @contextmanager
+    def watched(df, path):
+        with staged(df, path) as rows:
+            assert not rows.storageLevel.useMemory and rows.inputFiles()
+            seen.append((path, rows.count(), [c for c in rows.columns if c == "value" or c == "_record"]))
+            yield rows
+        assert not os.path.exists(path.removeprefix("file:"))
+
+    for module in (jobs, event_jobs):
+        monkeypatch.setattr(module, "staged", watched)
+    before = {name: spark.conf.get(name, None) for name in jobs.STATE_STORE}
+    put(spark, paths("log"), [numbered(i) for i in range(3)] + [numbered(7, siteId=ID.format(8), sessionId=ID.format(9)), "{broken"])
+    track(spark, paths, spark.createDataFrame([(ID.format(2), ID.format(1))], SITE))
+    run_events(spark, paths)
+    assert {name: spark.conf.get(name, None) for name in jobs.STATE_STORE} == before
+    tracker, stored = seen
+    assert tracker[1:] == (5, ["_record"]) and stored[1:] == (5, ["value"])  # four events and one owner; five records
+    kept = [name for _, _, names in os.walk(tracker[0].removesuffix("-batch") + "/state") for name in names]
+    assert any(name.endswith(".zip") for name in kept) and not any(name.endswith(".delta") for name in kept)
+    dead = {r["reason"]: r["value"] for r in spark.read.parquet(paths("dead")).collect()}
+    assert dead == {"deserialization": "{broken"}
+    late = spark.read.parquet(paths("dead2")).collect()
+    assert [(r["reason"], json.loads(r["value"])["sessionId"]) for r in late] == [("store_rejected", ID.format(9))]
+
+
 DAYS = 60
 
 

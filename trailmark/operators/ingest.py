@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark import schemas as S
@@ -10,10 +10,10 @@ from trailmark.functions import json as J
 from trailmark.functions import text as X
 from trailmark.functions import web as W
 from trailmark.operators.once import with_once
-from trailmark.operators.slices import attach_per_key, with_key_value
 
 # An instant on the wire has a time and a zone.
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+SPREAD = 16  # tasks that the events of one session are dealt over in a join
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
 
 
@@ -342,40 +342,54 @@ def authorize(requests: DataFrame, site_key: DataFrame, site: DataFrame, tenant:
     )
 
 
-def with_known_owner(events: DataFrame, held: DataFrame) -> DataFrame:
-    """Adds `_held`, the tenant that owns the session already. Sessions nobody holds are kept with null."""
-    ids = events.select("session_id").distinct()
-    owners = ids.join(held, "session_id", "left")
-    return attach_per_key(events, owners, ["session_id"])
+def refused_sessions(df: DataFrame, site: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """`tenant_id` and `session_id` of the sessions that `reject_unknown_refs` refuses, each once.
 
-
-def reject_unknown_refs(df: DataFrame, site: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Adds `reason` = `store_rejected` to events of sessions the session store would refuse.
-
-    Refused are, with all their events of this batch: sessions of an unknown (tenant, site); sessions whose id belongs to
-    another tenant (the known owner, else the one received first); sessions whose anonymous id or entry page, the values
-    that are stored, hold a NUL character.
+    What is looked at of an event are a few short columns, folded per session before anything is shuffled; sessions meet
+    their owners as one row each.
     """
     known = site.select("tenant_id", F.col("id").alias("site_id"), F.lit(True).alias("_known")).distinct()
-    arrival = F.min(F.struct("ingested_at", "tenant_id"))
-    joined = with_key_value(df.join(known, ["tenant_id", "site_id"], "left"), ["session_id"], "_first", arrival, F.min)
-    owner = F.col("_first.tenant_id")
-    if sessions is not None:
-        held = sessions.select(F.col("id").alias("session_id"), F.col("tenant_id").alias("_held"))
-        joined = with_known_owner(joined, held)
-        owner = F.coalesce("_held", owner)
+    looked_at = ["tenant_id", "site_id", "session_id", "anonymous_id", "event_id", "event_type", "url", "ts", "ingested_at"]
+    rows = df.filter(F.col("session_id").isNotNull()).select(*looked_at).join(known, ["tenant_id", "site_id"], "left")
+    timed = F.col("ts").isNotNull()  # others are dropped, and say no more than when the session came
     # What a session stores: the anonymous id received first, and the url of its earliest navigation.
-    entered = (F.col("event_type") == "NAVIGATION") & (F.col("url") != "")
-    per_session = joined.groupBy("tenant_id", "session_id").agg(
-        F.min(F.struct("ingested_at", "event_id", "anonymous_id")).getField("anonymous_id").alias("_anonymous"),
+    entered = timed & (F.col("event_type") == "NAVIGATION") & (F.col("url") != "")
+    per_session = rows.groupBy("tenant_id", "session_id").agg(
+        F.min(F.struct("ingested_at", "tenant_id")).alias("_arrival"),
+        F.min(F.when(timed, F.struct("ingested_at", "event_id", "anonymous_id"))).getField("anonymous_id").alias("_anonymous"),
         F.min(F.when(entered, F.struct("ts", "event_id", "url"))).getField("url").alias("_entry"),
-        F.max(F.col("_known").isNull()).alias("_lost"),
+        F.max(F.when(timed, F.col("_known").isNull())).alias("_lost"),
     )
-    joined = attach_per_key(joined, per_session, ["tenant_id", "session_id"])
+    # One row for each tenant that uses a session id.
+    owner = F.min("_arrival").over(Window.partitionBy("session_id")).getField("tenant_id")
+    per_session = per_session.withColumn("_owner", owner)
+    if sessions is not None:
+        held = sessions.select(F.col("id").alias("session_id"), F.col("tenant_id").alias("_held"))
+        per_session = per_session.join(held, "session_id", "left").withColumn("_owner", F.coalesce("_held", "_owner"))
     stored = F.concat_ws(" ", "_anonymous", "_entry")
-    refused = F.col("_lost") | (owner != F.col("tenant_id")) | stored.contains("\x00")
-    reason = F.when(refused, F.lit("store_rejected"))
-    return joined.withColumn("reason", reason).drop("_known", "_first", "_held", "_anonymous", "_entry", "_lost")
+    refused = F.col("_lost") | (F.col("_owner") != F.col("tenant_id")) | stored.contains("\x00")
+    return per_session.filter(F.col("tenant_id").isNotNull() & refused).select("tenant_id", "session_id").distinct()
+
+
+def reject_unknown_refs(
+    df: DataFrame, site: DataFrame, sessions: DataFrame | None = None, refused: DataFrame | None = None
+) -> DataFrame:
+    """Adds `reason` = `store_rejected` to events of sessions the session store would refuse.
+
+    Refused are, with all their events of this batch: sessions of an unknown (tenant, site); sessions whose id belongs to
+    another tenant (the known owner, else the one received first); sessions whose anonymous id or entry page, the values
+    that are stored, hold a NUL character. Events without a tenant, a session or a time are dropped.
+
+    `refused` is what `refused_sessions` gives for the same arguments, for callers that have it at hand. Events are moved
+    once at most, and not at all where the refused sessions are measured to be few. A session is dealt over `SPREAD` tasks.
+    """
+    refused = refused_sessions(df, site, sessions) if refused is None else refused
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    marks = refused.select("tenant_id", "session_id", spread.alias("_share"), F.lit("store_rejected").alias("reason"))
+    keys = ["tenant_id", "session_id"]
+    rows = df.filter(" AND ".join(f"{name} IS NOT NULL" for name in [*keys, "ts"]))
+    rows = rows.withColumn("_share", F.pmod(F.hash("event_id"), F.lit(SPREAD)))
+    return rows.join(marks, [*keys, "_share"], "left").select(*df.columns, "reason")
 
 
 def ingest_report(validated: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame, path: str) -> Iterator[DataFrame]:
+    """The same rows read back from a table at `path`, which is gone afterwards.
+
+    For rows that several passes read, such as those of a micro-batch of any size: each pass reads the columns it needs, and
+    nothing is held in memory. Whatever an earlier attempt has left at `path` is overwritten.
+    """
+    spark = df.sparkSession
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

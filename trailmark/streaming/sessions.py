@@ -5,6 +5,7 @@ import sys
 import threading
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -18,7 +19,8 @@ from pyspark.sql.types import StructType
 from trailmark import schemas as S
 from trailmark.functions.times import HOUR_MS
 from trailmark.operators import sessions as sessions_ops
-from trailmark.operators.ingest import classify_telemetry, decode_envelope, reject_unknown_refs, split_poison, to_event_rows
+from trailmark.operators.ingest import classify_telemetry, decode_envelope, refused_sessions, reject_unknown_refs, split_poison, to_event_rows
+from trailmark.session import staged
 from trailmark.sources.daytable import DayTable
 from trailmark.sources.snapshots import Snapshot
 from trailmark.sources.writers import PARQUET, write_dead_letters, write_lifecycle
@@ -30,6 +32,15 @@ UPDATES_DDL = (
     "batch_id bigint"
 )
 OWNERS_DDL = "id string, tenant_id string, home_day date"
+# What the tracker looks at of an event.
+TRACKED = [
+    "event_id", "tenant_id", "site_id", "session_id", "anonymous_id", "ts", "ingested_at", "event_type", "url", "user_agent"
+]
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 OPEN, NO_DAY = "open", "unknown"  # parts beside those named by a day
 FOLDERS_PER_DAY = 8  # a day in more folders than that is rewritten as one
 
@@ -63,9 +74,13 @@ def run_session_stream(
     spark = records.sparkSession
     good, _ = split_poison(classify_telemetry(decode_envelope(records, "telemetry")))
     carried = [name for name in ("topic", "partition", "offset", "timestamp", "key", "value") if name in records.columns]
-    rows = to_event_rows(good.withColumn("_record", F.struct(*carried)), ["_record"])
+    rows = to_event_rows(good.withColumn("_record", F.struct(*carried)), ["_record"]).select("_record", *TRACKED)
     order = [F.col("_record")[name].alias(name) for name in ("timestamp", "partition", "offset") if name in carried]
-    known = sites.select("tenant_id", F.col("id").alias("site_id")).distinct()
+    # A table, so the planner knows whether they are few.
+    listed = f"{checkpoint.rstrip('/')}-sites"
+    sites.select("tenant_id", "id").distinct().write.mode("overwrite").parquet(listed)
+    sites = spark.read.schema("tenant_id string, id string").parquet(listed)
+    known = sites.select("tenant_id", F.col("id").alias("site_id"))
     claim = F.struct(*order, "tenant_id", F.to_date("ts").alias("home_day"))
     claims = rows.join(known, ["tenant_id", "site_id"], "left_semi").select(F.col("session_id").alias("id"), claim.alias("claim"))
     if sessions_path is not None:
@@ -78,11 +93,17 @@ def run_session_stream(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         # The state has been updated by the time the batch is there; to read it twice would do that again.
-        batch = batch.persist()
+        with staged(batch, f"{checkpoint.rstrip('/')}-batch") as batch:
+            store(batch, batch_id)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
         counters = Counters(counters_path, "sessions", batch_id)
         held = batch.filter("_owner IS NOT NULL").select(F.col("session_id").alias("id"), F.col("_owner").alias("tenant_id"), "_home")
-        checked = reject_unknown_refs(batch.filter("_owner IS NULL").drop("_owner", "_home"), sites, held).persist()
+        events = batch.filter("_owner IS NULL").drop("_owner", "_home")
+        unwanted = refused_sessions(events, sites, held).persist()
         try:
+            unwanted.count()  # from here on the planner knows their number, most often none
+            checked = reject_unknown_refs(events, sites, held, unwanted)
             home = held.select("id", F.col("_home").alias("home_day"))
             updates = sessions_ops.session_updates(checked.filter("reason IS NULL")).join(home, "id")
             (
@@ -98,12 +119,29 @@ def run_session_stream(
             write_dead_letters(refused, dead_path, batch_id, "sessions")
             counters.store(batch.sparkSession)
         finally:
-            checked.unpersist()
-            batch.unpersist()
+            unwanted.unpersist()
 
     both = rows.unionByName(owners, allowMissingColumns=True)
     writer = both.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
-    return writer.queryName("sessions").trigger(**(trigger or {"availableNow": True})).start()
+    with state_on_disk(spark):
+        return writer.queryName("sessions").trigger(**(trigger or {"availableNow": True})).start()
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, with one bound on its memory for each executor.
+
+    The store that Spark has by default holds all state on the heap, which grows with the number of session ids. A query
+    that goes on from a checkpoint keeps the store it was begun with.
+    """
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    try:
+        for name, value in STATE_STORE.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def stored_owners(spark: SparkSession, sessions_path: str, checkpoint: str) -> DataFrame:
