@@ -13,6 +13,7 @@ from trailmark.operators.ingest import (
     to_event_rows,
 )
 from trailmark.operators.replay import chunk_rows
+from trailmark.session import staged
 from trailmark.sources.writers import write_dead_letters, write_events, write_replay
 from trailmark.streaming.counters import Counters
 
@@ -22,6 +23,11 @@ def _start(stream: DataFrame, work, checkpoint: str, name: str, trigger: dict) -
     return writer.trigger(**trigger).start()
 
 
+def without_text(classified: DataFrame) -> DataFrame:
+    """Good records without their raw text, which their envelope holds already; poison ones as they came."""
+    return classified.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value")))
+
+
 def run_events_stream(
     records: DataFrame, events_path: str, dead_path: str, checkpoint: str, counters_path: str | None = None, **trigger
 ) -> StreamingQuery:
@@ -35,14 +41,12 @@ def run_events_stream(
         counters = Counters(counters_path, "events", batch_id)
         classified = classify_telemetry(decode_envelope(batch, "telemetry"))
         good, bad = F.count_if(F.col("reason").isNull()), F.count_if(F.col("reason").isNotNull())
-        classified = counters.observe(classified, rows=good, dead_letters=bad).persist()
-        try:
+        classified = counters.observe(classified, rows=good, dead_letters=bad)
+        with staged(without_text(classified), f"{checkpoint.rstrip('/')}-batch") as classified:
             good, poison = split_poison(classified)
             write_events(to_event_rows(good), events_path, batch_id)
             write_dead_letters(poison, dead_path, batch_id, "events")
             counters.store(batch.sparkSession)
-        finally:
-            classified.unpersist()
 
     return _start(records, work, checkpoint, "events", trigger or {"availableNow": True})
 
@@ -64,14 +68,12 @@ def run_replay_stream(
         taken = F.col("reason").isNull()
         counts = {"chunks": F.count_if(taken), "dead_letters": F.count_if(~taken)}
         counts["bytes"] = F.sum(F.when(taken, F.octet_length("envelope.events")))
-        classified = counters.observe(classified, **counts).persist()
-        try:
+        classified = counters.observe(classified, **counts)
+        with staged(without_text(classified), f"{checkpoint.rstrip('/')}-batch") as classified:
             good, poison = split_poison(classified)
             write_replay(chunk_rows(good), payload_path, manifest_path, batch_id)
             write_dead_letters(poison, dead_path, batch_id, "replay")
             counters.store(batch.sparkSession)
-        finally:
-            classified.unpersist()
 
     return _start(records, work, checkpoint, "replay", trigger or {"availableNow": True})
 
